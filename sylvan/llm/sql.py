@@ -1,0 +1,101 @@
+"""DuckDB SQL that computes what the queries of this subpackage return."""
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = """
+with p as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+g as (
+  select html, max(page_id) as newest, count(*) as n from p where payload_bytes >= 1000 group by html having count(*) > 1)
+select p.page_id, p.payload_bytes, sha1(p.html) as payload_digest,
+  case when g.newest is not null and p.page_id is distinct from g.newest then 'revisit' else 'response' end as record_type,
+  case when g.newest is not null and p.page_id is distinct from g.newest then g.newest end as refers_to
+from p left join g on p.html = g.html
+"""
+
+OP8 = f"""
+with d as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (
+  select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
+k as (
+  select *, {_LOW.format(f"trim(line, {_WS})")} as key from l),
+f as (
+  select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (key in (select key from f)) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (key not in (select key from f)), '')) as kept_sha256
+from k group by r
+"""
+
+OP9 = r"""
+with z as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as rid from documents),
+s0 as (
+  select source, sum(size)::bigint as source_size from z group by source),
+s1 as (
+  select *, [5, 2, 1][((row_number() over (order by source nulls last)) - 1) % 3 + 1]::double as w,
+    (2 * source_size)::double as cap, 1.5::double * (sum(source_size) over ())::double as want from s0),
+s2 as (
+  select *, cap / w as ratio from s1),
+s3 as (
+  select *, (want - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by ratio, source nulls last rows between current row and unbounded following) as level from s2),
+s4 as (
+  select *, min(case when ratio > level then level end) over () as lv from s3),
+s5 as (
+  select *, least(cap, coalesce(lv * w, cap)) as target from s4),
+src as (
+  select source, source_size, target, coalesce(sum(target) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0) as before from s5),
+tot as (select sum(target) as words from src),
+t as (
+  select z.*, p.turn, src.source_size, src.target,
+    p.turn * src.source_size + coalesce(sum(size) over (partition by z.source, p.turn order by md5(p.turn || '|' || coalesce(z.doc_id::varchar, '')), z.doc_id, rid rows between unbounded preceding and 1 preceding), 0) as lo
+  from z join src on z.source is not distinct from src.source, (select unnest([0, 1]) as turn) p where size > 0),
+pieces as (
+  select rid, source, lo, least(lo + size, floor(target)) as hi from t where lo < floor(target)),
+blocks as (
+  select rid, source, rank, least(hi, (rank + 1) * 64) - greatest(lo, rank * 64) as n
+  from (select *, unnest(range((lo // 64)::bigint, ((hi - 1) // 64)::bigint + 1)) as rank from pieces)),
+points as (
+  select i as slot, i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double) as u
+  from range((select ceil(words / 64)::bigint from tot)) x(i)),
+hit as (
+  select src.source, ceil(target / 64) as need, row_number() over (partition by src.source order by slot) - 1 as rank
+  from points, src, tot where target > 0 and u >= before / words and u < (before + target) / words),
+got as (
+  select source, count(*) as got from hit group by source),
+slots as (
+  select source, rank from hit where rank < need
+  union all
+  select source, unnest(range(got, need)) as rank
+  from (select src.source, coalesce(got, 0) as got, ceil(target / 64)::bigint as need from src left join got on src.source is not distinct from got.source where target > 0)),
+taken as (
+  select rid, sum(n) as taken from blocks join slots on blocks.source is not distinct from slots.source and blocks.rank = slots.rank group by rid)
+select doc_id, size, src.source_size, src.target, coalesce(taken, 0)::bigint as taken
+from z join src on z.source is not distinct from src.source left join taken using (rid)
+"""
+
+OP10 = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (
+  select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as win
+  from (select item_id, w, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+dw as (
+  select r, k, i, array_to_string(w[i : i + k - 1], ' ') as win
+  from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+m as (
+  select r, item_id, i, dw.k from dw join bw on dw.k = bw.k and dw.win = bw.win),
+h as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from m) group by r),
+it as (
+  select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from m) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join it using (r)
+"""
+
+SQL = {"op1_warc": OP1, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
