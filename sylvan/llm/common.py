@@ -114,3 +114,67 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) ->
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def bucket_blocks(members: DataFrame, label: str, block: int, row_id: str = "id") -> DataFrame:
+    """Pairs of blocks that together compare all rows of each (table, key) bucket.
+
+    Buckets of one row go. A bucket of n rows is cut by a hash of ``row_id`` into
+    ceil(n / block) blocks, and every row is sent once to each pair of blocks (bi <= bj) that
+    holds its own block ``b``: no task ever gets more than about two blocks of a bucket, and
+    every pair of rows meets in exactly one pair of blocks.
+    """
+    counts = materialize(members.groupBy("table", "key").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), label)
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    found = lookup(members, counts, ["table", "key"], "n_rows", total, [row_id, "table"], how="inner")
+    blocks = F.ceil(F.col("n_rows") / block)
+    found = found.withColumn("b", F.pmod(F.xxhash64(row_id, F.lit(17)), blocks).cast("int"))
+    found = found.withColumn("__o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return found.withColumns({"bi": F.least("b", "__o"), "bj": F.greatest("b", "__o")}).drop("__o", "n_rows")
+
+
+def groups_of(*columns):
+    """Start and end of each run of equal rows, and the order that makes the runs."""
+    import numpy as np
+
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return order, starts, np.append(starts[1:], len(order))
+
+
+def local_labels(n: int, i, j):
+    """For n rows with links (i, j): the smallest row number that each row reaches."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if np.array_equal(was, label):
+            return label
+
+
+def map_text(docs: DataFrame, text: str, keep: list[str], fields, start) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and new ``fields`` (a StructType) made from ``text``, Arrow
+    batch by batch. ``start()`` runs once a task and returns the function from one text (str or
+    None) to one tuple. Columns of other names do not leave the JVM."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = list(to_arrow_schema(fields))
+
+    def run(batches):
+        each = start()
+        for batch in batches:
+            out = [each(t.as_py()) for t in batch.column(text)]
+            made = [pa.array([o[k] for o in out], type=f.type) for k, f in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *(f.name for f in new)])
+
+    docs = docs.select(*dict.fromkeys([*keep, text]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *fields.fields]))

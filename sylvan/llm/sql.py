@@ -98,4 +98,41 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join h using (r) left join it using (r)
 """
 
-SQL = {"op1_warc": OP1, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
+OP5 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (
+  select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (
+  select vec_id as a, vec_id as c from v
+  union
+  select p.b, r.c from r join p on r.a = p.a),
+g as (select a, min(c) as c from r group by a),
+n as (select a, count(*) as n from p group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+from embeddings left join g on vec_id = g.a left join n on vec_id = n.a
+"""
+
+OP6 = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+z as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a, b, j = 1 as same from (
+    select x.doc_id as a, y.doc_id as b, count(*) / (any_value(zx.n) + any_value(zy.n) - count(*)) as j
+    from s x join s y on x.g = y.g and x.doc_id <> y.doc_id join z zx on zx.doc_id = x.doc_id join z zy on zy.doc_id = y.doc_id
+    group by 1, 2) where j >= 0.8),
+r as (
+  select doc_id as a, doc_id as c from z
+  union
+  select p.b, r.c from r join p on r.a = p.a),
+g as (select a, min(c) as c from r group by a),
+n as (select a, count(*) as n, min(b) filter (same) as lo from p group by a)
+select doc_id, least(doc_id, coalesce(lo, doc_id)) as class_id, coalesce(n, 0)::bigint as n_links, coalesce(c, doc_id) as group_id, coalesce(c, doc_id) = doc_id as kept
+from documents left join g on doc_id = g.a left join n on doc_id = n.a
+"""
+
+SQL = {"op1_warc": OP1, "op5_embedding_near_dedup": OP5, "op6_ngram_jaccard_join": OP6, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
