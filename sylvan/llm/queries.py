@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, line_dedup, lm_score, mixing, ngram_join, warc
+from . import decontaminate, embed_dedup, langid, line_dedup, lm_score, mixing, ngram_join, pii_crf, secret_scan, warc
 from .common import table
 
 
@@ -13,10 +13,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out(), stable=True)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.learn(docs), keep=["doc_id"]).drop("pii")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
 
@@ -47,4 +56,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_lm_scoring, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_lm_scoring, op4_pii, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_mixing, op10_decontaminate)}
