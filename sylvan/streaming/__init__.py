@@ -1,0 +1 @@
+"""Graphs from streams."""

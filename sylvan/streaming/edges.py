@@ -1,0 +1,16 @@
+"""Edge counts of a growing graph from a stream of interactions.
+
+The library's own work is batch; this feeds it: a stream of (ts, a, b) becomes windowed edge
+weights, which ``Graph.from_edges`` takes once a window is complete.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed_edges(stream: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """(start, a, b, weight): undirected interaction counts by tumbling window; later rows than ``late`` are left out."""
+    pairs = stream.where("a <> b").withWatermark("ts", late).select("ts", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.groupBy(F.window("ts", window).alias("w"), "a", "b").agg(F.count("*").alias("weight")).select(F.col("w.start").alias("start"), "a", "b", "weight")
