@@ -42,8 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What lower() changes besides A-Z.
+_OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+
+
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased and nothing else. lower() does just that where no other capitals
+    occur, far faster than translate(), which is left for the rest."""
+    return F.when(c.rlike(_OTHER_CAPITALS), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
 def hash_pair(c: Column) -> tuple[Column, Column]:

@@ -30,9 +30,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     ident = [c for c in docs.columns if c == "doc_id"]
     key = F.xxhash64(F.coalesce(text, F.lit(""))), F.xxhash64(F.lit(0x5EED), F.coalesce(text, F.lit("")), *ident)
     own = docs.withColumns({"__t1": key[0], "__t2": key[1], "__lines": F.split(F.coalesce(text, F.lit("")), "\n", -1)})
-    line = lambda x: lower_ascii(F.btrim(x, F.lit(SPACES)))
-    keys = F.transform("__lines", lambda x: F.struct(*(h.alias(f"h{i}") for i, h in enumerate(hash_pair(line(x)), 1)), (F.length(line(x)) >= min_chars).alias("long")))
-    hashed = own.select("__t1", "__t2", keys.alias("k"))
+    lines = F.transform("__lines", lambda x: lower_ascii(F.btrim(x, F.lit(SPACES))))
+    keys = F.transform(lines, lambda x: F.struct(*(h.alias(f"h{i}") for i, h in enumerate(hash_pair(x), 1)), (F.length(x) >= min_chars).alias("long")))
+    hashed = materialize(own.select("__t1", "__t2", keys.alias("k")), "hashes")
     counts = hashed.select(F.explode(F.array_distinct("k")).alias("k")).where("k.long").groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"))
     frequent = materialize(counts.where(F.col("n") >= min_docs), "lines")
     total = frequent.agg(F.sum("n")).first()[0] or 0
