@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.plans.ground import shared_dir
+
 #: ASCII white space `[\x20\x09-\x0D]`, and the letters that are lower-cased.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot if it holds more than 1 / HOT_KEYS of the rows, so fewer than HOT_KEYS keys are hot.
 HOT_KEYS = 1000
 
-_LOCAL: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
-    unset a local master gets a temporary folder, and any other master an error."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files
     that outlive any executor, and do not compute ``df`` again."""

@@ -22,8 +22,8 @@ the block's spanning stars. Components come from those edges.
 Null, empty and word-free texts link with nothing. Every row is a document; rows that
 share a doc_id each count, and if their texts differ, all their classes are found
 as long as doc_id is not null (a null doc_id that is the smallest of its class
-leaves that class without links to others). An empty table gives an empty table. Input
-columns are carried along unless the result has the same name.
+leaves that class without links to others). An empty table gives an empty table. Other input
+columns are not carried along by ``near_duplicates``; ``keep_one`` returns all of them.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, DEPTH = 16, 6
 #: Rows of a block; rows of a first-comparison task; shingles of a second one; standard deviations.
 BLOCK, SHARD_ROWS, SHARD_SHINGLES, SLACK = 512, 20_000, 1_500_000, 5.0
-_OUT = ["class_id", "n_links", "group_id", "kept"]
+_OUT = ["class_id", "copy_id", "n_links", "kept"]
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,8 +212,9 @@ def _signing(width: int):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """``docs`` with class_id (smallest doc_id of the documents with the same shingles), n_links (other
-    documents at or above the threshold), group_id (smallest doc_id that links reach) and kept."""
+    """For each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach, itself included),
+    copy_id (the smallest with the same shingles), n_links (other documents at or above the
+    threshold) and kept (doc_id = class_id)."""
     docs = docs.drop(*_OUT)
     signed = materialize(map_text(docs, text, ["doc_id"], _SIGNED, lambda: _signing(width)), "signed")
     classes = materialize(signed.where("n_sh > 0").groupBy("id", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")), "classes")
@@ -228,20 +229,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     near = connected_components(found.select(F.col("id").alias("a"), F.col("label").alias("b")), "stars")
     named = near.join(classes.select("id", "rep"), "id")
-    lowest = named.groupBy("component").agg(F.min("rep").alias("group_id"), F.count("*").alias("m"))
-    named = lookup(named, lowest, ["component"], "m", total, ["id"], how="inner").select("id", "group_id")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
+    named = lookup(named, lowest, ["component"], "m", total, ["id"], how="inner").select("id", "class_id")
     result = classes.select("id", "d2", "rep", "n").join(links, "id", "left").join(named, "id", "left")
-    result = result.select("id", "d2", "n", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))
+    result = result.select("id", "d2", "n", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
     per_doc = lookup(signed.select("doc_id", "id", "d2"), result, ["id", "d2"], "n", total, ["doc_id"])
-    # one row for a doc_id and text; rows that repeat both share it
     per_doc = per_doc.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
-    return per_doc
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    return per_doc.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not the first of their group; columns unchanged.
+    """``docs`` without the documents that are not the first of their class; columns unchanged.
     Of rows that repeat a doc_id all stay or all go."""
     out = near_duplicates(docs, **options)
     gone = out.where("not kept and doc_id is not null").select("doc_id").distinct()

@@ -131,7 +131,7 @@ r as (
   select p.b, r.c from r join p on r.a = p.a),
 g as (select a, min(c) as c from r group by a),
 n as (select a, count(*) as n, min(b) filter (same) as lo from p group by a)
-select doc_id, least(doc_id, coalesce(lo, doc_id)) as class_id, coalesce(n, 0)::bigint as n_links, coalesce(c, doc_id) as group_id, coalesce(c, doc_id) = doc_id as kept
+select doc_id, coalesce(c, doc_id) as class_id, least(doc_id, coalesce(lo, doc_id)) as copy_id, coalesce(n, 0)::bigint as n_links, coalesce(c, doc_id) = doc_id as kept
 from documents left join g on doc_id = g.a left join n on doc_id = n.a
 """
 
