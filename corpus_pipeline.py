@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from sylvan.llm import decontaminate as contamination
 from sylvan.llm import langid, line_dedup, mixing, ngram_join
-from sylvan.llm.common import shared_dir, table
+from sylvan.llm.common import table
+from sylvan.plans.ground import shared_dir
 
 MIN_SHARE = 0.4
 
