@@ -42,9 +42,9 @@ s3 as (
   select *, (want - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(w) over (order by ratio, source nulls last rows between current row and unbounded following) as level from s2),
 s4 as (
-  select *, min(case when ratio > level then level end) over () as lv from s3),
+  select *, max(level) over () as lv from s3),
 s5 as (
-  select *, least(cap, coalesce(lv * w, cap)) as target from s4),
+  select *, least(cap, lv * w) as target from s4),
 src as (
   select source, source_size, target, coalesce(sum(target) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0) as before from s5),
 tot as (select sum(target) as words from src),
@@ -53,10 +53,10 @@ t as (
     p.turn * src.source_size + coalesce(sum(size) over (partition by z.source, p.turn order by md5(p.turn || '|' || coalesce(z.doc_id::varchar, '')), z.doc_id, rid rows between unbounded preceding and 1 preceding), 0) as lo
   from z join src on z.source is not distinct from src.source, (select unnest([0, 1]) as turn) p where size > 0),
 pieces as (
-  select rid, source, lo, least(lo + size, floor(target)) as hi from t where lo < floor(target)),
+  select rid, source, lo::bigint as lo, least(lo + size, floor(target))::bigint as hi from t where lo < floor(target)),
 blocks as (
   select rid, source, rank, least(hi, (rank + 1) * 64) - greatest(lo, rank * 64) as n
-  from (select *, unnest(range((lo // 64)::bigint, ((hi - 1) // 64)::bigint + 1)) as rank from pieces)),
+  from (select *, unnest(range(lo // 64, (hi - 1) // 64 + 1)) as rank from pieces)),
 points as (
   select i as slot, i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double) as u
   from range((select ceil(words / 64)::bigint from tot)) x(i)),

@@ -59,6 +59,39 @@ def test_mixing(spark, odd):
     assert [r.taken for r in blank] == [0, 0]
 
 
+def reshared(sizes, weights=(5, 2, 1)):
+    """Targets by sharing, capping and sharing the excess again until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    done, rest = {}, 1.5 * sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in done]
+        share = {s: rest * w[s] / sum(w[t] for t in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s]]
+        if not over:
+            return done | share
+        for s in over:
+            done[s] = 2.0 * sizes[s]
+            rest -= done[s]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_targets(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(k, " ".join("x" * rng.choice((1, 3, 400))), rng.choice(["a", "é", "b", "Z", "c", "zz", None, "q"][: 3 + 2 * seed % 6])) for k in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = reshared(sizes)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
+    for s in sizes:
+        assert sum(r.taken for r in got if r.source == s) == pytest.approx(want[s], abs=1)
+
+
 def test_decontaminate(spark, odd):
     bench = spark.createDataFrame([(1, "Cat SAT, on the mat"), (2, None), (3, ""), (4, "nothing of it here at all"), (11, "sat on"), (11, "sat on")], "item_id long, text string")
     one = decontaminate.decontaminate(odd, bench).collect()
