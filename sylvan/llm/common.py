@@ -53,10 +53,11 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int,
     ``left`` that found a hot key are spread over the shuffle by a salt from ``spread``.
     Columns of ``right`` other than ``on`` must not occur in ``left``.
     """
+    # the salt of the cold keys is 0, but not a literal: that would be folded out of the join's keys
     vals = [c for c in right.columns if c not in on]
     limit = max(total // HOT_KEYS, 1)
     hot = right.where(F.col(n) > limit).select(*on, *(F.col(v).alias(f"__hot_{v}") for v in vals), F.lit(True).alias("__hot"))
-    cold = right.where(F.col(n) <= limit).withColumn("__salt", F.lit(0))
+    cold = right.where(F.col(n) <= limit).withColumn("__salt", F.pmod(F.col(n), F.lit(1)).cast("int"))
     out = (
         left.join(F.broadcast(hot), on, "left")
         .withColumn("__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(65536)).cast("int")).otherwise(0))
