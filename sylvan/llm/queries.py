@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, embed_dedup, langid, line_dedup, lm_score, mixing, ngram_join, pii_crf, secret_scan, warc
 from .common import table
@@ -18,7 +19,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out(), stable=True)
+    out = lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out(), stable=True)
+    # the last digits depend on the order of the sums
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +44,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

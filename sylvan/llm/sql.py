@@ -98,6 +98,35 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join h using (r) left join it using (r)
 """
 
+OP3 = r"""
+with recursive bits as (
+  select i, 0 as k, i::bigint as c from range(256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crc as (select list(c order by i) as l from bits where k = 8),
+d as (
+  select row_number() over () as r, doc_id,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) % 10 = 0 as held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') as w
+  from documents, crc),
+t as (
+  select r, held_out, unnest(list_prepend(chr(10), w[:-2])) as v, unnest(w) as w from d),
+u as (select w, count(*) as c from t where not held_out group by w),
+tot as (select sum(c) as n, sum(c) + 0.1::double * (count(*) + 1) as norm from u),
+p as (select v, w, count(*) as c from t where not held_out group by v, w),
+x as (select v, sum(c)::double as c from p group by v),
+s as (
+  select t.r, coalesce(u.c, 0) as c, (coalesce(u.c, 0) + 0.1::double) / norm as p1, p.c as cp, x.c as cx
+  from t cross join tot left join u on u.w = t.w left join p on p.v = t.v and p.w = t.w left join x on x.v = t.v),
+g as (
+  select r, count(*) filter (c > 0) as n_known, sum(log10(p1)) as base_score,
+    sum(case when cp is not null then -least(round(-log10((cp + 30 * p1) / (cx + 30)) * 4096), 65535) / 4096
+      when cx is not null then log10(p1) - round(-log10(30 / (cx + 30)) * 4096) / 4096 else log10(p1) end) as score
+  from s group by r)
+select doc_id, held_out, len(w)::bigint as n_tokens, n_known, n::bigint as train_tokens, round(base_score, 6) as base_score, round(score, 6) as score
+from d join g using (r) cross join tot
+"""
+
 OP5 = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
@@ -135,4 +164,4 @@ select doc_id, coalesce(c, doc_id) as class_id, least(doc_id, coalesce(lo, doc_i
 from documents left join g on doc_id = g.a left join n on doc_id = n.a
 """
 
-SQL = {"op1_warc": OP1, "op5_embedding_near_dedup": OP5, "op6_ngram_jaccard_join": OP6, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
+SQL = {"op1_warc": OP1, "op3_lm_scoring": OP3, "op5_embedding_near_dedup": OP5, "op6_ngram_jaccard_join": OP6, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
