@@ -8,8 +8,9 @@ automaton finds all occurrences, overlapping ones too; the byte offsets lead to
 and, for ``spans``, to code points of the original text.
 
 Patterns go to the executors with the task, so their size is measured first: items are cut
-into shards of at most ``SHARD_BYTES`` bytes of text, one automaton and one pass over the
-documents each, and the word ranges of several shards are united afterwards. Null, empty and
+into shards of about ``SHARD_BYTES`` characters, one automaton and one pass over the documents
+each, and the word ranges of several shards are united afterwards; more than ``MOST_BYTES``
+are refused. Null, empty and
 word-free texts or items have no words and no hits; repeated rows are judged each for itself
 (several shards need doc_id to be unique); an empty benchmark leaves every document clean.
 Input columns are carried along, same-named ones replaced.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, MOST_BYTES = 16 << 20, 1 << 30
 #: Bytes as they are compared: separators become spaces, A-Z become a-z.
 FOLD = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 _SEPARATOR = np.frombuffer(FOLD, np.uint8) == 32
@@ -88,6 +89,9 @@ def char_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
 
 
 def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str, str]]]:
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"a benchmark of {total} characters is too large to hand to every task; give it in parts")
     shards, size = [[]], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null and item_id is not null").toLocalIterator():
         if size and size + len(text) > shard_bytes:

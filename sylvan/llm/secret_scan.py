@@ -98,7 +98,8 @@ def findings(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
         return one
 
-    both = docs.withColumn("__in", F.struct(F.col(text).alias("t"), F.col("source").alias("s")))
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    both = docs.withColumn("__in", F.struct(F.col(text).alias("t"), source.cast("string").alias("s")))
     return map_text(both, "__in", list(keep), _FOUND, start).select(*keep, F.explode("found").alias("f")).select(*keep, "f.*")
 
 
