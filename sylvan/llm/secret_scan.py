@@ -11,7 +11,8 @@ the probability that the candidate is a secret.
 Where no labelled findings are given, ``weak_labels`` marks findings that rules of high
 precision decide: known key formats and assignments to secret names are true; digests, ids,
 version strings and examples named so are false; the rest is left to the forest. Training
-takes about ``MAX_TRAIN`` labelled findings chosen by hash.
+takes about ``MAX_TRAIN`` labelled findings of each label, chosen by hash, and both labels
+weigh the same in it however rare one is.
 
 Null, empty and clean texts give no rows; repeated rows give their findings as often; an empty
 table gives an empty table.
@@ -111,6 +112,18 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(sure, 1.0).when(wrong, 0.0))
 
 
+def training_sample(given: DataFrame, max_train: int) -> tuple[dict[float, int], DataFrame]:
+    """How many rows of each label ``given`` (features, label) has, and about ``max_train`` rows of
+    each label. Of n equal rows the label's share of n is taken, rounded up or down by a hash."""
+    given = materialize(given.groupBy("features", F.col("label").cast("double").alias("label")).agg(F.count("*").alias("n")), "labelled")
+    sizes = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    share, scale = F.lit(1.0), 1 << 30
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, max_train / n)).otherwise(share)
+    taken = F.floor(F.col("n") * share + F.pmod(F.xxhash64("features", F.lit(5)), F.lit(scale)) / scale)
+    return sizes, given.withColumn("taken", taken).where("taken > 0").select("features", "label", F.explode(F.sequence(F.lit(1).cast("long"), "taken")).alias("copy")).drop("copy")
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, start, end (code points), probability and is_secret for each candidate.
 
@@ -122,14 +135,19 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text",
 
     found = materialize(findings(docs, text), "findings")
     given = (labelled if labelled is not None else weak_labels(found)).where(F.col("label").isNotNull()).select("features", "label")
-    n, scale = given.count(), 1 << 30
-    given = given.where(F.pmod(F.xxhash64("features", F.lit(5)), F.lit(scale)) < int(min(1.0, max_train / max(n, 1)) * scale))
-    given = materialize(given, "labelled")
-    kinds = sorted(r["label"] for r in given.select("label").distinct().limit(3).collect())
+    sizes, given = training_sample(given, max_train)
+    kinds = sorted(sizes)
     if len(kinds) < 2:
         return found.select("doc_id", "start", "end", F.lit(kinds[0] if kinds else 0.0).alias("probability"), F.lit(bool(kinds and kinds[0])).alias("is_secret"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False)
-    model = forest.fit(given.select(array_to_vector("features").alias("features"), "label"))
+    given = materialize(given, "sample")
+    drawn = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
+    if missing := [k for k in kinds if k not in drawn]:
+        raise ValueError(f"no finding labelled {missing} was drawn for training; raise max_train")
+    weight = F.lit(0.0)
+    for label, n in drawn.items():
+        weight = F.when(F.col("label") == label, sum(drawn.values()) / (len(drawn) * n)).otherwise(weight)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False, weightCol="weight")
+    model = forest.fit(given.select(array_to_vector("features").alias("features"), "label", weight.alias("weight")))
     out = model.transform(found.select("doc_id", "start", "end", array_to_vector("features").alias("features")))
     p = vector_to_array("probability")[1]
     return out.select("doc_id", "start", "end", p.alias("probability"), (p > 0.5).alias("is_secret"))

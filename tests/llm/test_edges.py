@@ -184,6 +184,22 @@ def test_secret_scan(spark, docs):
     assert {r.doc_id for r in secret_scan.scan(df, given).collect() if r.is_secret} == {*range(100, 130), 203}
 
 
+def test_secret_scan_rare_secrets_in_a_bounded_sample(spark):
+    rows = [(k, f"commit {hashlib.sha1(str(k).encode()).hexdigest()} by someone") for k in range(600)]
+    rows += [(1000 + k, f"see AKIA{hashlib.sha1(str(k).encode()).hexdigest()[:16].upper()} here") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = secret_scan.scan(df, max_train=20).collect()
+    assert len(out) == 603 and {r.doc_id for r in out if r.is_secret} == {1000, 1001, 1002}
+
+
+def test_secret_training_sample_takes_a_share_of_equal_rows(spark):
+    rows = [([1.0], 0.0)] * 700 + [([float(k)], 0.0) for k in range(2, 302)] + [([0.5], 1.0)] * 3
+    sizes, sample = secret_scan.training_sample(spark.createDataFrame(rows, "features array<double>, label double"), 100)
+    got = [(r.features[0], r.label) for r in sample.collect()]
+    assert sizes == {0.0: 1000, 1.0: 3} and got.count((0.5, 1.0)) == 3
+    assert got.count((1.0, 0.0)) in (70, 71) and 80 <= len(got) <= 130
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 2000
     rows = [(1, "http://a\r\nX: y", big), (2, None, big), (9, "u", big), (3, "u", None), (4, "u", ""), (5, "v", "short"), (6, "w", "short"), (None, "n", "z"), (9, "u", big)]
