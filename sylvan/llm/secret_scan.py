@@ -1,8 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are unbroken strings of 16 to 256 characters of keys, numbers, mail addresses and
-paths that hold a digit, and values after an assignment to a name that speaks of secrets. Each gets
-features: length, digit share, changes of character class, entropy, dictionary coverage (the
+Candidates are unbroken strings of 16 characters or more of keys, numbers, mail addresses and
+paths that hold a digit, values after an assignment to a name that speaks of secrets, and known
+key formats of any length. Each gets features: length, digit share, changes of character class, entropy, dictionary coverage (the
 share of it in words that are frequent in the whole corpus), its path (a hash of the source and
 whether it is a URL, a file or an email part), and its neighbouring words (whether they name
 secrets, digests, identifiers or examples). A random forest trained on labelled findings gives
@@ -35,10 +35,10 @@ from .common import map_text, materialize
 
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
 PATHS = 8
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/=.@-]{15,255}[A-Za-z0-9_+/=-](?![A-Za-z0-9_+/=@-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/=.@-]{15,}[A-Za-z0-9_+/=-](?![A-Za-z0-9_+/=@-])")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGN = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api_?key|access_?key|private_?key|auth)\w{0,16}[\x20\"']{0,2}[:=][\x20\"']{0,2}([^\s\"',;]{8,256})")
-_KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}")
+_ASSIGN = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api_?key|access_?key|private_?key|auth)\w{0,16}[\x20\"']{0,2}[:=][\x20\"']{0,2}([^\s\"',;]{8,})")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,})")
 _SECRET = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred")
 _DIGEST = re.compile(r"(?i)sha\d*|md5|digest|checksum|commit|hash|etag")
 _IDENT = re.compile(r"(?i)uuid|guid|\bid\b|version|build|serial|isbn")
@@ -48,16 +48,18 @@ FEATURES = ["length", "digits", "changes", "entropy", "dictionary", "secret_word
 
 
 def candidates(text: str | None) -> list[tuple[int, int, bool]]:
-    """(start, end, assigned) in order; an assignment's value hides candidates inside it."""
+    """(start, end, assigned) in order; candidates that overlap are one, assigned if one of them is."""
     if not text:
         return []
     named = {m.span(1) for m in _ASSIGN.finditer(text)}
-    out, at = [], 0
-    plain = [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
-    for s, e in sorted({*named, *plain}, key=lambda x: (x[0], -x[1])):
-        if s >= at:
+    known = [m.span() for m in _KNOWN.finditer(text)]
+    plain = [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) or _KNOWN.search(m[0])]
+    out = []
+    for s, e in sorted({*named, *known, *plain}, key=lambda x: (x[0], -x[1])):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2] or (s, e) in named)
+        else:
             out.append((s, e, (s, e) in named))
-            at = e
     return out
 
 
@@ -75,7 +77,7 @@ def features(text: str, s: int, e: int, assigned: bool, source: str | None, dict
     covered = sum(len(w) for w, h, k in zip(words, hashes, at) if len(dictionary) and dictionary[k] == h)
     return [
         float(n), sum(c.isdigit() for c in x) / n, sum(_class(a) != _class(b) for a, b in zip(x, x[1:])) / n, float(-sum(p * log2(p) for p in share)), covered / n,
-        *(float(bool(r.search(left))) for r in (_SECRET, _DIGEST, _IDENT)), float(bool(_EXAMPLE.search(left + x))), float(assigned), float(bool(_KNOWN.match(x))),
+        *(float(bool(r.search(left))) for r in (_SECRET, _DIGEST, _IDENT)), float(bool(_EXAMPLE.search(left + x))), float(assigned), float(bool(_KNOWN.search(x))),
         float("://" in left), float(left[-1:] in ("/", "\\", ".")), float("@" in left[-1:] + x + right[:1]), float(zlib.crc32((source or "").encode()) % PATHS),
     ]
 
