@@ -15,7 +15,8 @@ The ``TOP`` most frequent words (a fixed number, found from exact counts over al
 rows) are broadcast with their counts and travel as 16-bit codes, others as 64-bit hashes.
 Tokens of other words first pass through shards by predicted word, which count them, and then
 go on to the shards of their context with that count. A context with more than its share of
-a shard is spread by its follower; its total is one of the broadcast counts. Rows are packed
+a shard is spread by its follower; its total is one of the broadcast counts, and every shard
+that is asked for it keeps its backoff weight, with or without followers there. Rows are packed
 arrays, one for each batch of documents and shard, and per-document sums come back likewise.
 
 Rows without doc_id are scored but not learned from; null texts are empty (one end token);
@@ -125,11 +126,13 @@ class Trie:
     """Two levels over one buffer: contexts, and their followers with quantised log-probabilities."""
 
     @staticmethod
-    def build(v: np.ndarray, w: np.ndarray, n: np.ndarray, p1: np.ndarray, total) -> bytes:
-        """Distinct bigrams (v, w), sorted, with counts and p1(w); ``total(ids, sums)`` gives c(v)."""
-        words = np.unique(np.concatenate((v, w)))
-        heads, first = np.unique(v, return_index=True)
-        c = total(heads, np.add.reduceat(n, first) if len(n) else n)
+    def build(v: np.ndarray, w: np.ndarray, n: np.ndarray, p1: np.ndarray, total, contexts: np.ndarray) -> bytes:
+        """Distinct bigrams (v, w), sorted, with counts and p1(w); ``total(ids, sums)`` gives c(v).
+        ``contexts`` are kept even if they have no follower among the bigrams."""
+        words = np.unique(np.concatenate((v, w, contexts)))
+        heads = np.union1d(v, contexts)
+        first = np.searchsorted(v, heads)
+        c = total(heads, np.diff(np.append(0, np.cumsum(n))[np.append(first, len(v))]))
         owner = np.repeat(np.arange(len(heads)), np.diff(np.append(first, len(v))))
         prob = (n + MU * p1) / (c[owner] + MU)
         parts = [EliasFano.encode(x) for x in (words, np.searchsorted(words, heads), np.append(first, len(v)), owner.astype(np.uint64) * np.uint64(max(len(words), 1)) + np.searchsorted(words, w).astype(np.uint64))]
@@ -400,7 +403,9 @@ def score(docs: DataFrame, held_out, stable: bool = False, text: str = "text") -
             def context_totals(ids, sums):
                 return np.where(ids <= START, coder.counts[np.minimum(ids, START).astype(np.int64)], sums)
 
-            trie = Trie(Trie.build(uv[seen], uw[seen], n[seen], p1[seen], context_totals))
+            asked = np.unique(uv[uv <= START])
+            asked = asked[coder.counts[asked.astype(np.int64)] > 0]
+            trie = Trie(Trie.build(uv[seen], uw[seen], n[seen], p1[seen], context_totals, asked))
             each = trie.score(uv, uw, p1)[pair]
             batch, which = np.unique(key, return_inverse=True)
             slot = which * (1 << 15) + (at & 0x7FFF)

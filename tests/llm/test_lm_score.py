@@ -47,6 +47,15 @@ def test_scores_equal_brute_force(spark, docs, monkeypatch, top):
         assert r.score == pytest.approx(w[5], abs=2e-4 * r.n_tokens)
 
 
+def test_context_spread_over_many_shards_keeps_its_backoff(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_CHARS", 200)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, " ".join(f"hot unseen{i}x{k}" for k in range(20)) if i in held else "hot one " * 20) for i in range(400)]
+    want = brute(rows)
+    for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), lm_score.held_out()).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=2e-4 * r.n_tokens)
+
+
 def test_model_beats_base_on_held_out(spark, docs):
     rows = [r for r in lm_score.score(docs, lm_score.held_out(), stable=True).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
