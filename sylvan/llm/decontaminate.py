@@ -10,9 +10,10 @@ and, for ``spans``, to code points of the original text.
 Patterns go to the executors with the task, so their size is measured first: items are cut
 into shards of about ``SHARD_BYTES`` characters, one automaton and one pass over the documents
 each, and the word ranges of several shards are united afterwards; more than ``MOST_BYTES``
-are refused. Null, empty and
-word-free texts or items have no words and no hits; repeated rows are judged each for itself
-(several shards need doc_id to be unique); an empty benchmark leaves every document clean.
+are refused. With several shards the documents are written once with a row number, by which
+the parts are joined. Null, empty and word-free texts or items have no words and no hits; items
+without item_id hit like others and count as one item together, a null at the end of ``items``;
+repeated rows are judged each for itself; an empty benchmark leaves every document clean.
 Input columns are carried along, same-named ones replaced.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 WINDOW = 10
 SHARD_BYTES, MOST_BYTES = 16 << 20, 1 << 30
 #: Bytes as they are compared: separators become spaces, A-Z become a-z.
@@ -43,7 +46,7 @@ def windows_of(words: list[bytes], n: int) -> set[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str, str], ...], n: int):
+def _automaton(items: tuple[tuple[str | None, str], ...], n: int):
     """Windows, as latin-1 strings of their bytes, with their number of words and items; once a worker and shard."""
     import ahocorasick
 
@@ -59,7 +62,7 @@ def _automaton(items: tuple[tuple[str, str], ...], n: int):
     return made if owners else None
 
 
-def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str]]:
+def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]:
     """Number of words, united hit ranges [first word, last word + 1) and the items hit."""
     words = words_of(text)
     if not words or made is None:
@@ -88,12 +91,12 @@ def char_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
     return [[int(points[starts[a]]), int(points[ends[b - 1]])] for a, b in ranges]
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str, str]]]:
+def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str | None, str]]]:
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     if total > MOST_BYTES:
         raise ValueError(f"a benchmark of {total} characters is too large to hand to every task; give it in parts")
     shards, size = [[]], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null and item_id is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
         if size and size + len(text) > shard_bytes:
             shards.append([])
             size = 0
@@ -102,13 +105,14 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str, str]
     return shards
 
 
-_FOUND = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__r", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__s", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__i", T.ArrayType(T.StringType()))])
+#: Number of words, hit ranges (first word, last word + 1, and their code points or zeros), items.
+_FOUND = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__r", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__i", T.ArrayType(T.StringType()))])
 
 
-def _scanned(docs: DataFrame, keep: list[str], items: list[tuple[str, str]], n: int, text: str, spans: bool) -> DataFrame:
+def _scanned(docs: DataFrame, keep: list[str], items: list[tuple[str | None, str]], n: int, text: str, spans: bool) -> DataFrame:
     """The columns ``keep`` with what one automaton finds in ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
-    kinds = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
 
     def run(batches):
         made = _automaton(shared.value, n)
@@ -116,7 +120,8 @@ def _scanned(docs: DataFrame, keep: list[str], items: list[tuple[str, str]], n:
             out = []
             for t in batch.column(text):
                 n_words, ranges, who = scan(t := t.as_py(), made)
-                out.append((n_words, ranges, char_spans(t, ranges) if spans and ranges else [], sorted(who)))
+                points = char_spans(t, ranges) if spans and ranges else [[0, 0]] * len(ranges)
+                out.append((n_words, [r + c for r, c in zip(ranges, points)], sorted(who, key=lambda i: (i is None, i or ""))))
             new = [pa.array([o[k] for o in out], type=kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, *_FOUND.names])
 
@@ -133,17 +138,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     if len(shards) == 1:
         found = _scanned(docs, kept, shards[0], window, text, spans)
     else:
-        parts = [_scanned(docs, ["doc_id"], s, window, text, spans) for s in shards]
+        rows = materialize(docs.select(*dict.fromkeys([*kept, text])).withColumn("__row", F.monotonically_increasing_id()), "rows")
+        parts = [_scanned(rows, ["__row"], s, window, text, spans) for s in shards]
         every = parts[0]
         for p in parts[1:]:
             every = every.union(p)
-        union = every.groupBy("doc_id").agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("__r")).alias("__r"), F.flatten(F.collect_list("__s")).alias("__s"), F.array_distinct(F.flatten(F.collect_list("__i"))).alias("__i"))
+        union = every.groupBy("__row").agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("__r")).alias("__r"), F.array_distinct(F.flatten(F.collect_list("__i"))).alias("__i"))
         last = lambda acc, k: F.try_element_at(acc, F.lit(-1))[k]
-        grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc, 0), F.greatest(x[1], last(acc, 1)))))
+        longer = lambda acc, x: F.array(last(acc, 0), F.greatest(x[1], last(acc, 1)), last(acc, 2), F.greatest(x[3], last(acc, 3)))
+        grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, x)))
         step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x[0] <= last(acc, 1), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
-        united = lambda c: F.aggregate(F.array_sort(c), F.array().cast("array<array<bigint>>"), step)
-        union = union.withColumns({"__r": united("__r"), "__s": united("__s")})
-        found = docs.select(*kept).join(union, "doc_id")
+        union = union.withColumn("__r", F.aggregate(F.array_sort("__r"), F.array().cast("array<array<bigint>>"), step))
+        found = rows.select("__row", *kept).join(union, "__row")
     hit = F.aggregate("__r", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
     return found.select(
         *kept,
@@ -153,5 +159,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         F.size("__i").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("__i")), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.col("__s").alias("spans"),
+        (F.transform("__r", lambda x: F.slice(x, 3, 2)) if spans else F.array().cast("array<array<bigint>>")).alias("spans"),
     )

@@ -211,12 +211,12 @@ def _signing(width: int):
     return one
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """For each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach, itself included),
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs``: doc_id, the columns ``keep``, class_id (the smallest doc_id that links reach, itself included),
     copy_id (the smallest with the same shingles), n_links (other documents at or above the
     threshold) and kept (doc_id = class_id)."""
     docs = docs.drop(*_OUT)
-    signed = materialize(map_text(docs, text, ["doc_id"], _SIGNED, lambda: _signing(width)), "signed")
+    signed = materialize(map_text(docs, text, ["doc_id", *keep], _SIGNED, lambda: _signing(width)), "signed")
     classes = materialize(signed.where("n_sh > 0").groupBy("id", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     depth = depth_for(threshold, recall)
@@ -233,19 +233,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     named = lookup(named, lowest, ["component"], "m", total, ["id"], how="inner").select("id", "class_id")
     result = classes.select("id", "d2", "rep", "n").join(links, "id", "left").join(named, "id", "left")
     result = result.select("id", "d2", "n", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
-    per_doc = lookup(signed.select("doc_id", "id", "d2"), result, ["id", "d2"], "n", total, ["doc_id"])
+    per_doc = lookup(signed.select("doc_id", *keep, "id", "d2"), result, ["id", "d2"], "n", total, ["doc_id"])
     per_doc = per_doc.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", *keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     return per_doc.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are not the first of their class; columns unchanged.
-    Of rows that repeat a doc_id all stay or all go."""
-    out = near_duplicates(docs, **options)
-    gone = out.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    Rows are told apart by a number written with them: of rows with the same doc_id those of
+    the same class stay or go together, and a row without doc_id goes if its class has one."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows, keep=("__row",), **options).where("not kept").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def _links(docs: DataFrame, classes: DataFrame, threshold: float, depth: int, width: int, text: str) -> DataFrame:

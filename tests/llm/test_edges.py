@@ -109,6 +109,28 @@ def test_decontaminate(spark, odd):
     assert decontaminate.decontaminate(odd, empty(bench)).where("contaminated").count() == 0
 
 
+def test_decontaminate_rows_and_items_without_ids(spark):
+    import duckdb
+
+    from sylvan.llm.sql import OP10
+
+    a, b = " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(10))
+    docs = [(None, f"x {a} y"), (None, "all clean"), (7, f"{a} {b}"), (7, "clean, too"), (7, None), (8, f"{b}, c1 c2 c3"), (9, f"z {b} z {a}")]
+    items = [(1, a), (None, b), (None, "c1 c2 c3"), (2, a), (3, None)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    want = sorted(map(str, con.execute(OP10).fetchall()))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    spans = []
+    for size in (decontaminate.SHARD_BYTES, 5):
+        out = decontaminate.decontaminate(df, bench, shard_bytes=size).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in out) == want
+        spans.append(sorted((str(r.doc_id), r.text or "", r.spans, r["items"]) for r in out))
+    assert spans[0] == spans[1] and ("8", docs[5][1], [[0, len(docs[5][1])]], [None]) in spans[0]
+
+
 def test_decontaminate_offsets_in_code_points():
     made = decontaminate._automaton((("i", "été deux trois"),), 3)
     text = "Éé -- été, DEUX\ttrois! fin"
@@ -301,6 +323,13 @@ def test_ngram_join_edges(spark, odd):
     assert ngram_join.near_duplicates(empty(odd)).count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(5, x), (5, y), (3, y), (3, y), (None, y), (None, z), (None, None)]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (0, 2, 3, 5, 6)]))
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     """A bucket of many blocks gives the same as one block."""
     rows = [(k, " ".join(f"w{j}" for j in range(200)) + f" end{k}") for k in range(60)] + [(k, f"other text number {k} with words of its own {k * 7}") for k in range(100, 120)]
