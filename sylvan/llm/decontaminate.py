@@ -1,26 +1,30 @@
 """Benchmark decontamination by an Aho-Corasick automaton.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased: runs of 0-9, a-z
-and code points from 0x80. Texts become their words, each between single spaces, as UTF-8
-bytes; the patterns are the windows of ``window`` words of every item (an item of fewer words
-is one window) in the same form, so a match is a match of whole words. One pass of the
-automaton finds all occurrences, overlapping ones too; the byte offsets lead to word numbers
-and, for ``spans``, to code points of the original text.
-
-Patterns go to the executors with the task, so their size is measured first: items are cut
-into shards of about ``SHARD_BYTES`` characters, one automaton and one pass over the documents
-each, and the word ranges of several shards are united afterwards; more than ``MOST_BYTES``
-are refused. With several shards the documents are written once with a row number, by which
-the parts are joined. Null, empty and word-free texts or items have no words and no hits; items
-without item_id hit like others and count as one item together, a null at the end of ``items``;
-repeated rows are judged each for itself; an empty benchmark leaves every document clean.
-Input columns are carried along, same-named ones replaced.
+and code points from 0x80. The words of the benchmark are numbered and the automaton reads
+these numbers, one step a word: its patterns are the windows of ``window`` words of every item
+(an item of fewer words is one window), and a text becomes the numbers of its words, 0 for
+words that no item has. One pass finds all occurrences, overlapping ones too; word numbers
+lead to code points of the original text for ``spans``.
+
+An automaton goes to the executors with the task, so it is bounded: items are cut into pieces
+of ``PIECE`` windows, and pieces are dealt by hash into as many shards as it takes to have
+about ``NODES`` states in each (some 100 bytes a state). One shard is the usual case. With more
+there is one pass over the documents for each, shard after shard, and the word ranges are
+united by a row number that is written with the documents; the result is the same for any
+number of shards, and the driver holds one shard at a time.
+
+Null, empty and word-free texts or items have no words and no hits; items without item_id hit
+like others and count as one item together, a null at the end of ``items``; repeated rows are
+judged each for itself; an empty benchmark leaves every document clean. Input columns are
+carried along, same-named ones replaced.
 """
 
 from __future__ import annotations
 
 import functools
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,8 @@ from pyspark.sql import types as T
 from .common import materialize
 
 WINDOW = 10
-SHARD_BYTES, MOST_BYTES = 16 << 20, 1 << 30
+#: States of one automaton; windows of a piece of an item; passes whose hits are stored together.
+NODES, PIECE, PASSES = 1_500_000, 2_000, 8
 #: Bytes as they are compared: separators become spaces, A-Z become a-z.
 FOLD = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 _SEPARATOR = np.frombuffer(FOLD, np.uint8) == 32
@@ -41,25 +46,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def windows_of(words: list[bytes], n: int) -> set[bytes]:
-    return {b" %s " % b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def windows_of(words: list, n: int) -> set[tuple]:
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 @functools.lru_cache(maxsize=2)
 def _automaton(items: tuple[tuple[str | None, str], ...], n: int):
-    """Windows, as latin-1 strings of their bytes, with their number of words and items; once a worker and shard."""
+    """(numbers of words, automaton) over the windows, each with its length and items; once a worker and shard."""
     import ahocorasick
 
+    number: dict[bytes, int] = {}
     owners = defaultdict(set)
     for item, text in items:
-        for w in windows_of(words_of(text), n):
+        for w in windows_of([number.setdefault(w, len(number) + 1) for w in words_of(text)], n):
             owners[w].add(item)
-    made = ahocorasick.Automaton()
+    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    shared: dict[tuple, tuple] = {}  # windows of one item share one value
     for w, who in owners.items():
-        made.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, tuple(who)))
+        made.add_word(w, shared.setdefault((len(w), frozenset(who)), (len(w), tuple(who))))
     if owners:
         made.make_automaton()
-    return made if owners else None
+    return (number, made) if owners else None
 
 
 def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]:
@@ -67,19 +74,16 @@ def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]
     words = words_of(text)
     if not words or made is None:
         return len(words), [], set()
-    flat = b" %s " % b" ".join(words)
-    found = [(end - size + 1, n, who) for end, (size, n, who) in made.iter(flat.decode("latin-1"))]
-    if not found:
-        return len(words), [], set()
-    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-    starts = np.searchsorted(gaps, [f[0] for f in found])
+    number, automaton = made
     ranges: list[list[int]] = []
-    for a, b in sorted((int(s), int(s) + f[1]) for s, f in zip(starts, found)):
-        if ranges and a <= ranges[-1][1]:
-            ranges[-1][1] = max(b, ranges[-1][1])
-        else:
-            ranges.append([a, b])
-    return len(words), ranges, set().union(*(f[2] for f in found))
+    items: set[str | None] = set()
+    for end, (n, who) in automaton.iter(tuple(map(number.get, words, repeat(0)))):
+        items.update(who)
+        a = end - n + 1
+        while ranges and a <= ranges[-1][1]:  # ends only grow; a longer window may reach behind several ranges
+            a = min(a, ranges.pop()[0])
+        ranges.append([a, end + 1])
+    return len(words), ranges, items
 
 
 def char_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
@@ -91,27 +95,37 @@ def char_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
     return [[int(points[starts[a]]), int(points[ends[b - 1]])] for a, b in ranges]
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str | None, str]]]:
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total > MOST_BYTES:
-        raise ValueError(f"a benchmark of {total} characters is too large to hand to every task; give it in parts")
-    shards, size = [[]], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        if size and size + len(text) > shard_bytes:
-            shards.append([])
-            size = 0
-        shards[-1].append((item, text))
-        size += len(text)
-    return shards
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, text, nodes): items cut into pieces that together have the same windows."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for i in range(0, max(1, len(words) - window + 1) if words else 0, PIECE):
+                    part = words[i : i + PIECE + window - 1]
+                    out.append((item, b" ".join(part).decode("utf-8", "surrogatepass"), len(part) * window))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["item", "text", "nodes"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(cut, "item string, text string, nodes long")
+
+
+def _shards(benchmark: DataFrame, window: int, nodes: int) -> list[DataFrame]:
+    """(item, text) of each shard."""
+    pieces = materialize(_pieces(benchmark, window), "pieces")
+    n = max(1, -(-(pieces.agg(F.sum("nodes")).first()[0] or 0) // nodes))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return [pieces.where(F.col("shard") == k).select("item", "text") for k in range(n)]
 
 
 #: Number of words, hit ranges (first word, last word + 1, and their code points or zeros), items.
 _FOUND = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__r", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__i", T.ArrayType(T.StringType()))])
 
 
-def _scanned(docs: DataFrame, keep: list[str], items: list[tuple[str | None, str]], n: int, text: str, spans: bool) -> DataFrame:
-    """The columns ``keep`` with what one automaton finds in ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
+def _scanned(docs: DataFrame, keep: list[str], shard: DataFrame, n: int, text: str, spans: bool) -> DataFrame:
+    """The columns ``keep`` with what the automaton of one shard finds in ``text``."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple((r["item"], r["text"]) for r in shard.collect()))
     kinds = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
 
     def run(batches):
@@ -129,20 +143,24 @@ def _scanned(docs: DataFrame, keep: list[str], items: list[tuple[str | None, str
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *_FOUND.fields]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", shard_bytes: int = SHARD_BYTES, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", nodes: int = NODES, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep`` of it) with n_words, n_hit, items (ids), n_items,
     items_sha256, contaminated, and spans: the hit stretches of ``text`` in code points."""
     out = ["n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "spans"]
     kept = [c for c in (keep or docs.columns) if c not in out]
-    shards = _shards(benchmark, shard_bytes)
+    shards = _shards(benchmark, window, nodes)
     if len(shards) == 1:
         found = _scanned(docs, kept, shards[0], window, text, spans)
     else:
         rows = materialize(docs.select(*dict.fromkeys([*kept, text])).withColumn("__row", F.monotonically_increasing_id()), "rows")
-        parts = [_scanned(rows, ["__row"], s, window, text, spans) for s in shards]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
+        stored, some = [], []
+        for k, shard in enumerate(shards):
+            part = _scanned(rows, ["__row"], shard, window, text, spans)
+            some.append(part if k == 0 else part.where("size(__r) > 0"))  # the first also has the words of clean rows
+            if len(some) == PASSES or k == len(shards) - 1:
+                stored.append(materialize(functools.reduce(DataFrame.union, some), "hits"))
+                some = []
+        every = functools.reduce(DataFrame.union, stored)
         union = every.groupBy("__row").agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("__r")).alias("__r"), F.array_distinct(F.flatten(F.collect_list("__i"))).alias("__i"))
         last = lambda acc, k: F.try_element_at(acc, F.lit(-1))[k]
         longer = lambda acc, x: F.array(last(acc, 0), F.greatest(x[1], last(acc, 1)), last(acc, 2), F.greatest(x[3], last(acc, 3)))

@@ -95,7 +95,7 @@ def test_mixing_targets(spark, seed):
 def test_decontaminate(spark, odd):
     bench = spark.createDataFrame([(1, "Cat SAT, on the mat"), (2, None), (3, ""), (4, "nothing of it here at all"), (11, "sat on"), (11, "sat on")], "item_id long, text string")
     one = decontaminate.decontaminate(odd, bench).collect()
-    many = decontaminate.decontaminate(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), bench, shard_bytes=5).collect()
+    many = decontaminate.decontaminate(odd, bench, nodes=60).collect()
     for got in (one, many):
         r = {x.doc_id: x for x in got}
         assert (r[3].n_words, r[3].n_hit, r[3]["items"], r[3].contaminated) == (7, 5, ["1", "11"], True)
@@ -104,7 +104,7 @@ def test_decontaminate(spark, odd):
         for k in (1, 2, 5, 6, 7):
             assert r[k].n_hit == 0 and not r[k].contaminated and r[k].items_sha256 == hashlib.sha256(b"").hexdigest()
         assert r[1].n_words == 0 and r[6].n_words == 220_000
-    assert len(one) == len(ROWS)
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == len(ROWS)
     assert decontaminate.decontaminate(empty(odd), bench).count() == 0
     assert decontaminate.decontaminate(odd, empty(bench)).where("contaminated").count() == 0
 
@@ -124,13 +124,38 @@ def test_decontaminate_rows_and_items_without_ids(spark):
     want = sorted(map(str, con.execute(OP10).fetchall()))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     spans = []
-    for size in (decontaminate.SHARD_BYTES, 5):
-        out = decontaminate.decontaminate(df, bench, shard_bytes=size).collect()
+    for size in (decontaminate.NODES, 150):
+        out = decontaminate.decontaminate(df, bench, nodes=size).collect()
         assert sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in out) == want
         spans.append(sorted((str(r.doc_id), r.text or "", r.spans, r["items"]) for r in out))
     assert spans[0] == spans[1] and ("8", docs[5][1], [[0, len(docs[5][1])]], [None]) in spans[0]
 
 
+def test_decontaminate_long_items_in_pieces(spark, monkeypatch):
+    """An item cut into pieces hits like the whole one; hits that meet are one span."""
+    words = [f"w{k % 37}x{k % 11}" for k in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *words[20:90], "b", *words[5:14], "c", *words[200:]])), (2, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    whole = decontaminate.decontaminate(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    assert sorted(map(str, whole)) == sorted(map(str, decontaminate.decontaminate(docs, bench, nodes=500).collect()))
+    assert {r.doc_id: (r.n_hit, len(r.spans)) for r in whole} == {1: (170, 2), 2: (0, 0)}
+
+
+def test_decontaminate_memory_of_a_state():
+    import os
+
+    import ahocorasick
+
+    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    rss = lambda: int(open(f"/proc/{os.getpid()}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    before = rss()
+    for k in range(30_000):
+        made.add_word(tuple(range(k, k + 10)), (10, (1,)))
+    made.make_automaton()
+    assert rss() - before < 250 * made.get_stats()["nodes_count"]
+
+
 def test_decontaminate_offsets_in_code_points():
     made = decontaminate._automaton((("i", "été deux trois"),), 3)
     text = "Éé -- été, DEUX\ttrois! fin"
