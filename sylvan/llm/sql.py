@@ -30,7 +30,7 @@ from k group by r
 
 OP9 = r"""
 with z as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as rid from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(text, '')) as digest, row_number() over () as rid from documents),
 s0 as (
   select source, sum(size)::bigint as source_size from z group by source),
 s1 as (
@@ -46,33 +46,36 @@ s4 as (
 s5 as (
   select *, least(cap, lv * w) as target from s4),
 src as (
-  select source, source_size, target, coalesce(sum(target) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0) as before from s5),
+  select source, source_size, target, coalesce(sum(target) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
+    row_number() over (order by source nulls last) as number, count(*) over () as sources from s5),
 tot as (select sum(target) as words from src),
 t as (
   select z.*, p.turn, src.source_size, src.target,
-    p.turn * src.source_size + coalesce(sum(size) over (partition by z.source, p.turn order by md5(p.turn || '|' || coalesce(z.doc_id::varchar, '')), z.doc_id, rid rows between unbounded preceding and 1 preceding), 0) as lo
+    p.turn * src.source_size + coalesce(sum(size) over (partition by z.source, p.turn order by md5(p.turn || '|' || coalesce(z.doc_id::varchar, '') || '|' || digest), z.doc_id, rid rows between unbounded preceding and 1 preceding), 0) as lo
   from z join src on z.source is not distinct from src.source, (select unnest([0, 1]) as turn) p where size > 0),
 pieces as (
   select rid, source, lo::bigint as lo, least(lo + size, floor(target))::bigint as hi from t where lo < floor(target)),
 blocks as (
-  select rid, source, rank, least(hi, (rank + 1) * 64) - greatest(lo, rank * 64) as n
-  from (select *, unnest(range(lo // 64, (hi - 1) // 64 + 1)) as rank from pieces)),
+  select rid, source, rank, least(hi, (rank + 1) * 256) - greatest(lo, rank * 256) as n
+  from (select *, unnest(range(lo // 256, (hi - 1) // 256 + 1)) as rank from pieces)),
 points as (
-  select i as slot, i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double) as u
-  from range((select ceil(words / 64)::bigint from tot)) x(i)),
+  select slot, x - floor(x) as u from (
+    select i as slot, i % 1048576 * 0.6180339887498949::double + (i // 1048576) * 0.607787409740351::double as x
+    from range((select ceil(words / 256)::bigint from tot)) r(i))),
 hit as (
-  select src.source, ceil(target / 64) as need, row_number() over (partition by src.source order by slot) - 1 as rank
+  select src.source, slot, ceil(floor(target) / 256) as need, row_number() over (partition by src.source order by slot) - 1 as rank
   from points, src, tot where target > 0 and u >= before / words and u < (before + target) / words),
 got as (
   select source, count(*) as got from hit group by source),
 slots as (
-  select source, rank from hit where rank < need
+  select source, rank, slot from hit where rank < need
   union all
-  select source, unnest(range(got, need)) as rank
-  from (select src.source, coalesce(got, 0) as got, ceil(target / 64)::bigint as need from src left join got on src.source is not distinct from got.source where target > 0)),
+  select source, rank, (select ceil(words / 256)::bigint from tot) + (rank - got) * sources + number - 1 as slot
+  from (select *, unnest(range(got, need)) as rank
+  from (select src.source, number, sources, coalesce(got, 0) as got, ceil(floor(target) / 256)::bigint as need from src left join got on src.source is not distinct from got.source where target > 0))),
 taken as (
-  select rid, sum(n) as taken from blocks join slots on blocks.source is not distinct from slots.source and blocks.rank = slots.rank group by rid)
-select doc_id, size, src.source_size, src.target, coalesce(taken, 0)::bigint as taken
+  select rid, sum(n) as taken, count(*) as n_pieces, min(slot) as first_slot from blocks join slots on blocks.source is not distinct from slots.source and blocks.rank = slots.rank group by rid)
+select doc_id, size, src.source_size, src.target, coalesce(taken, 0)::bigint as taken, coalesce(n_pieces, 0)::bigint as n_pieces, first_slot
 from z join src on z.source is not distinct from src.source left join taken using (rid)
 """
 

@@ -92,6 +92,32 @@ def test_mixing_targets(spark, seed):
         assert sum(r.taken for r in got if r.source == s) == pytest.approx(want[s], abs=1)
 
 
+def test_mixing_follows_its_schedule(spark, docs, monkeypatch):
+    """Up to every slot each source has its share but for a few blocks; another sequence is another mix."""
+    block = 64
+    out = mixing.schedule_mix(docs, block=block).toPandas()
+    per_doc = {r.doc_id: r for r in mixing.mix(docs, block=block).collect()}
+    assert {i: (g["n"].sum(), len(g), g["slot"].min()) for i, g in out.groupby("doc_id")} == {i: (r.taken, r.n_pieces, r.first_slot) for i, r in per_doc.items() if r.taken}
+    target = {r.source: r.target for r in per_doc.values()}
+    words, slots = out.pivot_table(index="slot", columns="source", values="n", aggfunc="sum").fillna(0), sum(target.values()) / block
+    assert (words.sum(axis=1) <= block).all() and (out.groupby("slot")["source"].nunique() == 1).all()
+    seen = words.cumsum()
+    for s, t in target.items():
+        assert (abs(seen[s] - t * ((seen.index.to_series() + 1) / slots).clip(upper=1)) <= 4 * block).all()
+    for (i, turn), g in out.sort_values("start").groupby(["doc_id", "turn"]):  # pieces of a pass follow each other
+        assert g["start"].iloc[0] == 0 and (g["start"] + g["n"]).iloc[:-1].tolist() == g["start"].iloc[1:].tolist()
+    monkeypatch.setattr(mixing, "PHI", 0.1234567)
+    other = {r.doc_id: r.first_slot for r in mixing.mix(docs, block=block).collect()}
+    assert sum(other[i] != per_doc[i].first_slot for i in other) > len(other) / 2
+
+
+def test_mixing_reruns_agree_on_ties(spark):
+    rows = [(None, f"text {k % 7} " * (k % 5 + 1), "s") for k in range(60)] + [(5, f"word {k} of", "s") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted(map(str, mixing.mix(d, block=3).collect())) for d in (df, df.orderBy("text").repartition(7)))
+    assert first == again
+
+
 def test_decontaminate(spark, odd):
     bench = spark.createDataFrame([(1, "Cat SAT, on the mat"), (2, None), (3, ""), (4, "nothing of it here at all"), (11, "sat on"), (11, "sat on")], "item_id long, text string")
     one = decontaminate.decontaminate(odd, bench).collect()

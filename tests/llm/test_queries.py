@@ -65,4 +65,4 @@ def test_pipeline(spark, docs, small):
 
 
 def test_run_gives_the_last_stage(spark, small):
-    assert corpus_pipeline.run(spark, small).columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert corpus_pipeline.run(spark, small).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "n_pieces", "first_slot"]
