@@ -48,26 +48,18 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int,
     """Join ``left`` with ``right``, whose rows are unique in ``on``, however skewed ``left`` is.
 
     ``right[n]`` holds how many rows of ``left`` a key has (at least roughly) and ``total``
-    their sum. Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, which bounds
-    what is broadcast; the rest is an ordinary shuffle join in which no key is large. Rows of
-    ``left`` that found a hot key are spread over the shuffle by a salt from ``spread``.
-    Columns of ``right`` other than ``on`` must not occur in ``left``.
+    their sum. Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, and only they
+    and their numbers of parts are broadcast: rows of ``left`` with such a key are dealt by a
+    salt from ``spread`` to parts of about total / HOT_KEYS rows, and the key's row in ``right``
+    goes to each of its parts, which adds HOT_KEYS rows at most. Columns of ``right`` other than
+    ``on`` must not occur in ``left``.
     """
-    # the salt of the cold keys is 0, but not a literal: that would be folded out of the join's keys
-    vals = [c for c in right.columns if c not in on]
     limit = max(total // HOT_KEYS, 1)
-    hot = right.where(F.col(n) > limit).select(*on, *(F.col(v).alias(f"__hot_{v}") for v in vals), F.lit(True).alias("__hot"))
-    cold = right.where(F.col(n) <= limit).withColumn("__salt", F.pmod(F.col(n), F.lit(1)).cast("int"))
-    out = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(65536)).cast("int")).otherwise(0))
-        .join(cold, [*on, "__salt"], "left")
-    )
-    for v in vals:
-        out = out.withColumn(v, F.coalesce(f"__hot_{v}", v))
-    if how == "inner":
-        out = out.where(F.col(n).isNotNull())
-    return out.drop("__salt", "__hot", *(f"__hot_{v}" for v in vals))
+    right = right.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col(n) / limit)).cast("int"))
+    hot = right.where("__parts > 1").select(*on, F.col("__parts").alias("__hot"))
+    left = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__hot", F.lit(1))).cast("int")).drop("__hot")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) -> DataFrame:
@@ -110,21 +102,25 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) ->
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def bucket_blocks(members: DataFrame, label: str, block: int, row_id: str = "id") -> DataFrame:
+def bucket_blocks(members: DataFrame, label: str, block: int, row_id: str = "id", weight: str | None = None, heaviest: int = 0) -> DataFrame:
     """Pairs of blocks that together compare all rows of each (table, key) bucket.
 
     Buckets of one row go. A bucket of n rows is cut by a hash of ``row_id`` into
-    ceil(n / block) blocks, and every row is sent once to each pair of blocks (bi <= bj) that
-    holds its own block ``b``: no task ever gets more than about two blocks of a bucket, and
-    every pair of rows meets in exactly one pair of blocks.
+    ceil(n / block) blocks, or more if the column ``weight`` would come to more than ``heaviest``
+    in one, and every row is sent once to each pair of blocks (bi <= bj) that holds its own
+    block ``b``: no task ever gets more than about two blocks of a bucket, and every pair of
+    rows meets in exactly one pair of blocks.
     """
-    counts = materialize(members.groupBy("table", "key").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), label)
+    load = F.sum(weight) if weight else F.lit(0)
+    counts = materialize(members.groupBy("table", "key").agg(F.count("*").alias("n_rows"), load.alias("__load")).where("n_rows > 1"), label)
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
     found = lookup(members, counts, ["table", "key"], "n_rows", total, [row_id, "table"], how="inner")
     blocks = F.ceil(F.col("n_rows") / block)
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.col("__load") / heaviest))
     found = found.withColumn("b", F.pmod(F.xxhash64(row_id, F.lit(17)), blocks).cast("int"))
     found = found.withColumn("__o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    return found.withColumns({"bi": F.least("b", "__o"), "bj": F.greatest("b", "__o")}).drop("__o", "n_rows")
+    return found.withColumns({"bi": F.least("b", "__o"), "bj": F.greatest("b", "__o")}).drop("__o", "n_rows", "__load")
 
 
 def groups_of(*columns):

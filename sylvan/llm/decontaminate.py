@@ -37,6 +37,7 @@ from .common import materialize
 WINDOW = 10
 #: States of one automaton; windows of a piece of an item; passes whose hits are stored together.
 NODES, PIECE, PASSES = 1_500_000, 2_000, 8
+ADDED = ("n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "spans")
 #: Bytes as they are compared: separators become spaces, A-Z become a-z.
 FOLD = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 _SEPARATOR = np.frombuffer(FOLD, np.uint8) == 32
@@ -146,8 +147,7 @@ def _scanned(docs: DataFrame, keep: list[str], shard: DataFrame, n: int, text: s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", nodes: int = NODES, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep`` of it) with n_words, n_hit, items (ids), n_items,
     items_sha256, contaminated, and spans: the hit stretches of ``text`` in code points."""
-    out = ["n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "spans"]
-    kept = [c for c in (keep or docs.columns) if c not in out]
+    kept = [c for c in (keep or docs.columns) if c not in ADDED]
     shards = _shards(benchmark, window, nodes)
     if len(shards) == 1:
         found = _scanned(docs, kept, shards[0], window, text, spans)

@@ -7,9 +7,12 @@ The prediction is the language with the largest proportion in the chosen set and
 is that proportion.
 
 N-gram models come from the labelled rows the caller gives. ``MAX_TRAIN`` bounds them: about as
-many whole documents a language, chosen by hash. Texts that are null or hold no letter are
-``und`` with score 0, as is everything if nothing was learned from. Rows that repeat are
-predicted alike; an empty table gives an empty table; very long texts are read whole.
+many whole documents a language, each row chosen by a hash of its place. A model takes 4 bytes a
+bucket; languages are a small closed set, and more than MODEL_BYTES hold are refused. Texts that
+are null or hold no letter (Unicode category L) are ``und`` with score 0, as is everything if
+nothing was learned from. Of equal proportions the language first in code-point order counts
+as larger. Rows that repeat are predicted alike; an empty table gives an empty table; very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ from pyspark.sql import types as T
 from .common import map_text
 
 #: Documents learned from for each language; hash buckets of n-grams; bytes of all models together.
-MAX_TRAIN, BUCKETS, MODEL_BYTES = 2000, 1 << 16, 64 << 20
+MAX_TRAIN, BUCKETS, MODEL_BYTES = 2000, 1 << 16, 128 << 20
 PENALTY, ROUNDS, SETTLED = 8.0, 40, 1e-4
 ORDERS = (2, 3)
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str) -> bool:
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def grams(text: str, buckets: int) -> np.ndarray:
     """Bucket of every n-gram of the lower-cased text; runs of other than letters are one space."""
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -87,25 +94,24 @@ def infer(text: str, logs: np.ndarray) -> tuple[list[int], list[float]]:
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by bucket) from rows with a text and a label."""
     labelled = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    most = MODEL_BYTES // (4 * BUCKETS)
+    counts = labelled.groupBy("lang").count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} labels are too many for models of {MODEL_BYTES} bytes")
+    sizes = {r["lang"]: r["count"] for r in counts}
+    langs, buckets = sorted(sizes), BUCKETS
     if not langs:
         return [], np.empty((0, 1))
-    buckets = BUCKETS
-    while buckets > 256 and 4 * buckets * len(langs) > MODEL_BYTES:
-        buckets //= 2
-    if 4 * buckets * len(langs) > MODEL_BYTES:
-        raise ValueError(f"{len(langs)} labels are too many for models of {MODEL_BYTES} bytes")
     number = {x: i for i, x in enumerate(langs)}
     scale = 1 << 30
     limits = F.create_map(*[F.lit(v) for x in langs for v in (x, int(min(1.0, max_train / sizes[x]) * scale))])
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < limits[F.col("lang")])
+    picked = labelled.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(scale)) < limits[F.col("lang")])
 
     def count(frames):
         total = np.zeros((len(langs), buckets), np.int64)
         for f in frames:
             for t, lang in zip(f["text"], f["lang"]):
-                if _LETTER.search(t):
+                if has_letter(t):
                     total[number[lang]] += np.bincount(grams(t, buckets), minlength=buckets)
         i, j = np.nonzero(total)
         yield pd.DataFrame({"i": i, "j": j, "n": total[i, j]})
@@ -128,7 +134,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         langs, logs = shared.value
 
         def one(t):
-            if not t or not langs or not _LETTER.search(t):
+            if not t or not langs or not has_letter(t):
                 return UND, 0.0, [], []
             who, shares = infer(t, logs)
             return langs[who[0]], min(1.0, shares[0]), [langs[w] for w in who], shares

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import SPACES, hash_pair, lookup, lower_ascii, materialize
 
 MIN_DOCS, MIN_CHARS = 10, 1
-_OUT = ["n_lines", "n_dropped"]
+ADDED = ("n_lines", "n_dropped")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, and n_lines (before dropping) and n_dropped."""
-    docs = docs.drop(*_OUT)
+    docs = docs.drop(*ADDED)
     ident = [c for c in docs.columns if c == "doc_id"]
     key = F.xxhash64(F.coalesce(text, F.lit(""))), F.xxhash64(F.lit(0x5EED), F.coalesce(text, F.lit("")), *ident)
     own = docs.withColumns({"__t1": key[0], "__t2": key[1], "__lines": F.split(F.coalesce(text, F.lit("")), "\n", -1)})
@@ -48,5 +48,5 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
         .withColumn("__lines", F.split(F.coalesce(text, F.lit("")), "\n", -1))
         .withColumns({"n_lines": n.cast("long"), "n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"), text: kept})
         .drop("__t1", "__t2", "__lines", "__drop")
-        .select(*docs.columns, *_OUT)
+        .select(*docs.columns, *ADDED)
     )

@@ -319,6 +319,32 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(empty(df)).count() == 0
 
 
+def test_embeddings_of_several_lengths_and_odd_ids(spark):
+    rows = [(1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 2.1])] + [(k, [1.0, 0.1 * k, 0.0]) for k in range(10, 14)] + [(20, [0.0, 0.0, 1.0]), (21, [5.0])]
+    rows += [(None, [0.0, 1.0]), (None, [0.0, 1.0]), (30, [1e300, 0.0, 0.0, 1.0]), (31, [1e300, 1e290, 0.0, 0.0]), (40, [1.0, -1.0]), (40, [1.0, -1.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    import numpy as np
+
+    for i, v in rows:
+        if i is not None:
+            like = [j for j, (k, w) in enumerate(rows) if len(w) == len(v) and np.dot(np.array(v) / max(v, key=abs), np.array(w) / max(w, key=abs)) >= 0.95 * np.linalg.norm(np.array(v) / max(v, key=abs)) * np.linalg.norm(np.array(w) / max(w, key=abs)) and v[0] * w[0] >= 0]
+            assert {n for n, _, _ in by[i]} == {len(like) - 1}, i
+    assert by[3] == [(2, 1, False)] and by[31] == [(1, 30, False)] and by[None] == [(1, None, True)] * 2 and by[40] == [(1, 40, True)] * 2 and by[21] == [(0, 21, True)]
+
+
+def test_rotation_reaches_the_recall(monkeypatch):
+    """Few tables: substrings are shortened instead of missing the recall."""
+    import numpy as np
+
+    monkeypatch.setattr(embed_dedup, "MOST_TABLES", 16)
+    x = np.random.default_rng(1).standard_normal((500, 16))
+    p, cut, width = embed_dedup.plan(x / np.linalg.norm(x, axis=1, keepdims=True), 1 << 24, 0.95, 0.97)
+    assert width < 20 and p.shape[1] == len(cut) <= 16 * width
+
+
 def test_embedding_recall(spark, small):
     import numpy as np
 
