@@ -11,7 +11,8 @@ All but the last return the columns of ``documents``:
 * ``decontaminate`` drops documents with a passage of a benchmark item;
 * ``mix`` returns doc_id, source, size, source_size, target and taken for what is left.
 
-Null or empty texts are ``und`` and go in the first stage; a null doc_id is never learned from and is
+The columns that an operator adds never meet those of ``docs``: a column that has such a name is
+put aside before and comes back as it was. Null or empty texts are ``und`` and go in the first stage; a null doc_id is never learned from and is
 never a near-duplicate of itself; an empty table stays empty.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm import decontaminate as contamination
@@ -30,24 +31,33 @@ from sylvan.plans.ground import shared_dir
 MIN_SHARE = 0.4
 
 
+def _aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with the columns named like ``taken`` renamed, and the expressions that undo it."""
+    names = {c: f"__aside_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(~langid.held_out()))
+    docs, back = _aside(docs, *langid.FIELDS.names)
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SHARE)).select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs).select(*docs.columns)
+    docs, back = _aside(docs, *line_dedup.ADDED)
+    out = line_dedup.line_dedup(docs).select(*back)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs).select(*docs.columns)
+    return ngram_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, back = _aside(docs, *contamination.ADDED)
     found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), spans=False)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return found.where(~F.col("contaminated")).select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
