@@ -5,12 +5,15 @@ Words are those of ``decontaminate.words_of``; a document's set holds its shingl
 words). Documents of equal sets form one class, known by a 128-bit digest; only classes
 are joined, so copies cost nothing and are never expanded into pairs.
 
-The forest has ``TREES`` tries over signatures of ``DEPTH`` minima. Two classes are candidates
-if some tree holds them under one prefix of length ``depth``. The prefixes start at full
-length and are shortened until a pair of similarity exactly ``threshold`` would be found with
-probability ``recall``. After verification the recall is estimated from the similarities that
-were found (each found pair stands for 1 / p pairs); below the target, prefixes are shortened
-further and the join is done again.
+The forest has ``TREES`` tries; in each, a class stands under its label of ``DEPTH`` minima, and
+a node is the run of classes that share a prefix in sorted order. Two classes are candidates
+where they meet in a node. Prefixes start at full length, where a pair at exactly
+``threshold`` is found too seldom, and each class shortens them by one level at a time, in the
+trees where the node above is smallest first, until such a pair is found with probability
+``recall``; trees in which a class is alone at the shortest length cost nothing and are taken at
+that length. A node is cut at the shortest prefix that one of its classes asks for, so both
+classes of a pair see the same nodes and each has the recall it asked for. The shortest length
+is the one that reaches the recall in all trees alike.
 
 Buckets are compared in pairs of blocks (``bucket_blocks``), first with one byte a minimum:
 a pair goes on if it has not met in an earlier tree, its sizes allow the threshold, and
@@ -19,16 +22,16 @@ take their text to the second comparison, where intersections are counted exactl
 shingle hashes. A task returns one row per class and block: rows linked and one edge of
 the block's spanning stars. Components come from those edges.
 
-Null, empty and word-free texts link with nothing. Every row is a document; rows that
-share a doc_id each count, and if their texts differ, all their classes are found
-as long as doc_id is not null (a null doc_id that is the smallest of its class
-leaves that class without links to others). An empty table gives an empty table. Other input
-columns are not carried along by ``near_duplicates``; ``keep_one`` returns all of them.
+Null, empty and word-free texts link with nothing. Every row is a document; rows that share a
+doc_id each count, and so do rows without one: texts are fetched by doc_id and two hashes of
+the text, once a class. A class is named by its smallest doc_id, null if none of its documents has one.
+An empty table gives an empty table. Other input columns are not carried along by
+``near_duplicates``; ``keep_one`` returns all of them.
 """
 
 from __future__ import annotations
 
-from math import sqrt
+from math import log1p, sqrt
 
 import numpy as np
 import pandas as pd
@@ -41,10 +44,9 @@ from .common import bucket_blocks, connected_components, groups_of, local_labels
 from .decontaminate import words_of
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
-TREES, DEPTH = 16, 6
-#: Rows of a block; rows of a first-comparison task; shingles of a second one; standard deviations.
-BLOCK, SHARD_ROWS, SHARD_SHINGLES, SLACK = 512, 20_000, 1_500_000, 5.0
-_OUT = ["class_id", "copy_id", "n_links", "kept"]
+TREES, DEPTH = 24, 6
+#: Rows and shingles of a block; rows of a first-comparison task; shingles of a second one; standard deviations.
+BLOCK, HEAVIEST, SHARD_ROWS, SHARD_SHINGLES, SLACK = 1024, 1_000_000, 20_000, 1_500_000, 5.0
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,27 +70,22 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def _params(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(2014)
-    return rng.integers(1, 2**63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, size=n, dtype=np.uint64)
+    draw = lambda: rng.integers(0, 2**32, size=(n, 1), dtype=np.uint32)
+    return draw() | np.uint32(1), draw()
 
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The minimum of each of len(a) hash functions, 32 bits."""
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):  # a bounded piece of a long document at a time
-        piece = s[at : at + 2048]
-        for k in range(len(a)):
-            x = piece * a[k] + b[k]
-            low[k] = min(low[k], x.min())
-    return (low >> np.uint64(32)).astype(np.uint32)
+    low, x = np.full(len(a), np.iinfo(np.uint32).max, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 256):  # a bounded piece of a long document at a time
+        np.minimum(low, (x[None, at : at + 256] * a + b).min(axis=1), out=low)
+    return low
 
 
-def expected(similarity, depth: int, trees: int = TREES):
-    """Probability that a pair of this similarity shares a prefix of ``depth`` in some tree."""
-    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
-
-
-def depth_for(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    while depth > 1 and expected(threshold, depth, trees) < recall:
+def depth_for(threshold: float, recall: float, trees: int = 0, depth: int = 0) -> int:
+    """The longest prefix at which all trees together find a pair at ``threshold`` with probability ``recall``."""
+    trees, depth = trees or TREES, depth or DEPTH
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
@@ -103,6 +100,21 @@ def prefix_keys(sigs: np.ndarray, depth: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def wanted_depths(sizes: list[int], threshold: float, recall: float, base: int) -> list[int]:
+    """The prefix length that a class asks for in each of the trees where it has company, given the
+    numbers of classes under its prefixes of length ``base`` there; elsewhere it is alone."""
+    miss = [log1p(-min(threshold**d, 1 - 1e-12)) for d in range(DEPTH + 1)]
+    depths, goal = [DEPTH] * len(sizes), log1p(-recall)
+    total = (TREES - len(sizes)) * miss[base] + len(sizes) * miss[DEPTH]
+    for level in range(DEPTH - 1, base - 1, -1):
+        for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
+            if total <= goal:
+                return depths
+            total += miss[level] - miss[level + 1]
+            depths[k] = level
+    return depths
+
+
 def first_comparison(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """The rows that have a pair to verify."""
     sig = np.frombuffer(b"".join(pdf["bytes"]), np.uint8).reshape(len(pdf), -1)
@@ -147,8 +159,8 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np
     return total
 
 
-def second_comparison(pdf: pd.DataFrame, threshold: float, depth: int, width: int) -> pd.DataFrame:
-    """(id, links, pairs, stands, label): exact links of the classes in these block pairs."""
+def second_comparison(pdf: pd.DataFrame, threshold: float, width: int) -> pd.DataFrame:
+    """(id, links, label): exact links of the classes in these block pairs."""
     made: dict[int, np.ndarray] = {}
     for i, text in zip(pdf["id"], pdf["text"]):
         if i not in made:
@@ -157,7 +169,7 @@ def second_comparison(pdf: pd.DataFrame, threshold: float, depth: int, width: in
                 made[i] = s
     pdf = pdf[pdf["id"].isin(made.keys())].drop_duplicates(["table", "key", "bi", "bj", "id"]).reset_index(drop=True)
     if not len(pdf):
-        return pd.DataFrame({"id": [], "links": [], "pairs": [], "stands": [], "label": []})
+        return pd.DataFrame({"id": [], "links": [], "label": []})
     keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
     table, b, bi, bj, n, ids = (pdf[c].to_numpy() for c in ("table", "b", "bi", "bj", "n", "id"))
     order, starts, ends = groups_of(table, pdf["key"].to_numpy(), bi, bj)
@@ -176,22 +188,20 @@ def second_comparison(pdf: pd.DataFrame, threshold: float, depth: int, width: in
         i, j = np.nonzero(jac >= threshold - 1e-12)
         if one:
             i, j = i[i < j], j[i < j]
-        jac, i, j = jac[i, j], left[i], right[j]
+        i, j = left[i], right[j]
         fresh = np.argmax(keys[i] == keys[j], axis=1) == t
-        i, j, jac = i[fresh], j[fresh], jac[fresh]
+        i, j = i[fresh], j[fresh]
         if not len(i):
             continue
         place = np.zeros(len(pdf), np.int64)
         place[rows] = np.arange(len(rows))
-        links, pairs, stands = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows))
-        for x, y in ((i, j), (j, i)):
-            np.add.at(links, place[x], n[y])
-            np.add.at(pairs, place[x], 0.5)
-            np.add.at(stands, place[x], 0.5 / expected(jac, depth))
+        links = np.zeros(len(rows), np.int64)
+        np.add.at(links, place[i], n[j])
+        np.add.at(links, place[j], n[i])
         label = local_labels(len(rows), place[i], place[j])
         got = np.flatnonzero(links)
-        out.append(pd.DataFrame({"id": ids[rows[got]], "links": links[got], "pairs": pairs[got], "stands": stands[got], "label": ids[rows[label[got]]]}))
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "links": [], "pairs": [], "stands": [], "label": []})
+        out.append(pd.DataFrame({"id": ids[rows[got]], "links": links[got], "label": ids[rows[label[got]]]}))
+    return pd.concat(out) if out else pd.DataFrame({"id": [], "links": [], "label": []})
 
 
 _SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n_sh", T.LongType()), T.StructField("sig", T.BinaryType())])
@@ -211,67 +221,115 @@ def _signing(width: int):
     return one
 
 
+def _hashes(text: str):
+    """Two hashes of the text, by which it is found again."""
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(0x5EED), text)}
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """For each row of ``docs``: doc_id, the columns ``keep``, class_id (the smallest doc_id that links reach, itself included),
     copy_id (the smallest with the same shingles), n_links (other documents at or above the
     threshold) and kept (doc_id = class_id)."""
-    docs = docs.drop(*_OUT)
-    signed = materialize(map_text(docs, text, ["doc_id", *keep], _SIGNED, lambda: _signing(width)), "signed")
-    classes = materialize(signed.where("n_sh > 0").groupBy("id", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")), "classes")
+    return _groups(docs, threshold, recall, width, text, keep).drop("__group").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, text: str = "text") -> DataFrame:
+    """``docs`` without the documents that are not the first of their class; columns unchanged.
+    Rows are told apart by a number written with them: of rows with the same doc_id those of
+    the same class stay or go together, a row without doc_id goes if its class has one, and of a
+    class without any the first row stays."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = materialize(_groups(rows, threshold, recall, width, text, ("__row",)).select("__row", "doc_id", "class_id", "__group"), "groups")
+    nameless = found.where("class_id is null and __group is not null")
+    first = nameless.groupBy("__group").agg(F.min("__row").alias("__row")).select("__row")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("__row").union(nameless.select("__row").join(first, "__row", "left_anti"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+
+
+def _groups(docs: DataFrame, threshold: float, recall: float, width: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, ``keep``, class_id, copy_id, n_links and __group, which is the class and null without words."""
+    docs = docs.select("doc_id", *keep, F.col(text).alias("text"))
+    signed = map_text(docs.withColumns(_hashes("text")), "text", ["doc_id", *keep, "h1", "h2"], _SIGNED, lambda: _signing(width))
+    signed = materialize(signed, "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h1", "h2")).alias("first")
+    classes = signed.where("n_sh > 0").groupBy("id", "d2").agg(first, F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select("id", "d2", F.col("first.doc_id").alias("rep"), "first.h1", "first.h2", "n", "n_sh", "sig"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    depth = depth_for(threshold, recall)
-    while True:
-        found = _links(docs, classes, threshold, depth, width, text)
-        seen = found.agg(F.sum("pairs").alias("pairs"), F.sum("stands").alias("stands")).first()
-        if depth == 1 or not seen["pairs"] or seen["pairs"] / seen["stands"] >= recall:
-            break
-        depth -= 1
+    found = _links(docs, classes, threshold, recall, width)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     near = connected_components(found.select(F.col("id").alias("a"), F.col("label").alias("b")), "stars")
     named = near.join(classes.select("id", "rep"), "id")
     lowest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
-    named = lookup(named, lowest, ["component"], "m", total, ["id"], how="inner").select("id", "class_id")
+    named = lookup(named, lowest, ["component"], "m", total, ["id"], how="inner").select("id", "class_id", "component")
     result = classes.select("id", "d2", "rep", "n").join(links, "id", "left").join(named, "id", "left")
-    result = result.select("id", "d2", "n", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
-    per_doc = lookup(signed.select("doc_id", *keep, "id", "d2"), result, ["id", "d2"], "n", total, ["doc_id"])
-    per_doc = per_doc.select(
-        "doc_id", *keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    result = result.select(
+        "id", "d2", "n", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("component", "id").alias("__group")
+    )
+    per_doc = lookup(signed.select("doc_id", *keep, "id", "d2"), result, ["id", "d2"], "n", total, ["doc_id", *keep])
+    return per_doc.select(
+        "doc_id", *keep, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "__group"
     )
-    return per_doc.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not the first of their class; columns unchanged.
-    Rows are told apart by a number written with them: of rows with the same doc_id those of
-    the same class stay or go together, and a row without doc_id goes if its class has one."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    gone = near_duplicates(rows, keep=("__row",), **options).where("not kept").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+def _forest(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """id, n, n_sh, rep, h1, h2, bytes (of the signature), keys (of each tree's node, the class' own id
+    where it is alone) and tables (the trees where it is not)."""
+    base = depth_for(threshold, recall)
 
+    @F.pandas_udf("array<bigint>")
+    def shortest(sig: pd.Series) -> pd.Series:
+        return pd.Series(list(prefix_keys(np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1), base)))
 
-def _links(docs: DataFrame, classes: DataFrame, threshold: float, depth: int, width: int, text: str) -> DataFrame:
-    """(id, links, pairs, stands, label) rows of every block with links, at this prefix length."""
+    @F.pandas_udf("array<int>")
+    def asked(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: wanted_depths(list(x), threshold, recall, base))
 
-    @F.pandas_udf("keys binary, bytes binary")
-    def forest(sig: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("binary")
+    def cut(ids: pd.Series, sig: pd.Series, tables: pd.Series, depths: pd.Series) -> pd.Series:
         sigs = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
-        return pd.DataFrame({"keys": [k.tobytes() for k in prefix_keys(sigs, depth)], "bytes": [x.tobytes() for x in sigs.astype(np.uint8)]})
+        every = np.stack([prefix_keys(sigs, d) for d in range(base, DEPTH + 1)])
+        out = np.repeat(ids.to_numpy(np.int64)[:, None], TREES, axis=1)
+        for k, (t, d) in enumerate(zip(tables, depths)):
+            out[k, t] = every[np.asarray(d) - base, k, t]
+        return pd.Series([x.tobytes() for x in out])
+
+    @F.pandas_udf("binary")
+    def low_bytes(sig: pd.Series) -> pd.Series:
+        return sig.map(lambda x: np.frombuffer(x, np.uint32).astype(np.uint8).tobytes())
+
+    members = materialize(classes.select("id", F.posexplode(shortest("sig")).alias("table", "key")), "members")
+    sizes = materialize(members.groupBy("table", "key").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "sizes")
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    met = lookup(members, sizes, ["table", "key"], "n_rows", total, ["id", "table"], how="inner")
+    nodes = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table", "key", "n_rows"))).alias("nodes"))
+    nodes = materialize(nodes.withColumn("asks", asked("nodes.n_rows")), "asks")
+    each = nodes.select("id", F.explode(F.arrays_zip("nodes", "asks")).alias("x")).select("id", "x.nodes.table", "x.nodes.key", F.col("x.asks").alias("ask"))
+    depths = each.groupBy("table", "key").agg(F.min("ask").alias("depth"), F.count("*").alias("n_rows"))
+    deep = lookup(each.select("id", "table", "key"), depths, ["table", "key"], "n_rows", total, ["id", "table"], how="inner")
+    deep = deep.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table", "depth"))).alias("x"))
+    made = deep.join(classes, "id").withColumns({"keys": cut("id", "sig", "x.table", "x.depth"), "bytes": low_bytes("sig"), "tables": F.col("x.table")})
+    return materialize(made.select("id", "n", "n_sh", "rep", "h1", "h2", "bytes", "keys", "tables"), "forest")
+
+
+def _links(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, width: int) -> DataFrame:
+    """(id, links, label) rows of every block with links."""
 
     @F.pandas_udf("array<bigint>")
     def unpacked(keys: pd.Series) -> pd.Series:
         return pd.Series(list(np.frombuffer(b"".join(keys), np.int64).reshape(len(keys), -1)))
 
-    made = classes.withColumn("f", forest("sig")).select("id", "rep", "n", "n_sh", "f.keys", "f.bytes")
-    made = materialize(made, "forest")
-    members = made.select("id", F.posexplode(unpacked("keys")).alias("table", "key"))
-    rows = materialize(bucket_blocks(members, "buckets", BLOCK), "blocks")
+    made = _forest(classes, threshold, recall)
+    members = made.select("id", "n_sh", "tables", unpacked("keys").alias("k")).select("id", "n_sh", F.explode("tables").alias("table"), "k")
+    members = members.select("id", "n_sh", "table", F.get("k", F.col("table")).alias("key"))
+    rows = materialize(bucket_blocks(members, "buckets", BLOCK, weight="n_sh", heaviest=HEAVIEST).drop("n_sh"), "blocks")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("table", "key", "bi", "bj"), F.lit(shards))
     work = rows.join(made.select("id", "n_sh", "keys", "bytes"), "id").withColumn("shard", shard)
     want = materialize(work.groupBy("shard").applyInPandas(lambda pdf: first_comparison(pdf, threshold), "table int, key long, bi int, bj int, b int, id long, keys binary, n_sh long"), "wanted")
     load = want.agg(F.sum("n_sh")).first()[0] or 0
     shards2 = max(1, -(-load // SHARD_SHINGLES))
-    need = want.join(made.select("id", "rep", "n"), "id")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
-    work = need.drop("n_sh").join(texts, "rep").withColumn("shard", F.pmod(F.xxhash64("table", "key", "bi", "bj"), F.lit(shards2)))
-    return materialize(work.groupBy("shard").applyInPandas(lambda pdf: second_comparison(pdf, threshold, depth, width), "id long, links long, pairs double, stands double, label long"), "links")
+    reps = want.select("id").distinct().join(made, "id").select("id", "n", "h1", "h2", F.coalesce("rep", F.lit(0)).alias("r"))
+    found = docs.select(F.coalesce("doc_id", F.lit(0)).alias("r"), "text").withColumns(_hashes("text")).join(reps, ["r", "h1", "h2"])
+    texts = found.groupBy("id", "n").agg(F.first("text").alias("text"))  # rows may repeat
+    work = want.drop("n_sh").join(texts, "id").withColumn("shard", F.pmod(F.xxhash64("table", "key", "bi", "bj"), F.lit(shards2)))
+    return materialize(work.groupBy("shard").applyInPandas(lambda pdf: second_comparison(pdf, threshold, width), "id long, links long, label long"), "links")

@@ -407,6 +407,55 @@ def test_keep_one_tells_rows_apart(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (0, 2, 3, 5, 6)]))
 
 
+def test_forest_of_documents_without_ids(spark):
+    """Links between classes whose documents have no doc_id, or share one, are not lost."""
+    x = [f"x{k}" for k in range(120)]
+    near = [" ".join([*x[:k], f"new{k}", *x[k + 1 :]]) for k in (10, 40, 90)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (7, "some other words of no account here"), (7, near[2].replace("x", "y")), (9, near[1].replace("x", "y"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, ((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(None, None, 2)] * 3 + [(7, 7, 0), (7, 7, 1), (9, 7, 1)]))
+    kept = ngram_join.keep_one(df.withColumn("__group", F.lit(1))).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["7", "7", "None"]
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    """Every class reaches the target, with no tree shorter than it takes; crowded nodes stay longest."""
+    t, recall = ngram_join.THRESHOLD, ngram_join.RECALL
+    base = ngram_join.depth_for(t, recall)
+    assert base == 5 < ngram_join.DEPTH
+
+    def found(depths, alone):
+        miss = (1 - t**base) ** alone
+        for d in depths:
+            miss *= 1 - t**d
+        return 1 - miss
+
+    for sizes in ([], [5], list(range(2, 14)), list(range(24, 0, -1)), [9] * 24):
+        depths = ngram_join.wanted_depths(sizes, t, recall, base)
+        assert found(depths, 24 - len(sizes)) >= recall
+        long = [s for s, d in zip(sizes, depths) if d == ngram_join.DEPTH]
+        assert not long or min(long) >= max((s for s, d in zip(sizes, depths) if d < ngram_join.DEPTH), default=0)
+        if base in depths:  # one tree less would not do
+            k = max((k for k, d in enumerate(depths) if d == base), key=lambda k: sizes[k])
+            assert found([*depths[:k], ngram_join.DEPTH, *depths[k + 1 :]], 24 - len(sizes)) < recall
+
+
+def test_forest_finds_pairs_at_the_threshold():
+    """Recall of the tries over simulated pairs, level by level: what the theory says."""
+    import numpy as np
+
+    rng, a_b = np.random.default_rng(5), ngram_join._params(ngram_join.TREES * ngram_join.DEPTH)
+    met = {4: 0, 5: 0, 6: 0}
+    for _ in range(400):
+        s = rng.integers(0, 2**63, size=180, dtype=np.uint64)
+        sigs = np.stack([ngram_join.signature(x, *a_b) for x in (s[:162], s[18:])])  # 144 of 180: similarity 0.8
+        for d in met:
+            k = ngram_join.prefix_keys(sigs, d)
+            met[d] += (k[0] == k[1]).any()
+    assert met[4] >= 399 and met[5] >= 397 and met[6] >= 390
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     """A bucket of many blocks gives the same as one block."""
     rows = [(k, " ".join(f"w{j}" for j in range(200)) + f" end{k}") for k in range(60)] + [(k, f"other text number {k} with words of its own {k * 7}") for k in range(100, 120)]
