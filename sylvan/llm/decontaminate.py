@@ -1,15 +1,16 @@
 """Benchmark decontamination by an Aho-Corasick automaton.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased: runs of 0-9, a-z
-and code points from 0x80. The words of the benchmark are numbered and the automaton reads
-these numbers, one step a word: its patterns are the windows of ``window`` words of every item
-(an item of fewer words is one window), and a text becomes the numbers of its words, 0 for
-words that no item has. One pass finds all occurrences, overlapping ones too; word numbers
+and code points from 0x80. The words of the benchmark are numbered, and a number is
+written as two characters, so that no state has many followers to search. The automaton reads
+these characters: its patterns are the windows of ``window`` words of every item (an item of
+fewer words is one window), and a text becomes the numbers of its words, with a character of
+its own for words that no item has. One pass finds all occurrences, overlapping ones too; word numbers
 lead to code points of the original text for ``spans``.
 
 An automaton goes to the executors with the task, so it is bounded: items are cut into pieces
 of ``PIECE`` windows, and pieces are dealt by hash into as many shards as it takes to have
-about ``NODES`` states in each (some 100 bytes a state). One shard is the usual case. With more
+about ``NODES`` states in each (some 70 bytes a state). One shard is the usual case. With more
 there is one pass over the documents for each, shard after shard, and the word ranges are
 united by a row number that is written with the documents; the result is the same for any
 number of shards, and the driver holds one shard at a time.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 from collections import defaultdict
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from .common import materialize
 
 WINDOW = 10
 #: States of one automaton; windows of a piece of an item; passes whose hits are stored together.
-NODES, PIECE, PASSES = 1_500_000, 2_000, 8
+NODES, PIECE, PASSES = 2_000_000, 2_000, 8
 ADDED = ("n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "spans")
 #: Bytes as they are compared: separators become spaces, A-Z become a-z.
 FOLD = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
@@ -47,27 +49,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def windows_of(words: list, n: int) -> set[tuple]:
+def windows_of(words: list[bytes], n: int) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 @functools.lru_cache(maxsize=2)
 def _automaton(items: tuple[tuple[str | None, str], ...], n: int):
-    """(numbers of words, automaton) over the windows, each with its length and items; once a worker and shard."""
+    """(characters of words, automaton) over the windows, each with its length and items; once a worker and shard."""
     import ahocorasick
 
-    number: dict[bytes, int] = {}
     owners = defaultdict(set)
     for item, text in items:
-        for w in windows_of([number.setdefault(w, len(number) + 1) for w in words_of(text)], n):
+        for w in windows_of(words_of(text), n):
             owners[w].add(item)
-    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    words = sorted({x for w in owners for x in w})
+    base = isqrt(len(words)) + 1
+    code = {w: chr(1 + k // base) + chr(1 + base + k % base) for k, w in enumerate(words)}
+    made = ahocorasick.Automaton()
     shared: dict[tuple, tuple] = {}  # windows of one item share one value
     for w, who in owners.items():
-        made.add_word(w, shared.setdefault((len(w), frozenset(who)), (len(w), tuple(who))))
+        made.add_word("".join([code[x] for x in w]), shared.setdefault((len(w), frozenset(who)), (len(w), tuple(who))))
     if owners:
         made.make_automaton()
-    return (number, made) if owners else None
+    return (code, made) if owners else None
 
 
 def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]:
@@ -75,11 +79,12 @@ def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]
     words = words_of(text)
     if not words or made is None:
         return len(words), [], set()
-    number, automaton = made
+    code, automaton = made
     ranges: list[list[int]] = []
     items: set[str | None] = set()
-    for end, (n, who) in automaton.iter(tuple(map(number.get, words, repeat(0)))):
+    for end, (n, who) in automaton.iter("".join(map(code.get, words, repeat("\0\0")))):
         items.update(who)
+        end //= 2
         a = end - n + 1
         while ranges and a <= ranges[-1][1]:  # ends only grow; a longer window may reach behind several ranges
             a = min(a, ranges.pop()[0])
@@ -106,7 +111,7 @@ def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 for i in range(0, max(1, len(words) - window + 1) if words else 0, PIECE):
                     part = words[i : i + PIECE + window - 1]
-                    out.append((item, b" ".join(part).decode("utf-8", "surrogatepass"), len(part) * window))
+                    out.append((item, b" ".join(part).decode("utf-8", "surrogatepass"), 2 * len(part) * window))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["item", "text", "nodes"])
 
     return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(cut, "item string, text string, nodes long")

@@ -171,14 +171,10 @@ def test_decontaminate_long_items_in_pieces(spark, monkeypatch):
 def test_decontaminate_memory_of_a_state():
     import os
 
-    import ahocorasick
-
-    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     rss = lambda: int(open(f"/proc/{os.getpid()}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
     before = rss()
-    for k in range(30_000):
-        made.add_word(tuple(range(k, k + 10)), (10, (1,)))
-    made.make_automaton()
+    _, made = decontaminate._automaton(tuple((str(k), " ".join(f"w{(k * 53 + j * j) % 5000}" for j in range(100))) for k in range(300)), 10)
+    assert made.get_stats()["nodes_count"] > 100_000
     assert rss() - before < 250 * made.get_stats()["nodes_count"]
 
 
