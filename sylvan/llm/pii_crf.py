@@ -9,9 +9,18 @@ a skip potential however far apart they are, each with the one before it. Loopy
 propagation gives marginals with base spans held at their kind; a candidate is added where a
 kind has more than ``SURE``. Base spans are never dropped.
 
-The weights come from pseudo-likelihood on the candidates of about ``TRAIN_DOCS`` documents
-chosen by hash, labelled by the base patterns. Texts are read whole. A null, empty or clean
-text has no spans; repeated rows get equal results; an empty table gives an empty table.
+The weights come from pseudo-likelihood on the candidates of about ``TRAIN_DOCS`` documents,
+each row chosen by a hash of its place, with ``TRAIN_NODES`` candidates of a document at most.
+The base patterns label them, so features leave out what the patterns test (signs, dots, shape,
+check digit): what is learned must hold for other notations too. Candidates that repeat a base
+span are no evidence for none and left out. Next to each base span stand, in training, a repeat
+of it in other surroundings, which has its label, and two mentions of a number of other digits,
+which are none; from these and the real ones come the weights of repeats and of none.
+
+Texts and candidates are read whole whatever their length. Of overlapping candidates the first
+counts; ties between kinds go to the first kind listed. A null, empty or clean text has no spans;
+repeated rows get equal results; an empty table gives an empty table. Columns of the result
+that the input also has are replaced, all others are carried along.
 """
 
 from __future__ import annotations
@@ -28,18 +37,17 @@ from pyspark.sql import types as T
 from .common import map_text
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, FEATURES, SURE = 4000, 1 << 12, 0.8
-#: Log-odds that a candidate the patterns did not match is none: they label little that is none, so
-#: this is not learned. The agreement of repeated candidates, and where that of similar ones starts.
-CAUTION, REPEATED, ALIKE = 4.0, 12.0, 0.5
+TRAIN_DOCS, TRAIN_NODES, FEATURES, SURE = 4000, 200, 1 << 12, 0.8
+#: Where the weights of repeated and of similar candidates that agree start.
+REPEATED, ALIKE = 2.0, 0.5
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match never begins inside a run of digits, so looking behind changes nothing but the time
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{4,62}[0-9]")
-_MAIL = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{4,}[0-9]")
+_MAIL = re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]++")
 _WORD = re.compile(r"\w+")
 
 
@@ -99,16 +107,14 @@ def _shape(s: str) -> str:
     return re.sub(r"0{4,}", "0000", "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in s))
 
 
+def _names(span: str, before: list[str], after: list[str]) -> list[int]:
+    names = ["bias", f"digits {min(len(_digits(span)), 20)}", f"mail {'@' in span}", *(f"left {w.lower()}" for w in before), *(f"right {w.lower()}" for w in after)]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names]
+
+
 def features(text: str, nodes: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Hashed features of each candidate: shape, digits, ends, and the words on both sides."""
-    out = []
-    for _, s, e in nodes:
-        span = text[s:e]
-        d = _digits(span)
-        before, after = _WORD.findall(text[max(0, s - 40) : s])[-2:], _WORD.findall(text[e : e + 40])[:1]
-        names = ["bias", f"shape {_shape(span)}", f"digits {min(len(d), 20)}", f"first {span[0] if not span[0].isalnum() else '-'}", f"dots {span.count('.')}", f"mail {'@' in span}", f"luhn {len(d) >= 13 and _luhn(d)}", *(f"left {w.lower()}" for w in before), *(f"right {w.lower()}" for w in after)]
-        out.append([zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names])
-    return out
+    """Hashed features of each candidate: number of digits, and the words on both sides."""
+    return [_names(text[s:e], _WORD.findall(text[max(0, s - 40) : s])[-2:], _WORD.findall(text[e : e + 40])[:1]) for _, s, e in nodes]
 
 
 def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,14 +179,14 @@ class PiiModel:
             # potentials are symmetric; skips only reward agreement
             pair = (self.pair.reshape(3 * n, n) + rate * gp / np.sqrt(g2p)).reshape(3, n, n)
             pair = (pair + pair.transpose(0, 2, 1)) / 2
-            pair[1], pair[2] = REPEATED * np.eye(n), np.eye(n) * max(0.0, np.trace(pair[2]) / n)
+            for skip in (1, 2):
+                pair[skip] = np.eye(n) * max(0.0, np.trace(pair[skip]) / n)
             self.pair = pair
         return self
 
     def marginals(self, feats: list[list[int]], eds, held: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.ndarray:
         """Loopy belief propagation, all messages at once."""
         unary = np.array([self.node[f].sum(axis=0) for f in feats])
-        unary[:, 0] += CAUTION
         unary[held] = -50
         unary[held, labels[held]] = 0
         i, j, t = eds
@@ -210,19 +216,34 @@ class PiiModel:
         return [(int(best[k]), s, e) for k, (_, s, e) in enumerate(nodes) if not held[k] and p[k, 1 + best[k]] > SURE]
 
 
+def training_nodes(text: str) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """(labels, features, edges) of a document as the field is trained on it."""
+    nodes, held = candidates(text, base_spans(text))
+    nodes, held = nodes[:TRAIN_NODES], held[:TRAIN_NODES]
+    i, j, t = edges(text, nodes)
+    unsure = {int(x) for a, b, c in zip(i, j, t) if c == 1 and held[a] != held[b] for x in (a, b) if not held[x]}
+    place = {k: n for n, k in enumerate(k for k in range(len(nodes)) if k not in unsure)}
+    labels, feats = [nodes[k][0] for k in place], features(text, [nodes[k] for k in place])
+    links = [[place[a], place[b], int(c)] for a, b, c in zip(i.tolist(), j.tolist(), t) if a in place and b in place]
+    words = _WORD.findall(text[:4000]) or ["-"]
+    for k in [n for k, n in place.items() if held[k]]:
+        label, seed, at = labels[k], zlib.crc32(repr(feats[k]).encode()), len(labels)
+        around = lambda m: ([words[(seed >> m) % len(words)], words[(seed >> m + 3) % len(words)]], [words[(seed >> m + 6) % len(words)]])
+        span = "@" if label == 1 else "0" * sum(len(_digits(text[s:e])) for s, e in [nodes[list(place)[k]][1:]])
+        other = "x@" if seed % 4 == 0 else "0" * (7 + seed % 14)
+        labels += [label, 0, 0]
+        feats += [_names(span, *around(0)), _names(other, *around(5)), _names(other, *around(11))]
+        links += [[k, at, 1], [at + 1, at + 2, 1]]
+    return labels, feats, links
+
+
 def learn(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> PiiModel:
     """The model from documents that hold a digit or an at sign, about ``train_docs`` of them."""
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"))
-    n = some.count()
-    scale = 1 << 30
-    some = some.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(min(1.0, train_docs / max(n, 1)) * scale))
-
-    def one(t):
-        nodes, _ = candidates(t, base_spans(t))
-        return [n[0] for n in nodes], features(t, nodes), np.transpose(edges(t, nodes)).tolist()
-
+    share = min(1.0, train_docs / max(some.count(), 1))
+    some = some.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
     kinds = T.StructType([T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("f", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("e", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    rows = map_text(some, "text", [], kinds, lambda: one).where("size(y) > 0").toLocalIterator()
+    rows = map_text(some, "text", [], kinds, lambda: training_nodes).where("size(y) > 0").limit(2 * train_docs).collect()
     return PiiModel().fit(sorted((list(r["y"]), [list(f) for f in r["f"]], [list(e) for e in r["e"]]) for r in rows))
 
 

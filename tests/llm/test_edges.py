@@ -199,6 +199,66 @@ def test_langid(spark, docs, odd):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_langid_query_equals_brute_force(spark, small):
+    """Mixtures written out gram by gram: the registered query over the whole table."""
+    from collections import Counter
+    from math import exp, log
+
+    from sylvan.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    langs, logs = langid.learn(table.where(~langid.held_out()))
+
+    def em(counts, like):
+        k, n = len(like[0]), sum(counts)
+        share = [1 / k] * k
+        for _ in range(langid.ROUNDS if k > 1 else 0):
+            new = [0.0] * k
+            for c, row in zip(counts, like):
+                total = sum(x * s for x, s in zip(row, share))
+                for i in range(k):
+                    new[i] += c * row[i] * share[i] / total / n
+            done = max(abs(a - b) for a, b in zip(new, share)) < langid.SETTLED
+            share = new
+            if done:
+                break
+        return share, sum(c * log(sum(x * s for x, s in zip(row, share))) for c, row in zip(counts, like))
+
+    def brute(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        bag = Counter(langid.grams(text, logs.shape[1]).tolist())
+        counts = list(bag.values())
+        rows = [logs[:, b].tolist() for b in bag]
+        like = [[exp(x - max(r)) for x in r] for r in rows]
+        share, _ = em(counts, like)
+        order, best = sorted(range(len(langs)), key=lambda i: -share[i]), None
+        for k in range(1, len(order) + 1):
+            sub, ll = em(counts, [[r[i] for i in order[:k]] for r in like])
+            worth = ll - langid.PENALTY * k * log(sum(counts))
+            if best is not None and worth <= best[0]:
+                break
+            best = worth, sub
+        top = max(range(len(best[1])), key=lambda i: best[1][i])
+        return langs[order[top]], best[1][top]
+
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, small).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        want = brute(t)
+        assert got[i].lang_pred == want[0] and got[i]["score"] == pytest.approx(want[1], abs=1e-4), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_langid_letters_and_repeats(spark, odd):
+    rows = [(k, "ein text der sich immer wiederholt", "de") for k in (1, 1, 1, 2)] + [(3, "the same words again and again", "en")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "½ ² ③ 5 _"), (2, "ª"), (3, "wiederholt"), (4, "\u4e2d"), (5, "1 2 3")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got[1] == got[5] == "und" and got[3] == "de" and got[2] != "und" and got[4] != "und"
+
+
 def test_langid_finds_mixtures(spark, docs):
     langs, logs = langid.learn(docs)
     texts = {r.lang: r.text for r in docs.where("length(text) between 1500 and 3000 and text not like '%!!%'").dropDuplicates(["lang"]).collect()}
@@ -226,6 +286,60 @@ def test_pii_base_equals_plain_regex(docs):
         assert [x[1:] for x in base if x[0] == 1] == [m.span() for m in ip.finditer(r.text) if all(int(p) <= 255 for p in m[0].split("."))]
 
 
+def test_pii_query_equals_plain_regex(spark):
+    """Counts and base_sha256 of the registered query over the whole table against the patterns as given."""
+    import re
+
+    from sylvan.llm.queries import QUERIES
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got, seen = QUERIES["op4_pii"](spark, sf).collect(), 0
+    assert len(got) == len(texts)
+    for r in got:
+        spans = [(k, *m.span()) for k, (p, ok) in kinds.items() for m in re.finditer(p, texts[r.doc_id] or "") if ok(m[0])]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in spans) for k in kinds]
+        listed = ",".join("%s:%d:%d" % x for x in spans)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+        seen += len(spans)
+    assert seen > 50
+
+
+def test_pii_field_finds_other_notations(spark, docs):
+    """Planted second mentions in another notation: what the field gains over the patterns, and what it adds wrongly."""
+    import random
+
+    model, rng = pii_crf.learn(docs), random.Random(3)
+    words = "nd ther that edes onn shan erre with stre the of and".split()
+    some = lambda k: " ".join(rng.choices(words, k=k))
+    hit = wrong = 0
+    for _ in range(200):
+        d = "".join(rng.choices("123456789", k=11))
+        text = f"{some(5)} +{d[0]} ({d[1:4]}) {d[4:7]}-{d[7:]} {some(30)} {d[0]}-{d[1:4]}-{d[4:7]}-{d[7:]} {some(9)} {rng.randint(10**7, 10**9)} {some(5)} {rng.randint(10**11, 10**12)}, {some(4)}"
+        base = pii_crf.base_spans(text)
+        added = [text[s:e] for _, s, e in model.added(text, base)]
+        hit += f"{d[0]}-{d[1:4]}-{d[4:7]}-{d[7:]}" in added
+        wrong += sum(x != f"{d[0]}-{d[1:4]}-{d[4:7]}-{d[7:]}" for x in added)
+    assert hit >= 190 and wrong <= 10
+    assert model.pair[1][0, 0] > pii_crf.REPEATED  # learned, not where it started
+
+
+def test_pii_long_texts_and_repeats(spark, docs):
+    model = pii_crf.learn(docs)
+    long = "x" * 300_000 + " a.b@c.de " + "9-" * 100_000 + "9 and +1 (375) 555-4393 x " + "1 " * 50_000
+    got = pii_crf.find(spark.createDataFrame([(1, long), (1, long), (None, "a.b@c.de")], "doc_id long, text string").withColumn("pii", F.lit(1)), model).collect()
+    assert got[0] == got[1] and (got[0].n_email, got[0].n_card, got[0].n_phone) == (1, 0, 1) and got[2].spans == "email:0:8"
+
+
 def test_pii_field_adds_repeats(spark, docs, odd):
     model = pii_crf.learn(docs)
     text = "call +1 (375) 555-4393 now, or 1 (375) 555-4393, order 12345678 of 2024-01-02"

@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -66,3 +67,26 @@ def test_pipeline(spark, docs, small):
 
 def test_run_gives_the_last_stage(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "n_pieces", "first_slot"]
+
+
+CLASHING = ("lang_pred", "score", "langs", "shares", "n_lines", "n_dropped", "class_id", "n_links", "kept", "n_words", "items", "contaminated", "spans", "size", "taken", "id", "sig", "table", "key", "h1", "n")
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, small):
+    """Nulls, empty and very long texts, repeated rows and columns with the operators' names go through every stage; values of such columns stay."""
+    rows = [r.asDict() for r in docs.where("lang = 'en' and length(text) between 400 and 3000").limit(12).collect()]
+    rows += [dict(rows[0]), rows[1] | {"doc_id": None}, rows[2] | {"text": None}, rows[3] | {"text": "", "source": None}, rows[4] | {"doc_id": 10**6, "text": "½ 12"}]
+    rows += [rows[5] | {"doc_id": 10**6 + 1, "text": " ".join(f"the other word{k} of this" for k in range(60_000))}, rows[6] | {"doc_id": None, "source": None, "lang": None, "text": rows[7]["text"] + " and more of it"}]
+    at = spark.createDataFrame(rows, docs.schema).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    columns, empty = at.columns, at.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, small).cache()
+        assert stage(spark, empty, small).count() == 0
+        if name == "mix":
+            assert out.count() == at.count()
+            break
+        assert out.columns == columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+        at = spark.createDataFrame(out.collect(), out.schema)
+    assert at.where("text is null or text = '' or doc_id = 1000000").count() == 0 and at.where("doc_id = 1000001").count() == 1
