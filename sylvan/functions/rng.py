@@ -15,4 +15,4 @@ def uniform(tag: str, *key) -> Column:
 
 
 def uniform_py(tag: str, *key) -> float:
-    return int(md5("|".join([tag, *map(str, key)]).encode()).hexdigest()[:13], 16) / 2**52
+    return (int.from_bytes(md5("|".join([tag, *map(str, key)]).encode()).digest()[:7], "big") >> 4) / 2**52

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sylvan.functions.rng import uniform
 from sylvan.sources.graph import Graph
@@ -28,26 +28,28 @@ def random_successor_weighted(g: Graph, draws: DataFrame, seed: int = 0) -> Data
 def alias_preprocess(g: Graph) -> DataFrame:
     """(src, slot, dst, prob, alias): slot s keeps dst with chance prob, else gives alias.
 
-    A vertex' slots are as many as its neighbours; slots with less than an average share are
-    filled up from those with more. One group holds one vertex' neighbours.
+    A vertex' slots are as many as its neighbours, in their order. Laid end to end, the parts that
+    slots lack of an average share and the parts that others have beyond it cover the same line. A poor
+    slot is filled from the rich one in whose stretch its own begins; a rich one gives until the poor
+    stretch that first reaches beyond its own ends, and what it then lacks comes from the next rich
+    one. So one sort by position gives every alias, and no vertex' neighbours are held in memory.
     """
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dst").reset_index(drop=True)
-        share = (pdf["weight"] * len(pdf) / pdf["weight"].sum()).tolist()
-        prob, alias = [1.0] * len(pdf), pdf["dst"].tolist()
-        poor, rich = [i for i, s in enumerate(share) if s < 1], [i for i, s in enumerate(share) if s > 1]
-        while poor and rich:
-            low, high = poor.pop(), rich[-1]
-            prob[low], alias[low] = share[low], pdf["dst"][high]
-            share[high] -= 1 - share[low]
-            if share[high] <= 1:
-                rich.pop()
-                if share[high] < 1:
-                    poor.append(high)
-        return pd.DataFrame({"src": pdf["src"], "slot": range(len(pdf)), "dst": pdf["dst"], "prob": prob, "alias": alias})
-
-    return g.edges.groupBy("src").applyInPandas(table, "src long, slot int, dst long, prob double, alias long")
+    each, before = Window.partitionBy("src"), Window.partitionBy("src", "rich").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.col("weight") * F.count("*").over(each) / F.sum("weight").over(each)
+    e = g.edges.withColumn("share", share).withColumns({"slot": F.row_number().over(each.orderBy("dst")) - 1, "rich": F.col("share") >= 1})
+    e = e.withColumn("lo", F.coalesce(F.sum(F.abs(F.col("share") - 1)).over(before), F.lit(0.0)))
+    e = e.withColumns({"start": F.round("lo", 9), "end": F.round(F.col("lo") + F.abs(F.col("share") - 1), 9)})
+    # the rich slot that a position lies in, and the first poor end from a position on
+    starts = each.orderBy("start", F.desc("rich"), "dst").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("giver", F.last(F.when(F.col("rich"), F.col("dst")), True).over(starts))
+    ends = each.orderBy("end", F.desc("rich"), "dst").rowsBetween(0, Window.unboundedFollowing)
+    e = e.withColumn("reached", F.first(F.when(~F.col("rich"), F.col("end")), True).over(ends))
+    following = Window.partitionBy("src", "rich").orderBy("dst")
+    e = e.withColumn("next_rich", F.lead("dst").over(following))
+    gives = F.col("rich") & F.col("next_rich").isNotNull() & (F.col("reached") > F.col("end"))
+    prob = F.when(~F.col("rich"), F.col("share")).when(gives, 1 + F.col("end") - F.col("reached")).otherwise(1.0)
+    alias = F.when(~F.col("rich"), F.coalesce("giver", "dst")).when(gives, F.col("next_rich")).otherwise(F.col("dst"))
+    return e.select("src", F.col("slot").cast("int").alias("slot"), "dst", prob.alias("prob"), alias.alias("alias"))
 
 
 def alias_shares(table: DataFrame) -> DataFrame:

@@ -12,16 +12,20 @@ Lowering q on the same stacks couples the forests of a grid of q.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.functions.rng import uniform, uniform_py
+from sylvan.functions.rng import uniform
 from sylvan.plans.ground import ground
 from sylvan.sources.graph import LOCAL_EDGES, Graph
 
-SCHEMA = "rep int, q_index int, id long, next long, root long"
+SCHEMA = "rep int, q_index int, id long, next long, root long, level long"
 
 
 def rates(g: Graph, q) -> DataFrame:
@@ -33,28 +37,35 @@ def rates(g: Graph, q) -> DataFrame:
 
 def _walk(ids, offsets, targets, cum, deg, q, seed, rep, level):
     """Next vertex (-1 for a root) and root of each vertex; ``level`` is moved on in place."""
-    n = len(ids)
-    nxt, root = np.full(n, -2, np.int64), np.full(n, -1, np.int64)
+    ids, offsets, targets, cum, deg, q, high = (x.tolist() for x in (ids, offsets, targets, cum, deg, q, level))
+    n, hash_, number = len(ids), md5, int.from_bytes
+    nxt, root = [-2] * n, [-1] * n
+    place = [-1] * n  # in the path that is walked now
     for start in range(n):
-        path, at, i = [], {}, start
+        path, i = [], start
         while root[i] < 0:
-            if i in at:  # a cycle: its vertices lose their top arrows
-                for x in path[at[i] :]:
-                    level[x] += 1
-                    del at[x]
-                del path[len(at) :]
-            at[i] = len(path)
+            if place[i] >= 0:  # a cycle: its vertices lose their top arrows
+                at = place[i]
+                for x in path[at:]:
+                    high[x] += 1
+                    place[x] = -1
+                del path[at:]
+            place[i] = len(path)
             path.append(i)
-            key = (seed, rep, ids[i], level[i])
-            if uniform_py("u", *key) * (q[i] + deg[i]) < q[i]:
+            key = f"|{seed}|{rep}|{ids[i]}|{high[i]}"
+            d = deg[i]
+            if (number(hash_(f"u{key}".encode()).digest()[:7], "big") >> 4) / 2**52 * (q[i] + d) < q[i]:
                 nxt[i], root[i] = -1, i
                 break
-            t = uniform_py("v", *key) * deg[i]
-            a, b = offsets[i], offsets[i + 1]
-            nxt[i] = targets[min(a + int(np.searchsorted(cum[a:b], t, "right")), b - 1)]
-            i = int(nxt[i])
-        root[path] = root[i]
-    return nxt, root
+            t = (number(hash_(f"v{key}".encode()).digest()[:7], "big") >> 4) / 2**52 * d
+            b = offsets[i + 1]
+            nxt[i] = targets[min(bisect_right(cum, t, offsets[i], b), b - 1)]
+            i = nxt[i]
+        end = root[i]
+        for x in path:
+            root[x], place[x] = end, -1
+    level[:] = high
+    return np.array(nxt, np.int64), np.array(root, np.int64)
 
 
 def _checked(g: Graph, q) -> None:
@@ -71,12 +82,12 @@ def _checked(g: Graph, q) -> None:
 
 
 def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, check: bool = True, moment_seeds: bool = False) -> DataFrame:
-    """(rep, q_index, id, next, root): ``reps`` forests, next null at roots. With ``grid``, one for each
-    of its values of q, coupled by going down the grid on the same stacks (``moment_seeds``: with
-    stacks of its own for each value)."""
+    """(rep, q_index, id, next, root, level): ``reps`` forests, next null at roots; level is the height in
+    its stack of a vertex' arrow. With ``grid``, one for each of its values of q, coupled by going
+    down the grid on the same stacks (``moment_seeds``: with stacks of its own for each value)."""
     spark = g.edges.sparkSession
-    if grid is None and g.edges.count() > LOCAL_EDGES:
-        return random_forest_distributed(g, q, reps, seed)
+    if g.edges.count() > LOCAL_EDGES or g.vertices.count() > LOCAL_EDGES:
+        return random_forest_distributed(g, q, reps, seed, grid, moment_seeds, check)
     if check:
         _checked(g, q if grid is None else min(grid))
     arrays = g.local()
@@ -96,52 +107,89 @@ def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] |
                 for k in sorted(range(len(qs)), key=lambda k: -qs[k].max(initial=0)):
                     if moment_seeds:
                         level = np.zeros(len(ids), np.int64)
-                    out[k] = _walk(*graph, qs[k], f"{seed}.{k}" if moment_seeds else seed, rep, level)
-                for k, (nxt, root) in out.items():
+                    out[k] = (*_walk(*graph, qs[k], f"{seed}.{k}" if moment_seeds else seed, rep, level), level.copy())
+                for k, (nxt, root, high) in out.items():
                     up = pd.Series(ids[np.maximum(nxt, 0)]).astype("Int64").mask(pd.Series(nxt < 0))
-                    yield pd.DataFrame({"rep": rep, "q_index": k, "id": ids, "next": up, "root": ids[root]})
+                    yield pd.DataFrame({"rep": rep, "q_index": k, "id": ids, "next": up, "root": ids[root], "level": high})
 
     return spark.range(0, reps, 1, max(1, min(reps, 64))).mapInPandas(run, SCHEMA)
 
 
-def random_forest_distributed(g: Graph, q, reps: int = 1, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
-    """The same forests by joins. A round takes the top arrows, follows them by pointer doubling, and pops
-    the vertices on cycles, which are those that some vertex still points at after all doublings
-    without being roots. Only popped vertices draw anew; two counts a round come to the driver."""
-    spark = g.edges.sparkSession
-    _checked(g, q)
-    base = ground(g.degree().join(rates(g, q), "id"))
-    cum = ground(g.cumulative())
-    n = base.count()
-    doublings = max(1, int(np.ceil(np.log2(n + 1))))
+def random_forest_distributed(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, moment_seeds: bool = False, check: bool = True) -> DataFrame:
+    """The same forests by joins. A round takes the top arrows of the vertices whose root is not known yet,
+    follows them by pointer doubling, and pops the vertices on cycles, which are those that some
+    vertex still points at after all doublings. Vertices that reached a root are done: no cycle is on
+    their way. They take no part in later rounds or joins, so a tree's root is no hot key. With a
+    grid the stacks of one value of q are where the next lower one begins."""
+    if check:
+        _checked(g, q if grid is None else min(grid))
+    cum = ground(g.cumulative().withColumnRenamed("src", "id"))
+    degree = ground(g.degree())
+    bottom = ground(degree.select("id").crossJoin(F.broadcast(g.edges.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long")))
+    out, levels, every = [], bottom, [q] if grid is None else [float(x) for x in grid]
+    for k in range(len(every)) if grid is None else sorted(range(len(every)), key=lambda k: -every[k]):
+        base = ground(degree.join(rates(g, every[k]), "id"))
+        forest = _popped(base, cum, bottom if moment_seeds else levels, f"{seed}.{k}" if moment_seeds else seed)
+        levels = forest.select("id", "rep", "level")
+        out.append(forest.select("rep", F.lit(k).alias("q_index"), "id", "next", "root", "level"))
+    return reduce(DataFrame.union, out)
+
+
+def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFrame:
+    """(rep, id, level, next, root) from rates and degrees (id, d, q), the edges' intervals (id, dst, lo, hi) and
+    the stacks' levels (id, rep, level)."""
 
     def arrows(tops: DataFrame) -> DataFrame:
         key = (seed, F.col("rep"), F.col("id"), F.col("level"))
         drawn = tops.join(base, "id").withColumns({"dies": uniform("u", *key) * (F.col("q") + F.col("d")) < F.col("q"), "t": uniform("v", *key) * F.col("d")})
-        moves = drawn.where("not dies").join(cum.withColumnRenamed("src", "id"), "id").where("lo <= t and t < hi")
+        moves = drawn.where("not dies").join(cum, "id").where("lo <= t and t < hi")
         return drawn.where("dies").select("rep", "id", "level", F.lit(None).cast("long").alias("next")).union(moves.select("rep", "id", "level", F.col("dst").alias("next")))
 
-    top = ground(arrows(base.select("id").crossJoin(F.broadcast(spark.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long"))))
-    for _ in range(max_rounds):
-        far = top.select("rep", "id", F.coalesce("next", "id").alias("to"))
-        for _ in range(doublings):
-            far = ground(far.join(far.select("rep", F.col("id").alias("to"), F.col("to").alias("further")), ["rep", "to"]).select("rep", "id", F.col("further").alias("to")))
-        image = far.select("rep", F.col("to").alias("id")).distinct()
-        loops = ground(image.join(top.where("next is not null"), ["rep", "id"]).select("rep", "id", (F.col("level") + 1).alias("level")))
-        if not loops.limit(1).count():
-            return top.join(far, ["rep", "id"]).select("rep", F.lit(0).alias("q_index"), "id", "next", F.col("to").alias("root"))
-        top = ground(top.join(loops.select("rep", "id"), ["rep", "id"], "left_anti").unionByName(arrows(loops)))
-    raise RuntimeError("cycles were left")
+    active, settled = ground(arrows(levels)), []
+    while True:
+        far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
+        if settled:
+            known = reduce(DataFrame.union, settled).select("rep", F.col("id").alias("next"), F.col("root").alias("__root"))
+            far = far.join(known, ["rep", "next"], "left").select("rep", "id", "level", "next", F.coalesce("__root", "to").alias("to"), (F.col("done") | F.col("__root").isNotNull()).alias("done"))
+        far = _followed(far)
+        settled.append(ground(far.where("done").select("rep", "id", "level", "next", F.col("to").alias("root"))))
+        left = ground(far.where("not done").select("rep", "id", "level", "next", "to"))
+        if not left.limit(1).count():
+            return reduce(DataFrame.union, settled)
+        loops = left.select("rep", F.col("to").alias("id")).distinct()
+        left = left.select("rep", "id", "level", "next")
+        popped = left.join(loops, ["rep", "id"], "left_semi").withColumn("level", F.col("level") + 1)
+        active = ground(left.join(loops, ["rep", "id"], "left_anti").unionByName(arrows(popped.select("rep", "id", "level"))))
+
+
+def _followed(far: DataFrame) -> DataFrame:
+    """``far`` with ``to`` moved on by pointer doubling to the root, where done, or on to a cycle. Only rows
+    that are not done are joined."""
+    far = ground(far)
+    n = far.where("not done").count()
+    for _ in range(int(np.ceil(np.log2(n + 1))) if n else 0):
+        way = far.select("rep", F.col("id").alias("to"), F.col("to").alias("further"), F.col("done").alias("ends"))
+        step = far.where("not done").join(way, ["rep", "to"]).withColumns({"to": F.col("further"), "done": F.col("ends")})
+        far = ground(far.where("done").unionByName(step.select(*far.columns)))
+    return far
 
 
 def resolve_roots(forest: DataFrame) -> DataFrame:
     """(rep, id, root) from parent pointers (rep, id, next) alone, by pointer doubling."""
-    far = ground(forest.select("rep", "id", F.coalesce("next", "id").alias("to")))
-    while True:
-        new = ground(far.join(far.select("rep", F.col("id").alias("to"), F.col("to").alias("further")), ["rep", "to"]).select("rep", "id", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
-        far = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return far.withColumnRenamed("to", "root")
+    far = _followed(forest.select("rep", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNull().alias("done")))
+    return far.select("rep", "id", F.col("to").alias("root"))
+
+
+def out_neighbors(forest: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, id, neighbors): where the arrows of the vertices (id) lead, an empty list at roots."""
+    return forest.join(ids.select("id"), "id", "left_semi").select("rep", "id", F.array_compact(F.array("next")).alias("neighbors"))
+
+
+def death_thresholds(g: Graph, forest: DataFrame, seed: int = 0) -> DataFrame:
+    """(rep, id, q_star): for each root of a forest sampled with ``seed`` the value u / (1 - u) * degree of q below
+    which, going down, it stops being one."""
+    u = uniform("u", seed, F.col("rep"), F.col("id"), F.col("level"))
+    return forest.where("next is null").join(g.degree(), "id").select("rep", "id", (u / (1 - u) * F.col("d")).alias("q_star"))
 
 
 def spanning_tree(g: Graph, root: int | None = None, reps: int = 1, seed: int = 0, force: bool = False) -> DataFrame:
@@ -162,7 +210,7 @@ def spanning_tree(g: Graph, root: int | None = None, reps: int = 1, seed: int =
             raise ValueError("the graph is not connected")
         g = Graph(inside, g.edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi"))
     only = g.vertices.select("id", F.when(F.col("id") == root, 1e300).otherwise(0.0).alias("q"))
-    return random_forest(g, only, reps, seed, check=False).drop("q_index")
+    return random_forest(g, only, reps, seed, check=False).drop("q_index", "level")
 
 
 def nroots(forest: DataFrame) -> DataFrame:

@@ -67,6 +67,8 @@ def conjugate_gradients(g: Graph, rate: DataFrame, y: DataFrame, tol: float = 1e
         beta = column({k: new[k] / rz[k] if rz[k] else 0.0 for k in rz})
         state = ground(state.withColumn("p", F.col("r") / F.col("dq") + beta * F.col("p")).drop("ap"))
         rz = new
+    else:
+        raise RuntimeError(f"conjugate gradients did not settle in {max_rounds} rounds")
     return state.select("id", "k", "x")
 
 

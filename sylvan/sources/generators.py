@@ -1,11 +1,11 @@
-"""Generated graphs. All but the preferential one are declared; ids start at 0."""
+"""Generated graphs; ids start at 0."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.functions.rng import uniform, uniform_py
+from sylvan.functions.rng import uniform
 from sylvan.sources.graph import Graph
 
 #: Bull graph and Tutte graph as edge lists (fixed values).
@@ -52,17 +52,31 @@ def listed(spark: SparkSession, edges: list[tuple[int, int]]) -> Graph:
 
 
 def _pairs(spark: SparkSession, n: int) -> DataFrame:
-    """All unordered pairs a < b: pair number k belongs to b with b (b - 1) / 2 <= k."""
-    k = F.col("id")
+    """All unordered pairs a < b."""
+    return spark.range(n * (n - 1) // 2).select(*_numbered(F.col("id")))
+
+
+def _numbered(k):
+    """The pair (a, b), a < b, of number k: b has b (b - 1) / 2 <= k."""
     b = F.floor((1 + F.sqrt(8.0 * k + 1)) / 2).cast("long")
     b = F.when(b * (b - 1) / 2 > k, b - 1).otherwise(b)
-    return spark.range(n * (n - 1) // 2).select(b.alias("b"), k.alias("k")).select((F.col("k") - F.col("b") * (F.col("b") - 1) / 2).cast("long").alias("a"), "b")
+    return (k - b * (b - 1) / 2).cast("long").alias("a"), b.alias("b")
 
 
 def erdos_renyi(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
-    """Exactly m of the pairs, those with the smallest draws."""
-    edges = _pairs(spark, n).withColumn("u", uniform("er", seed, F.col("a"), F.col("b"))).orderBy("u", "a", "b").limit(m)
-    return Graph.from_edges(edges.select("a", "b"), spark.range(n))
+    """Exactly m pairs: the first m different ones of a sequence of drawn pair numbers. For more than half of
+    all pairs the ones left out are drawn."""
+    total = n * (n - 1) // 2
+    want, drawn = min(m, total - m), 0
+    while True:
+        drawn = max(2 * drawn, 2 * want + 64)
+        firsts = spark.range(drawn).select(F.floor(uniform("er", seed, F.col("id")) * total).alias("k"), "id").groupBy("k").agg(F.min("id").alias("first"))
+        if not want or firsts.count() >= want:
+            break
+    kept = firsts.orderBy("first").limit(want).select("k")
+    if want < m:
+        kept = spark.range(total).withColumnRenamed("id", "k").join(kept, "k", "left_anti")
+    return Graph.from_edges(kept.select(*_numbered(F.col("k"))), spark.range(n))
 
 
 def random_weighted(spark: SparkSession, n: int, density: float, seed: int = 0) -> Graph:
@@ -72,15 +86,21 @@ def random_weighted(spark: SparkSession, n: int, density: float, seed: int = 0)
 
 
 def preferential(spark: SparkSession, n: int, k: int, seed: int = 0) -> Graph:
-    """Each vertex from k on joins k earlier ones with chances as their degrees. Sequential by
-    definition, so it is made as one list; for test graphs."""
-    ends, edges = list(range(k)), []
-    for v in range(k, n):
-        chosen: set[int] = set()
-        t = 0
-        while len(chosen) < k:
-            chosen.add(ends[int(uniform_py("ba", seed, v, t) * len(ends))])
-            t += 1
-        edges += [(u, v) for u in sorted(chosen)]
-        ends += [x for u in chosen for x in (u, v)]
-    return Graph.from_edges(spark.createDataFrame(edges, "a long, b long"), spark.range(n))
+    """Each vertex from k on joins up to k earlier ones with chances as their degrees: it takes the ends of
+    edges made before it. An end that was itself taken from an edge points back at that edge, so all
+    ends are found together by following pointers (Batagelj and Brandes, 2005). The first such
+    vertex joins all k before it; a vertex that takes another twice joins it once."""
+    from sylvan.plans.ground import ground
+
+    made = spark.range((n - k) * k).select(F.col("id").alias("edge"), (k + F.floor(F.col("id") / k)).alias("v"))
+    # end 2e of edge e is its vertex v, end 2e + 1 what it took
+    at = F.floor(uniform("ba", seed, F.col("edge")) * (2 * k * F.floor(F.col("edge") / k))).cast("long")
+    ends = made.withColumn("at", F.when(F.col("edge") >= k, at))
+    vertex = lambda end: k + F.floor(F.floor(end / 2) / k)
+    ends = ends.withColumns({"took": F.when(F.col("edge") < k, F.col("edge")).when(F.col("at") % 2 == 0, vertex(F.col("at"))), "back": F.when(F.col("at") % 2 == 1, F.floor(F.col("at") / 2))})
+    ends = ground(ends.select("edge", "v", "took", "back"))
+    while ends.where("took is null").limit(1).count():
+        way = ends.select(F.col("edge").alias("back"), F.col("took").alias("took2"), F.col("back").alias("back2"))
+        step = ends.where("took is null").join(way, "back").select("edge", "v", F.col("took2").alias("took"), F.col("back2").alias("back"))
+        ends = ground(ends.where("took is not null").unionByName(step))
+    return Graph.from_edges(ends.select(F.col("took").alias("a"), F.col("v").alias("b")).distinct(), spark.range(n))

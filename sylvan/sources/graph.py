@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Edges, in both directions, up to which a graph may be handed to every task.
+#: Edges, in both directions, and vertices up to which a graph may be handed to every task.
 LOCAL_EDGES = 4_000_000
 
 
@@ -75,9 +75,9 @@ class Graph:
         """(ids, offsets, targets, cumulative weights, degrees) as arrays, for graphs of at most LOCAL_EDGES edges."""
         import numpy as np
 
-        n = self.edges.count()
+        n = max(self.edges.count(), self.vertices.count())
         if n > LOCAL_EDGES:
-            raise ValueError(f"{n} edges are too many to hand to every task; use the distributed sampler")
+            raise ValueError(f"{n} edges or vertices are too many to hand to every task; use the distributed sampler")
         ids = np.sort(self.vertices.toPandas()["id"].to_numpy(np.int64))
         e = self.edges.toPandas().sort_values(["src", "dst"])
         src, dst, w = np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64)), e["weight"].to_numpy(float)

@@ -17,7 +17,6 @@ from sylvan.plans.ground import ground
 from sylvan.sources import generators as gen
 from sylvan.sources import tables
 from sylvan.sources.graph import Graph
-from sylvan.streaming.edges import windowed_edges
 
 
 def dense(g):
@@ -239,13 +238,3 @@ def test_sources(spark, tmp_path):
     g = Graph.from_coo(spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (1, 1, 9.0), (2, 2, 0.0)], "i long, j long, v double"))
     assert g.nv() == 3 and g.ne() == 1 and "Graph" in repr(g) and not g.is_directed
     assert connectivity.is_connected(gen.erdos_renyi(spark, 20, 120, 1))
-
-
-def test_streamed_edges(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.createDataFrame([("2024-01-01 10:00:00", 1, 2), ("2024-01-01 11:00:00", 2, 1), ("2024-01-03 00:00:00", 3, 4)], "t string, a long, b long").selectExpr("cast(t as timestamp) ts", "a", "b").write.parquet(src)
-    stream = spark.readStream.schema("ts timestamp, a long, b long").parquet(src)
-    q = windowed_edges(stream).writeStream.format("memory").queryName("edges_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [(r.a, r.b, r.weight) for r in spark.sql("select * from edges_out").collect()] == [(1, 2, 2)]
