@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from sylvan.queries import GRID, NM, Q, REPS, RUNS, SEED
+from sylvan.sources.generators import BULL, TUTTE
 
 
 def _u(tag: str, *key: str) -> str:
@@ -163,6 +166,23 @@ _LEVEL1 = (
     "\nxpart as (select id, dense_rank() over (order by root) as part from xforest)",
 )
 
+_ALIAS = """
+sh as (
+  select src, dst, weight * count(*) over (partition by src) / sum(weight) over (partition by src) as share, row_number() over (partition by src order by dst) - 1 as slot from e),
+cl as (
+  select *, share >= 1 as rich, coalesce(sum(abs(share - 1)) over (partition by src, share >= 1 order by dst rows between unbounded preceding and 1 preceding), 0) as lo from sh),
+ps as (
+  select *, round(lo, 9) as s, round(lo + abs(share - 1), 9) as t from cl),
+giver as (
+  select a.src, a.dst, arg_max(b.dst, (b.s, b.dst)) as giver from ps a join ps b on a.src = b.src and not a.rich and b.rich and b.s <= a.s group by 1, 2),
+reach as (
+  select a.src, a.dst, min(b.t) as reached, (select min(c.dst) from ps c where c.src = a.src and c.rich and c.dst > a.dst) as next_rich
+  from ps a join ps b on a.src = b.src and a.rich and not b.rich and b.t >= a.t group by 1, 2),
+al as (
+  select ps.src, slot::int as slot, ps.dst,
+    case when not rich then share when next_rich is not null and reached > t then 1 + t - reached else 1.0 end as prob,
+    case when not rich then coalesce(giver, ps.dst) when next_rich is not null and reached > t then next_rich else ps.dst end as alias
+  from ps left join giver on giver.src = ps.src and giver.dst = ps.dst left join reach on reach.src = ps.src and reach.dst = ps.dst)"""
 _DRAWS = "\ndr as (select draw::int as draw, id from range(20) t(draw), v)"
 _Z = "\nz as (select rep, part, k, avg(y) as z, sum(y) as s from part join y on part.id = y.id group by 1, 2, 3)"
 _EST2 = f"\nest as (select part.id, k, sum(z) / {REPS} as x from part join z on part.rep = z.rep and part.part = z.part group by 1, 2)"
@@ -177,6 +197,36 @@ def times(name: str, s: str) -> str:
 _LX = times("lx", "s")
 
 
+def _multigrid() -> str:
+    """Two cycles on a path of 64: a gradient step, the residual's correction on the path of 32 (by Jacobi), added."""
+    alpha, q, parts = 0.6, 0.5, []
+    for n, name in ((64, "a"), (32, "b")):
+        parts.append(f"""
+{name}e as (select i as src, i + 1 as dst, 1.0::double as weight from range({n - 1}) t(i) union all select i + 1, i, 1.0::double from range({n - 1}) t(i)),
+{name}d as (select src as id, sum(weight) as d from {name}e group by 1)""")
+    parts.append("\ny as (select i as id, case when i < 32 then 1.0 else -1.0 end::double as y from range(64) t(i)),\nx0 as (select id, y as x from y)")
+    lap = lambda x: f"(select s.id, d.d * s.x - sum(e.weight * o.x) as lx from {x} s join ad d on d.id = s.id join ae e on e.src = s.id join {x} o on o.id = e.dst group by s.id, d.d, s.x)"
+    for k in (1, 2):
+        parts.append(f"""
+g{k} as (select s.id, s.x - {alpha} * (l.lx + {q} * (s.x - y.y)) / d.d as x from x{k - 1} s join y on y.id = s.id join ad d on d.id = s.id join {lap(f"x{k - 1}")} l on l.id = s.id),
+r{k} as (select s.id // 2 as id, 0 as k, sum({q} * (y.y - s.x) - l.lx) / {2 * q} as y from g{k} s join y on y.id = s.id join {lap(f"g{k}")} l on l.id = s.id group by 1)""")
+        parts.append(jacobi(f"{2 * q}", 150, "be", "bd", f"r{k}", f"j{k}"))
+        parts.append(f"\nx{k} as (select g.id, g.x + j.x as x from g{k} g join j{k} j on j.id = g.id // 2 and j.t = 150)")
+    return "with recursive " + ",".join(parts) + "\nselect id, round(x, 6) as x from x2"
+
+
+_CYCLE = """
+v as (select id from range(12) t(id)),
+e as (select id as src, (id + 1) % 12 as dst, 1.0::double as weight from v union all select (id + 1) % 12, id, 1.0::double from v)"""
+_CHECK_GRID = [float(x) for x in np.geomspace(2.0 / 100, 2 * 2.0, 5)]
+_SMALL = {
+    "cycle": [(k, (k + 1) % 5) for k in range(5)],
+    "wheel": [(0, k) for k in range(1, 9)] + [(k, k % 8 + 1) for k in range(1, 9)],
+    "bull": BULL,
+    "tutte": TUTTE,
+}
+
+
 def _path(n: int, level: int) -> str:
     return f"select {level} as level, i as src, i + 1 as dst, 1.0::double as weight from range({n - 1}) t(i) union all select {level}, i + 1, i, 1.0::double from range({n - 1}) t(i)"
 
@@ -198,6 +248,14 @@ SQL = {
         select=f"select draw, dr.id, dst as next from dr join deg on deg.id = dr.id left join cum on cum.src = dr.id and lo <= {_u('v', str(SEED), 'draw', 'dr.id')} * d and {_u('v', str(SEED), 'draw', 'dr.id')} * d < hi",
     ),
     "alias_table": sql(TRADE, BASE, select="select src, dst, round(weight / d, 9) as p from e join deg on deg.id = e.src"),
+    "alias_slots": sql(TRADE, _ALIAS, select="select src, slot, dst, round(prob, 6) as prob, alias from al"),
+    "alias_draw": sql(
+        TRADE, _ALIAS, _DRAWS, "\nnn as (select src, count(*) as n from e group by 1)",
+        select=f"select draw, id, case when {_u('a', str(SEED), 'draw', 'id')} < prob then al.dst else alias end as next from dr join nn on nn.src = id join al on al.src = id and al.slot = floor({_u('s', str(SEED), 'draw', 'id')} * n)::int",
+    ),
+    "coupled_grid_distributed": sql(TRADE, BASE, forest(grid_rate(), 2, 5), select="select rep, qi as q_index, id, next, root from forest"),
+    "death_thresholds": sql(*TREES, select=f"select rep, t.id, round({_u('u', str(SEED), 'rep', 't.id', 'level')} / (1 - {_u('u', str(SEED), 'rep', 't.id', 'level')}) * d, 6) as q_star from top t join deg on deg.id = t.id where nxt is null"),
+    "forest_out_neighbors": sql(*TREES, select="select rep, id, coalesce(next::varchar, '') as neighbors from forest where id < 10"),
     "random_forest": sql(FLOW, BASE, forest(rate("20.0"), 2, 8), select=_FOREST_COLS),
     "random_forest_part_supplier": sql(PARTS, BASE, forest(rate("20.0"), 2, 12), select=_FOREST_COLS),
     "random_forest_distributed": sql(*TREES, select=_FOREST_COLS),
@@ -240,7 +298,7 @@ SQL = {
     ),
     "objective": sql(
         TRADE, BASE, SIGNAL,
-        select=f"select 0 as k, round({Q / 2} * (select sum(y * y / 4) from y) + (select sum(weight * (a.y - b.y) * (a.y - b.y) / 4) from e join y a on a.id = src join y b on b.id = dst where src < dst) / 2, 1) as cost",
+        select=f"select 0 as k, round(({Q / 2} * (select sum(y * y / 4) from y) + (select sum(weight * (a.y - b.y) * (a.y - b.y) / 4) from e join y a on a.id = src join y b on b.id = dst where src < dst) / 2) / 1e6, 6) as cost",
     ),
     "grad_step": sql(
         TRADE, BASE, SIGNAL, "\ns0 as (select id, y as x from y)", times("l0", "s0"),
@@ -272,6 +330,40 @@ with half as (
   select i as a, i - i % 5 + (i + 1) % 5 as b from range(20) t(i) union all select i, (i + 5) % 20 from range(20) t(i))
 select a as src, b as dst, 1.0::double as weight from half union all select b, a, 1.0::double from half
 """,
+    "image_signal": "select ((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1)::bigint as id, 0 as k, count(*)::double as y from orders group by 1",
+    "from_adjacency": sql(TRADE, select="select src, dst, weight from e union all select id, -1, 0.0 from v"),
+    "small_graphs": "select * from (" + " union all ".join(f"select '{name}' as name, * from (values {', '.join(f'({a}::bigint, {b}::bigint, 1.0::double), ({b}::bigint, {a}::bigint, 1.0::double)' for a, b in pairs)}) t(src, dst, weight)" for name, pairs in _SMALL.items()) + ")",
+    "erdos_renyi": f"""
+with k as (select floor({_u('er', str(SEED), 'i')} * 1770)::bigint as k, min(i) as first from range(664) t(i) group by 1 order by 2 limit 300),
+p as (select k, list_filter(range(61), lambda b: b * (b - 1) // 2 <= k)[-1] as b from k),
+h as (select k - b * (b - 1) // 2 as a, b from p)
+select a as src, b as dst, 1.0::double as weight from h union all select b, a, 1.0::double from h
+""",
+    "barabasi_albert": f"""
+with recursive m as (
+  select i as edge, 3 + i // 3 as v, case when i >= 3 then floor({_u('ba', str(SEED), 'i')} * (6 * (i // 3)))::bigint end as pos from range(591) t(i)),
+f as (
+  select edge, v, case when edge < 3 then edge when pos % 2 = 0 then 3 + (pos // 2) // 3 end as took, case when pos % 2 = 1 then pos // 2 end as back from m
+  union all
+  select f.edge, f.v, case when m.edge < 3 then m.edge when m.pos % 2 = 0 then 3 + (m.pos // 2) // 3 end, case when m.pos % 2 = 1 then m.pos // 2 end
+  from f join m on m.edge = f.back where f.took is null),
+h as (select distinct took as a, v as b from f where took is not null)
+select a as src, b as dst, 1.0::double as weight from h union all select b, a, 1.0::double from h
+""",
+    "random_weighted_graph": f"""
+with h as (
+  select a.i as a, b.i as b, case when {_u('in1', str(SEED), 'a.i', 'b.i')} < 0.5 then {_u('w1', str(SEED), 'a.i', 'b.i')} else 0 end + case when {_u('in2', str(SEED), 'a.i', 'b.i')} < 0.5 then {_u('w2', str(SEED), 'a.i', 'b.i')} else 0 end as w
+  from range(12) a(i) join range(12) b(i) on a.i < b.i)
+select a as src, b as dst, round(w, 6) as weight from h where w > 0 union all select b, a, round(w, 6) from h where w > 0
+""",
+    "multigrid": _multigrid(),
+    "first_moment_check": sql(
+        _CYCLE, BASE, forest(" union all ".join(f"select {k} as qi, id, {q!r}::double as q, '{SEED}' as sd from v" for k, q in enumerate(_CHECK_GRID)), 10, 4),
+        "\nc as (select qi, rep, count(*) filter (id = root)::double as value from forest group by 1, 2)",
+        "\nev as (select 2 - 2 * cos(2 * pi() * id / 12) as l from v)",
+        "\ntr as (select qi, q, sum(q / (q + l)) as true_mean, sum(q / (q + l) * (1 - q / (q + l))) as true_var from (select distinct qi, q from rate), ev group by 1, 2)",
+        select="select round(q, 6) as q, rep as mc, round(avg(value) over w, 6) as mean, round(var_samp(value) over w, 6) as var, round(true_mean, 6) as true_mean, round(true_var, 6) as true_var from c join tr on tr.qi = c.qi window w as (partition by c.qi order by rep rows between unbounded preceding and current row)",
+    ),
     "erdos_renyi_size": "select 60::bigint as nv, 300::bigint as ne",
     "self_roots": sql(
         *TREES, select="select count(*) filter (a.id = d.root) as n_self from forest a join forest b on b.rep = 1 and b.id = a.root join forest c on c.rep = 2 and c.id = b.root join forest d on d.rep = 3 and d.id = c.root where a.rep = 0"

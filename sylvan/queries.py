@@ -113,6 +113,11 @@ def alias_table(spark, sf):
     return draws.alias_shares(draws.alias_preprocess(trade(spark, sf))).select("src", "dst", F.round("p", 9).alias("p"))
 
 
+@query
+def alias_slots(spark, sf):
+    return rounded(draws.alias_preprocess(trade(spark, sf)), "prob")
+
+
 @query
 def alias_draw(spark, sf):
     g = trade(spark, sf)
@@ -136,6 +141,22 @@ def random_forest_distributed(spark, sf):
     return forest.random_forest_distributed(trade(spark, sf), Q, REPS, SEED).select("rep", "id", "next", "root")
 
 
+@query
+def coupled_grid_distributed(spark, sf):
+    return forest.random_forest_distributed(trade(spark, sf), None, 2, SEED, grid=GRID).select("rep", "q_index", "id", "next", "root")
+
+
+@query
+def death_thresholds(spark, sf):
+    return rounded(forest.death_thresholds(*forests(spark, sf), SEED), "q_star")
+
+
+@query
+def forest_out_neighbors(spark, sf):
+    g, f = forests(spark, sf)
+    return forest.out_neighbors(f, g.vertices.where("id < 10")).select("rep", "id", F.array_join("neighbors", ",").alias("neighbors"))
+
+
 @query
 def random_forest_vector_q(spark, sf):
     g = trade(spark, sf)
@@ -272,7 +293,7 @@ def sure(spark, sf):
 @query
 def objective(spark, sf):
     y = signal(spark, sf)
-    return smoothing.objective(trade(spark, sf), Q, y, y.select("id", "k", (F.col("y") / 2).alias("x"))).select("k", F.round("cost", 1).alias("cost"))
+    return smoothing.objective(trade(spark, sf), Q, y, y.select("id", "k", (F.col("y") / 2).alias("x"))).select("k", F.round(F.col("cost") / 1e6, DIGITS).alias("cost"))
 
 
 @query
@@ -354,6 +375,47 @@ def lattice_edges(spark, sf):
     return generators.lattice(spark, 5, 4, periodic=True).edges
 
 
+@query
+def image_signal(spark, sf):
+    """Orders by month (rows) and year (columns) as an image."""
+    o = tables.table(spark, sf, "orders").groupBy((F.month("o_orderdate") - 1).alias("row"), (F.year("o_orderdate") - 1992).alias("col")).agg(F.count("*").alias("value"))
+    return tables.image_signal(o, 12)
+
+
+@query
+def from_adjacency(spark, sf):
+    """The trade graph from its adjacency matrix with zeros and a diagonal: edges and all vertices."""
+    g = trade(spark, sf)
+    matrix = g.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v")).union(g.vertices.select("id", "id", F.lit(7.0))).union(g.vertices.select("id", (F.col("id") + 1) % 25, F.lit(0.0)))
+    a = Graph.from_coo(matrix)
+    return a.edges.union(a.vertices.select("id", F.lit(-1).cast("long"), F.lit(0.0)))
+
+
+@query
+def small_graphs(spark, sf):
+    made = {"cycle": generators.cycle(spark, 5), "wheel": generators.wheel(spark, 9), "bull": generators.listed(spark, generators.BULL), "tutte": generators.listed(spark, generators.TUTTE)}
+    out = None
+    for name, g in made.items():
+        e = g.edges.select(F.lit(name).alias("name"), "src", "dst", "weight")
+        out = e if out is None else out.union(e)
+    return out
+
+
+@query
+def erdos_renyi(spark, sf):
+    return generators.erdos_renyi(spark, 60, 300, SEED).edges
+
+
+@query
+def barabasi_albert(spark, sf):
+    return generators.preferential(spark, 200, 3, SEED).edges
+
+
+@query
+def random_weighted_graph(spark, sf):
+    return rounded(generators.random_weighted(spark, 12, 0.5, SEED).edges, "weight")
+
+
 @query
 def erdos_renyi_size(spark, sf):
     g = generators.erdos_renyi(spark, 60, 300, SEED)
@@ -404,7 +466,8 @@ def mc_running_stats(spark, sf):
 
 @query
 def first_moment_check(spark, sf):
-    return rounded(moments.first_moment_check(trade(spark, sf), 10, seed=SEED), "mean", "var")
+    """On a cycle, whose eigenvalues are 2 - 2 cos(2 pi k / n)."""
+    return rounded(moments.first_moment_check(generators.cycle(spark, 12), 10, seed=SEED), "q", "mean", "var", "true_mean", "true_var")
 
 
 @query

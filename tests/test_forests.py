@@ -238,3 +238,39 @@ def test_sources(spark, tmp_path):
     g = Graph.from_coo(spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (1, 1, 9.0), (2, 2, 0.0)], "i long, j long, v double"))
     assert g.nv() == 3 and g.ne() == 1 and "Graph" in repr(g) and not g.is_directed
     assert connectivity.is_connected(gen.erdos_renyi(spark, 20, 120, 1))
+
+
+FAMILIES = {
+    "sparse": lambda s: gen.erdos_renyi(s, 40, 75, 2),
+    "dense": lambda s: gen.erdos_renyi(s, 40, 600, 2),
+    "preferential": lambda s: gen.preferential(s, 40, 4, 2),
+    "periodic": lambda s: gen.lattice(s, 10, 4, periodic=True),
+}
+
+
+@pytest.mark.parametrize("name", FAMILIES)
+def test_coupled_moments_of_four_families(spark, name):
+    """Moments on a log-spaced grid against eigenvalues, within the variance that is reported."""
+    g = FAMILIES[name](spark)
+    g = Graph(ground(g.vertices), ground(g.edges))
+    d = [r.d for r in g.degree().collect()]
+    grid = np.geomspace(np.mean(d) / 100, 2 * max(d), 4).tolist()
+    truth = {(round(r.q, 9), r.k): r.y for r in moments.true_moments(moments.eigenvalues(g), grid, 3).collect()}
+    for r in moments.collect_moments(g, grid, 3, 150, "standard", 4).collect():
+        assert abs(r.y - truth[round(r.q, 9), r.k]) < 5 * math.sqrt(r["var"]) + 0.01, (r.q, r.k)
+
+
+def test_grids_by_joins_equal_the_local_ones(spark):
+    g = gen.random_weighted(spark, 12, 0.6, 3)
+    g = Graph(ground(g.vertices), ground(g.edges))
+    for own in (False, True):
+        a = forest.random_forest(g, None, 2, 7, grid=[0.1, 2.0, 0.5], moment_seeds=own)
+        b = forest.random_forest_distributed(g, None, 2, 7, grid=[0.1, 2.0, 0.5], moment_seeds=own)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_erdos_renyi_and_preferential_sizes(spark):
+    for m in (0, 5, 44, 45):
+        assert gen.erdos_renyi(spark, 10, m, 3).ne() == m
+    g = gen.preferential(spark, 50, 2, 5)
+    assert connectivity.is_connected(g) and 48 < g.ne() <= 96

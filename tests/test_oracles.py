@@ -6,7 +6,7 @@ import pytest
 from sylvan.oracles import SQL
 from sylvan.queries import QUERIES
 
-#: Not SQL, or only true at scales where every vertex has an edge.
+#: Every query with SQL.
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMALL_ENOUGH = [n for n in QUERIES if n in SQL]
 
