@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 from sylvan.operators.forest import random_forest
 from sylvan.sources.graph import Graph
 
-#: Combinations of forests double with each more, so their number is bounded.
-MAX_MOMENTS = 8
 #: Names of algorithms. All coupled ones give the same law and here the same forests.
 COUPLED = ("standard", "standard_pq", "leaves", "leaves_pq")
 
@@ -29,9 +27,8 @@ def self_roots(forests: DataFrame) -> DataFrame:
 
 def n_self_roots(maps: DataFrame, nm: int) -> DataFrame:
     """(run, q_index, k, count): fixed points of the compositions of all k-subsets, in increasing order, of
-    nm root maps (run, m, q_index, id, root), divided by the number of subsets."""
-    if nm > MAX_MOMENTS:
-        raise ValueError(f"at most {MAX_MOMENTS} moments")
+    nm root maps (run, m, q_index, id, root), divided by the number of subsets. Their number, and with it
+    the rows of the joins, doubles with each further map."""
     chain = maps.select("run", "q_index", F.col("m").alias("last"), "id", F.col("root").alias("at"))
     out = None
     for k in range(1, nm + 1):

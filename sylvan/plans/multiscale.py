@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sylvan.operators import partition as parts
 from sylvan.operators.forest import random_forest
 from sylvan.plans.ground import ground
-from sylvan.plans.smoothing import gradient_step, residual, rf_smoother, smooth
+from sylvan.plans.smoothing import DENSE, gradient_step, residual, rf_smoother, smooth, solve_cg
 from sylvan.sources.generators import lattice
 from sylvan.sources.graph import Graph
 
@@ -33,14 +33,22 @@ def smooth_ms_min(g: Graph, p: DataFrame, q: float, y: DataFrame) -> DataFrame:
     return p.join(coef.withColumnRenamed("b", "part"), "part").select("id", "k", F.col("c").alias("x"))
 
 
-def smooth_subspace(g: Graph, basis: DataFrame, q: float, y: DataFrame) -> DataFrame:
-    """(b, k, c): coefficients q (q V'V + V'LV)^-1 V'y for basis entries (id, b, v). The small matrices are sums by
-    pairs of basis vectors that share a vertex or an edge; one task solves them."""
+def smooth_subspace(g: Graph, basis: DataFrame, q: float, y: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(b, k, c): coefficients q (q V'V + V'LV)^-1 V'y for basis entries (id, b, v). The matrices are sums by
+    pairs of basis vectors that share a vertex or an edge. One task solves them for up to ``dense``
+    basis vectors, conjugate gradients for more."""
     one, two = basis.select("id", F.col("b").alias("i"), F.col("v").alias("vi")), basis.select("id", F.col("b").alias("j"), F.col("v").alias("vj"))
     gram = one.join(two, "id").groupBy("i", "j").agg((q * F.sum(F.col("vi") * F.col("vj"))).alias("v"))
     lap = g.laplacian().join(one.select(F.col("id").alias("a"), F.col("i").alias("bi"), "vi"), F.col("i") == F.col("a")).select("j", "bi", F.col("v"), "vi")
     lap = lap.join(two.select(F.col("id").alias("c"), F.col("j").alias("bj"), "vj"), F.col("j") == F.col("c")).groupBy(F.col("bi").alias("i"), F.col("bj").alias("j")).agg(F.sum(F.col("v") * F.col("vi") * F.col("vj")).alias("v"))
     rhs = one.join(y, "id").groupBy("i", "k").agg((q * F.sum(F.col("vi") * F.col("y"))).alias("v"))
+    if basis.select("b").distinct().limit(dense + 1).count() > dense:
+        matrix = ground(gram.union(lap).groupBy("i", "j").agg(F.sum("v").alias("v")))
+        diag = matrix.where("i = j").select("i", F.col("v").alias("diag"))
+        full = diag.crossJoin(rhs.select("k").distinct()).join(rhs, ["i", "k"], "left")
+        off = matrix.where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"), "v")
+        found = solve_cg(off, full.select(F.col("i").alias("id"), "k", "diag", F.coalesce("v", F.lit(0.0)).alias("b")))
+        return found.select(F.col("id").alias("b"), "k", F.col("x").alias("c"))
     rows = gram.union(lap).select(F.lit(0).alias("what"), "i", "j", "v").union(rhs.select(F.lit(1), "i", F.col("k").cast(gram.schema["j"].dataType), "v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

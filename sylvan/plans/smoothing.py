@@ -44,32 +44,37 @@ def smooth(g: Graph, q, y: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def conjugate_gradients(g: Graph, rate: DataFrame, y: DataFrame, tol: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
-    """The same by conjugate gradients with the diagonal as preconditioner, all k at once. Vectors stay
-    tables; only the step sizes, a row for each k, come to the driver."""
-    edges = ground(g.edges)
-    diag = ground(g.degree().join(rate, "id").select("id", "q", (F.col("d") + F.col("q")).alias("dq")))
-    full = diag.crossJoin(F.broadcast(y.select("k").distinct())).join(y, ["id", "k"], "left")
-    b = F.col("q") * F.coalesce("y", F.lit(0.0))
-    state = ground(full.select("id", "k", "dq", F.lit(0.0).alias("x"), b.alias("r"), (b / F.col("dq")).alias("p")))
-    totals = lambda c: F.sum(c)
-    rz = {r["k"]: r["v"] for r in state.groupBy("k").agg(totals(F.col("r") * F.col("r") / F.col("dq")).alias("v")).collect()}
-    start = {k: max(v, 1e-300) for k, v in rz.items()}
+    """The same by conjugate gradients, all k at once."""
+    diag = ground(g.degree().join(rate, "id").select("id", "q", (F.col("d") + F.col("q")).alias("diag")))
+    full = diag.crossJoin(y.select("k").distinct()).join(y, ["id", "k"], "left")
+    return solve_cg(g.edges.select("src", "dst", (-F.col("weight")).alias("v")), full.select("id", "k", "diag", (F.col("q") * F.coalesce("y", F.lit(0.0))).alias("b")), tol, max_rounds)
+
+
+def solve_cg(off: DataFrame, system: DataFrame, tol: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
+    """(id, k, x) of A x = b for every k, by conjugate gradients with the diagonal as preconditioner. ``off``
+    (src, dst, v) is the symmetric positive matrix without its diagonal, ``system`` (id, k, diag, b) the
+    rest. Vectors stay tables; only the step sizes, a row for each k, come to the driver. Raises if it
+    does not settle."""
+    off = ground(off)
+    start = F.col("b") / F.col("diag")
+    state = ground(system.select("id", "k", "diag", F.lit(0.0).alias("x"), F.col("b").alias("r"), start.alias("p")))
+    squares = lambda df: {r["k"]: r["v"] for r in df.groupBy("k").agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("v")).collect()}
+    rz = squares(state)
+    first = {k: max(v, 1e-300) for k, v in rz.items()}
     column = lambda values: F.create_map(*[F.lit(v) for k, x in values.items() for v in (k, float(x))])[F.col("k")] if values else F.lit(0.0)
     for _ in range(max_rounds):
-        if all(rz[k] <= tol**2 * start[k] for k in rz):
-            break
-        wp = edges.join(state.select(F.col("id").alias("dst"), "k", F.col("p").alias("pp")), "dst").groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("weight") * F.col("pp")).alias("wp"))
-        state = ground(state.join(wp, ["id", "k"], "left").withColumn("ap", F.col("dq") * F.col("p") - F.coalesce("wp", F.lit(0.0))).drop("wp"))
-        pap = {r["k"]: r["v"] for r in state.groupBy("k").agg(totals(F.col("p") * F.col("ap")).alias("v")).collect()}
+        if all(rz[k] <= tol**2 * first[k] for k in rz):
+            return state.select("id", "k", "x")
+        ap = off.join(state.select(F.col("id").alias("dst"), "k", F.col("p").alias("pp")), "dst").groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("v") * F.col("pp")).alias("ap"))
+        state = ground(state.join(ap, ["id", "k"], "left").withColumn("ap", F.col("diag") * F.col("p") + F.coalesce("ap", F.lit(0.0))))
+        pap = {r["k"]: r["v"] for r in state.groupBy("k").agg(F.sum(F.col("p") * F.col("ap")).alias("v")).collect()}
         alpha = column({k: rz[k] / pap[k] if pap[k] else 0.0 for k in rz})
         state = state.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
-        new = {r["k"]: r["v"] for r in state.groupBy("k").agg(totals(F.col("r") * F.col("r") / F.col("dq")).alias("v")).collect()}
+        new = squares(state)
         beta = column({k: new[k] / rz[k] if rz[k] else 0.0 for k in rz})
-        state = ground(state.withColumn("p", F.col("r") / F.col("dq") + beta * F.col("p")).drop("ap"))
+        state = ground(state.withColumn("p", F.col("r") / F.col("diag") + beta * F.col("p")).drop("ap"))
         rz = new
-    else:
-        raise RuntimeError(f"conjugate gradients did not settle in {max_rounds} rounds")
-    return state.select("id", "k", "x")
+    raise RuntimeError(f"conjugate gradients did not settle in {max_rounds} rounds")
 
 
 def smooth_rf(g: Graph, q, y: DataFrame, reps: int = 10, variant: int = 1, mean_correction: bool = False, seed: int = 0, forests: DataFrame | None = None) -> DataFrame:
@@ -89,7 +94,7 @@ def smooth_rf(g: Graph, q, y: DataFrame, reps: int = 10, variant: int = 1, mean_
     shift = est.join(w, "id").groupBy("k").agg(F.sum(F.col("q") * F.col("x")).alias("sx"))
     aim = y.join(w, "id").groupBy("k").agg(F.sum(F.col("q") * F.col("y")).alias("sy"))
     both = shift.join(aim, "k").crossJoin(w.agg(F.sum("q").alias("sq"))).select("k", ((F.col("sy") - F.col("sx")) / F.col("sq")).alias("by"))
-    return est.join(F.broadcast(both), "k").select("id", "k", (F.col("x") + F.col("by")).alias("x"))
+    return est.join(both, "k").select("id", "k", (F.col("x") + F.col("by")).alias("x"))
 
 
 def mean_roots(forests: DataFrame) -> DataFrame:

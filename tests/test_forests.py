@@ -261,11 +261,11 @@ def test_coupled_moments_of_four_families(spark, name):
 
 
 def test_grids_by_joins_equal_the_local_ones(spark):
-    g = gen.random_weighted(spark, 12, 0.6, 3)
+    g = gen.random_weighted(spark, 8, 0.6, 3)
     g = Graph(ground(g.vertices), ground(g.edges))
     for own in (False, True):
-        a = forest.random_forest(g, None, 2, 7, grid=[0.1, 2.0, 0.5], moment_seeds=own)
-        b = forest.random_forest_distributed(g, None, 2, 7, grid=[0.1, 2.0, 0.5], moment_seeds=own)
+        a = forest.random_forest(g, None, 1, 7, grid=[0.7, 3.0], moment_seeds=own)
+        b = forest.random_forest_distributed(g, None, 1, 7, grid=[0.7, 3.0], moment_seeds=own)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
@@ -274,3 +274,19 @@ def test_erdos_renyi_and_preferential_sizes(spark):
         assert gen.erdos_renyi(spark, 10, m, 3).ne() == m
     g = gen.preferential(spark, 50, 2, 5)
     assert connectivity.is_connected(g) and 48 < g.ne() <= 96
+
+
+def test_subspace_by_conjugate_gradients(spark):
+    g = gen.random_weighted(spark, 10, 0.7, 2)
+    g = Graph(ground(g.vertices), ground(g.edges))
+    y = g.vertices.select("id", F.lit(0).alias("k"), uniform("y", 2, F.col("id")).alias("y"))
+    basis = g.vertices.select("id", (F.col("id") % 4).alias("b"), (F.col("id") + 1.0).alias("v"))
+    one, two = ({r.b: r.c for r in multiscale.smooth_subspace(g, basis, 0.7, y, dense).collect()} for dense in (100, 0))
+    assert one.keys() == two.keys() and all(abs(one[b] - two[b]) < 1e-8 for b in one)
+
+
+def test_conjugate_gradients_say_when_they_do_not_settle(spark):
+    g = gen.lattice(spark, 30)
+    y = g.vertices.select("id", F.lit(0).alias("k"), F.col("id").cast("double").alias("y"))
+    with pytest.raises(RuntimeError):
+        smoothing.conjugate_gradients(g, g.vertices.select("id", F.lit(0.01).alias("q")), y, max_rounds=3)
