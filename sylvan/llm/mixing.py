@@ -31,7 +31,7 @@ from .common import SPACES, materialize
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words of a block; hexadecimal digits of a hash range, points of a chunk.
-BLOCK, RANGES, CHUNK = 256, 4, 65536
+BLOCK, RANGES, CHUNK = 256, 3, 65536
 #: Frac(i * PHI) is the i-th point; PHI_STEP is frac(STEP * PHI), which keeps all digits for large i.
 PHI, STEP, PHI_STEP = 0.6180339887498949, 1 << 20, 0.607787409740351
 #: Equal cells that carry the points to the sources' intervals.
