@@ -146,15 +146,17 @@ def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFra
         return drawn.where("dies").select("rep", "id", "level", F.lit(None).cast("long").alias("next")).union(moves.select("rep", "id", "level", F.col("dst").alias("next")))
 
     active, settled = ground(arrows(levels)), []
+    n = active.count()
     while True:
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
         if settled:
             known = reduce(DataFrame.union, settled).select("rep", F.col("id").alias("next"), F.col("root").alias("__root"))
             far = far.join(known, ["rep", "next"], "left").select("rep", "id", "level", "next", F.coalesce("__root", "to").alias("to"), (F.col("done") | F.col("__root").isNotNull()).alias("done"))
-        far = _followed(far)
-        settled.append(ground(far.where("done").select("rep", "id", "level", "next", F.col("to").alias("root"))))
-        left = ground(far.where("not done").select("rep", "id", "level", "next", "to"))
-        if not left.limit(1).count():
+        far = _followed(far, n)
+        settled.append(far.where("done").select("rep", "id", "level", "next", F.col("to").alias("root")))
+        left = far.where("not done")
+        n = left.count()
+        if not n:
             return reduce(DataFrame.union, settled)
         loops = left.select("rep", F.col("to").alias("id")).distinct()
         left = left.select("rep", "id", "level", "next")
@@ -162,21 +164,22 @@ def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFra
         active = ground(left.join(loops, ["rep", "id"], "left_anti").unionByName(arrows(popped.select("rep", "id", "level"))))
 
 
-def _followed(far: DataFrame) -> DataFrame:
-    """``far`` with ``to`` moved on by pointer doubling to the root, where done, or on to a cycle. Only rows
-    that are not done are joined."""
-    far = ground(far)
-    n = far.where("not done").count()
-    for _ in range(int(np.ceil(np.log2(n + 1))) if n else 0):
+def _followed(far: DataFrame, n: int) -> DataFrame:
+    """``far``, of at most ``n`` rows that are not done, with ``to`` moved on by pointer doubling to the root,
+    where done, or on to a cycle. Only rows that are not done are joined, two doublings a table."""
+    far, doublings = ground(far), int(np.ceil(np.log2(n + 1)))
+    for k in range(doublings):
         way = far.select("rep", F.col("id").alias("to"), F.col("to").alias("further"), F.col("done").alias("ends"))
         step = far.where("not done").join(way, ["rep", "to"]).withColumns({"to": F.col("further"), "done": F.col("ends")})
-        far = ground(far.where("done").unionByName(step.select(*far.columns)))
+        far = far.where("done").unionByName(step.select(*far.columns))
+        if k % 2 or k == doublings - 1:
+            far = ground(far)
     return far
 
 
 def resolve_roots(forest: DataFrame) -> DataFrame:
     """(rep, id, root) from parent pointers (rep, id, next) alone, by pointer doubling."""
-    far = _followed(forest.select("rep", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNull().alias("done")))
+    far = _followed(forest.select("rep", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNull().alias("done")), forest.count())
     return far.select("rep", "id", F.col("to").alias("root"))
 
 

@@ -32,6 +32,12 @@ def trade(spark, sf) -> Graph:
     return Graph(g.vertices, ground(g.edges))
 
 
+def stored(g: Graph) -> Graph:
+    """A graph all of whose vertices have edges, from one stored table."""
+    edges = ground(g.edges)
+    return Graph(edges.select(F.col("src").alias("id")).distinct(), edges)
+
+
 def rated(g: Graph) -> DataFrame:
     return g.vertices.select("id", (F.col("id") * 50.0 + 500).alias("q"))
 
@@ -126,14 +132,12 @@ def alias_draw(spark, sf):
 
 @query
 def random_forest(spark, sf):
-    g = tables.user_flow(spark, sf)
-    return forest.random_forest(Graph(g.vertices, ground(g.edges)), 20.0, 2, SEED).select("rep", "id", "next", "root")
+    return forest.random_forest(stored(tables.user_flow(spark, sf)), 20.0, 2, SEED).select("rep", "id", "next", "root")
 
 
 @query
 def random_forest_part_supplier(spark, sf):
-    g = tables.part_supplier(spark, sf)
-    return forest.random_forest(Graph(g.vertices, ground(g.edges)), 20.0, 2, SEED).select("rep", "id", "next", "root")
+    return forest.random_forest(stored(tables.part_supplier(spark, sf)), 20.0, 2, SEED).select("rep", "id", "next", "root")
 
 
 @query

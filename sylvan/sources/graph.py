@@ -78,9 +78,11 @@ class Graph:
         n = max(self.edges.count(), self.vertices.count())
         if n > LOCAL_EDGES:
             raise ValueError(f"{n} edges or vertices are too many to hand to every task; use the distributed sampler")
-        ids = np.sort(self.vertices.toPandas()["id"].to_numpy(np.int64))
-        e = self.edges.toPandas().sort_values(["src", "dst"])
-        src, dst, w = np.searchsorted(ids, e["src"].to_numpy(np.int64)), np.searchsorted(ids, e["dst"].to_numpy(np.int64)), e["weight"].to_numpy(float)
+        ids = np.sort(self.vertices.toArrow()["id"].to_numpy())
+        e = self.edges.select("src", "dst", "weight").toArrow()
+        src, dst, w = (e[c].to_numpy() for c in ("src", "dst", "weight"))
+        order = np.lexsort((dst, src))
+        src, dst, w = np.searchsorted(ids, src[order]), np.searchsorted(ids, dst[order]), w[order]
         offsets = np.searchsorted(src, np.arange(len(ids) + 1))
         cum = np.concatenate([np.cumsum(w[a:b]) for a, b in zip(offsets, offsets[1:])]) if len(w) else w
         deg = np.array([cum[b - 1] if b > a else 0.0 for a, b in zip(offsets, offsets[1:])])
