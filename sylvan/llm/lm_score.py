@@ -11,6 +11,9 @@ position, are Elias-Fano sequences over one byte buffer that is read in place; s
 log-probabilities and backoff weights are 16-bit codes. A query is a successor search for the
 word inside its context's range.
 
+Texts are cut into words once: each batch of documents is stored in the shared folder as its
+distinct words' hashes and a number for each token, and all later passes read that table.
+
 The ``TOP`` most frequent words (a fixed number, found from exact counts over all training
 rows) are broadcast with their counts and travel as 16-bit codes, others as 64-bit hashes.
 Tokens of other words first pass through shards by predicted word, which count them, and then
@@ -19,6 +22,12 @@ a shard is spread by its follower; its total is one of the broadcast counts, and
 that is asked for it keeps its backoff weight, with or without followers there. Rows are packed
 arrays, one for each batch of documents and shard, and per-document sums come back likewise.
 
+A pair of words that alone would fill half a shard does not travel. If it has a share s of all
+tokens, at least s / 2 of all tokens are its occurrences in batches where it makes up s / 2 or
+more: so adding up what is frequent in its own batch finds every such pair, and at most 2 / s
+others with them. Their training counts are then taken exactly, and a trie of these pairs, at
+most twice ``PAIRS``, is broadcast and scores them where they stand.
+
 Rows without doc_id are scored but not learned from; null texts are empty (one end token);
 rows that repeat are learned from and scored as often as they occur; an empty table gives
 an empty table, and a table without training rows scores by the add-``ADD`` prior alone.
@@ -27,6 +36,9 @@ Other input columns are not carried along.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count as counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,18 +52,18 @@ ADD, MU = 0.1, 30.0
 #: Words with a code; codes of the end and of the start; characters of a shard and of a batch; documents of a batch.
 TOP, END, START = 65_000, 65_534, 65_535
 SHARD_CHARS, BATCH_CHARS, BATCH_DOCS = 12_000_000, 8_000_000, 16_384
+#: A pair of words is hot at one part in twice the shards of all tokens, or at one in PAIRS if that is more.
+PAIRS = 1 << 20
 #: Codes are multiples of 1 / SCALE of log10.
 SCALE = 4096
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _TRAIN = np.uint64(1 << 63)
 _ROW = "shard int, batch long, kind int, v binary, w binary, n binary, at binary"
 _PART = "batch long, kind int, at binary, a binary, b binary, c binary"
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words, none of them small enough to be taken for a code."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else ()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | np.uint64(1 << 20)
+_TOKENS = "key long, chars long, tokens long, learned long, docs binary, words binary, at binary"
+_DOC = [("null", bool), ("id", np.int64), ("n", np.int64), ("learn", bool)]
+#: Row groups of the stored tokens: a task holds one of them, not a whole file.
+_ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 
 
 class EliasFano:
@@ -187,25 +199,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Batch:
-    """Some documents: ids, lengths, and their tokens end to end with one end token each."""
-
-    def __init__(self, ids, texts, learn):
-        toks = [tokens(t) for t in texts]
-        self.ids, self.sizes, self.learn = ids, np.array([len(t) + 1 for t in toks], np.int64), np.array(learn, bool)
-        ends = np.cumsum(self.sizes) - 1
-        self.w = np.full(int(self.sizes.sum()), END, np.uint64)
-        inner = np.ones(len(self.w), bool)
-        inner[ends] = False
-        self.w[inner] = np.concatenate(toks)
-        self.doc = np.repeat(np.arange(len(toks)), self.sizes)
-        self.starts = ends + 1 - self.sizes
-        known = np.array([-1 if i is None else i for i in ids], np.int64)
-        # a function of the content: both passes and any retry give the same number
-        self.key = xxhash.xxh3_64_intdigest(known.tobytes() + self.sizes.tobytes() + self.w.tobytes()) >> 1
-
-
-def _batches(stream):
+def _tokenised(ids, texts, learn) -> tuple:
+    """A row of _TOKENS: documents, hashes of their distinct words, and the words' numbers end to
+    end. Number 0 is the end token, which closes each document."""
+    number = defaultdict(counter(1).__next__)
+    at, sizes = [], np.empty(len(ids), np.int64)
+    for k, text in enumerate(texts):
+        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else ()
+        sizes[k] = len(words) + 1
+        at += [np.fromiter(map(number.__getitem__, words), np.uint32, len(words)), np.zeros(1, np.uint32)]
+    # no hash is small enough to be taken for a code
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number)) | np.uint64(1 << 20)
+    docs = np.array([(i is None, i or 0, n, k) for i, n, k in zip(ids, sizes, learn)], _DOC)
+    parts = [docs.tobytes(), np.append(np.uint64(END), hashes).tobytes(), np.concatenate(at).tobytes()]
+    key = xxhash.xxh3_64_intdigest(b"".join(parts)) >> 1  # of the content, so that a retry gives the same
+    return key, sum(len(t or "") for t in texts), int(sizes.sum()), int(sum(learn)), *parts
+
+
+def _tokenise(stream):
     ids, texts, learn, size = [], [], [], 0
     for record in stream:
         for i, t, k in zip(*(record.column(c).to_pylist() for c in ("doc_id", "text", "learn"))):
@@ -214,22 +225,44 @@ def _batches(stream):
             learn.append(k)
             size += len(t or "")
             if size >= BATCH_CHARS or len(ids) >= BATCH_DOCS:
-                yield _Batch(ids, texts, learn)
+                yield _record([_tokenised(ids, texts, learn)], _TOKEN_NAMES, _TOKEN_TYPES)
                 ids, texts, learn, size = [], [], [], 0
     if ids:
-        yield _Batch(ids, texts, learn)
+        yield _record([_tokenised(ids, texts, learn)], _TOKEN_NAMES, _TOKEN_TYPES)
+
+
+_TOKEN_NAMES = ["key", "chars", "tokens", "learned", "docs", "words", "at"]
+_TOKEN_TYPES = [pa.int64()] * 4 + [pa.binary()] * 3
+
+
+class _Batch:
+    """Some documents as stored: ``words`` are distinct, ``at`` numbers them token by token."""
+
+    def __init__(self, key: int, docs, words, at):
+        self.key, self.docs = key, np.frombuffer(docs, _DOC)
+        self.words, self.at = np.frombuffer(words, np.uint64), np.frombuffer(at, np.uint32)
+        self.doc = np.repeat(np.arange(len(self.docs)), self.docs["n"])
+        self.starts = np.cumsum(self.docs["n"]) - self.docs["n"]
+        self.learn = self.docs["learn"][self.doc]
+
+
+def _batches(stream):
+    for record in stream:
+        for k in range(record.num_rows):
+            yield _Batch(record.column("key")[k].as_py(), *(record.column(c)[k].as_buffer() for c in ("docs", "words", "at")))
 
 
 def _record(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
 
-def vocabulary(docs: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+def vocabulary(stored: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Training tokens, distinct training tokens, and the ids and counts of the TOP words."""
 
     def count(stream):
         for b in _batches(stream):
-            w, n = np.unique(b.w[b.learn[b.doc]], return_counts=True)
+            n = np.bincount(b.at, b.learn, len(b.words)).astype(np.int64)
+            w, n = b.words[n > 0], n[n > 0]
             if not len(w):
                 continue
             shard = (_mixed(w) % np.uint64(shards)).astype(np.int64)
@@ -247,7 +280,7 @@ def vocabulary(docs: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.n
         best = np.argsort(-n, kind="stable")[:most]
         return pd.DataFrame({"tokens": [n.sum()], "words": [len(w)], "w": [w[best].tobytes()], "n": [n[best].tobytes()]})
 
-    found = docs.mapInArrow(count, "shard int, w binary, n binary").groupBy("shard").applyInPandas(total, "tokens long, words long, w binary, n binary")
+    found = stored.mapInArrow(count, "shard int, w binary, n binary").groupBy("shard").applyInPandas(total, "tokens long, words long, w binary, n binary")
     n_tokens = n_words = 0
     top_w, top_n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for r in found.toLocalIterator():  # a few times TOP words at most, kept to TOP as they come
@@ -301,33 +334,85 @@ _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binar
 _NAMES = ["shard", "batch", "kind", "v", "w", "n", "at"]
 
 
-def score(docs: DataFrame, held_out, stable: bool = False, text: str = "text") -> DataFrame:
+def _coded(b: _Batch, coder: _Coder):
+    """Codes of the contexts and the words, and the documents with the training bit, token by token."""
+    w = coder.code(b.words)[b.at]
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[b.starts] = START
+    return v, w, b.doc.astype(np.uint16) | np.where(b.learn, 1 << 15, 0).astype(np.uint16)
+
+
+def _pairs(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where both words have a code, and the two codes as one number."""
+    o = np.flatnonzero((v <= START) & (w <= START))
+    return o, ((v[o] << np.uint64(16)) | w[o]).astype(np.int64)
+
+
+def _find(pairs: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``pairs`` in the sorted ``among``, and which of them are there."""
+    if not len(among):
+        return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+    at = np.minimum(np.searchsorted(among, pairs), len(among) - 1)
+    return at, among[at] == pairs
+
+
+def hot_pairs(stored: DataFrame, shared, tokens: int) -> tuple[np.ndarray, bytes]:
+    """All pairs with at least the share of all tokens that makes them hot, sorted, and their trie."""
+    parts = min(2 * shared.value.shards, PAIRS)
+
+    def frequent(stream):
+        for b in _batches(stream):
+            v, w, _ = _coded(b, shared.value)
+            pair, n = np.unique(_pairs(v, w)[1], return_counts=True)
+            keep = n * 2 * parts >= len(w)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[keep]), pa.array(n[keep])], names=["pair", "n"])
+
+    found = stored.mapInArrow(frequent, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = np.sort(found.where(F.col("n") * 2 * parts >= tokens).select("pair").toArrow()["pair"].to_numpy())
+    near = stored.sparkSession.sparkContext.broadcast(pairs)
+
+    def learned(stream):
+        n = np.zeros(len(near.value), np.int64)
+        for b in _batches(stream):
+            v, w, _ = _coded(b, shared.value)
+            o, pair = _pairs(v, w)
+            at, here = _find(pair, near.value)
+            n += np.bincount(at[here], b.learn[o[here]], len(n)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(near.value), pa.array(n)], names=["pair", "n"])
+
+    n = np.zeros(len(pairs), np.int64)
+    if len(pairs):
+        counts = stored.mapInArrow(learned, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+        n = counts["n"].to_numpy()
+    v, w = (pairs >> 16).astype(np.uint64), (pairs & 0xFFFF).astype(np.uint64)
+    coder, seen = shared.value, n > 0
+    p1 = coder.p1(coder.counts[w.astype(np.int64)])
+    contexts = np.unique(v[coder.counts[v.astype(np.int64)] > 0])
+    trie = Trie.build(v[seen], w[seen], n[seen], p1[seen], lambda ids, _: coder.counts[ids.astype(np.int64)], contexts)
+    return pairs, trie
+
+
+def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
-    ``held_out`` is a column; rows where it is false are learned from. ``stable`` says that
-    ``docs`` gives its rows in the same order each time, as a stored table does; otherwise its
-    two columns are stored first.
+    ``held_out`` is a column; rows where it is false are learned from.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.col(text).alias("text"), (F.coalesce(~held_out, F.lit(False)) & F.col("doc_id").isNotNull()).alias("learn"))
-    own = own if stable else materialize(own, "texts")
-    known = own.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("learn").cast("long")).alias("n")).first()
-    shards = max(4, -(-(known["chars"] or 0) // SHARD_CHARS))
-    n_tokens, n_words, top_w, top_n = vocabulary(own, shards)
-    shared = spark.sparkContext.broadcast(_Coder(top_w, top_n, n_tokens, n_words, known["n"] or 0, shards))
-
-    def coded(b, coder):
-        w = coder.code(b.w)
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[b.starts] = START
-        return v, w, (b.doc.astype(np.uint16) | np.where(b.learn[b.doc], 1 << 15, 0).astype(np.uint16))
+    stored = materialize(own.mapInArrow(_tokenise, _TOKENS), "tokens", **_ROW_GROUP)
+    known = stored.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chars", "tokens", "learned"))).first()
+    stored = stored.select("key", "docs", "words", "at")
+    shards = max(4, -(-known["chars"] // SHARD_CHARS))
+    n_tokens, n_words, top_w, top_n = vocabulary(stored, shards)
+    shared = spark.sparkContext.broadcast(_Coder(top_w, top_n, n_tokens, n_words, known["learned"], shards))
+    hot = spark.sparkContext.broadcast(hot_pairs(stored, shared, known["tokens"]))
 
     def rare(stream):
         """Tokens whose predicted word has no code, by that word."""
         coder = shared.value
         for b in _batches(stream):
-            v, w, at = coded(b, coder)
+            v, w, at = _coded(b, coder)
             o = np.flatnonzero(w > START)
             shard = (_mixed(w[o]) % np.uint64(shards)).astype(np.int64)
             o = o[np.lexsort((w[o], shard))]
@@ -355,23 +440,30 @@ def score(docs: DataFrame, held_out, stable: bool = False, text: str = "text") -
         return pd.DataFrame(rows, columns=_NAMES)
 
     def common(stream):
-        """Tokens whose predicted word has a code, by context; and what is known of each document."""
-        coder = shared.value
+        """Tokens whose predicted word has a code, by context; and what is known of each document:
+        among it the scores of its hot pairs."""
+        coder, (pairs, trie) = shared.value, hot.value
+        hv, hw = (pairs >> 16).astype(np.uint64), (pairs & 0xFFFF).astype(np.uint64)
+        each = Trie(trie).score(hv, hw, coder.p1(coder.counts[hw.astype(np.int64)]))
         for b in _batches(stream):
-            v, w, at = coded(b, coder)
+            v, w, at = _coded(b, coder)
+            o, pair = _pairs(v, w)
+            which, here = _find(pair, pairs)
+            total = np.bincount(b.doc[o[here]], each[which[here]], len(b.docs))
+            cold = w <= START
+            cold[o[here]] = False
             o = np.flatnonzero(w <= START)
             c = coder.counts[w[o].astype(np.int64)]
-            base = np.bincount(b.doc[o], np.log10(c + ADD), len(b.ids))
-            hit = np.bincount(b.doc[o], c > 0, len(b.ids)).astype(np.uint32)
-            rows = list(_rows_by_shard(coder, b.key, v[o], w[o], None, at[o]))
-            meta = np.array([(i is None, i or 0, s, k) for i, s, k in zip(b.ids, b.sizes, b.learn)], [("null", bool), ("id", np.int64), ("n", np.int64), ("learn", bool)])
-            rows.append((xxhash.xxh3_64_intdigest(b.key.to_bytes(8, "little")) % shards, b.key, 3, meta.tobytes(), base.tobytes(), hit.tobytes(), b""))
+            base = np.bincount(b.doc[o], np.log10(c + ADD), len(b.docs))
+            hit = np.bincount(b.doc[o], c > 0, len(b.docs)).astype(np.uint32)
+            rows = list(_rows_by_shard(coder, b.key, v[cold], w[cold], None, at[cold]))
+            rows.append((xxhash.xxh3_64_intdigest(b.key.to_bytes(8, "little")) % shards, b.key, 3, b.docs.tobytes(), base.tobytes(), hit.tobytes(), total.tobytes()))
             yield _record(rows, _NAMES, _TYPES)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         """Builds the trie of a shard from the training tokens and scores all of them."""
         coder = shared.value
-        out = [(r.batch, r.kind, r.v, r.w, r.n, b"") for r in pdf[pdf["kind"] > 1].itertuples()]
+        out = [(r.batch, r.kind, r.v, r.w, r.n, r.at) for r in pdf[pdf["kind"] > 1].itertuples()]
         pdf = pdf[pdf["kind"] == 1]
         if len(pdf):
             v, w = (np.concatenate([_unpack(x) for x in pdf[c]]) for c in ("v", "w"))
@@ -420,12 +512,13 @@ def score(docs: DataFrame, held_out, stable: bool = False, text: str = "text") -
         """Adds up the parts of a batch. Batches of equal content share a key: their sums are
         equal, so they are divided by their number and the documents returned as often."""
         meta = pdf[pdf["kind"] == 3]
-        rows = np.frombuffer(meta["at"].iloc[0], [("null", bool), ("id", np.int64), ("n", np.int64), ("learn", bool)])
+        rows = np.frombuffer(meta["at"].iloc[0], _DOC)
         copies, base, hit, total = len(meta), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
         for r in pdf.itertuples():
             if r.kind == 3:
                 base += np.frombuffer(r.a)
                 hit += np.frombuffer(r.b, np.uint32)
+                total += np.frombuffer(r.c)
             elif r.kind == 2:
                 d = np.frombuffer(r.at, np.uint16)
                 base[d] += np.frombuffer(r.a)
@@ -436,8 +529,8 @@ def score(docs: DataFrame, held_out, stable: bool = False, text: str = "text") -
         one = pd.DataFrame({"doc_id": ids, "learn": rows["learn"], "n_tokens": rows["n"], "n_known": np.rint(hit / copies).astype(np.int64), "base_score": base / copies - rows["n"] * norm, "score": total / copies})
         return pd.concat([one] * copies)
 
-    later = own.mapInArrow(rare, _ROW).groupBy("shard").applyInPandas(counted, _ROW)
-    parts = own.mapInArrow(common, _ROW).union(later)
+    later = stored.mapInArrow(rare, _ROW).groupBy("shard").applyInPandas(counted, _ROW)
+    parts = stored.mapInArrow(common, _ROW).union(later)
     parts = parts.groupBy("shard").applyInPandas(scored, _PART)
     out = parts.groupBy("batch").applyInPandas(gathered, "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -38,7 +38,7 @@ def test_scores_equal_brute_force(spark, docs, monkeypatch, top):
     monkeypatch.setattr(lm_score, "TOP", top)
     monkeypatch.setattr(lm_score, "SHARD_CHARS", 50_000)
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    got = lm_score.score(docs, lm_score.held_out(), stable=True).collect()
+    got = lm_score.score(docs, lm_score.held_out()).collect()
     assert len(got) == len(want)
     for r in got:
         w = want[r.doc_id]
@@ -56,8 +56,34 @@ def test_context_spread_over_many_shards_keeps_its_backoff(spark, monkeypatch):
         assert r.score == pytest.approx(want[r.doc_id][5], abs=2e-4 * r.n_tokens)
 
 
+def test_hot_pairs_are_all_found_and_do_not_travel(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_CHARS", 2_000)
+    rows = [(i, "the same " * (60 if i % 3 else 0) + " ".join(f"w{i * k % 997}" for k in range(30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).selectExpr("*", "doc_id % 10 <> 0 as learn")
+    stored = docs.mapInArrow(lm_score._tokenise, lm_score._TOKENS)
+    n_tokens, n_words, words, counts = lm_score.vocabulary(stored, 8)
+    coder = lm_score._Coder(words, counts, n_tokens, n_words, sum(i % 10 != 0 for i, _ in rows), 8)
+    pair, learned = Counter(), Counter()
+    for i, text in rows:
+        t = text.split()
+        pair.update(zip(t, t[1:]))
+        if i % 10:
+            learned.update(zip(t, t[1:]))
+    total = sum(len(x.split()) + 1 for _, x in rows)
+    code = lambda w: int(coder.code(np.array([lm_score.xxhash.xxh3_64_intdigest(w) | 1 << 20], np.uint64))[0])
+    hot = {(v, w): code(v) << 16 | code(w) for (v, w), n in pair.items() if n * 16 >= total}
+    assert hot.keys() == {("the", "same"), ("same", "the")}
+    found, trie = lm_score.hot_pairs(stored, spark.sparkContext.broadcast(coder), total)
+    assert set(hot.values()) <= set(found.tolist())
+    for (v, w), at in hot.items():
+        a, b = np.array([code(v)], np.uint64), np.array([code(w)], np.uint64)
+        p1 = coder.p1(coder.counts[b.astype(int)])
+        want = log10((learned[v, w] + lm_score.MU * p1[0]) / (coder.counts[code(v)] + lm_score.MU))
+        assert lm_score.Trie(trie).score(a, b, p1)[0] == pytest.approx(want, abs=1e-3)
+
+
 def test_model_beats_base_on_held_out(spark, docs):
-    rows = [r for r in lm_score.score(docs, lm_score.held_out(), stable=True).collect() if r.held_out]
+    rows = [r for r in lm_score.score(docs, lm_score.held_out()).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
@@ -70,7 +96,7 @@ def test_edges(spark):
     twins = [r for r in out if r.doc_id == 3]
     assert twins[0] == twins[1]
     same = spark.createDataFrame([(3, "a b a"), (5, "c")] * 2, "doc_id long, text string").repartition(1)
-    twice = lm_score.score(same.union(same), lm_score.held_out(), stable=True).collect()
+    twice = lm_score.score(same.union(same), lm_score.held_out()).collect()
     want = brute([(3, "a b a"), (5, "c")] * 4)
     assert len(twice) == 8
     for r in twice:
