@@ -12,7 +12,7 @@ log-probabilities and backoff weights are 16-bit codes. A query is a successor s
 word inside its context's range.
 
 Texts are cut into words once: each batch of documents is stored in the shared folder as its
-distinct words' hashes and a number for each token, and all later passes read that table.
+distinct words and a number for each token, and all later passes read that table.
 
 The ``TOP`` most frequent words (a fixed number, found from exact counts over all training
 rows) are broadcast with their counts and travel as 16-bit codes, others as 64-bit hashes.
@@ -200,18 +200,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(ids, texts, learn) -> tuple:
-    """A row of _TOKENS: documents, hashes of their distinct words, and the words' numbers end to
-    end. Number 0 is the end token, which closes each document."""
+    """A row of _TOKENS: documents, their distinct words, and the words' numbers end to end. Number
+    0 is the end token, which closes each document. Low bytes of all numbers come first, then the
+    next bytes, and words are text rather than hashes, as both compress better so."""
     number = defaultdict(counter(1).__next__)
     at, sizes = [], np.empty(len(ids), np.int64)
     for k, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else ()
         sizes[k] = len(words) + 1
         at += [np.fromiter(map(number.__getitem__, words), np.uint32, len(words)), np.zeros(1, np.uint32)]
-    # no hash is small enough to be taken for a code
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number)) | np.uint64(1 << 20)
+    planes = np.ascontiguousarray(np.concatenate(at).view(np.uint8).reshape(-1, 4).T)
     docs = np.array([(i is None, i or 0, n, k) for i, n, k in zip(ids, sizes, learn)], _DOC)
-    parts = [docs.tobytes(), np.append(np.uint64(END), hashes).tobytes(), np.concatenate(at).tobytes()]
+    parts = [docs.tobytes(), b" ".join(number), planes.tobytes()]
     key = xxhash.xxh3_64_intdigest(b"".join(parts)) >> 1  # of the content, so that a retry gives the same
     return key, sum(len(t or "") for t in texts), int(sizes.sum()), int(sum(learn)), *parts
 
@@ -236,11 +236,15 @@ _TOKEN_TYPES = [pa.int64()] * 4 + [pa.binary()] * 3
 
 
 class _Batch:
-    """Some documents as stored: ``words`` are distinct, ``at`` numbers them token by token."""
+    """Some documents as stored: ``words`` are hashes of distinct words, none of them small enough to
+    be taken for a code, after that of the end; ``at`` numbers them token by token."""
 
     def __init__(self, key: int, docs, words, at):
         self.key, self.docs = key, np.frombuffer(docs, _DOC)
-        self.words, self.at = np.frombuffer(words, np.uint64), np.frombuffer(at, np.uint32)
+        split = words.to_pybytes().split()
+        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split)) | np.uint64(1 << 20)
+        self.words = np.append(np.uint64(END), self.words)
+        self.at = np.ascontiguousarray(np.frombuffer(at, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         self.doc = np.repeat(np.arange(len(self.docs)), self.docs["n"])
         self.starts = np.cumsum(self.docs["n"]) - self.docs["n"]
         self.learn = self.docs["learn"][self.doc]
