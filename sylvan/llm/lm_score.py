@@ -54,6 +54,8 @@ TOP, END, START = 65_000, 65_534, 65_535
 SHARD_CHARS, BATCH_CHARS, BATCH_DOCS = 12_000_000, 8_000_000, 16_384
 #: A pair of words is hot at one part in twice the shards of all tokens, or at one in PAIRS if that is more.
 PAIRS = 1 << 20
+#: Up to so many shards have a partition each.
+EVEN = 10_000
 #: Codes are multiples of 1 / SCALE of log10.
 SCALE = 4096
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -260,6 +262,12 @@ def _record(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
 
+def _by_shard(rows: DataFrame, shards: int):
+    """Rows grouped by shard: a hash would put several of few shards into one task, while of many
+    each task gets about as many."""
+    return (rows.repartitionById(shards, F.col("shard")) if shards <= EVEN else rows).groupBy("shard")
+
+
 def vocabulary(stored: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Training tokens, distinct training tokens, and the ids and counts of the TOP words."""
 
@@ -284,7 +292,7 @@ def vocabulary(stored: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np
         best = np.argsort(-n, kind="stable")[:most]
         return pd.DataFrame({"tokens": [n.sum()], "words": [len(w)], "w": [w[best].tobytes()], "n": [n[best].tobytes()]})
 
-    found = stored.mapInArrow(count, "shard int, w binary, n binary").groupBy("shard").applyInPandas(total, "tokens long, words long, w binary, n binary")
+    found = _by_shard(stored.mapInArrow(count, "shard int, w binary, n binary"), shards).applyInPandas(total, "tokens long, words long, w binary, n binary")
     n_tokens = n_words = 0
     top_w, top_n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for r in found.toLocalIterator():  # a few times TOP words at most, kept to TOP as they come
@@ -533,9 +541,9 @@ def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
         one = pd.DataFrame({"doc_id": ids, "learn": rows["learn"], "n_tokens": rows["n"], "n_known": np.rint(hit / copies).astype(np.int64), "base_score": base / copies - rows["n"] * norm, "score": total / copies})
         return pd.concat([one] * copies)
 
-    later = stored.mapInArrow(rare, _ROW).groupBy("shard").applyInPandas(counted, _ROW)
+    later = _by_shard(stored.mapInArrow(rare, _ROW), shards).applyInPandas(counted, _ROW)
     parts = stored.mapInArrow(common, _ROW).union(later)
-    parts = parts.groupBy("shard").applyInPandas(scored, _PART)
+    parts = _by_shard(parts, shards).applyInPandas(scored, _PART)
     out = parts.groupBy("batch").applyInPandas(gathered, "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
