@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
-from sylvan.plans.ground import ground
+from sylvan.plans.ground import Rounds, ground
 from sylvan.sources.graph import LOCAL_EDGES, Graph
 
 SCHEMA = "rep int, q_index int, id long, next long, root long, level long"
@@ -145,7 +145,8 @@ def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFra
         moves = drawn.where("not dies").join(cum, "id").where("lo <= t and t < hi")
         return drawn.where("dies").select("rep", "id", "level", F.lit(None).cast("long").alias("next")).union(moves.select("rep", "id", "level", F.col("dst").alias("next")))
 
-    active, settled = ground(arrows(levels)), []
+    keep, settled = Rounds(), []
+    active = keep(arrows(levels))
     n = active.count()
     while True:
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
@@ -161,19 +162,20 @@ def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFra
         loops = left.select("rep", F.col("to").alias("id")).distinct()
         left = left.select("rep", "id", "level", "next")
         popped = left.join(loops, ["rep", "id"], "left_semi").withColumn("level", F.col("level") + 1)
-        active = ground(left.join(loops, ["rep", "id"], "left_anti").unionByName(arrows(popped.select("rep", "id", "level"))))
+        active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(arrows(popped.select("rep", "id", "level"))))
 
 
 def _followed(far: DataFrame, n: int) -> DataFrame:
     """``far``, of at most ``n`` rows that are not done, with ``to`` moved on by pointer doubling to the root,
     where done, or on to a cycle. Only rows that are not done are joined, two doublings a table."""
-    far, doublings = ground(far), int(np.ceil(np.log2(n + 1)))
+    keep, doublings = Rounds(), int(np.ceil(np.log2(n + 1)))
+    far = keep(far)
     for k in range(doublings):
         way = far.select("rep", F.col("id").alias("to"), F.col("to").alias("further"), F.col("done").alias("ends"))
         step = far.where("not done").join(way, ["rep", "to"]).withColumns({"to": F.col("further"), "done": F.col("ends")})
         far = far.where("done").unionByName(step.select(*far.columns))
         if k % 2 or k == doublings - 1:
-            far = ground(far)
+            far = keep(far)
     return far
 
 

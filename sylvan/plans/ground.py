@@ -18,12 +18,31 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def ground(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back. Besides the lineage this also resets the
     size that Spark estimates, which would square with every self-join of a loop."""
-    path = f"{shared_dir(df.sparkSession)}/ground-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Rounds()(df)
+
+
+class Rounds:
+    """Grounds the table of each round of a loop and deletes the one before, which the new one was made
+    from: a loop takes the disk of two rounds, however many it runs. Nothing but the
+    next round may read a round's table; the last one stays."""
+
+    def __init__(self, label: str = "ground", **options: str):
+        self.label, self.options, self.path = label, options, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = f"{shared_dir(spark)}/{self.label}-{uuid.uuid4().hex}"
+        df.write.options(**self.options).parquet(self.path)
+        if old:
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        return spark.read.schema(df.schema).parquet(self.path)

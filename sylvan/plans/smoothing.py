@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvan.operators import partition as parts
 from sylvan.operators.forest import apply_roots, nroots, random_forest, rates
-from sylvan.plans.ground import ground
+from sylvan.plans.ground import Rounds, ground
 from sylvan.sources.graph import Graph
 
 #: Vertices up to which a system is solved densely in one task; above it, by conjugate gradients.
@@ -55,9 +55,9 @@ def solve_cg(off: DataFrame, system: DataFrame, tol: float = 1e-10, max_rounds:
     (src, dst, v) is the symmetric positive matrix without its diagonal, ``system`` (id, k, diag, b) the
     rest. Vectors stay tables; only the step sizes, a row for each k, come to the driver. Raises if it
     does not settle."""
-    off = ground(off)
+    off, keep = ground(off), Rounds()
     start = F.col("b") / F.col("diag")
-    state = ground(system.select("id", "k", "diag", F.lit(0.0).alias("x"), F.col("b").alias("r"), start.alias("p")))
+    state = keep(system.select("id", "k", "diag", F.lit(0.0).alias("x"), F.col("b").alias("r"), start.alias("p")))
     squares = lambda df: {r["k"]: r["v"] for r in df.groupBy("k").agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("v")).collect()}
     rz = squares(state)
     first = {k: max(v, 1e-300) for k, v in rz.items()}
@@ -66,13 +66,13 @@ def solve_cg(off: DataFrame, system: DataFrame, tol: float = 1e-10, max_rounds:
         if all(rz[k] <= tol**2 * first[k] for k in rz):
             return state.select("id", "k", "x")
         ap = off.join(state.select(F.col("id").alias("dst"), "k", F.col("p").alias("pp")), "dst").groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("v") * F.col("pp")).alias("ap"))
-        state = ground(state.join(ap, ["id", "k"], "left").withColumn("ap", F.col("diag") * F.col("p") + F.coalesce("ap", F.lit(0.0))))
+        state = keep(state.join(ap, ["id", "k"], "left").withColumn("ap", F.col("diag") * F.col("p") + F.coalesce("ap", F.lit(0.0))))
         pap = {r["k"]: r["v"] for r in state.groupBy("k").agg(F.sum(F.col("p") * F.col("ap")).alias("v")).collect()}
         alpha = column({k: rz[k] / pap[k] if pap[k] else 0.0 for k in rz})
         state = state.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
         new = squares(state)
         beta = column({k: new[k] / rz[k] if rz[k] else 0.0 for k in rz})
-        state = ground(state.withColumn("p", F.col("r") / F.col("diag") + beta * F.col("p")).drop("ap"))
+        state = keep(state.withColumn("p", F.col("r") / F.col("diag") + beta * F.col("p")).drop("ap"))
         rz = new
     raise RuntimeError(f"conjugate gradients did not settle in {max_rounds} rounds")
 

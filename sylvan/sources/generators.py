@@ -90,7 +90,7 @@ def preferential(spark: SparkSession, n: int, k: int, seed: int = 0) -> Graph:
     edges made before it. An end that was itself taken from an edge points back at that edge, so all
     ends are found together by following pointers (Batagelj and Brandes, 2005). The first such
     vertex joins all k before it; a vertex that takes another twice joins it once."""
-    from sylvan.plans.ground import ground
+    from sylvan.plans.ground import Rounds
 
     made = spark.range((n - k) * k).select(F.col("id").alias("edge"), (k + F.floor(F.col("id") / k)).alias("v"))
     # end 2e of edge e is its vertex v, end 2e + 1 what it took
@@ -98,9 +98,10 @@ def preferential(spark: SparkSession, n: int, k: int, seed: int = 0) -> Graph:
     ends = made.withColumn("at", F.when(F.col("edge") >= k, at))
     vertex = lambda end: k + F.floor(F.floor(end / 2) / k)
     ends = ends.withColumns({"took": F.when(F.col("edge") < k, F.col("edge")).when(F.col("at") % 2 == 0, vertex(F.col("at"))), "back": F.when(F.col("at") % 2 == 1, F.floor(F.col("at") / 2))})
-    ends = ground(ends.select("edge", "v", "took", "back"))
+    keep = Rounds()
+    ends = keep(ends.select("edge", "v", "took", "back"))
     while ends.where("took is null").limit(1).count():
         way = ends.select(F.col("edge").alias("back"), F.col("took").alias("took2"), F.col("back").alias("back2"))
         step = ends.where("took is null").join(way, "back").select("edge", "v", F.col("took2").alias("took"), F.col("back2").alias("back"))
-        ends = ground(ends.where("took is not null").unionByName(step))
+        ends = keep(ends.where("took is not null").unionByName(step))
     return Graph.from_edges(ends.select(F.col("took").alias("a"), F.col("v").alias("b")).distinct(), spark.range(n))

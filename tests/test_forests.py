@@ -1,6 +1,7 @@
 """Invariants and laws of forests, smoothing, moments and hierarchies."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -290,3 +291,21 @@ def test_conjugate_gradients_say_when_they_do_not_settle(spark):
     y = g.vertices.select("id", F.lit(0).alias("k"), F.col("id").cast("double").alias("y"))
     with pytest.raises(RuntimeError):
         smoothing.conjugate_gradients(g, g.vertices.select("id", F.lit(0.01).alias("q")), y, max_rounds=3)
+
+
+def test_loops_delete_the_tables_of_earlier_rounds(spark):
+    from sylvan.plans.ground import Rounds, shared_dir
+
+    keep, now = Rounds("rounds"), spark.range(5)
+    for _ in range(4):
+        now = keep(now.withColumn("id", F.col("id") * 2))
+    assert sorted(r.id for r in now.collect()) == [0, 16, 32, 48, 64]
+    assert sum(x.startswith("rounds-") for x in os.listdir(shared_dir(spark))) == 1
+
+
+def test_components_of_a_star_and_a_path(spark):
+    far = [(0, k, 1.0) for k in range(3001, 6001)] + [(k, k + 1, 1.0) for k in range(1, 200)]
+    g = Graph.from_edges(spark.createDataFrame(far, "a long, b long, weight double"), spark.range(6001))
+    sizes = connectivity.connected_components(g).groupBy("component").count().collect()
+    assert sorted((r["component"], r["count"]) for r in sizes if r["count"] > 1) == [(0, 3001), (1, 200)]
+    assert len(sizes) == 2 + 2800
