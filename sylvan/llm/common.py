@@ -1,19 +1,16 @@
-"""What the operators of this subpackage share: shared storage, skew-safe lookups, components."""
+"""What the operators of this subpackage share: shared storage, components, blocks of buckets."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.plans.ground import shared_dir
+from sylvan.functions.skew import lookup
+from sylvan.plans.ground import Rounds
 
 #: ASCII white space `[\x20\x09-\x0D]`, and the letters that are lower-cased.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key is hot if it holds more than 1 / HOT_KEYS of the rows, so fewer than HOT_KEYS keys are hot.
-HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files
     that outlive any executor, and do not compute ``df`` again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Rounds(label, compression="zstd", **options)(df)
 
 
 #: What lower() changes besides A-Z.
@@ -44,30 +38,13 @@ def hash_pair(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(0x5EED), c)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
-    """Join ``left`` with ``right``, whose rows are unique in ``on``, however skewed ``left`` is.
-
-    ``right[n]`` holds how many rows of ``left`` a key has (at least roughly) and ``total``
-    their sum. Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, and only they
-    and their numbers of parts are broadcast: rows of ``left`` with such a key are dealt by a
-    salt from ``spread`` to parts of about total / HOT_KEYS rows, and the key's row in ``right``
-    goes to each of its parts, which adds HOT_KEYS rows at most. Columns of ``right`` other than
-    ``on`` must not occur in ``left``.
-    """
-    limit = max(total // HOT_KEYS, 1)
-    right = right.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col(n) / limit)).cast("int"))
-    hot = right.where("__parts > 1").select(*on, F.col("__parts").alias("__hot"))
-    left = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__hot", F.lit(1))).cast("int")).drop("__hot")
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
-
-
 def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) -> DataFrame:
     """(id, component): the smallest id that links ``edges`` (a, b) reach from each id they name.
 
-    Large-star and small-star rounds (Kiveris et al., 2014). Each round is written to the
-    shared folder; only two totals a round come to the driver. A hub is one row of the
-    per-node minima, joined back by ``lookup``, so its edges stay spread out.
+    Large-star and small-star rounds (Kiveris et al., 2014). Each half round is written to the
+    shared folder, where it replaces the one before; only two totals a round come to the
+    driver. A hub is one row of the per-node minima, joined back by ``lookup``, so its edges stay
+    spread out.
     """
 
     def star(sym: DataFrame, n: int, large: bool) -> DataFrame:
@@ -81,19 +58,18 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) ->
         row = df.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % 2**31).cast("long")).alias("h")).first()
         return row["n"], row["h"] or 0
 
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    keep = Rounds(label, compression="zstd")
+    now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = total(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
         sym = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        big = materialize(star(sym, 2 * seen[0], True).distinct(), label)
+        big = keep(star(sym, 2 * seen[0], True).distinct())
         down = big.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         mins = down.groupBy("u").agg(F.min("v").alias("lo"), F.count("*").alias("n"))
         kept = lookup(down, mins, ["u"], "n", seen[0], ["u", "v"])
-        now = materialize(
-            kept.select(F.col("v").alias("a"), F.col("lo").alias("b")).union(mins.select(F.col("u").alias("a"), F.col("lo").alias("b"))).where("a <> b").distinct(), label
-        )
+        now = keep(kept.select(F.col("v").alias("a"), F.col("lo").alias("b")).union(mins.select(F.col("u").alias("a"), F.col("lo").alias("b"))).where("a <> b").distinct())
         was, seen = seen, total(now)
         if was == seen:
             break
