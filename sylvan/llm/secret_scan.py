@@ -94,7 +94,8 @@ def dictionary_of(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Hashes of the words that are frequent in all of ``docs``."""
     words = docs.select("doc_id", F.col(text).alias("text"), F.lit(True).alias("learn"))
     chars = words.agg(F.sum(F.length("text"))).first()[0] or 0
-    _, _, top, _ = lm_score.vocabulary(words, max(4, -(-chars // lm_score.SHARD_CHARS)))
+    batches = words.mapInArrow(lm_score._tokenise, lm_score._TOKENS).select("key", "docs", "words", "at")
+    _, _, top, _ = lm_score.vocabulary(batches, max(4, -(-chars // lm_score.SHARD_CHARS)))
     return top
 
 
