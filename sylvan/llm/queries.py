@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, line_dedup, lm_score, mixing, ngram_join, pii_crf, secret_scan, warc
+from . import centroid_clustering, decontaminate, embed_dedup, langid, line_dedup, lm_score, mixing, ngram_join, periodic_runs, pii_crf, secret_scan, url_filter, warc
 from .common import table
 
 
@@ -57,4 +57,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_lm_scoring, op4_pii, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_mixing, op10_decontaminate)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which each tenth text, by h = crc32(doc_id), repeats p of its words from word a
+    on: g = h / 10, a = g mod n, p = 1 + (n - a) / (3 + g mod 8), in whole numbers. A null doc_id
+    has no h, and its text stays."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("w")
+    own = docs.select("doc_id", "text", h.alias("h"))
+    own = own.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    own = own.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    own = own.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), n - F.col("a"))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return own.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_lm_scoring, op4_pii, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_mixing, op10_decontaminate, op11_url_filter, op12_periodic_runs, op13_centroid_clustering)}

@@ -167,4 +167,67 @@ select doc_id, coalesce(c, doc_id) as class_id, least(doc_id, coalesce(lo, doc_i
 from documents left join g on doc_id = g.a left join n on doc_id = n.a
 """
 
-SQL = {"op1_warc": OP1, "op3_lm_scoring": OP3, "op5_embedding_near_dedup": OP5, "op6_ngram_jaccard_join": OP6, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10}
+OP12 = r"""
+with recursive bits as (
+  select i, 0 as k, i::bigint as c from range(256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crc as (select list(c order by i) as l from bits where k = 8),
+d0 as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) as h
+  from documents, crc),
+d1 as (select *, len(w)::bigint as n, h // 10 as g from d0),
+d2 as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from d1),
+d as (select *, 1 + (n - a) // (3 + g % 8) as p from d2),
+t as (
+  select r, n, i, case when a is not null and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as x
+  from (select *, unnest(range(n)) as i from d where n > 0)),
+m as (
+  select s.r, s.i, e.i - s.i as q from t s join t e on s.r = e.r and s.x = e.x and e.i > s.i and 3 * (e.i - s.i) <= s.n),
+z as (
+  select r, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by r, q order by i) as island from m)
+  group by r, q, island having count(*) + q >= greatest(24, 3 * q)),
+runs as (select r, start, length, min(q) as period from z group by r, start, length),
+best as (
+  select r, count(*) as n_runs, arg_min(struct_pack(s := start, l := length, p := period), (-(length / period), start, period)) as b,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select t.r, string_agg(x, ' ' order by t.i) as words from t left join gone on gone.r = t.r and gone.i = t.i where gone.r is null group by t.r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.l::bigint as length, b.p::bigint as period, (1000 * b.l // b.p)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from d left join best using (r) left join kept using (r)
+"""
+
+
+def _clustering(rounds: int = 10) -> str:
+    """Rounds one after the other; vectors and centroids as rows (id, dimension, value)."""
+    near = lambda k: f"""
+n{k} as materialized (
+  select r, arg_min(cid, (d, cid)) as cid, min(d) as d from (
+    select v.r, c.cid, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c{k} c on v.j = c.j group by 1, 2) group by r)"""
+    parts = ["""
+e as (
+  select row_number() over () as r, vec_id, list_transform(embedding::double[], lambda x: floor(1024 * x)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+v as materialized (select r, unnest(range(64)) as j, unnest(x) as x from e),
+c0 as materialized (
+  select cid, unnest(range(64)) as j, unnest(x) as x from (
+    select row_number() over (order by sha256('3:' || vec_id), x) - 1 as cid, x from e qualify cid < 8))"""]
+    for k in range(rounds):
+        parts.append(near(k))
+        parts.append(f"""
+m{k} as (
+  select cid, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as x from n{k} join v using (r) group by 1, 2),
+c{k + 1} as materialized (select c.cid, c.j, coalesce(m.x, c.x)::bigint as x from c{k} c left join m{k} m on m.cid = c.cid and m.j = c.j)""")
+    parts.append(near(rounds))
+    return "with " + ",".join(parts) + f"""
+select vec_id, n.cid::int as cluster, n.d as distance, sum(n.d) over (partition by n.cid)::bigint as cluster_inertia, sum(n.d) over ()::bigint as inertia, h.digest as centroid_sha256
+from e join n{rounds} n using (r) join (select cid, sha256(string_agg(x::varchar, ',' order by j)) as digest from c{rounds} group by 1) h on h.cid = n.cid
+"""
+
+
+OP13 = _clustering()
+
+SQL = {"op1_warc": OP1, "op3_lm_scoring": OP3, "op5_embedding_near_dedup": OP5, "op6_ngram_jaccard_join": OP6, "op8_line_dedup": OP8, "op9_mixing": OP9, "op10_decontaminate": OP10, "op12_periodic_runs": OP12, "op13_centroid_clustering": OP13}
