@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sylvan.functions.rng import uniform
-from sylvan.sources.graph import Graph
+from sylvan.plans.ground import ground
+from sylvan.sources.graph import Graph, cell_of, totals
 
 
 def random_successor_uniform(g: Graph, draws: DataFrame, seed: int = 0) -> DataFrame:
@@ -18,10 +19,13 @@ def random_successor_uniform(g: Graph, draws: DataFrame, seed: int = 0) -> DataF
 
 
 def random_successor_weighted(g: Graph, draws: DataFrame, seed: int = 0) -> DataFrame:
-    """(draw, id, next): a neighbour with chances as the weights, by cumulative intervals. The join is on
-    the vertex, and its size is that of the drawn vertices' neighbourhoods."""
-    t = draws.join(g.degree(), "id").withColumn("t", uniform("v", seed, F.col("draw"), F.col("id")) * F.col("d"))
-    hit = t.join(g.cumulative().withColumnRenamed("src", "id"), "id").where("lo <= t and t < hi")
+    """(draw, id, next): a neighbour with chances as the weights, by cumulative intervals; null for isolated
+    vertices. A draw meets the intervals of one cell (``Graph.draw_index``), not the neighbourhood."""
+    index = ground(g.draw_index())
+    whole = totals(index)
+    at = draws.join(whole, "id").withColumn("t", uniform("v", seed, F.col("draw"), F.col("id")) * F.col("d"))
+    at = at.withColumn("cell", cell_of(F.col("t"), F.col("d"), F.col("n"))).select("draw", "id", "t", "cell")
+    hit = at.join(index.select("id", "cell", "dst", "lo", "hi"), ["id", "cell"]).where("lo <= t and t < hi")
     return draws.join(hit.select("draw", "id", F.col("dst").alias("next")), ["draw", "id"], "left").select("draw", "id", "next")
 
 

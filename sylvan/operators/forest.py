@@ -4,17 +4,20 @@ Every vertex owns a stack of arrows that are pure functions of (seed, rep, id, l
 the vertex a root if u * (q + d) < q, else draw v picks a neighbour by weight. Popping the
 cycles of the top arrows until none is left gives a forest from p(forest) ~ q^roots * product
 of weights (Wilson 1996; Propp and Wilson 1998), and the same one in whatever order
-cycles are popped. So there are two ways with equal results: ``random_forest`` walks in
-one task for each repetition, on a graph that is small enough to be handed to every task, and
-``random_forest_distributed`` pops all cycles of all repetitions by joins, for graphs of any size.
-Lowering q on the same stacks couples the forests of a grid of q.
+cycles are popped. Lowering q on the same stacks couples the forests of a grid of q.
+
+So the order is chosen to suit Spark. Arrows are drawn by joins, several levels of a stack at a
+time and by all tasks. While a repetition has more than ``LOCAL`` vertices whose root is not
+known, all cycles of all repetitions are popped by joins with pointer doubling; a vertex that
+reached a root is done and takes no further part, so few rounds leave far fewer. Once what is left of a
+repetition fits, its drawn arrows meet in one task, which pops them as arrays; where a stack
+runs out, more of it is drawn. Nothing of a graph passes through the driver, and no task holds more
+of it than LOCAL vertices with the arrows drawn for them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from functools import reduce
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
-from sylvan.plans.ground import Rounds, ground
-from sylvan.sources.graph import LOCAL_EDGES, Graph
+from sylvan.plans.ground import Rounds, Store, ground
+from sylvan.sources.graph import Graph, cell_of, totals
 
-SCHEMA = "rep int, q_index int, id long, next long, root long, level long"
+#: Vertices of a repetition that one task may pop, and arrows of a stack that are drawn at first: more
+#: where there are few vertices, up to DEEPEST, so that AT_ONCE are drawn together.
+LOCAL, FIRST, DEEPEST, AT_ONCE = 100_000, 4, 64, 100_000
 
 
 def rates(g: Graph, q) -> DataFrame:
@@ -35,39 +40,6 @@ def rates(g: Graph, q) -> DataFrame:
     return g.vertices.select("id", F.lit(float(q)).alias("q"))
 
 
-def _walk(ids, offsets, targets, cum, deg, q, seed, rep, level):
-    """Next vertex (-1 for a root) and root of each vertex; ``level`` is moved on in place."""
-    ids, offsets, targets, cum, deg, q, high = (x.tolist() for x in (ids, offsets, targets, cum, deg, q, level))
-    n, hash_, number = len(ids), md5, int.from_bytes
-    nxt, root = [-2] * n, [-1] * n
-    place = [-1] * n  # in the path that is walked now
-    for start in range(n):
-        path, i = [], start
-        while root[i] < 0:
-            if place[i] >= 0:  # a cycle: its vertices lose their top arrows
-                at = place[i]
-                for x in path[at:]:
-                    high[x] += 1
-                    place[x] = -1
-                del path[at:]
-            place[i] = len(path)
-            path.append(i)
-            key = f"|{seed}|{rep}|{ids[i]}|{high[i]}"
-            d = deg[i]
-            if (number(hash_(f"u{key}".encode()).digest()[:7], "big") >> 4) / 2**52 * (q[i] + d) < q[i]:
-                nxt[i], root[i] = -1, i
-                break
-            t = (number(hash_(f"v{key}".encode()).digest()[:7], "big") >> 4) / 2**52 * d
-            b = offsets[i + 1]
-            nxt[i] = targets[min(bisect_right(cum, t, offsets[i], b), b - 1)]
-            i = nxt[i]
-        end = root[i]
-        for x in path:
-            root[x], place[x] = end, -1
-    level[:] = high
-    return np.array(nxt, np.int64), np.array(root, np.int64)
-
-
 def _checked(g: Graph, q) -> None:
     """Every component needs a vertex that can become a root, else no walk would end."""
     if not isinstance(q, DataFrame):
@@ -81,88 +53,211 @@ def _checked(g: Graph, q) -> None:
         raise ValueError("a component has no vertex with a positive q")
 
 
-def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, check: bool = True, moment_seeds: bool = False) -> DataFrame:
+def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, check: bool = True, moment_seeds: bool = False, local: int = LOCAL) -> DataFrame:
     """(rep, q_index, id, next, root, level): ``reps`` forests, next null at roots; level is the height in
     its stack of a vertex' arrow. With ``grid``, one for each of its values of q, coupled by going
     down the grid on the same stacks (``moment_seeds``: with stacks of its own for each value)."""
-    spark = g.edges.sparkSession
-    if g.edges.count() > LOCAL_EDGES or g.vertices.count() > LOCAL_EDGES:
-        return random_forest_distributed(g, q, reps, seed, grid, moment_seeds, check)
     if check:
         _checked(g, q if grid is None else min(grid))
-    arrays = g.local()
-    ids = arrays[0]
-    if grid is None:
-        own = rates(g, q).toPandas()
-        steps = [own.set_index("id")["q"].reindex(ids).to_numpy(float)]
-    else:
-        steps = [np.full(len(ids), float(x)) for x in grid]
-    shared = spark.sparkContext.broadcast((arrays, steps))
-
-    def run(frames):
-        graph, qs = shared.value
-        for f in frames:
-            for rep in f["id"]:
-                level, out = np.zeros(len(ids), np.int64), {}
-                for k in sorted(range(len(qs)), key=lambda k: -qs[k].max(initial=0)):
-                    if moment_seeds:
-                        level = np.zeros(len(ids), np.int64)
-                    out[k] = (*_walk(*graph, qs[k], f"{seed}.{k}" if moment_seeds else seed, rep, level), level.copy())
-                for k, (nxt, root, high) in out.items():
-                    up = pd.Series(ids[np.maximum(nxt, 0)]).astype("Int64").mask(pd.Series(nxt < 0))
-                    yield pd.DataFrame({"rep": rep, "q_index": k, "id": ids, "next": up, "root": ids[root], "level": high})
-
-    return spark.range(0, reps, 1, max(1, min(reps, 64))).mapInPandas(run, SCHEMA)
-
-
-def random_forest_distributed(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, moment_seeds: bool = False, check: bool = True) -> DataFrame:
-    """The same forests by joins. A round takes the top arrows of the vertices whose root is not known yet,
-    follows them by pointer doubling, and pops the vertices on cycles, which are those that some
-    vertex still points at after all doublings. Vertices that reached a root are done: no cycle is on
-    their way. They take no part in later rounds or joins, so a tree's root is no hot key. With a
-    grid the stacks of one value of q are where the next lower one begins."""
-    if check:
-        _checked(g, q if grid is None else min(grid))
-    cum = ground(g.cumulative().withColumnRenamed("src", "id"))
-    degree = ground(g.degree())
-    bottom = ground(degree.select("id").crossJoin(F.broadcast(g.edges.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long")))
-    out, levels, every = [], bottom, [q] if grid is None else [float(x) for x in grid]
-    for k in range(len(every)) if grid is None else sorted(range(len(every)), key=lambda k: -every[k]):
-        base = ground(degree.join(rates(g, every[k]), "id"))
-        forest = _popped(base, cum, bottom if moment_seeds else levels, f"{seed}.{k}" if moment_seeds else seed)
+    spark = g.edges.sparkSession
+    index = ground(g.draw_index())
+    base = ground(g.vertices.join(totals(index), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("n", F.lit(0)).alias("n")))
+    arrows = index.select("id", "cell", "dst", "lo", "hi")
+    every = [q] if grid is None else [float(x) for x in grid]
+    down = [0] if grid is None else sorted(range(len(every)), key=lambda k: -every[k])
+    seeds = [f"{seed}.{k}" for k in down] if moment_seeds else [str(seed)]
+    bottom = base.select("id").crossJoin(F.broadcast(spark.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long"))
+    if base.count() <= local:
+        walks = [([k], s) for k, s in zip(down, seeds)] if moment_seeds else [(down, seeds[0])]
+        return reduce(DataFrame.union, [_descended(base, arrows, bottom, [(k, every[k]) for k in ks], s, g) for ks, s in walks])
+    out, levels = [], bottom
+    for step, k in enumerate(down):
+        rated = ground(base.join(rates(g, every[k]), "id"))
+        forest = _popped(rated, arrows, bottom if moment_seeds else levels, seeds[step if moment_seeds else 0], local)
         levels = forest.select("id", "rep", "level")
         out.append(forest.select("rep", F.lit(k).alias("q_index"), "id", "next", "root", "level"))
     return reduce(DataFrame.union, out)
 
 
-def _popped(base: DataFrame, cum: DataFrame, levels: DataFrame, seed) -> DataFrame:
-    """(rep, id, level, next, root) from rates and degrees (id, d, q), the edges' intervals (id, dst, lo, hi) and
-    the stacks' levels (id, rep, level)."""
+def random_forest_distributed(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] | None = None, moment_seeds: bool = False, check: bool = True, local: int = 0) -> DataFrame:
+    """The same forests with no more than ``local`` vertices of a repetition in a task: by joins alone for 0."""
+    return random_forest(g, q, reps, seed, grid, check, moment_seeds, local)
+
+
+def drawn(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed, many=None) -> DataFrame:
+    """(rep, id, level, next, u, d): the arrow of each (rep, id, level), or of ``many`` levels from it on. next is
+    where it leads unless the vertex dies by u; null for isolated vertices."""
+    at = tops.join(base.select("id", "d", "n"), "id")
+    if many is not None:
+        at = at.withColumn("level", F.explode(F.sequence(F.col("level"), F.col("level") + many - 1)))
+    key = (seed, F.col("rep"), F.col("id"), F.col("level"))
+    at = at.select("rep", "id", "level", "d", "n", uniform("u", *key).alias("u"))
+    moves = at.where("n > 0").withColumn("t", uniform("v", *key) * F.col("d")).withColumn("cell", cell_of(F.col("t"), F.col("d"), F.col("n")))
+    moves = moves.join(arrows, ["id", "cell"]).where("lo <= t and t < hi").select("rep", "id", "level", F.col("dst").alias("next"), "u", "d")
+    return moves.unionByName(at.where("n = 0").select("rep", "id", "level", F.lit(None).cast("long").alias("next"), "u", "d"))
+
+
+def _resolve(to: np.ndarray) -> np.ndarray:
+    """The end of each position's way by doubling: ways that end do so at a position that points at itself,
+    the others come to a cycle."""
+    for _ in range(int(len(to)).bit_length()):
+        further = to[to]
+        if np.array_equal(further, to):
+            break
+        to = further
+    return to
+
+
+def pop_arrays(to: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> None:
+    """Pops cycles until none is left among known arrows. Vertex i's arrows are at start[i] .. stop[i] - 1; ``at`` is the
+    one on top and is moved on. Arrow a leads to vertex to[a], or, if ends[a], out of the game."""
+    n = len(start)
+    live, place = np.arange(n), np.arange(n)  # a vertex whose way has an end is live no more, and its place is -1
+    while len(live):
+        own, top = np.arange(len(live)), at[live]
+        ended = (top >= stop[live]) | ends[np.minimum(top, len(to) - 1)]
+        goal = np.where(ended, -1, place[np.where(ended, 0, to[np.minimum(top, len(to) - 1)])])
+        goal = np.where(goal < 0, own, goal)
+        far = _resolve(goal)
+        looping = goal[far] != far
+        at[live[np.unique(far[looping])]] += 1
+        place[live[~looping]] = -1
+        live = live[looping]
+        place[live] = np.arange(len(live))
+
+
+def _given(picked: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What ``_grid_walk`` reads, without nulls: the vertex that an arrow leads to (its own if it is ``lone``), and its
+    root where ``known`` (rep, next, __root) has it."""
+    picked = picked.withColumn("__root", F.lit(None).cast("long")) if known is None else picked.join(known, ["rep", "next"], "left")
+    rows = {"lone": F.col("next").isNull(), "goal": F.coalesce("next", "id"), "outer": F.col("__root").isNotNull(), "outer_root": F.coalesce("__root", F.lit(0))}
+    return picked.select("rep", "id", "level", "u", "d", *(["q"] if "q" in picked.columns else []), *(c.alias(n) for n, c in rows.items()))
+
+
+def _grid_walk(qs: list[tuple[int, float]]):
+    """The task that pops one repetition going down ``qs``; rows without a root where stacks ran out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "level"])
+        ids, start = np.unique(pdf["id"].to_numpy(), return_index=True)
+        stop = np.append(start[1:], len(pdf))
+        at, low = start.copy(), pdf["level"].to_numpy()[start]
+        u, d = pdf["u"].to_numpy(), pdf["d"].to_numpy()
+        lone, goal, outer, outer_root = (pdf[c].to_numpy() for c in ("lone", "goal", "outer", "outer_root"))
+        to = np.minimum(np.searchsorted(ids, goal), len(ids) - 1)
+        missing = ~outer & (ids[to] != goal)
+        if missing.any():
+            raise ValueError("an arrow leads to no vertex of its repetition")
+        out = []
+        for k, q in qs:
+            q = pdf["q"].to_numpy() if q is None else q
+            dies = lone | (u * (q + d) < q)
+            pop_arrays(to, dies | outer, start, stop, at)
+            known = at < stop
+            top = np.minimum(at, len(u) - 1)
+            goes = known & ~dies[top] & ~outer[top]
+            far = _resolve(np.where(goes, to[top], np.arange(len(ids))))
+            root = np.where(outer[top] & ~dies[top], outer_root[top], ids)[far]
+            done = known[far]
+            nxt = pd.Series(np.where(dies[top] | ~known, 0, goal[top])).astype("Int64").mask(pd.Series(dies[top] | ~known))
+            out.append(pd.DataFrame({"rep": pdf["rep"].iloc[0], "q_index": k, "id": ids, "next": nxt, "root": pd.Series(root).astype("Int64").mask(pd.Series(~done)), "level": low + at - start}))
+            if not done.all():
+                break
+        return pd.concat(out)
+
+    return run
+
+
+_WALKED = "rep int, q_index int, id long, next long, root long, level long"
+
+
+def _depth(rows: int) -> int:
+    return min(max(FIRST, AT_ONCE // max(rows, 1)), DEEPEST)
+
+
+def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tuple[int, object]], seed: str, g: Graph) -> DataFrame:
+    """Forests of all ``qs`` (index, q), from the highest on, of repetitions that fit into a task each. Where a stack
+    ran out, the repetition goes on from the levels it reached, with twice as many arrows."""
+    vector = isinstance(qs[0][1], DataFrame)
+    if vector:
+        base = ground(base.join(rates(g, qs[0][1]), "id"))
+        qs = [(qs[0][0], None)]
+    out, tops, order = [], ground(tops), [k for k, _ in qs]
+    depth = _depth(tops.count())
+    left = {None: tops.select("rep", "id", "level")}
+    while left:
+        found, again = [], {}
+        for first, rows in left.items():
+            these = qs if first is None else qs[order.index(first) :]
+            deep = F.greatest(F.lit(depth).cast("long"), F.col("level"))
+            picked = drawn(base, arrows, rows, seed, deep)
+            picked = picked.join(base.select("id", "q"), "id") if vector else picked
+            walked = ground(_given(picked).groupBy("rep").applyInPandas(_grid_walk(these), _WALKED))
+            open_ = walked.where("root is null").groupBy("q_index").agg(F.collect_set("rep").alias("reps")).collect()
+            for r in open_:
+                mine = (F.col("q_index") == r["q_index"]) & F.col("rep").isin(r["reps"])
+                again.setdefault(r["q_index"], []).append(walked.where(mine).select("rep", "id", "level"))
+                walked = walked.where(~mine)
+            found.append(walked)
+        out += found
+        left = {k: reduce(DataFrame.union, v) for k, v in again.items()}
+    return reduce(DataFrame.union, out)
+
+
+def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, local: int) -> DataFrame:
+    """(rep, id, level, next, root) from rates and degrees (id, d, n, q), the drawing index and the stacks' levels (id,
+    rep, level). A round takes the top arrows of the vertices whose root is not known yet, follows them by
+    pointer doubling, and pops the vertices on cycles, which are those that some vertex still points at
+    after all doublings. Vertices that reached a root are done: no cycle is on their way. They go to one
+    table, which a round joins by the few vertices that it asks for."""
 
-    def arrows(tops: DataFrame) -> DataFrame:
-        key = (seed, F.col("rep"), F.col("id"), F.col("level"))
-        drawn = tops.join(base, "id").withColumns({"dies": uniform("u", *key) * (F.col("q") + F.col("d")) < F.col("q"), "t": uniform("v", *key) * F.col("d")})
-        moves = drawn.where("not dies").join(cum, "id").where("lo <= t and t < hi")
-        return drawn.where("dies").select("rep", "id", "level", F.lit(None).cast("long").alias("next")).union(moves.select("rep", "id", "level", F.col("dst").alias("next")))
+    def topmost(tops: DataFrame) -> DataFrame:
+        a = drawn(base, arrows, tops, seed).join(base.select("id", "q"), "id")
+        dies = F.col("next").isNull() | (F.col("u") * (F.col("q") + F.col("d")) < F.col("q"))
+        return a.select("rep", "id", "level", F.when(~dies, F.col("next")).alias("next"))
 
-    keep, settled = Rounds(), []
-    active = keep(arrows(levels))
-    n = active.count()
+    keep, settled = Rounds(), Store("settled")
+    active = keep(topmost(levels))
     while True:
+        sizes = active.groupBy("rep").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+        n = sizes["n"] or 0
+        if not n:
+            return settled.read()
+        if sizes["most"] <= local:
+            return settled.add(_finished(base, arrows, active.select("rep", "id", "level"), seed, settled))
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
         if settled:
-            known = reduce(DataFrame.union, settled).select("rep", F.col("id").alias("next"), F.col("root").alias("__root"))
+            asked = active.select("rep", "next").where("next is not null").distinct()
+            known = settled.read().select("rep", F.col("id").alias("next"), F.col("root").alias("__root")).join(asked, ["rep", "next"], "left_semi")
             far = far.join(known, ["rep", "next"], "left").select("rep", "id", "level", "next", F.coalesce("__root", "to").alias("to"), (F.col("done") | F.col("__root").isNotNull()).alias("done"))
         far = _followed(far, n)
-        settled.append(far.where("done").select("rep", "id", "level", "next", F.col("to").alias("root")))
+        settled.add(far.where("done").select("rep", "id", "level", "next", F.col("to").alias("root")))
         left = far.where("not done")
-        n = left.count()
-        if not n:
-            return reduce(DataFrame.union, settled)
         loops = left.select("rep", F.col("to").alias("id")).distinct()
         left = left.select("rep", "id", "level", "next")
         popped = left.join(loops, ["rep", "id"], "left_semi").withColumn("level", F.col("level") + 1)
-        active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(arrows(popped.select("rep", "id", "level"))))
+        active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(topmost(popped.select("rep", "id", "level"))))
+
+
+def _finished(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, settled: Store) -> DataFrame:
+    """(rep, id, level, next, root) of the vertices left, a repetition a task, beside those whose roots are known."""
+    out = Store("finished")
+    tops = ground(tops)
+    depth = _depth(tops.count())
+    while True:
+        deep = F.greatest(F.lit(depth).cast("long"), F.col("level"))
+        picked = drawn(base, arrows, tops, seed, deep).join(base.select("id", "q"), "id")
+        asked = picked.where("next is not null").select("rep", "next").distinct()
+        known = None
+        for done in (settled, out):
+            if done:
+                rows = done.read().select("rep", F.col("id").alias("next"), F.col("root").alias("__root")).join(asked, ["rep", "next"], "left_semi")
+                known = rows if known is None else known.unionByName(rows)
+        walked = ground(_given(picked, known).groupBy("rep").applyInPandas(_grid_walk([(0, None)]), _WALKED))
+        out.add(walked.where("root is not null").select("rep", "id", "level", "next", "root"))
+        tops = walked.where("root is null").select("rep", "id", "level")
+        if not tops.limit(1).count():
+            return out.read()
 
 
 def _followed(far: DataFrame, n: int) -> DataFrame:

@@ -46,3 +46,23 @@ class Rounds:
             where = spark._jvm.org.apache.hadoop.fs.Path(old)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         return spark.read.schema(df.schema).parquet(self.path)
+
+
+class Store:
+    """A table in the shared folder that grows by appending; false while nothing was added. What was read
+    before an addition does not see it."""
+
+    def __init__(self, label: str):
+        self.label, self.path, self.schema, self.spark = label, None, None, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.spark, self.schema = df.sparkSession, self.schema or df.schema
+        self.path = self.path or f"{shared_dir(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+        return self.read()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def __bool__(self) -> bool:
+        return self.path is not None

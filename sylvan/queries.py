@@ -142,12 +142,12 @@ def random_forest_part_supplier(spark, sf):
 
 @query
 def random_forest_distributed(spark, sf):
-    return forest.random_forest_distributed(trade(spark, sf), Q, REPS, SEED).select("rep", "id", "next", "root")
+    return forest.random_forest_distributed(trade(spark, sf), Q, REPS, SEED, local=20).select("rep", "id", "next", "root")
 
 
 @query
 def coupled_grid_distributed(spark, sf):
-    return forest.random_forest_distributed(trade(spark, sf), None, 2, SEED, grid=GRID).select("rep", "q_index", "id", "next", "root")
+    return forest.random_forest_distributed(trade(spark, sf), None, 2, SEED, grid=GRID, local=20).select("rep", "q_index", "id", "next", "root")
 
 
 @query

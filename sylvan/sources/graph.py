@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Edges, in both directions, and vertices up to which a graph may be handed to every task.
-LOCAL_EDGES = 4_000_000
+from sylvan.plans.ground import ground
+
+#: Neighbours above which a vertex' weights are summed in chunks, and the most chunks of one.
+HUB, CHUNKS = 100_000, 1024
+
+
+def cell_of(t: Column, d: Column, n: Column) -> Column:
+    """The cell of a position t in a degree d cut into n; grows with t, whatever the rounding."""
+    return F.least(F.floor(t / d * n), n - 1)
+
+
+def totals(index: DataFrame) -> DataFrame:
+    """(id, d, n) of the vertices that have neighbours, from a draw index."""
+    return index.where("cell = 0 and lo = 0").select("id", "d", "n").dropDuplicates(["id"])
 
 
 @dataclass
@@ -61,9 +73,39 @@ class Graph:
         return self.edges.where("src < dst").count()
 
     def cumulative(self) -> DataFrame:
-        """(src, dst, lo, hi): each edge's interval of its vertex' degree, by dst."""
-        upto = F.sum("weight").over(Window.partitionBy("src").orderBy("dst"))
-        return self.edges.select("src", "dst", (upto - F.col("weight")).alias("lo"), upto.alias("hi"))
+        """(src, dst, lo, hi, d, n): each edge's interval of its vertex' degree d, by dst, and the number of
+        neighbours. An interval begins where the one before ends, whatever the rounding of sums, and the
+        last one has no end. Vertices of more than HUB neighbours are summed in chunks by many tasks."""
+        n = self.edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
+        wide = ground(n.where(F.col("n") > HUB).select("src", "n", "least", (F.floor((F.col("most") - F.col("least")) / CHUNKS) + 1).alias("width")))
+        order, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
+        e = self.edges if wide.isEmpty() else self.edges.join(wide.select("src"), "src", "left_anti")
+        e = e.select("src", "dst", F.sum("weight").over(order).alias("upto"), F.lead("dst").over(order).isNull().alias("last"))
+        e = e.select("src", "dst", F.coalesce(F.lag("upto").over(order), F.lit(0.0)).alias("lo"), F.when(F.col("last"), float("inf")).otherwise(F.col("upto")).alias("hi"), F.max("upto").over(whole).alias("d"), F.count("*").over(whole).alias("n"))
+        return e if wide.isEmpty() else e.union(self._cumulative_of_hubs(wide))
+
+    def _cumulative_of_hubs(self, wide: DataFrame) -> DataFrame:
+        """The same for the vertices of ``wide`` (src, n, least, width): up to CHUNKS chunks of neighbours by equal widths of
+        ids are summed each by itself and begin at the sums of those before."""
+        part = Window.partitionBy("src", "chunk").orderBy("dst")
+        e = self.edges.join(wide, "src").select("src", "dst", "weight", "n", F.floor((F.col("dst") - F.col("least")) / F.col("width")).alias("chunk"))
+        e = ground(e.withColumns({"upto": F.sum("weight").over(part), "last": F.lead("dst").over(part).isNull()}))
+        by_chunk = Window.partitionBy("src").orderBy("chunk")
+        base = F.coalesce(F.sum("upto").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        ends = e.where("last").select("src", "chunk", "upto", base.alias("base"), F.lead("chunk").over(by_chunk).isNull().alias("final"))
+        ends = ends.select("src", "chunk", "base", "final", F.max(F.col("base") + F.col("upto")).over(Window.partitionBy("src")).alias("d"))
+        e = e.join(ends, ["src", "chunk"]).withColumn("sum", F.col("base") + F.col("upto"))
+        hi = F.when(F.col("last") & F.col("final"), float("inf")).otherwise(F.col("sum"))
+        return e.select("src", "dst", F.coalesce(F.lag("sum").over(part), "base").alias("lo"), hi.alias("hi"), "d", "n")
+
+    def draw_index(self) -> DataFrame:
+        """(id, cell, dst, lo, hi, d, n): the intervals by cells of the degree d, of which a vertex has as many
+        as its n neighbours. A position t of a vertex lies in cell floor(t / d * n), which meets two
+        intervals on average, so a draw is an equi-join with a row or two and a hub is as many keys as it
+        has neighbours. Intervals that reach over several cells come once for each: 2 n rows at most."""
+        e = self.cumulative()
+        last = F.when(F.col("hi") == float("inf"), F.col("n") - 1).otherwise(cell_of(F.col("hi"), F.col("d"), F.col("n")))
+        return e.select(F.col("src").alias("id"), F.explode(F.sequence(cell_of(F.col("lo"), F.col("d"), F.col("n")), last)).alias("cell"), "dst", "lo", "hi", "d", "n")
 
     def laplacian_times(self, x: DataFrame, value: str = "x") -> DataFrame:
         """(id, lx): L x for a signal (id, value); absent entries are 0."""
@@ -71,22 +113,5 @@ class Graph:
         own = self.degree().join(x.select("id", F.col(value).alias("__x")), "id", "left").join(wx, "id", "left")
         return own.select("id", (F.col("d") * F.coalesce("__x", F.lit(0.0)) - F.coalesce("wx", F.lit(0.0))).alias("lx"))
 
-    def local(self):
-        """(ids, offsets, targets, cumulative weights, degrees) as arrays, for graphs of at most LOCAL_EDGES edges."""
-        import numpy as np
-
-        n = max(self.edges.count(), self.vertices.count())
-        if n > LOCAL_EDGES:
-            raise ValueError(f"{n} edges or vertices are too many to hand to every task; use the distributed sampler")
-        ids = np.sort(self.vertices.toArrow()["id"].to_numpy())
-        e = self.edges.select("src", "dst", "weight").toArrow()
-        src, dst, w = (e[c].to_numpy() for c in ("src", "dst", "weight"))
-        order = np.lexsort((dst, src))
-        src, dst, w = np.searchsorted(ids, src[order]), np.searchsorted(ids, dst[order]), w[order]
-        offsets = np.searchsorted(src, np.arange(len(ids) + 1))
-        cum = np.concatenate([np.cumsum(w[a:b]) for a, b in zip(offsets, offsets[1:])]) if len(w) else w
-        deg = np.array([cum[b - 1] if b > a else 0.0 for a, b in zip(offsets, offsets[1:])])
-        return ids, offsets, dst, cum, deg
-
     def __repr__(self) -> str:
         return f"Graph({self.vertices}, {self.edges})"

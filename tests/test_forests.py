@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from sylvan.functions.rng import uniform, uniform_py
 from sylvan.operators import connectivity, draws, forest
 from sylvan.operators import partition as parts
-from sylvan.operators.forest import _walk
 from sylvan.plans import labels, moments, multiscale, smoothing
 from sylvan.plans.ground import ground
 from sylvan.sources import generators as gen
 from sylvan.sources import tables
 from sylvan.sources.graph import Graph
 
+from .wilson import forests, walk
+
 
 def dense(g):
     ids = sorted(r.id for r in g.vertices.collect())
@@ -67,6 +68,79 @@ def test_both_samplers_agree(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+SAMPLED = {"weighted": lambda s: gen.random_weighted(s, 12, 0.4, 1), "lattice": lambda s: gen.lattice(s, 9, 7), "preferential": lambda s: gen.preferential(s, 60, 2, 3)}
+
+
+def by_rows(f):
+    return sorted(((r.rep, r.q_index, r.id, r.next, r.root, r.level) for r in f.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", SAMPLED)
+def test_forests_equal_wilson_step_by_step(spark, name):
+    """Also where stacks run out (low q), down a grid, with rates by vertex, and by joins until few are left."""
+    g = SAMPLED[name](spark)
+    g = Graph(ground(g.vertices), ground(g.edges))
+    assert by_rows(forest.random_forest(g, 0.02, 3, 9)) == forests(g, [0.02], 3, 9)
+    assert by_rows(forest.random_forest(g, 4.0, 3, 9, local=12)) == forests(g, [4.0], 3, 9)
+    grid = [0.05, 3.0, 0.7]
+    assert by_rows(forest.random_forest(g, None, 2, 4, grid=grid)) == forests(g, grid, 2, 4)
+    q = g.vertices.select("id", F.when(F.col("id") % 7 == 0, 0.3).otherwise(0.0).alias("q"))
+    assert by_rows(forest.random_forest(g, q, 2, 4)) == forests(g, [{r.id: r.q for r in q.collect()}], 2, 4)
+
+
+def test_stacks_that_run_out_go_on(spark, monkeypatch):
+    """With one arrow at a time at first, and a bounded task for what rounds of joins leave."""
+    g = gen.random_weighted(spark, 8, 0.6, 3)
+    g = Graph(ground(g.vertices), ground(g.edges))
+    monkeypatch.setattr(forest, "FIRST", 1)
+    monkeypatch.setattr(forest, "DEEPEST", 1)
+    assert by_rows(forest.random_forest(g, None, 2, 7, grid=[0.3, 2.0])) == forests(g, [0.3, 2.0], 2, 7)
+    assert by_rows(forest.random_forest(g, 0.8, 2, 7, local=7)) == forests(g, [0.8], 2, 7)
+
+
+def hub(spark, n=1999):
+    """A hub with fractional weights, whose sums round, and a neighbour of it with one edge more."""
+    e = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"), (0.1 + F.col("id") % 7 / 10).alias("weight"))
+    return Graph.from_edges(e.union(spark.createDataFrame([(1, 2, 0.3)], "a long, b long, weight double")))
+
+
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_intervals_have_no_gap_and_no_overlap(spark, monkeypatch, most):
+    """In one window and in chunks."""
+    from sylvan.sources import graph
+
+    monkeypatch.setattr(graph, "HUB", most)
+    g = hub(spark)
+    rows = sorted((r.lo, r.hi, r.dst, r.d, r.n) for r in g.cumulative().where("src = 0").collect())
+    assert len(rows) == 1999 and rows[0][0] == 0 and rows[-1][1] == math.inf
+    assert all(a[1] == b[0] and a[0] < a[1] for a, b in zip(rows, rows[1:]))
+    assert [r[2] for r in rows] == list(range(1, 2000)) and {r[4] for r in rows} == {1999}
+    assert {r[3] for r in rows} == {rows[0][3]} and abs(rows[0][3] - sum(0.1 + k % 7 / 10 for k in range(1, 2000))) < 1e-9
+    # positions at and next to every edge lie in exactly one interval of their cell
+    at = sorted({x for lo, *_ in rows for x in (lo, np.nextafter(lo, math.inf), max(np.nextafter(lo, 0), 0.0))} | {float(np.nextafter(rows[0][3], 0))})
+    points = spark.createDataFrame([(0, float(t)) for t in at], "id long, t double").join(graph.totals(g.draw_index()), "id")
+    hit = points.withColumn("cell", graph.cell_of(F.col("t"), F.col("d"), F.col("n"))).join(g.draw_index().drop("d", "n"), ["id", "cell"]).where("lo <= t and t < hi")
+    got = {r.t: r["count"] for r in hit.groupBy("t").count().collect()}
+    assert set(got) == set(at) and set(got.values()) == {1}
+    cells = g.draw_index().where("id = 0").groupBy("cell").count()
+    assert cells.count() == 1999 and cells.agg(F.max("count")).first()[0] <= 12
+
+
+def test_a_draw_meets_a_cell_and_not_a_neighbourhood(spark):
+    """Shares of weights, and how many rows the join gives."""
+    g = hub(spark)
+    points = spark.range(4000).select(F.lit(0).cast("long").alias("id"), F.col("id").alias("draw"))
+    got = draws.random_successor_weighted(g, points, 3)
+    assert got.where("next is null").count() == 0
+    heavy = got.where("next % 7 = 6").count() / 4000
+    assert abs(heavy - 0.7 * 285 / sum(0.1 + k % 7 / 10 for k in range(1, 2000))) < 0.03
+    from sylvan.sources import graph
+
+    at = points.join(graph.totals(g.draw_index()), "id").withColumn("t", uniform("v", 3, F.col("draw"), F.col("id")) * F.col("d"))
+    met = at.withColumn("cell", graph.cell_of(F.col("t"), F.col("d"), F.col("n"))).join(g.draw_index().drop("d", "n"), ["id", "cell"]).count()
+    assert met < 3 * 4000
+
+
 def test_uniform_is_the_same_in_both_engines(spark):
     row = spark.range(3).select(uniform("u", 7, F.col("id"), F.lit(2)).alias("u")).collect()
     assert [r.u for r in row] == [uniform_py("u", 7, k, 2) for k in range(3)]
@@ -117,7 +191,7 @@ def test_kernel_on_random_graphs(n, edges, q, seed):
     targets = [np.flatnonzero(w[i]) for i in range(n)]
     offsets = np.cumsum([0, *map(len, targets)])
     cum = np.concatenate([np.cumsum(w[i][t]) for i, t in enumerate(targets)]) if offsets[-1] else np.empty(0)
-    nxt, root = _walk(np.arange(n), offsets, np.concatenate(targets), cum, w.sum(axis=1), np.full(n, q), seed, 0, np.zeros(n, np.int64))
+    nxt, root = walk(np.arange(n), offsets, np.concatenate(targets), cum, w.sum(axis=1), np.full(n, q), seed, 0, np.zeros(n, np.int64))
     for i in range(n):
         at, steps = i, 0
         while nxt[at] >= 0:
@@ -266,7 +340,7 @@ def test_grids_by_joins_equal_the_local_ones(spark):
     g = Graph(ground(g.vertices), ground(g.edges))
     for own in (False, True):
         a = forest.random_forest(g, None, 1, 7, grid=[0.7, 3.0], moment_seeds=own)
-        b = forest.random_forest_distributed(g, None, 1, 7, grid=[0.7, 3.0], moment_seeds=own)
+        b = forest.random_forest_distributed(g, None, 1, 7, grid=[0.7, 3.0], moment_seeds=own, local=3)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
