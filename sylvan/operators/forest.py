@@ -108,16 +108,18 @@ def _resolve(to: np.ndarray) -> np.ndarray:
     return to
 
 
-def pop_arrays(to: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> None:
+def pop_arrays(to: np.ndarray, ends, start: np.ndarray, stop: np.ndarray, at: np.ndarray, live: np.ndarray | None = None) -> None:
     """Pops cycles until none is left among known arrows. Vertex i's arrows are at start[i] .. stop[i] - 1; ``at`` is the
-    one on top and is moved on. Arrow a leads to vertex to[a], or, if ends[a], out of the game."""
+    one on top and is moved on. Arrow a leads to vertex to[a], or, if ``ends`` says so, out of the game. Only
+    ``live`` vertices (by default all) may be on a cycle."""
     n = len(start)
-    live, place = np.arange(n), np.arange(n)  # a vertex whose way has an end is live no more, and its place is -1
+    live, place = np.arange(n) if live is None else live, np.full(n, -1)
+    place[live] = np.arange(len(live))
     while len(live):
         own, top = np.arange(len(live)), at[live]
-        ended = (top >= stop[live]) | ends[np.minimum(top, len(to) - 1)]
+        ended = (top >= stop[live]) | ends(np.minimum(top, len(to) - 1))
         goal = np.where(ended, -1, place[np.where(ended, 0, to[np.minimum(top, len(to) - 1)])])
-        goal = np.where(goal < 0, own, goal)
+        goal = np.where(goal < 0, own, goal)  # a vertex whose way has an end is live no more, and its place is -1
         far = _resolve(goal)
         looping = goal[far] != far
         at[live[np.unique(far[looping])]] += 1
@@ -152,7 +154,7 @@ def _grid_walk(qs: list[tuple[int, float]]):
         for k, q in qs:
             q = pdf["q"].to_numpy() if q is None else q
             dies = lone | (u * (q + d) < q)
-            pop_arrays(to, dies | outer, start, stop, at)
+            pop_arrays(to, (dies | outer).__getitem__, start, stop, at)
             known = at < stop
             top = np.minimum(at, len(u) - 1)
             goes = known & ~dies[top] & ~outer[top]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 
 from sylvan.queries import GRID, NM, Q, REPS, RUNS, SEED
@@ -93,6 +95,30 @@ def sql(*ctes: str, select: str) -> str:
     return "with recursive " + ",".join(ctes) + "\n" + select
 
 
+def events(high: float, low: float, reps: int = REPS, doublings: int = 5) -> str:
+    """CTE events: a step pops the cycles there are, or, if a repetition has none, lets its next root die.
+    ``was`` holds the roots before that; rows of the last step have no q."""
+    u, v = _u("u", str(SEED), "s.rep", "s.id", "s.level"), _u("v", str(SEED), "s.rep", "s.id", "s.level")
+    doubled = ",\n".join(["f0 as (select rep, id, coalesce(nxt, id) as t from a)"] + [f"f{k} as (select x.rep, x.id, z.t from f{k - 1} x join f{k - 1} z on x.rep = z.rep and x.t = z.id)" for k in range(1, doublings + 1)])
+    return f"""
+steps as (
+  select 0 as step, 0 as event, false as fresh, rep::int as rep, id, 0::bigint as level, {high}::double as q, null::bigint as died, null::bigint as was from range({reps}) t(rep), v
+  union all
+  select * from (
+    with s as (select * from steps where q is not null),
+    r as (select s.*, {u} / (1 - {u}) * d as star, {v} * d as t, d from s join deg on deg.id = s.id),
+    a as (select r.*, c.dst as nxt from r left join cum c on c.src = r.id and not (q > star) and c.lo <= t and t < c.hi),
+    {doubled},
+    lp as (select distinct a.rep, a.id from a join (select distinct rep, t from f{doublings}) i on a.rep = i.rep and a.id = i.t where a.nxt is not null),
+    nx as (select rep, max(case when star >= {low} then star end) as q, arg_max(id, star) filter (star >= {low}) as died from a where nxt is null and rep not in (select rep from lp) group by rep)
+    select a.step + 1, case when nx.rep is null then a.event else a.event + 1 end, nx.rep is not null, a.rep, a.id, case when lp.id is null then a.level else a.level + 1 end,
+      case when nx.rep is null then a.q else nx.q end, nx.died, f{doublings}.t
+    from a join f{doublings} on f{doublings}.rep = a.rep and f{doublings}.id = a.id left join lp on lp.rep = a.rep and lp.id = a.id left join nx on nx.rep = a.rep)),
+events as (
+  select b.rep, b.event, b.q, b.died as root, count(*) filter (b.was <> e.was) as n_rerooted, count(*) filter (e.id = e.was) as n_roots
+  from steps b join steps e on b.fresh and e.fresh and e.rep = b.rep and e.event = b.event + 1 and e.id = b.id where b.q is not null group by b.rep, b.event, b.q, b.died)"""
+
+
 TREES = (TRADE, BASE, SIGNAL, forest(rate(f"{Q}"), REPS, 5))
 VECTOR = (TRADE, BASE, SIGNAL, forest(rate("id * 50.0 + 500"), REPS, 5))
 PART = """
@@ -137,6 +163,23 @@ def maps(runs: int, nm: int = NM, indep: bool = False) -> tuple[str, ...]:
     return (TRADE, BASE, forest(grid_rate(indep), runs * nm, 5), f"\nmaps as (select (rep // {nm})::int as run, (rep % {nm})::int as m, qi, id, root from forest)")
 
 
+_FLOW_CHAIN = ["\nc1 as (select rep as last, id, root as pos from forest)"] + [
+    f"\nc{k} as (select b.rep as last, a.id, b.root as pos from c{k - 1} a join forest b on a.pos = b.id where b.rep > a.last)" for k in range(2, 7)
+]
+_FLOW_COUNTS = " union all ".join(f"select 0 as run, 0 as q_index, {k} as k, round(count(*) filter (id = pos) / {comb(6, k)}::double, 6) as count from c{k}" for k in range(1, 7))
+
+_PATHS = """
+pth as (
+  select rep, id, next, root, [id] as path, 0::bigint as depth from forest where next is null
+  union all
+  select f.rep, f.id, f.next, f.root, list_append(p.path, f.id), p.depth + 1 from forest f join pth p on f.rep = p.rep and f.next = p.id)"""
+_TOUR = (
+    PARTS, BASE, forest(rate("20.0"), 2, 12), _PATHS, "\nsz as (select rep, u as id, count(*) as size from (select rep, unnest(path) as u from pth) group by 1, 2)",
+    """
+tour as (
+  select p.rep, p.id, p.next, p.root, 2 * pre - depth as enter, 2 * pre - depth + 2 * size - 1 as leave, size, depth
+  from (select *, row_number() over (partition by rep, root order by path) - 1 as pre from pth) p join sz on sz.rep = p.rep and sz.id = p.id)""",
+)
 _QVAL = f"(list_value({', '.join(f'{q}::double' for q in GRID)}))[qi + 1]"
 _COLLECT = (*maps(RUNS), *_CHAIN, _COUNTS, f"\nag as (select qi, k, greatest(sum(cnt) / {RUNS}, 1.0) / 25 as y, var_pop(cnt) as vp from ns group by 1, 2)")
 
@@ -255,6 +298,22 @@ SQL = {
     ),
     "coupled_grid_distributed": sql(TRADE, BASE, forest(grid_rate(), 2, 5), select="select rep, qi as q_index, id, next, root from forest"),
     "death_thresholds": sql(*TREES, select=f"select rep, t.id, round({_u('u', str(SEED), 'rep', 't.id', 'level')} / (1 - {_u('u', str(SEED), 'rep', 't.id', 'level')}) * d, 6) as q_star from top t join deg on deg.id = t.id where nxt is null"),
+    "coupled_events": sql(TRADE, BASE, events(max(GRID), min(GRID)), select="select rep, event, round(q, 6) as q, root, n_rerooted, n_roots from events"),
+    "forest_bfs": sql(FLOW, BASE, forest(rate("20.0"), 2, 8), _PATHS, select="select rep, id, depth, next as parent from pth"),
+    "graph_bfs": sql(
+        PARTS, "\nw as (select 0::bigint as id, 0::bigint as depth union select e.dst, depth + 1 from w join e on e.src = w.id where depth < 8)", "\nnear as (select id, min(depth) as depth from w group by 1)",
+        select="select n.id, any_value(n.depth) as depth, min(b.id) as parent from near n left join (e join near b on b.id = e.src) on e.dst = n.id and b.depth = n.depth - 1 group by n.id",
+    ),
+    "forest_tour": sql(*_TOUR, select="select rep, id, next, root, enter, leave, size, depth from tour"),
+    "subtree_moves": sql(
+        *_TOUR, "\nbig as (select rep, root, arg_max(id, (size, -id)) as id from tour where next is not null group by 1, 2)", "\nleast_root as (select rep, min(root) as goal from tour group by 1)",
+        select="select t.rep, t.id, case when t.id = big.id then goal else t.next end as next, case when t.enter between m.enter and m.leave then goal else t.root end as root from tour t join least_root l on l.rep = t.rep left join big on big.rep = t.rep and big.root = t.root left join tour m on m.rep = big.rep and m.id = big.id",
+    ),
+    "smooth_chebyshev": sql(
+        PARTS, BASE, "\ny as (select p_partkey as id, 0 as k, p_retailprice as y from part union all select s_suppkey + 10000000, 0, s_acctbal from supplier)", *exact("20.0", 150),
+        select="select id, k, round(x, 6) as x from sol",
+    ),
+    "n_self_roots_flow": sql(FLOW, BASE, forest(rate("20.0"), 6, 8), *_FLOW_CHAIN, select=_FLOW_COUNTS),
     "forest_out_neighbors": sql(*TREES, select="select rep, id, coalesce(next::varchar, '') as neighbors from forest where id < 10"),
     "random_forest": sql(FLOW, BASE, forest(rate("20.0"), 2, 8), select=_FOREST_COLS),
     "random_forest_part_supplier": sql(PARTS, BASE, forest(rate("20.0"), 2, 12), select=_FOREST_COLS),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sylvan.operators.forest import random_forest
+from sylvan.plans.ground import Rounds
 from sylvan.sources.graph import Graph
 
 #: Names of algorithms. All coupled ones give the same law and here the same forests.
@@ -27,17 +28,22 @@ def self_roots(forests: DataFrame) -> DataFrame:
 
 def n_self_roots(maps: DataFrame, nm: int) -> DataFrame:
     """(run, q_index, k, count): fixed points of the compositions of all k-subsets, in increasing order, of
-    nm root maps (run, m, q_index, id, root), divided by the number of subsets. Their number, and with it
-    the rows of the joins, doubles with each further map."""
-    chain = maps.select("run", "q_index", F.col("m").alias("last"), "id", F.col("root").alias("at"))
-    out = None
-    for k in range(1, nm + 1):
-        hits = chain.groupBy("run", "q_index").agg((F.sum((F.col("id") == F.col("at")).cast("long")) / comb(nm, k)).alias("count")).select("run", "q_index", F.lit(k).alias("k"), "count")
-        out = hits if out is None else out.union(hits)
-        if k < nm:
-            more = maps.select("run", "q_index", "m", F.col("id").alias("at"), F.col("root").alias("further"))
-            chain = chain.join(more, ["run", "q_index", "at"]).where("m > last").select("run", "q_index", F.col("m").alias("last"), "id", F.col("further").alias("at"))
-    return out
+    nm root maps (run, m, q_index, id, root), divided by the number of subsets.
+
+    Subsets are counted, not listed: ``ways`` says how many k-subsets of the maps so far lead a vertex to
+    another. Map by map each of them is left out or applied. A vertex has a row for each place it can be at
+    and each k, so that the rows grow with the maps and not with their subsets."""
+    keep = Rounds("ways")
+    ids = maps.where("m = 0").select("run", "q_index", "id")
+    ways = ids.select("run", "q_index", "id", F.col("id").alias("at"), F.lit(0).alias("k"), F.lit(1).cast("decimal(38,0)").alias("ways"))
+    for m in range(nm):
+        on = maps.where(F.col("m") == m).select("run", "q_index", F.col("id").alias("at"), F.col("root").alias("further"))
+        more = ways.join(on, ["run", "q_index", "at"]).select("run", "q_index", "id", F.col("further").alias("at"), (F.col("k") + 1).alias("k"), "ways")
+        ways = ways.unionByName(more).groupBy("run", "q_index", "id", "at", "k").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+        ways = keep(ways)
+    subsets = F.element_at(F.array(*(F.lit(float(comb(nm, k))) for k in range(1, nm + 1))), F.col("k"))
+    hits = ways.where("k > 0").groupBy("run", "q_index", "k").agg(F.sum(F.when(F.col("id") == F.col("at"), F.col("ways")).otherwise(0)).cast("double").alias("n"))
+    return hits.select("run", "q_index", "k", (F.col("n") / subsets).alias("count"))
 
 
 def root_maps(g: Graph, grid: list[float], nm: int, runs: int = 1, algo: str = "standard", seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
-from sylvan.operators import connectivity, draws, forest
+from sylvan.operators import connectivity, draws, events, forest, search
 from sylvan.operators import partition as parts
 from sylvan.plans import labels, moments, multiscale, smoothing
 from sylvan.plans.ground import ground, shared_dir
@@ -155,6 +155,42 @@ def death_thresholds(spark, sf):
     return rounded(forest.death_thresholds(*forests(spark, sf), SEED), "q_star")
 
 
+@query
+def coupled_events(spark, sf):
+    """All changes of the coupled forests of the trade graph from the highest q of the grid to the lowest."""
+    return rounded(events.coupled_events(trade(spark, sf), max(GRID), min(GRID), REPS, SEED), "q")
+
+
+@query
+def forest_bfs(spark, sf):
+    """Depth and parent of every vertex of two forests of the user flow, level by level from the roots."""
+    return search.bfs_parents(ground(forest.random_forest(stored(tables.user_flow(spark, sf)), 20.0, 2, SEED)))
+
+
+@query
+def graph_bfs(spark, sf):
+    g = stored(tables.part_supplier(spark, sf))
+    return search.bfs_graph(g, g.vertices.where("id = 0"))
+
+
+def _tours(spark, sf) -> DataFrame:
+    return ground(search.euler_tour(ground(forest.random_forest(stored(tables.part_supplier(spark, sf)), 20.0, 2, SEED))))
+
+
+@query
+def forest_tour(spark, sf):
+    return _tours(spark, sf)
+
+
+@query
+def subtree_moves(spark, sf):
+    """The largest subtree of each tree moves under the smallest root."""
+    tour = _tours(spark, sf)
+    top = tour.where("next is not null").groupBy("rep", "root").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("id"))
+    least = tour.groupBy("rep").agg(F.min("root").alias("next"))
+    return search.move_subtrees(tour, top.join(least, "rep").select("rep", "id", "next"))
+
+
 @query
 def forest_out_neighbors(spark, sf):
     g, f = forests(spark, sf)
@@ -266,6 +302,14 @@ def smooth_cg(spark, sf):
     return rounded(smoothing.smooth(trade(spark, sf), Q, signal(spark, sf), dense=0), "x")
 
 
+@query
+def smooth_chebyshev(spark, sf):
+    """Prices of parts and balances of suppliers on the graph of who supplies what."""
+    prices = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("k"), F.col("p_retailprice").alias("y"))
+    balances = tables.table(spark, sf, "supplier").select((F.col("s_suppkey") + tables.SUPPLIER_BASE).alias("id"), F.lit(0), "s_acctbal")
+    return rounded(smoothing.smooth(stored(tables.part_supplier(spark, sf)), 20.0, prices.union(balances), dense=0), "x")
+
+
 @query
 def smooth_rf_v1(spark, sf):
     return rounded(smoothing.smooth_rf(trade(spark, sf), Q, signal(spark, sf), REPS, 1, seed=SEED), "x")
@@ -437,6 +481,13 @@ def n_self_roots(spark, sf):
     return rounded(moments.n_self_roots(maps, NM), "count")
 
 
+@query
+def n_self_roots_flow(spark, sf):
+    """All subsets of six root maps of the user flow."""
+    maps = ground(moments.root_maps(stored(tables.user_flow(spark, sf)), [20.0], 6, 1, "standard", SEED))
+    return rounded(moments.n_self_roots(maps, 6), "count")
+
+
 @query
 def coupled_moments(spark, sf):
     return rounded(moments.coupled_forests_moments(trade(spark, sf), GRID, NM, "leaves_pq", SEED), "count")

@@ -57,7 +57,7 @@ def arrays(g):
 
 def forests(g, qs, reps, seed):
     """Sorted rows (rep, q_index, id, next, root, level) for rates ``qs``: numbers or {id: q}, going down."""
-    a = arrays(g)
+    a = g if isinstance(g, tuple) else arrays(g)
     out = []
     for rep in range(reps):
         level = np.zeros(len(a[0]), np.int64)
