@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from math import comb
 
-import numpy as np
-
 from sylvan.queries import GRID, NM, Q, REPS, RUNS, SEED
 from sylvan.sources.generators import BULL, TUTTE
 
@@ -42,11 +40,6 @@ pairs as (select distinct least(a, b) as a, greatest(a, b) as b from near where
 e as (select a as src, b as dst, 1.0::double as weight from pairs union all select b, a, 1.0::double from pairs),
 v as (select vec_id as id from embeddings)"""
 
-GRID8 = """
-v as (select id from range(64) t(id)),
-half as (select id as src, id + 1 as dst from v where id % 8 < 7 union all select id, id + 8 from v where id < 56),
-e as (select src, dst, 1.0::double as weight from half union all select dst, src, 1.0::double from half)"""
-
 BASE = """
 deg as (select v.id, coalesce(sum(weight), 0.0)::double as d from v left join e on v.id = e.src group by 1),
 cum as (select src, dst, sum(weight) over w - weight as lo, sum(weight) over w as hi from e window w as (partition by src order by dst))"""
@@ -190,11 +183,19 @@ _SSL = (
     "\nlab as (select id, arg_max(k, (round(x, 9), -k)) as label from sol group by id)",
 )
 
+_FIRST = "(select min(year(o_orderdate)) from orders)"
+_YEARS = "(select max(year(o_orderdate)) - min(year(o_orderdate)) + 1 from orders)"
+_CALENDAR = f"""
+v as (select id from range(12 * {_YEARS}) t(id)),
+half as (select id as src, id + 1 as dst from v where id % 12 < 11 union all select id, id + 12 from v where id < 12 * ({_YEARS} - 1)),
+e as (select src, dst, 1.0::double as weight from half union all select dst, src, 1.0::double from half)"""
+
+
 _DENOISE = (
-    GRID8, BASE, f"\ny as (select id, 0 as k, (case when id < 32 then 1.0 else 0.0 end)::double + {_u('noise', str(SEED), 'id')} as y from v)",
-    *exact("0.4", 400), forest(rate("0.4"), REPS, 6), PART,
+    _CALENDAR, BASE, f"\ny as (select ((year(o_orderdate) - {_FIRST}) * 12 + month(o_orderdate) - 1)::bigint as id, 0 as k, count(*)::double as y from orders group by 1)",
+    "\nyz as (select v.id, 0 as k, coalesce(y, 0.0) as y from v left join y on y.id = v.id)", jacobi("0.4", 400, y="yz"), "\nsol as (select id, k, x from jac where t = 400)", forest(rate("0.4"), REPS, 7), PART,
     f"\nv1 as (select f.id, sum(y.y) / {REPS} as x from forest f join y on f.root = y.id group by 1)",
-    "\nz as (select rep, part, avg(y) as z from part join y on part.id = y.id group by 1, 2)",
+    "\nz as (select rep, part, avg(y) as z from part join yz on part.id = yz.id group by 1, 2)",
     f"\nv2 as (select id, sum(z) / {REPS} as x from part join z on part.rep = z.rep and part.part = z.part group by 1)",
 )
 
@@ -240,14 +241,20 @@ def times(name: str, s: str) -> str:
 _LX = times("lx", "s")
 
 
+_MONTHS = f"""
+mon as (select ((year(o_orderdate) - {_FIRST}) * 12 + month(o_orderdate) - 1)::bigint as id, count(*)::double as x from orders group by 1),
+size as (select count(*) // 4 * 4 as n from mon),
+x as (select mon.* from mon, size where id < n)"""
+
+
 def _multigrid() -> str:
-    """Two cycles on a path of 64: a gradient step, the residual's correction on the path of 32 (by Jacobi), added."""
-    alpha, q, parts = 0.6, 0.5, []
-    for n, name in ((64, "a"), (32, "b")):
+    """Two cycles on the path of months: a gradient step, the residual's correction on the path of half the length (by Jacobi), added."""
+    alpha, q, parts = 0.6, 0.5, [_MONTHS]
+    for half, name in ((1, "a"), (2, "b")):
         parts.append(f"""
-{name}e as (select i as src, i + 1 as dst, 1.0::double as weight from range({n - 1}) t(i) union all select i + 1, i, 1.0::double from range({n - 1}) t(i)),
+{name}e as (select i as src, i + 1 as dst, 1.0::double as weight from range((select n // {half} - 1 from size)) t(i) union all select i + 1, i, 1.0::double from range((select n // {half} - 1 from size)) t(i)),
 {name}d as (select src as id, sum(weight) as d from {name}e group by 1)""")
-    parts.append("\ny as (select i as id, case when i < 32 then 1.0 else -1.0 end::double as y from range(64) t(i)),\nx0 as (select id, y as x from y)")
+    parts.append("\ny as (select id, x as y from x),\nx0 as (select id, y as x from y)")
     lap = lambda x: f"(select s.id, d.d * s.x - sum(e.weight * o.x) as lx from {x} s join ad d on d.id = s.id join ae e on e.src = s.id join {x} o on o.id = e.dst group by s.id, d.d, s.x)"
     for k in (1, 2):
         parts.append(f"""
@@ -258,20 +265,26 @@ r{k} as (select s.id // 2 as id, 0 as k, sum({q} * (y.y - s.x) - l.lx) / {2 * q}
     return "with recursive " + ",".join(parts) + "\nselect id, round(x, 6) as x from x2"
 
 
-_CYCLE = """
-v as (select id from range(12) t(id)),
-e as (select id as src, (id + 1) % 12 as dst, 1.0::double as weight from v union all select (id + 1) % 12, id, 1.0::double from v)"""
-_CHECK_GRID = [float(x) for x in np.geomspace(2.0 / 100, 2 * 2.0, 5)]
-_SMALL = {
-    "cycle": [(k, (k + 1) % 5) for k in range(5)],
-    "wheel": [(0, k) for k in range(1, 9)] + [(k, k % 8 + 1) for k in range(1, 9)],
-    "bull": BULL,
-    "tutte": TUTTE,
-}
+def _inverse(doublings: int = 13) -> str:
+    """CTE inv(qi, i, j, x): (L + q)^-1 for the q of table qs(qi, q), by sums of powers of the Jacobi matrix, doubled."""
+    parts = ["\ns0 as materialized (select qi, id as i, id as j, 1.0::double as x from qs, v)", "\np0 as materialized (select qi, src as i, dst as j, weight / (q + d) as x from qs, e join deg on deg.id = e.src)"]
+    for k in range(doublings):
+        parts.append(f"\ns{k + 1} as materialized (select qi, i, j, sum(x) as x from (select * from s{k} union all select p.qi, p.i, s.j, sum(p.x * s.x) from p{k} p join s{k} s on s.qi = p.qi and s.i = p.j group by all) group by all)")
+        parts.append(f"\np{k + 1} as materialized (select a.qi, a.i, b.j, sum(a.x * b.x) as x from p{k} a join p{k} b on b.qi = a.qi and b.i = a.j group by all)")
+    parts.append(f"\ninv as (select s.qi, i, j, x / (q + d) as x from s{doublings} s join qs on qs.qi = s.qi join deg on deg.id = s.j)")
+    return ",".join(parts)
+
+
+_CHECK = "\nqs as (select k as qi, lo * power(hi / lo, k / 4.0) as q from range(5) t(k), (select avg(d) / 100 as lo, 2 * max(d) as hi from deg))"
+
 
+def _path(level: int) -> str:
+    n = f"range((select (n >> {level}) - 1 from size)) t(i)"
+    return f"select {level} as level, i as src, i + 1 as dst, 1.0::double as weight from {n} union all select {level}, i + 1, i, 1.0::double from {n}"
 
-def _path(n: int, level: int) -> str:
-    return f"select {level} as level, i as src, i + 1 as dst, 1.0::double as weight from range({n - 1}) t(i) union all select {level}, i + 1, i, 1.0::double from range({n - 1}) t(i)"
+
+def _listed(name: str, pairs: list[tuple[int, int]]) -> str:
+    return f"select '{name}' as name, a::bigint as a, b::bigint as b from (values {', '.join(map(str, pairs))}) t(a, b)"
 
 
 SQL = {
@@ -380,27 +393,37 @@ SQL = {
         *_LEVEL1,
         select="select 0 as level, id, 1::bigint as w from v union all select 1, part, count(*) from part group by 2 union all select 2, xpart.part, count(*) from part join xpart on part.part = xpart.id group by 2",
     ),
-    "coarsen": "select i // 4 as id, sum(i * i)::double as x from range(32) t(i) group by 1",
-    "interpolate": "select i as id, (i // 4) * 1.5::double as x from range(32) t(i)",
-    "grid_partition": "select i as id, i // 2 as part from range(33) t(i)",
-    "mgrid_1d": " union all ".join(_path(32 >> k, k) for k in range(3)),
-    "lattice_edges": """
-with half as (
-  select i as a, i - i % 5 + (i + 1) % 5 as b from range(20) t(i) union all select i, (i + 5) % 20 from range(20) t(i))
+    "coarsen": sql(_MONTHS, select="select id // 4 as id, sum(x) as x from x group by 1"),
+    "interpolate": sql(_MONTHS, "\nc as (select id // 4 as part, sum(x) as x from x group by 1)", select="select i as id, c.x from range((select n from size)) t(i) join c on c.part = i // 4"),
+    "grid_partition": "select i as id, i // 2 as part from range((select count(*) from customer)) t(i)",
+    "mgrid_1d": sql(_MONTHS, select=" union all ".join(map(_path, range(3)))),
+    "lattice_edges": f"""
+with s as (select {_YEARS} as years),
+half as (
+  select i as a, i - i % 12 + (i + 1) % 12 as b from range(12 * (select years from s)) t(i) union all select i, (i + 12) % (12 * (select years from s)) from range(12 * (select years from s)) t(i))
 select a as src, b as dst, 1.0::double as weight from half union all select b, a, 1.0::double from half
 """,
     "image_signal": "select ((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1)::bigint as id, 0 as k, count(*)::double as y from orders group by 1",
     "from_adjacency": sql(TRADE, select="select src, dst, weight from e union all select id, -1, 0.0 from v"),
-    "small_graphs": "select * from (" + " union all ".join(f"select '{name}' as name, * from (values {', '.join(f'({a}::bigint, {b}::bigint, 1.0::double), ({b}::bigint, {a}::bigint, 1.0::double)' for a, b in pairs)}) t(src, dst, weight)" for name, pairs in _SMALL.items()) + ")",
+    "small_graphs": f"""
+with h as (
+  select 'cycle' as name, i as a, (i + 1) % (select count(*) from region) as b from range((select count(*) from region)) t(i)
+  union all select 'wheel', 0, i from range(1, (select count(*) from nation)) t(i)
+  union all select 'wheel', i, i % ((select count(*) from nation) - 1) + 1 from range(1, (select count(*) from nation)) t(i)
+  union all {_listed("bull", BULL)} union all {_listed("tutte", TUTTE)})
+select name, a as src, b as dst, 1.0::double as weight from h union all select name, b, a, 1.0::double from h
+""",
     "erdos_renyi": f"""
-with k as (select floor({_u('er', str(SEED), 'i')} * 1770)::bigint as k, min(i) as first from range(664) t(i) group by 1 order by 2 limit 300),
-p as (select k, list_filter(range(61), lambda b: b * (b - 1) // 2 <= k)[-1] as b from k),
-h as (select k - b * (b - 1) // 2 as a, b from p)
+with n as (select count(*) as n, (select count(*) from orders) as m from customer),
+k as (select floor({_u('er', str(SEED), 'i')} * (n * (n - 1) // 2))::bigint as k, min(i) as first from range(2 * (select m from n) + 64) t(i), n group by 1),
+p as (select k, floor((1 + sqrt(8.0::double * k + 1)) / 2)::bigint as b from (select k from k qualify row_number() over (order by first) <= (select m from n))),
+c as (select k, case when b * (b - 1) // 2 > k then b - 1 when b * (b + 1) // 2 <= k then b + 1 else b end as b from p),
+h as (select k - b * (b - 1) // 2 as a, b from c)
 select a as src, b as dst, 1.0::double as weight from h union all select b, a, 1.0::double from h
 """,
     "barabasi_albert": f"""
 with recursive m as (
-  select i as edge, 3 + i // 3 as v, case when i >= 3 then floor({_u('ba', str(SEED), 'i')} * (6 * (i // 3)))::bigint end as pos from range(591) t(i)),
+  select i as edge, 3 + i // 3 as v, case when i >= 3 then floor({_u('ba', str(SEED), 'i')} * (6 * (i // 3)))::bigint end as pos from range(3 * ((select count(*) from customer) - 3)) t(i)),
 f as (
   select edge, v, case when edge < 3 then edge when pos % 2 = 0 then 3 + (pos // 2) // 3 end as took, case when pos % 2 = 1 then pos // 2 end as back from m
   union all
@@ -412,18 +435,17 @@ select a as src, b as dst, 1.0::double as weight from h union all select b, a, 1
     "random_weighted_graph": f"""
 with h as (
   select a.i as a, b.i as b, case when {_u('in1', str(SEED), 'a.i', 'b.i')} < 0.5 then {_u('w1', str(SEED), 'a.i', 'b.i')} else 0 end + case when {_u('in2', str(SEED), 'a.i', 'b.i')} < 0.5 then {_u('w2', str(SEED), 'a.i', 'b.i')} else 0 end as w
-  from range(12) a(i) join range(12) b(i) on a.i < b.i)
+  from range((select count(*) from nation)) a(i) join range((select count(*) from nation)) b(i) on a.i < b.i)
 select a as src, b as dst, round(w, 6) as weight from h where w > 0 union all select b, a, round(w, 6) from h where w > 0
 """,
     "multigrid": _multigrid(),
     "first_moment_check": sql(
-        _CYCLE, BASE, forest(" union all ".join(f"select {k} as qi, id, {q!r}::double as q, '{SEED}' as sd from v" for k, q in enumerate(_CHECK_GRID)), 10, 4),
-        "\nc as (select qi, rep, count(*) filter (id = root)::double as value from forest group by 1, 2)",
-        "\nev as (select 2 - 2 * cos(2 * pi() * id / 12) as l from v)",
-        "\ntr as (select qi, q, sum(q / (q + l)) as true_mean, sum(q / (q + l) * (1 - q / (q + l))) as true_var from (select distinct qi, q from rate), ev group by 1, 2)",
+        TRADE, BASE, _CHECK, forest(f"select qi, id, q, '{SEED}' as sd from qs, v", 10, 5), "\nc as (select qi, rep, count(*) filter (id = root)::double as value from forest group by 1, 2)", _inverse(),
+        "\nsq as (select a.qi, sum(a.x * b.x) as s from inv a join inv b on b.qi = a.qi and b.i = a.j and b.j = a.i group by 1)",
+        "\ntr as (select inv.qi, any_value(q) as q, any_value(q) * sum(x) filter (i = j) as true_mean, any_value(q) * sum(x) filter (i = j) - any_value(q * q * s) as true_var from inv join qs on qs.qi = inv.qi join sq on sq.qi = inv.qi group by 1)",
         select="select round(q, 6) as q, rep as mc, round(avg(value) over w, 6) as mean, round(var_samp(value) over w, 6) as var, round(true_mean, 6) as true_mean, round(true_var, 6) as true_var from c join tr on tr.qi = c.qi window w as (partition by c.qi order by rep rows between unbounded preceding and current row)",
     ),
-    "erdos_renyi_size": "select 60::bigint as nv, 300::bigint as ne",
+    "erdos_renyi_size": "select (select count(*) from customer) as nv, (select count(*) from orders) as ne",
     "self_roots": sql(
         *TREES, select="select count(*) filter (a.id = d.root) as n_self from forest a join forest b on b.rep = 1 and b.id = a.root join forest c on c.rep = 2 and c.id = b.root join forest d on d.rep = 3 and d.id = c.root where a.rep = 0"
     ),

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.functions.rng import uniform
 from sylvan.operators import connectivity, draws, events, forest, search
 from sylvan.operators import partition as parts
 from sylvan.plans import labels, moments, multiscale, smoothing
@@ -382,45 +381,73 @@ def hierarchy(spark, sf):
     return multiscale.Hierarchy.sample(trade(spark, sf), Q, 2, SEED).total_weights()
 
 
-def _line(spark) -> multiscale.Hierarchy:
-    return multiscale.Hierarchy.line(spark, 32, 2)
+def _years(spark, sf) -> tuple[int, int]:
+    """The first and the last year of orders."""
+    year = F.year("o_orderdate")
+    return tuple(tables.table(spark, sf, "orders").agg(F.min(year), F.max(year)).first())
+
+
+def monthly(spark, sf) -> DataFrame:
+    """(id, x): orders by month, numbered from January of the first year."""
+    first, _ = _years(spark, sf)
+    o = tables.table(spark, sf, "orders").groupBy(((F.year("o_orderdate") - first) * 12 + F.month("o_orderdate") - 1).cast("long").alias("id"))
+    return ground(o.agg(F.count("*").cast("double").alias("x")))
+
+
+def _line(spark, sf) -> tuple[multiscale.Hierarchy, DataFrame]:
+    """A path of the months that orders span, cut to a multiple of four, with the signal of their numbers."""
+    x = monthly(spark, sf)
+    n = x.count() // 4 * 4
+    return multiscale.Hierarchy.line(spark, n, 2), x.where(F.col("id") < n)
+
+
+def _count(spark, sf, name: str) -> int:
+    return tables.table(spark, sf, name).count()
 
 
 @query
 def coarsen(spark, sf):
-    x = spark.range(32).select("id", (F.col("id") * F.col("id") * 1.0).alias("x"))
-    return multiscale.HSignal(x, _line(spark)).coarsen().coarsen().x
+    h, x = _line(spark, sf)
+    return multiscale.HSignal(x, h).coarsen().coarsen().x
 
 
 @query
 def interpolate(spark, sf):
-    x = spark.range(8).select("id", (F.col("id") * 1.5).alias("x"))
-    return multiscale.HSignal(x, _line(spark), 2).interpolate().interpolate().x
+    h, x = _line(spark, sf)
+    return multiscale.HSignal(x, h).coarsen().coarsen().interpolate().interpolate().x
 
 
 @query
 def multigrid(spark, sf):
-    y = spark.range(64).select("id", F.when(F.col("id") < 32, 1.0).otherwise(-1.0).alias("y"))
-    return rounded(multiscale.multigrid_solve(multiscale.Hierarchy.line(spark, 64, 1), y, 0.5, alpha=0.6, steps=2), "x")
+    """Orders by month smoothed on their path."""
+    h, x = _line(spark, sf)
+    two = multiscale.Hierarchy(h.graphs[:2], h.partitions[:1])
+    return rounded(multiscale.multigrid_solve(two, x.select("id", F.col("x").alias("y")), 0.5, alpha=0.6, steps=2), "x")
 
 
 @query
 def grid_partition(spark, sf):
-    return multiscale.grid_partition(spark, 33)
+    return multiscale.grid_partition(spark, _count(spark, sf, "customer"))
 
 
 @query
 def mgrid_1d(spark, sf):
-    h, out = _line(spark), None
+    (h, _), out = _line(spark, sf), None
     for level in range(h.depth() + 1):
         e = h.graph(level).edges.select(F.lit(level).alias("level"), "src", "dst", "weight")
         out = e if out is None else out.union(e)
     return out
 
 
+def _calendar(spark, sf, periodic: bool = False) -> Graph:
+    """Months by years of orders."""
+    first, last = _years(spark, sf)
+    return generators.lattice(spark, 12, last - first + 1, periodic=periodic)
+
+
 @query
 def lattice_edges(spark, sf):
-    return generators.lattice(spark, 5, 4, periodic=True).edges
+    return _calendar(spark, sf, True).edges
 
 
 @query
@@ -441,7 +468,8 @@ def from_adjacency(spark, sf):
 
 @query
 def small_graphs(spark, sf):
-    made = {"cycle": generators.cycle(spark, 5), "wheel": generators.wheel(spark, 9), "bull": generators.listed(spark, generators.BULL), "tutte": generators.listed(spark, generators.TUTTE)}
+    """A cycle of regions, a wheel of nations, and the two listed graphs."""
+    made = {"cycle": generators.cycle(spark, _count(spark, sf, "region")), "wheel": generators.wheel(spark, _count(spark, sf, "nation")), "bull": generators.listed(spark, generators.BULL), "tutte": generators.listed(spark, generators.TUTTE)}
     out = None
     for name, g in made.items():
         e = g.edges.select(F.lit(name).alias("name"), "src", "dst", "weight")
@@ -449,24 +477,29 @@ def small_graphs(spark, sf):
     return out
 
 
+def _random_pairs(spark, sf) -> Graph:
+    """As many vertices as customers and as many edges as orders."""
+    return generators.erdos_renyi(spark, _count(spark, sf, "customer"), _count(spark, sf, "orders"), SEED)
+
+
 @query
 def erdos_renyi(spark, sf):
-    return generators.erdos_renyi(spark, 60, 300, SEED).edges
+    return _random_pairs(spark, sf).edges
 
 
 @query
 def barabasi_albert(spark, sf):
-    return generators.preferential(spark, 200, 3, SEED).edges
+    return generators.preferential(spark, _count(spark, sf, "customer"), 3, SEED).edges
 
 
 @query
 def random_weighted_graph(spark, sf):
-    return rounded(generators.random_weighted(spark, 12, 0.5, SEED).edges, "weight")
+    return rounded(generators.random_weighted(spark, _count(spark, sf, "nation"), 0.5, SEED).edges, "weight")
 
 
 @query
 def erdos_renyi_size(spark, sf):
-    g = generators.erdos_renyi(spark, 60, 300, SEED)
+    g = _random_pairs(spark, sf)
     return g.vertices.agg(F.count("*").alias("nv")).crossJoin(g.edges.agg((F.count("*") / 2).cast("long").alias("ne")))
 
 
@@ -521,8 +554,8 @@ def mc_running_stats(spark, sf):
 
 @query
 def first_moment_check(spark, sf):
-    """On a cycle, whose eigenvalues are 2 - 2 cos(2 pi k / n)."""
-    return rounded(moments.first_moment_check(generators.cycle(spark, 12), 10, seed=SEED), "q", "mean", "var", "true_mean", "true_var")
+    """Running numbers of roots on the trade graph against its eigenvalues."""
+    return rounded(moments.first_moment_check(trade(spark, sf), 10, seed=SEED), "q", "mean", "var", "true_mean", "true_var")
 
 
 @query
@@ -550,8 +583,9 @@ def ssl_accuracy(spark, sf):
 
 @query
 def denoise(spark, sf):
-    y = spark.range(64).select("id", F.lit(0).alias("k"), (F.when(F.col("id") < 32, 1.0).otherwise(0.0) + uniform("noise", SEED, F.col("id"))).alias("y"))
-    return rounded(labels.denoise(generators.lattice(spark, 8, 8), y, 0.4, REPS, SEED), "y", "exact", "v1", "v2")
+    """Orders by month and year as an image, smoothed exactly and by forests."""
+    image = image_signal(spark, sf).withColumn("id", F.col("id") - 12 * (_years(spark, sf)[0] - 1992))
+    return rounded(labels.denoise(_calendar(spark, sf), ground(image), 0.4, REPS, SEED), "y", "exact", "v1", "v2")
 
 
 @query
