@@ -29,31 +29,60 @@ def random_successor_weighted(g: Graph, draws: DataFrame, seed: int = 0) -> Data
     return draws.join(hit.select("draw", "id", F.col("dst").alias("next")), ["draw", "id"], "left").select("draw", "id", "next")
 
 
-def alias_preprocess(g: Graph) -> DataFrame:
-    """(src, slot, dst, prob, alias): slot s keeps dst with chance prob, else gives alias.
+def _alias(e: DataFrame, by: list[str], item: str) -> DataFrame:
+    """(*by, slot, item, prob, alias) from (*by, item, weight): slot s keeps its item with chance prob, else gives alias.
 
-    A vertex' slots are as many as its neighbours, in their order. Laid end to end, the parts that
+    A group's slots are as many as its items, in their order. Laid end to end, the parts that
     slots lack of an average share and the parts that others have beyond it cover the same line. A poor
     slot is filled from the rich one in whose stretch its own begins; a rich one gives until the poor
     stretch that first reaches beyond its own ends, and what it then lacks comes from the next rich
-    one. So one sort by position gives every alias, and no vertex' neighbours are held in memory.
+    one. So one sort by position gives every alias, and no group's items are held in memory.
     """
-    each, before = Window.partitionBy("src"), Window.partitionBy("src", "rich").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+    each, before = Window.partitionBy(*by), Window.partitionBy(*by, "rich").orderBy(item).rowsBetween(Window.unboundedPreceding, -1)
     share = F.col("weight") * F.count("*").over(each) / F.sum("weight").over(each)
-    e = g.edges.withColumn("share", share).withColumns({"slot": F.row_number().over(each.orderBy("dst")) - 1, "rich": F.col("share") >= 1})
+    e = e.withColumn("share", share).withColumns({"slot": F.row_number().over(each.orderBy(item)) - 1, "rich": F.col("share") >= 1})
     e = e.withColumn("lo", F.coalesce(F.sum(F.abs(F.col("share") - 1)).over(before), F.lit(0.0)))
-    e = e.withColumns({"start": F.round("lo", 9), "end": F.round(F.col("lo") + F.abs(F.col("share") - 1), 9)})
+    # ends that rounding alone tells apart are one; lengths come from the ends as they are
+    e = e.withColumn("stop", F.col("lo") + F.abs(F.col("share") - 1)).withColumns({"start": F.round("lo", 9), "end": F.round("stop", 9)})
     # the rich slot that a position lies in, and the first poor end from a position on
-    starts = each.orderBy("start", F.desc("rich"), "dst").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("giver", F.last(F.when(F.col("rich"), F.col("dst")), True).over(starts))
-    ends = each.orderBy("end", F.desc("rich"), "dst").rowsBetween(0, Window.unboundedFollowing)
-    e = e.withColumn("reached", F.first(F.when(~F.col("rich"), F.col("end")), True).over(ends))
-    following = Window.partitionBy("src", "rich").orderBy("dst")
-    e = e.withColumn("next_rich", F.lead("dst").over(following))
-    gives = F.col("rich") & F.col("next_rich").isNotNull() & (F.col("reached") > F.col("end"))
-    prob = F.when(~F.col("rich"), F.col("share")).when(gives, 1 + F.col("end") - F.col("reached")).otherwise(1.0)
-    alias = F.when(~F.col("rich"), F.coalesce("giver", "dst")).when(gives, F.col("next_rich")).otherwise(F.col("dst"))
-    return e.select("src", F.col("slot").cast("int").alias("slot"), "dst", prob.alias("prob"), alias.alias("alias"))
+    starts = each.orderBy("start", F.desc("rich"), item).rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("giver", F.last(F.when(F.col("rich"), F.col(item)), True).over(starts))
+    ends = each.orderBy("end", F.desc("rich"), item).rowsBetween(0, Window.unboundedFollowing)
+    e = e.withColumn("reached", F.first(F.when(~F.col("rich"), F.col("stop")), True).over(ends))
+    following = Window.partitionBy(*by, "rich").orderBy(item)
+    e = e.withColumn("next_rich", F.lead(item).over(following))
+    gives = F.col("rich") & F.col("next_rich").isNotNull() & (F.round("reached", 9) > F.col("end"))
+    prob = F.when(~F.col("rich"), F.col("share")).when(gives, 1 + F.col("stop") - F.col("reached")).otherwise(1.0)
+    alias = F.when(~F.col("rich"), F.coalesce("giver", item)).when(gives, F.col("next_rich")).otherwise(F.col(item))
+    return e.select(*by, F.col("slot").cast("int").alias("slot"), item, prob.alias("prob"), alias.alias("alias"))
+
+
+def alias_preprocess(g: Graph) -> DataFrame:
+    """(src, slot, dst, prob, alias): a table for each vertex, one window a vertex; see ``alias_levels`` for hubs."""
+    return _alias(g.edges, ["src"], "dst")
+
+
+def alias_levels(g: Graph, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Alias tables in two levels, for graphs with hubs: (src, slot, chunk, prob, alias) over the chunks of a vertex, and
+    (src, chunk, slot, dst, prob, alias) inside them. A vertex of n neighbours has ceil(n / most) chunks by a
+    hash of the neighbour, so that no window holds more than some ``most`` neighbours or chunks of a vertex."""
+    n = g.edges.groupBy("src").agg(F.ceil(F.count("*") / most).alias("parts"))
+    e = ground(g.edges.join(n, "src").select("src", F.pmod(F.xxhash64("dst", F.lit(29)), F.col("parts")).alias("chunk"), "dst", "weight"))
+    return _alias(e.groupBy("src", "chunk").agg(F.sum("weight").alias("weight")), ["src"], "chunk"), _alias(e, ["src", "chunk"], "dst")
+
+
+def alias_draw_levels(chunks: DataFrame, slots: DataFrame, draws: DataFrame, seed: int = 0) -> DataFrame:
+    """(draw, id, next) in constant time a draw: one equi-join by chunk slot and one by slot inside the chunk."""
+
+    def picked(at: DataFrame, table: DataFrame, by: list[str], tag: str, item: str) -> DataFrame:
+        key = (seed, F.col("draw"), F.col("id"))
+        at = at.join(table.groupBy(*by).agg(F.count("*").alias("n")), by)
+        at = at.withColumns({"slot": F.floor(uniform(f"{tag}s", *key) * F.col("n")).cast("int"), "v": uniform(f"{tag}a", *key)})
+        hit = at.join(table, [*by, "slot"])
+        return hit.select("draw", *by, F.when(F.col("v") < F.col("prob"), F.col(item)).otherwise(F.col("alias")).alias(item))
+
+    at = picked(draws, chunks.withColumnRenamed("src", "id"), ["id"], "c", "chunk")
+    return picked(at, slots.withColumnRenamed("src", "id"), ["id", "chunk"], "", "dst").select("draw", "id", F.col("dst").alias("next"))
 
 
 def alias_shares(table: DataFrame) -> DataFrame:

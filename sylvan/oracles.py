@@ -468,6 +468,14 @@ jac as (
 kk as (select qi, i, j, x from jac where t = 400)""",
         select=f"select {_QVAL} as q, 1 as k, round(sum(x) / 25, 8) as y from kk where i = j group by qi union all select {_QVAL.replace('qi', 'a.qi')}, 2, round(sum(a.x * b.x) / 25, 8) from kk a join kk b on a.qi = b.qi and a.i = b.j and a.j = b.i group by a.qi",
     ),
+    "trace_moments": sql(
+        PARTS, BASE, f"\ny as (select v.id, k, case when {_u('probe', str(SEED), 'k', 'v.id')} < 0.5 then -1.0 else 1.0 end::double as y from v, (select r::int as k from range(2) t(r)))", *exact("20.0", 150),
+        "\nm as (select avg(odd / n) as y1, avg(even / n) as y2, 4 * sqrt(2 / (max(n) * 2.0)) as c from (select y.k, sum(y * x) as odd, sum(x * x) as even, count(*) as n from y join sol on sol.id = y.id and sol.k = y.k group by 1))",
+        select="select 20.0::double as q, k, round(y, 6) as y, round(c * (c + sqrt(c * c + 4 * y)) / 2, 6) as bound from (select 1 as k, y1 as y, c from m union all select 2, y2, c from m)",
+    ),
+    "alias_levels": sql(PARTS, BASE, select="select src, dst, round(weight / d, 7) as p from e join deg on deg.id = e.src"),
+    "stored_forests": sql(*TREES, select="select forest.id, next, root, round(y, 6) as y from forest join y on y.id = forest.id where rep = 1"),
+    "forest_text": sql(*TREES, select="select rep, 'forest of ' || count(*) filter (next is null) || ' trees on ' || count(*) || ' vertices, ' || count(next) || ' arrows' as text from forest group by 1"),
     "mc_running_stats": sql(
         *maps(10, 1), "\nc as (select qi, run, count(*) filter (id = root)::double as value from maps group by 1, 2)",
         select="select qi as q_index, run as mc, round(avg(value) over w, 6) as mean, round(var_samp(value) over w, 6) as var from c window w as (partition by qi order by run rows between unbounded preceding and current row)",

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sylvan.operators.forest import random_forest
-from sylvan.plans.ground import Rounds
+from sylvan.functions.rng import uniform
+from sylvan.operators.forest import random_forest, rates
+from sylvan.plans.ground import Rounds, ground
+from sylvan.plans.smoothing import chebyshev
 from sylvan.sources.graph import Graph
 
 #: Names of algorithms. All coupled ones give the same law and here the same forests.
@@ -112,20 +114,66 @@ def true_moments(eigs: DataFrame, grid: list[float], nm: int) -> DataFrame:
     return y.withColumn("var", F.greatest((1e-5 * F.col("y")) ** 2, F.lit(1e-20)))
 
 
-def mc_running_stats(samples: DataFrame) -> DataFrame:
-    """(q_index, mc, mean, var): running mean and sample variance of (q_index, mc, value) over mc; one
-    window for each q."""
-    w = Window.partitionBy("q_index").orderBy("mc").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.select("q_index", "mc", F.avg("value").over(w).alias("mean"), F.var_samp("value").over(w).alias("var"))
+def trace_moments(g: Graph, grid: list[float], nm: int, probes: int = 8, seed: int = 0) -> DataFrame:
+    """(q, k, y, bound): the moments of graphs of any size, without eigenvalues, from the traces of (q / (q + L))^k.
+
+    A probe z of random signs gives z' K^k z, whose mean is the trace, from solutions K z, K (K z), ... of
+    smoothing systems (Hutchinson, 1990), all probes at once; k and k + 1 come from one solution. K has
+    eigenvalues up to 1, so an estimate from p probes varies by sqrt(2 y / (n p)) at most, and ``bound``
+    is four times that for the largest y that the estimate allows."""
+    spark = g.edges.sparkSession
+    ids = ground(g.vertices.crossJoin(F.broadcast(spark.range(probes).select(F.col("id").cast("int").alias("k")))))
+    z = ids.select("id", "k", F.when(uniform("probe", seed, F.col("k"), F.col("id")) < 0.5, -1.0).otherwise(1.0).alias("y"))
+    out = None
+    for q in sorted(map(float, grid)):
+        v = z
+        for half in range(1, nm // 2 + nm % 2 + 1):
+            x = chebyshev(g, rates(g, q), v)
+            both = v.join(x, ["id", "k"]).groupBy("k").agg(F.sum(F.col("y") * F.col("x")).alias("odd"), F.sum(F.col("x") * F.col("x")).alias("even"), F.count("*").alias("n"))
+            pair = both.agg(*(F.avg(F.col(c) / F.col("n")).alias(c) for c in ("odd", "even")), F.max("n").alias("n"))
+            for k, c in ((2 * half - 1, "odd"), (2 * half, "even")):
+                if k <= nm:
+                    one = pair.select(F.lit(q).alias("q"), F.lit(k).alias("k"), F.col(c).alias("y"), (4 * F.sqrt(2 / (F.col("n") * probes))).alias("c"))
+                    out = one if out is None else out.union(one)
+            v = x.withColumnRenamed("x", "y")
+    most = (F.col("c") + F.sqrt(F.col("c") ** 2 + 4 * F.greatest("y", F.lit(0.0)))) / 2
+    return out.select("q", "k", "y", (F.col("c") * most).alias("bound"))
+
+
+#: Samples of a q whose running sums are one window.
+BLOCK = 4096
 
 
-def first_moment_check(g: Graph, runs: int, algo: str = "standard", seed: int = 0, points: int = 5) -> DataFrame:
+def mc_running_stats(samples: DataFrame) -> DataFrame:
+    """(q_index, mc, mean, var): running mean and sample variance of (q_index, mc, value) over mc.
+
+    Sums run inside blocks of mc, and the blocks' totals before a block are added to them, so that no window
+    holds more than BLOCK samples or one row a block. Values count from the mean of their q, which
+    keeps the difference of the sums exact."""
+    pivot = samples.groupBy("q_index").agg(F.avg("value").alias("pivot"))
+    x = samples.join(F.broadcast(pivot), "q_index").select("q_index", "mc", "pivot", F.floor(F.col("mc") / BLOCK).alias("block"), (F.col("value") - F.col("pivot")).alias("x"))
+    upto = Window.partitionBy("q_index").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy("q_index", "block").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    before = totals.select("q_index", "block", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0") for c in ("n", "s", "ss")))
+    w = Window.partitionBy("q_index", "block").orderBy("mc").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.join(before, ["q_index", "block"]).select("q_index", "mc", "pivot", (F.col("n0") + F.count("*").over(w)).alias("n"), (F.col("s0") + F.sum("x").over(w)).alias("s"), (F.col("ss0") + F.sum(F.col("x") * F.col("x")).over(w)).alias("ss"))
+    var = F.when(F.col("n") > 1, F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    return y.select("q_index", "mc", (F.col("pivot") + F.col("s") / F.col("n")).alias("mean"), var.alias("var"))
+
+
+def first_moment_check(g: Graph, runs: int, algo: str = "standard", seed: int = 0, points: int = 5, dense: int = 2000) -> DataFrame:
     """(q, mc, mean, var, true_mean, true_var): running estimates of the number of roots on a log-spaced grid
-    from mean degree / 100 to twice the largest degree, against sum q/(q+l) and sum q l/(q+l)^2."""
+    from mean degree / 100 to twice the largest degree, against sum q/(q+l) and sum q l/(q+l)^2. Above
+    ``dense`` vertices these come from traces (``trace_moments``) instead of eigenvalues."""
     d = g.degree().agg(F.avg("d").alias("mean"), F.max("d").alias("most")).first()
     grid = np.geomspace(d["mean"] / 100, 2 * d["most"], points).tolist()
     counts = root_maps(g, grid, 1, runs, algo, seed).groupBy("q_index", F.col("run").alias("mc")).agg(F.sum((F.col("id") == F.col("root")).cast("double")).alias("value"))
-    truth = eigenvalues(g).crossJoin(F.broadcast(g.edges.sparkSession.createDataFrame(list(enumerate(grid)), "q_index int, q double")))
+    if g.nv() > dense:
+        index = F.broadcast(g.edges.sparkSession.createDataFrame(list(enumerate(grid)), "q_index int, q double"))
+        est = trace_moments(g, grid, 2, seed=seed).groupBy("q").agg(*(F.max(F.when(F.col("k") == k, F.col("y"))).alias(f"y{k}") for k in (1, 2)))
+        truth = est.join(index, "q").select("q_index", "q", (g.nv() * F.col("y1")).alias("true_mean"), (g.nv() * (F.col("y1") - F.col("y2"))).alias("true_var"))
+        return mc_running_stats(counts).join(truth, "q_index").select("q", "mc", "mean", "var", "true_mean", "true_var")
+    truth = eigenvalues(g, dense).crossJoin(F.broadcast(g.edges.sparkSession.createDataFrame(list(enumerate(grid)), "q_index int, q double")))
     share = F.col("q") / (F.col("q") + F.greatest("value", F.lit(0.0)))
     truth = truth.groupBy("q_index", "q").agg(F.sum(share).alias("true_mean"), F.sum(share * (1 - share)).alias("true_var"))
     return mc_running_stats(counts).join(truth, "q_index").select("q", "mc", "mean", "var", "true_mean", "true_var")

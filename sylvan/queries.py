@@ -11,7 +11,7 @@ from sylvan.operators import connectivity, draws, events, forest, search
 from sylvan.operators import partition as parts
 from sylvan.plans import labels, moments, multiscale, smoothing
 from sylvan.plans.ground import ground, shared_dir
-from sylvan.sources import generators, tables
+from sylvan.sources import generators, sink, tables
 from sylvan.sources.graph import Graph
 
 Q, REPS, SEED = 1000.0, 4, 1
@@ -129,6 +129,16 @@ def alias_draw(spark, sf):
     return draws.alias_draw(ground(draws.alias_preprocess(g)), _draws(g, 20), SEED)
 
 
+@query
+def alias_levels(spark, sf):
+    """What tables of two levels encode, with up to 100 neighbours a chunk: the suppliers are hubs."""
+    chunks, slots = draws.alias_levels(stored(tables.part_supplier(spark, sf)), 100)
+    outer = draws.alias_shares(chunks.withColumnRenamed("chunk", "dst")).select("src", F.col("dst").alias("chunk"), F.col("p").alias("p0"))
+    key = F.struct("src", "chunk").alias("src")
+    inner = draws.alias_shares(slots.select(key, "slot", "dst", "prob", "alias")).select("src.src", "src.chunk", "dst", "p")
+    return inner.join(outer, ["src", "chunk"]).select("src", "dst", F.round(F.col("p") * F.col("p0"), 7).alias("p"))
+
+
 @query
 def random_forest(spark, sf):
     return forest.random_forest(stored(tables.user_flow(spark, sf)), 20.0, 2, SEED).select("rep", "id", "next", "root")
@@ -239,6 +249,21 @@ def spanning_tree_random_root(spark, sf):
     return forest.spanning_tree(trade(spark, sf), None, 1, SEED)
 
 
+@query
+def stored_forests(spark, sf):
+    """Forests and the signal as bucketed tables; of the second repetition each vertex' balance and arrow."""
+    forest_table, signal_table = f"forest_{uuid.uuid4().hex}", f"signal_{uuid.uuid4().hex}"
+    sink.write_forest(forests(spark, sf)[1], forest_table)
+    sink.write_signal(signal(spark, sf), signal_table)
+    f = sink.read_forest(spark, forest_table, rep=1)
+    return rounded(f.join(spark.table(signal_table), "id").select("id", "next", "root", "y"), "y")
+
+
+@query
+def forest_text(spark, sf):
+    return sink.describe(forests(spark, sf)[1])
+
+
 @query
 def partition(spark, sf):
     return parts.partition(forests(spark, sf)[1])
@@ -546,6 +571,12 @@ def true_moments(spark, sf):
     return moments.true_moments(moments.eigenvalues(trade(spark, sf)), GRID, 2).select("q", "k", F.round("y", 8).alias("y"))
 
 
+@query
+def trace_moments(spark, sf):
+    """Of a graph with more vertices than eigenvalues are taken of."""
+    return rounded(moments.trace_moments(stored(tables.part_supplier(spark, sf)), [20.0], 2, 2, SEED), "y", "bound")
+
+
 @query
 def mc_running_stats(spark, sf):
     counts = moments.root_maps(trade(spark, sf), GRID, 1, 10, "standard", SEED).groupBy("q_index", F.col("run").alias("mc")).agg(F.sum((F.col("id") == F.col("root")).cast("double")).alias("value"))

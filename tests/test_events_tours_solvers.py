@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
-from sylvan.operators import events, forest, search
+from sylvan.operators import draws, events, forest, search
 from sylvan.plans import moments, smoothing
 from sylvan.plans.ground import Store, ground
 from sylvan.sources import generators as gen
+from sylvan.sources import sink
 from sylvan.sources.graph import Graph
 
 from .wilson import arrays, forests
@@ -186,3 +187,74 @@ def test_a_store_grows(spark):
     first = s.add(spark.range(2))
     assert s and s.add(spark.range(5, 6)).count() == 3 and first.count() == 2
     assert forest.pop_arrays is not None
+
+
+def test_traces_are_within_their_bound(spark):
+    g = stored(gen.preferential(spark, 50, 3, 2))
+    truth = {(r.q, r.k): r.y for r in moments.true_moments(moments.eigenvalues(g), [0.8, 4.0], 3).collect()}
+    got = moments.trace_moments(g, [0.8, 4.0], 3, 30).collect()
+    assert {(r.q, r.k) for r in got} == set(truth)
+    assert all(abs(r.y - truth[r.q, r.k]) <= r.bound < 0.25 for r in got)
+
+
+def test_first_moments_without_eigenvalues(spark):
+    g = stored(gen.lattice(spark, 5, 5))
+    one, two = ({(round(r.q, 9), r.mc): r for r in moments.first_moment_check(g, 2, seed=3, points=2, dense=d).collect()} for d in (2000, 5))
+    assert one.keys() == two.keys()
+    for k in one:
+        assert (one[k].mean, one[k]["var"]) == (two[k].mean, two[k]["var"])
+        assert abs(one[k].true_mean - two[k].true_mean) < 6 and one[k].true_mean > 0
+
+
+def test_running_stats_in_blocks_equal_one_window(spark, monkeypatch):
+    monkeypatch.setattr(moments, "BLOCK", 7)
+    rows = spark.range(100).select((F.col("id") % 2).cast("int").alias("q_index"), F.floor(F.col("id") / 2).cast("int").alias("mc"), (1e6 + F.sin(F.col("id"))).alias("value"))
+    values = {q: [r.value for r in rows.where(F.col("q_index") == q).orderBy("mc").collect()] for q in (0, 1)}
+    for r in moments.mc_running_stats(rows).collect():
+        x = np.array(values[r.q_index][: r.mc + 1])
+        assert r.mean == pytest.approx(x.mean(), rel=1e-12)
+        assert r["var"] is None if len(x) == 1 else r["var"] == pytest.approx(x.var(ddof=1), rel=1e-6)
+
+
+@pytest.mark.parametrize("most", [10, 10_000])
+def test_alias_levels_encode_the_weights(spark, most):
+    e = spark.range(1, 501).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"), (0.1 + F.col("id") % 11).alias("weight"))
+    g = stored(Graph.from_edges(e))
+    chunks, slots = (ground(t) for t in draws.alias_levels(g, most))
+    assert slots.groupBy("src", "chunk").count().agg(F.max("count")).first()[0] <= (500 if most > 500 else 30)
+    assert chunks.where("src = 0").count() == (1 if most > 500 else 50)
+    outer = {(r.src, r.dst): r.p for r in draws.alias_shares(chunks.withColumnRenamed("chunk", "dst")).collect()}
+    inner = draws.alias_shares(slots.select(F.struct("src", "chunk").alias("src"), "slot", "dst", "prob", "alias")).collect()
+    total = sum(0.1 + k % 11 for k in range(1, 501))
+    for r in inner:
+        p = r.p * outer[r.src.src, r.src.chunk]
+        assert p == pytest.approx((0.1 + r.dst % 11) / total if r.src.src == 0 else 1.0, abs=1e-12)
+    rows = spark.range(6000).select(F.lit(0).cast("long").alias("id"), F.col("id").alias("draw"))
+    got = draws.alias_draw_levels(chunks, slots, rows, 4)
+    assert got.count() == 6000 and got.where("next is null").count() == 0
+    assert abs(got.where("next % 11 = 10").count() / 6000 - 45 * 10.1 / total) < 0.03
+
+
+def test_stored_forests_are_pruned_and_joined_without_a_shuffle(spark):
+    g = stored(gen.lattice(spark, 6, 6))
+    f = ground(forest.random_forest(g, None, 3, 2, grid=[0.5, 2.0]))
+    y = g.vertices.select("id", F.lit(0).alias("k"), (F.col("id") * 1.5).alias("y"))
+    sink.write_forest(f, "kept_forest", 4)
+    sink.write_signal(y, "kept_signal", 4)
+    try:
+        one = sink.read_forest(spark, "kept_forest", rep=1, q_index=0)
+        want = f.where("rep = 1 and q_index = 0").select("id", "next", "root")
+        assert sorted(map(str, one.select("id", "next", "root").collect())) == sorted(map(str, want.collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = one.join(spark.table("kept_signal"), "id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "PartitionFilters: [isnotnull(rep" in plan or "PartitionFilters: [isnotnull(q_index" in plan
+        assert len(one.inputFiles()) <= 4 < len(spark.table("kept_forest").inputFiles())
+        assert joined.count() == 36
+        assert sink.read_forest(spark, "kept_forest").count() == 6 * 36
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table kept_forest")
+        spark.sql("drop table kept_signal")
+    assert [r.text for r in sink.describe(one.sparkSession.createDataFrame([(0, 1, None), (0, 2, 1)], "rep int, id long, next long")).collect()] == ["forest of 1 trees on 2 vertices, 1 arrows"]
