@@ -67,9 +67,10 @@ def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] |
     down = [0] if grid is None else sorted(range(len(every)), key=lambda k: -every[k])
     seeds = [f"{seed}.{k}" for k in down] if moment_seeds else [str(seed)]
     bottom = base.select("id").crossJoin(F.broadcast(spark.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long"))
-    if base.count() <= local:
+    n = base.count()
+    if n <= local:
         walks = [([k], s) for k, s in zip(down, seeds)] if moment_seeds else [(down, seeds[0])]
-        return reduce(DataFrame.union, [_descended(base, arrows, bottom, [(k, every[k]) for k in ks], s, g) for ks, s in walks])
+        return reduce(DataFrame.union, [_descended(base, arrows, bottom, [(k, every[k]) for k in ks], s, g, n * reps) for ks, s in walks])
     out, levels = [], bottom
     for step, k in enumerate(down):
         rated = ground(base.join(rates(g, every[k]), "id"))
@@ -177,15 +178,14 @@ def _depth(rows: int) -> int:
     return min(max(FIRST, AT_ONCE // max(rows, 1)), DEEPEST)
 
 
-def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tuple[int, object]], seed: str, g: Graph) -> DataFrame:
+def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tuple[int, object]], seed: str, g: Graph, size: int) -> DataFrame:
     """Forests of all ``qs`` (index, q), from the highest on, of repetitions that fit into a task each. Where a stack
     ran out, the repetition goes on from the levels it reached, with twice as many arrows."""
     vector = isinstance(qs[0][1], DataFrame)
     if vector:
         base = ground(base.join(rates(g, qs[0][1]), "id"))
         qs = [(qs[0][0], None)]
-    out, tops, order = [], ground(tops), [k for k, _ in qs]
-    depth = _depth(tops.count())
+    out, order, depth = [], [k for k, _ in qs], _depth(size)
     left = {None: tops.select("rep", "id", "level")}
     while left:
         found, again = [], {}

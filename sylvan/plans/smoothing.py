@@ -45,7 +45,7 @@ def smooth(g: Graph, q, y: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 #: Neighbours of a vertex in one row, steps in one job, and steps above which conjugate gradients take over.
-CHUNK, STEPS, MOST_STEPS = 1000, 6, 400
+CHUNK, STEPS, MOST_STEPS = 1000, 6, 120
 
 
 def _lists(off: DataFrame, ids: DataFrame) -> DataFrame:

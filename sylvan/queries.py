@@ -323,7 +323,8 @@ def smooth_exact_vector_q(spark, sf):
 
 @query
 def smooth_cg(spark, sf):
-    return rounded(smoothing.smooth(trade(spark, sf), Q, signal(spark, sf), dense=0), "x")
+    g = trade(spark, sf)
+    return rounded(smoothing.conjugate_gradients(g, forest.rates(g, Q), signal(spark, sf)), "x")
 
 
 @query

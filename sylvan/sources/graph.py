@@ -77,12 +77,14 @@ class Graph:
         neighbours. An interval begins where the one before ends, whatever the rounding of sums, and the
         last one has no end. Vertices of more than HUB neighbours are summed in chunks by many tasks."""
         n = self.edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
-        wide = ground(n.where(F.col("n") > HUB).select("src", "n", "least", (F.floor((F.col("most") - F.col("least")) / CHUNKS) + 1).alias("width")))
+        wide = n.where(F.col("n") > HUB).select("src", "n", "least", (F.floor((F.col("most") - F.col("least")) / CHUNKS) + 1).alias("width"))
+        hubs = not wide.isEmpty()
         order, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
-        e = self.edges if wide.isEmpty() else self.edges.join(wide.select("src"), "src", "left_anti")
+        wide = ground(wide) if hubs else wide
+        e = self.edges.join(wide.select("src"), "src", "left_anti") if hubs else self.edges
         e = e.select("src", "dst", F.sum("weight").over(order).alias("upto"), F.lead("dst").over(order).isNull().alias("last"))
         e = e.select("src", "dst", F.coalesce(F.lag("upto").over(order), F.lit(0.0)).alias("lo"), F.when(F.col("last"), float("inf")).otherwise(F.col("upto")).alias("hi"), F.max("upto").over(whole).alias("d"), F.count("*").over(whole).alias("n"))
-        return e if wide.isEmpty() else e.union(self._cumulative_of_hubs(wide))
+        return e.union(self._cumulative_of_hubs(wide)) if hubs else e
 
     def _cumulative_of_hubs(self, wide: DataFrame) -> DataFrame:
         """The same for the vertices of ``wide`` (src, n, least, width): up to CHUNKS chunks of neighbours by equal widths of
