@@ -138,20 +138,23 @@ def _given(picked: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _grid_walk(qs: list[tuple[int, float]]):
-    """The task that pops one repetition going down ``qs``; rows without a root where stacks ran out."""
+    """The task that pops some repetitions together going down ``qs``; rows without a root where stacks ran out,
+    after which there are none of that repetition."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "level"])
-        ids, start = np.unique(pdf["id"].to_numpy(), return_index=True)
+        pdf = pdf.sort_values(["rep", "id", "level"])
+        lone, goal, outer, outer_root, rep, own = (pdf[c].to_numpy() for c in ("lone", "goal", "outer", "outer_root", "rep", "id"))
+        names, (reps, which) = np.unique(own), np.unique(rep, return_inverse=True)
+        keys, start = np.unique(which * len(names) + np.searchsorted(names, own), return_index=True)
+        ids, of = own[start], which[start]
+        to = which * len(names) + np.minimum(np.searchsorted(names, goal), len(names) - 1)
+        to = np.minimum(np.searchsorted(keys, to), len(keys) - 1)
+        if (~outer & ((ids[to] != goal) | (of[to] != which))).any():
+            raise ValueError("an arrow leads to no vertex of its repetition")
         stop = np.append(start[1:], len(pdf))
         at, low = start.copy(), pdf["level"].to_numpy()[start]
         u, d = pdf["u"].to_numpy(), pdf["d"].to_numpy()
-        lone, goal, outer, outer_root = (pdf[c].to_numpy() for c in ("lone", "goal", "outer", "outer_root"))
-        to = np.minimum(np.searchsorted(ids, goal), len(ids) - 1)
-        missing = ~outer & (ids[to] != goal)
-        if missing.any():
-            raise ValueError("an arrow leads to no vertex of its repetition")
-        out = []
+        out, over = [], np.zeros(len(reps), bool)
         for k, q in qs:
             q = pdf["q"].to_numpy() if q is None else q
             dies = lone | (u * (q + d) < q)
@@ -161,11 +164,11 @@ def _grid_walk(qs: list[tuple[int, float]]):
             goes = known & ~dies[top] & ~outer[top]
             far = _resolve(np.where(goes, to[top], np.arange(len(ids))))
             root = np.where(outer[top] & ~dies[top], outer_root[top], ids)[far]
-            done = known[far]
-            nxt = pd.Series(np.where(dies[top] | ~known, 0, goal[top])).astype("Int64").mask(pd.Series(dies[top] | ~known))
-            out.append(pd.DataFrame({"rep": pdf["rep"].iloc[0], "q_index": k, "id": ids, "next": nxt, "root": pd.Series(root).astype("Int64").mask(pd.Series(~done)), "level": low + at - start}))
-            if not done.all():
-                break
+            none, done = dies[top] | ~known, known[far]
+            nxt, root = (pd.Series(x).astype("Int64").mask(pd.Series(gone)) for x, gone in ((np.where(none, 0, goal[top]), none), (root, ~done)))
+            frame = pd.DataFrame({"rep": reps[of], "q_index": k, "id": ids, "next": nxt, "root": root, "level": low + at - start})
+            out.append(frame[~over[of]])
+            over[of[~done]] = True
         return pd.concat(out)
 
     return run
@@ -185,6 +188,9 @@ def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tup
     if vector:
         base = ground(base.join(rates(g, qs[0][1]), "id"))
         qs = [(qs[0][0], None)]
+    # repetitions that a task takes together: LOCAL vertices at most, and work for every core
+    n, cores = base.count(), base.sparkSession.sparkContext.defaultParallelism
+    width = max(1, min(LOCAL // max(n, 1), -(-size // (max(n, 1) * cores))))
     out, order, depth = [], [k for k, _ in qs], _depth(size)
     left = {None: tops.select("rep", "id", "level")}
     while left:
@@ -194,7 +200,7 @@ def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tup
             deep = F.greatest(F.lit(depth).cast("long"), F.col("level"))
             picked = drawn(base, arrows, rows, seed, deep)
             picked = picked.join(base.select("id", "q"), "id") if vector else picked
-            walked = ground(_given(picked).groupBy("rep").applyInPandas(_grid_walk(these), _WALKED))
+            walked = ground(_given(picked).groupBy(F.floor(F.col("rep") / width).alias("bunch")).applyInPandas(_grid_walk(these), _WALKED))
             open_ = walked.where("root is null").groupBy("q_index").agg(F.collect_set("rep").alias("reps")).collect()
             for r in open_:
                 mine = (F.col("q_index") == r["q_index"]) & F.col("rep").isin(r["reps"])
