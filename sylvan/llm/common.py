@@ -99,6 +99,31 @@ def bucket_blocks(members: DataFrame, label: str, block: int, row_id: str = "id"
     return found.withColumns({"bi": F.least("b", "__o"), "bj": F.greatest("b", "__o")}).drop("__o", "n_rows", "__load")
 
 
+def sample_by_content(rows: DataFrame, most: int, by: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """About ``most`` rows (columns ``by`` and ``text``) of each value of ``by``, or all if there are fewer.
+
+    Which ones is a function of the rows and not of files or partitions: of n rows equal in
+    ``by`` and ``text``, floor(n * share + u) are taken, u in [0, 1) being a hash of the content. Only
+    hashes are grouped, so texts do not travel but for the sampled ones; equal rows add up before
+    they do. What is broadcast is bounded by ``most`` a value.
+    """
+    scale = 1 << 30
+    marks = dict(zip(("__h1", "__h2"), hash_pair(F.concat_ws("\0", *by, text))))
+    marked = rows.select(*by, text).withColumns(marks)
+    equal = marked.groupBy(*by, "__h1", "__h2").agg(F.count("*").alias("__n"))
+    if by:
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("__all"))
+        equal = equal.join(F.broadcast(sizes), list(by))
+    else:
+        equal = equal.withColumn("__all", F.lit(rows.count()))
+    share = F.least(F.lit(1.0), most / F.greatest(F.col("__all"), F.lit(1)))
+    draw = F.pmod(F.xxhash64("__h1", "__h2"), F.lit(scale)) / scale
+    taken = equal.select(*by, "__h1", "__h2", F.floor(F.col("__n") * share + draw).cast("int").alias("__times")).where("__times > 0")
+    found = marked.join(F.broadcast(taken), [*by, "__h1", "__h2"])
+    once = found.groupBy(*by, "__h1", "__h2").agg(F.first(text).alias(text), F.first("__times").alias("__times"))
+    return once.select(*by, text, F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__k")).drop("__k")
+
+
 def groups_of(*columns):
     """Start and end of each run of equal rows, and the order that makes the runs."""
     import numpy as np

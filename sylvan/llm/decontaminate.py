@@ -92,6 +92,18 @@ def scan(text: str | None, made) -> tuple[int, list[list[int]], set[str | None]]
     return len(words), ranges, items
 
 
+def united(ranges) -> list[list[int]]:
+    """Ranges (first word, last word + 1, and their code points) in any order as those that neither overlap nor touch."""
+    if not len(ranges):
+        return []
+    r = np.stack(ranges)
+    r = r[np.argsort(r[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(r[:, 1])
+    first = np.flatnonzero(np.append(True, r[1:, 0] > reach[:-1]))
+    last = np.append(first[1:], len(r)) - 1
+    return np.stack([r[first, 0], reach[last], r[first, 2], np.maximum.accumulate(r[:, 3])[last]], axis=1).tolist()
+
+
 def char_spans(text: str, ranges: list[list[int]]) -> list[list[int]]:
     """Word ranges as code-point offsets [start, end) of the original text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -167,11 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 some = []
         every = functools.reduce(DataFrame.union, stored)
         union = every.groupBy("__row").agg(F.max("__n").alias("__n"), F.flatten(F.collect_list("__r")).alias("__r"), F.array_distinct(F.flatten(F.collect_list("__i"))).alias("__i"))
-        last = lambda acc, k: F.try_element_at(acc, F.lit(-1))[k]
-        longer = lambda acc, x: F.array(last(acc, 0), F.greatest(x[1], last(acc, 1)), last(acc, 2), F.greatest(x[3], last(acc, 3)))
-        grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, x)))
-        step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x[0] <= last(acc, 1), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
-        union = union.withColumn("__r", F.aggregate(F.array_sort("__r"), F.array().cast("array<array<bigint>>"), step))
+        union = union.withColumn("__r", F.pandas_udf(lambda r: r.map(united), "array<array<bigint>>")("__r"))
         found = rows.select("__row", *kept).join(union, "__row")
     hit = F.aggregate("__r", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
     return found.select(

@@ -7,8 +7,9 @@ The prediction is the language with the largest proportion in the chosen set and
 is that proportion.
 
 N-gram models come from the labelled rows the caller gives. ``MAX_TRAIN`` bounds them: about as
-many whole documents a language, each row chosen by a hash of its place. A model takes 4 bytes a
-bucket; languages are a small closed set, and more than MODEL_BYTES hold are refused. Texts that
+many whole documents a language, chosen by their content (``sample_by_content``), so that equal
+tables give equal models. All models together take ``MODEL_BYTES`` at most: up to 512 languages
+have ``BUCKETS`` buckets each, twice as many languages half of them, and so on. Texts that
 are null or hold no letter (Unicode category L) are ``und`` with score 0, as is everything if
 nothing was learned from. Of equal proportions the language first in code-point order counts
 as larger. Rows that repeat are predicted alike; an empty table gives an empty table; very
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, sample_by_content
 
 #: Documents learned from for each language; hash buckets of n-grams; bytes of all models together.
 MAX_TRAIN, BUCKETS, MODEL_BYTES = 2000, 1 << 16, 128 << 20
@@ -41,7 +42,7 @@ def has_letter(text: str) -> bool:
 
 
 def grams(text: str, buckets: int) -> np.ndarray:
-    """Bucket of every n-gram of the lower-cased text; runs of other than letters are one space."""
+    """Bucket of every n-gram of the lower-cased text; runs of code points below 170 other than a-z are one space."""
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where((c < 97) | ((c > 122) & (c < 170)), np.uint32(32), c)
     c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))].astype(np.uint64)
@@ -94,18 +95,13 @@ def infer(text: str, logs: np.ndarray) -> tuple[list[int], list[float]]:
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by bucket) from rows with a text and a label."""
     labelled = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    most = MODEL_BYTES // (4 * BUCKETS)
-    counts = labelled.groupBy("lang").count().limit(most + 1).collect()
-    if len(counts) > most:
-        raise ValueError(f"more than {most} labels are too many for models of {MODEL_BYTES} bytes")
-    sizes = {r["lang"]: r["count"] for r in counts}
-    langs, buckets = sorted(sizes), BUCKETS
+    langs, buckets = sorted(r["lang"] for r in labelled.select("lang").distinct().collect()), BUCKETS  # languages are a closed set
+    while 4 * buckets * len(langs) > MODEL_BYTES and buckets > 1:
+        buckets //= 2
     if not langs:
         return [], np.empty((0, 1))
     number = {x: i for i, x in enumerate(langs)}
-    scale = 1 << 30
-    limits = F.create_map(*[F.lit(v) for x in langs for v in (x, int(min(1.0, max_train / sizes[x]) * scale))])
-    picked = labelled.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(scale)) < limits[F.col("lang")])
+    picked = sample_by_content(labelled, max_train, ("lang",))
 
     def count(frames):
         total = np.zeros((len(langs), buckets), np.int64)
@@ -145,5 +141,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
 
 def held_out():
-    """Rows that nothing is learned from: crc32(doc_id as text) mod 5 is 0."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    """Rows that nothing is learned from: crc32(doc_id as text) mod 5 is 0, or there is no doc_id (as in ``lm_score``)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -5,15 +5,16 @@ Words are those of ``decontaminate.words_of``; a document's set holds its shingl
 words). Documents of equal sets form one class, known by a 128-bit digest; only classes
 are joined, so copies cost nothing and are never expanded into pairs.
 
-The forest has ``TREES`` tries; in each, a class stands under its label of ``DEPTH`` minima, and
-a node is the run of classes that share a prefix in sorted order. Two classes are candidates
-where they meet in a node. Prefixes start at full length, where a pair at exactly
-``threshold`` is found too seldom, and each class shortens them by one level at a time, in the
-trees where the node above is smallest first, until such a pair is found with probability
-``recall``; trees in which a class is alone at the shortest length cost nothing and are taken at
-that length. A node is cut at the shortest prefix that one of its classes asks for, so both
-classes of a pair see the same nodes and each has the recall it asked for. The shortest length
-is the one that reaches the recall in all trees alike.
+The forest has ``TREES`` tries; in each, a class stands under its label of minima, and a node is
+what shares a prefix. Two classes are candidates where they meet in a node. Let ``base`` be the
+longest prefix that finds a pair at exactly ``threshold`` with probability ``recall`` if all
+trees take it. A class starts one minimum longer, which finds too few such pairs, and shortens to ``base`` the
+trees in which it has least company, as many as the recall takes, and then all trees
+with at most one class more. That one more is the partner looked for: whether it is there must not decide
+which trees are shortened, or those in which it is would stay long and lose it (a tree in
+which a class is alone is no proof of a search that would have found it). So the trees shortened include
+those chosen without the partner, and the pair is found with ``recall`` whatever the others are. A node is cut at
+the shortest prefix that one of its classes asks for, so both classes of a pair see the same nodes.
 
 Buckets are compared in pairs of blocks (``bucket_blocks``), first with one byte a minimum:
 a pair goes on if it has not met in an earlier tree, its sizes allow the threshold, and
@@ -103,16 +104,12 @@ def prefix_keys(sigs: np.ndarray, depth: int) -> np.ndarray:
 def wanted_depths(sizes: list[int], threshold: float, recall: float, base: int) -> list[int]:
     """The prefix length that a class asks for in each of the trees where it has company, given the
     numbers of classes under its prefixes of length ``base`` there; elsewhere it is alone."""
-    miss = [log1p(-min(threshold**d, 1 - 1e-12)) for d in range(DEPTH + 1)]
-    depths, goal = [DEPTH] * len(sizes), log1p(-recall)
-    total = (TREES - len(sizes)) * miss[base] + len(sizes) * miss[DEPTH]
-    for level in range(DEPTH - 1, base - 1, -1):
-        for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
-            if total <= goal:
-                return depths
-            total += miss[level] - miss[level + 1]
-            depths[k] = level
-    return depths
+    miss = [log1p(-min(threshold**d, 1 - 1e-12)) for d in (base, min(base + 1, DEPTH))]
+    short = next((m for m in range(TREES) if m * miss[0] + (TREES - m) * miss[1] <= log1p(-recall)), TREES)
+    if not short:
+        return [min(base + 1, DEPTH)] * len(sizes)
+    most = sorted([*sizes, *[1] * (TREES - len(sizes))])[short - 1] + 1  # one more: the partner itself
+    return [base if n <= most else min(base + 1, DEPTH) for n in sizes]
 
 
 def first_comparison(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:

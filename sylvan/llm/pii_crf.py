@@ -10,7 +10,7 @@ propagation gives marginals with base spans held at their kind; a candidate is a
 kind has more than ``SURE``. Base spans are never dropped.
 
 The weights come from pseudo-likelihood on the candidates of about ``TRAIN_DOCS`` documents,
-each row chosen by a hash of its place, with ``TRAIN_NODES`` candidates of a document at most.
+chosen by their content (``sample_by_content``), with ``TRAIN_NODES`` candidates of a document at most.
 The base patterns label them, so features leave out what the patterns test (signs, dots, shape,
 check digit): what is learned must hold for other notations too. Candidates that repeat a base
 span are no evidence for none and left out. Next to each base span stand, in training, a repeat
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, sample_by_content
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_NODES, FEATURES, SURE = 4000, 200, 1 << 12, 0.8
@@ -225,7 +225,7 @@ def training_nodes(text: str) -> tuple[list[int], list[list[int]], list[list[int
     place = {k: n for n, k in enumerate(k for k in range(len(nodes)) if k not in unsure)}
     labels, feats = [nodes[k][0] for k in place], features(text, [nodes[k] for k in place])
     links = [[place[a], place[b], int(c)] for a, b, c in zip(i.tolist(), j.tolist(), t) if a in place and b in place]
-    words = _WORD.findall(text[:4000]) or ["-"]
+    words = _WORD.findall(text) or ["-"]
     for k in [n for k, n in place.items() if held[k]]:
         label, seed, at = labels[k], zlib.crc32(repr(feats[k]).encode()), len(labels)
         around = lambda m: ([words[(seed >> m) % len(words)], words[(seed >> m + 3) % len(words)]], [words[(seed >> m + 6) % len(words)]])
@@ -240,8 +240,7 @@ def training_nodes(text: str) -> tuple[list[int], list[list[int]], list[list[int
 def learn(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> PiiModel:
     """The model from documents that hold a digit or an at sign, about ``train_docs`` of them."""
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"))
-    share = min(1.0, train_docs / max(some.count(), 1))
-    some = some.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = sample_by_content(some, train_docs)
     kinds = T.StructType([T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("f", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("e", T.ArrayType(T.ArrayType(T.IntegerType())))])
     rows = map_text(some, "text", [], kinds, lambda: training_nodes).where("size(y) > 0").limit(2 * train_docs).collect()
     return PiiModel().fit(sorted((list(r["y"]), [list(f) for f in r["f"]], [list(e) for e in r["e"]]) for r in rows))

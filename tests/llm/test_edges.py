@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan.llm import decontaminate, embed_dedup, langid, line_dedup, mixing, ngram_join, pii_crf, secret_scan, warc
-from sylvan.llm.common import connected_components, lookup
+from sylvan.llm.common import connected_components, lookup, sample_by_content
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "\n".join(f"line {k} of a very long text with some words {k % 7}" for k in range(20_000))
@@ -168,6 +168,34 @@ def test_decontaminate_long_items_in_pieces(spark, monkeypatch):
     assert {r.doc_id: (r.n_hit, len(r.spans)) for r in whole} == {1: (170, 2), 2: (0, 0)}
 
 
+def test_decontaminate_unites_ranges_of_shards():
+    """Ranges in any order as a plain set of words says; many of them in one document do not take quadratic time."""
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        ranges = [(a, a + rng.randint(1, 6)) for a in rng.choices(range(60), k=rng.randint(0, 12))]
+        got = decontaminate.united([np.array([a, b, 10 * a, 10 * b - 1]) for a, b in ranges])
+        hit = {x for a, b in ranges for x in range(a, b)}
+        assert {x for a, b, *_ in got for x in range(a, b)} == hit and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        assert all((c, d) == (10 * a, 10 * b - 1) for a, b, c, d in got)
+    start = time.time()
+    assert len(decontaminate.united([np.array([20 * k, 20 * k + 10, 0, 0]) for k in range(400_000)])) == 400_000
+    assert time.time() - start < 20
+
+
+def test_decontaminate_many_ranges_in_shards(spark):
+    """20,000 separate hits in one document, by one automaton and by several."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(10))) for k in range(40)]
+    docs = spark.createDataFrame([(1, " x ".join(items[k % 40][1] for k in range(20_000))), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.decontaminate(docs, bench, nodes=n).collect())) for n in (decontaminate.NODES, 2000))
+    assert one == many and "n_hit=200000" in one[0]
+
+
 def test_decontaminate_memory_of_a_state():
     import os
 
@@ -251,6 +279,31 @@ def test_langid_query_equals_brute_force(spark, small):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_samples_do_not_depend_on_partitions(spark, docs):
+    """The same rows in other places and partitions give the same sample, about as large as asked, copies by their share."""
+    rows = docs.select("lang", "text").where("lang is not null and text is not null")
+    rows = rows.union(rows.limit(1).select("lang", "text").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("k"))
+    rows = rows.cache()
+    one = sorted(map(str, sample_by_content(rows, 40, ("lang",)).collect()))
+    assert one == sorted(map(str, sample_by_content(rows.repartition(7, "text").orderBy(F.desc("text")), 40, ("lang",)).collect()))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    got = {r["lang"]: r["count"] for r in sample_by_content(rows, 40, ("lang",)).groupBy("lang").count().collect()}
+    assert all(abs(got[x] - min(40, n)) <= 25 for x, n in sizes.items())
+    assert sorted(map(str, sample_by_content(rows, 10**6, ("lang",)).collect())) == sorted(map(str, rows.collect()))
+    assert sample_by_content(empty(rows), 5).count() == 0
+    models = [langid.learn(x, max_train=20) for x in (rows, rows.repartition(5))]
+    assert models[0][0] == models[1][0] and (models[0][1] == models[1][1]).all()
+
+
+def test_langid_of_many_languages(spark, monkeypatch):
+    """More languages than have room for all buckets share the room."""
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * langid.BUCKETS)
+    rows = spark.range(9).select("id", F.concat(F.lit("l"), "id").alias("lang"), F.concat_ws(" ", *[F.concat(F.chr(97 + F.col("id")), F.chr(98 + 2 * F.col("id"))) for _ in range(30)]).alias("text"))
+    langs, logs = langid.learn(rows)
+    assert len(langs) == 9 and logs.nbytes <= langid.MODEL_BYTES
+    assert langid.identify(rows, (langs, logs)).where("lang <> lang_pred").count() == 0
+
+
 def test_langid_letters_and_repeats(spark, odd):
     rows = [(k, "ein text der sich immer wiederholt", "de") for k in (1, 1, 1, 2)] + [(3, "the same words again and again", "en")]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -566,26 +619,40 @@ def test_forest_of_documents_without_ids(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["7", "7", "None"]
 
 
-def test_prefixes_are_shortened_until_the_recall():
-    """Every class reaches the target, with no tree shorter than it takes; crowded nodes stay longest."""
-    t, recall = ngram_join.THRESHOLD, ngram_join.RECALL
+@pytest.mark.parametrize("crowd", ["none", "some", "even", "heavy"])
+def test_prefixes_are_shortened_until_the_recall(crowd):
+    """Whole pairs at exactly the threshold, 144 minima each: where they meet is what their classes' sizes
+    come from, beside those of a crowd, and they are found at the rate that is claimed."""
+    import numpy as np
+
+    t, recall, pairs = ngram_join.THRESHOLD, ngram_join.RECALL, 60_000
     base = ngram_join.depth_for(t, recall)
     assert base == 5 < ngram_join.DEPTH
-
-    def found(depths, alone):
-        miss = (1 - t**base) ** alone
-        for d in depths:
-            miss *= 1 - t**d
-        return 1 - miss
-
-    for sizes in ([], [5], list(range(2, 14)), list(range(24, 0, -1)), [9] * 24):
-        depths = ngram_join.wanted_depths(sizes, t, recall, base)
-        assert found(depths, 24 - len(sizes)) >= recall
-        long = [s for s, d in zip(sizes, depths) if d == ngram_join.DEPTH]
-        assert not long or min(long) >= max((s for s, d in zip(sizes, depths) if d < ngram_join.DEPTH), default=0)
-        if base in depths:  # one tree less would not do
-            k = max((k for k, d in enumerate(depths) if d == base), key=lambda k: sizes[k])
-            assert found([*depths[:k], ngram_join.DEPTH, *depths[k + 1 :]], 24 - len(sizes)) < recall
+    rng = np.random.default_rng(11)
+    equal = rng.random((pairs, ngram_join.TREES, ngram_join.DEPTH)) < t
+    at_base, at_full = equal[:, :, :base].all(axis=2), equal.all(axis=2)
+    others = {
+        "none": lambda n: np.zeros(n, int),
+        "some": lambda n: rng.integers(0, 2, n),
+        "even": lambda n: np.full(n, 40),
+        "heavy": lambda n: (rng.pareto(0.7, n) * 5).astype(int),
+    }[crowd]
+    lost = 0
+    for met, full in zip(at_base, at_full):
+        mine = [1 + others(ngram_join.TREES) + met for _ in range(2)]
+        mine[1][met] = mine[0][met]  # where they meet it is the same node
+        asks = [dict(zip(np.flatnonzero(m > 1), ngram_join.wanted_depths(m[m > 1].tolist(), t, recall, base))) for m in mine]
+        lost += not any(full[k] or min(a[k] for a in asks) == base for k in np.flatnonzero(met))
+    assert lost <= pairs * (1 - recall) + 3 * (pairs * (1 - recall)) ** 0.5
+
+
+def test_crowded_prefixes_stay_long():
+    t, recall = ngram_join.THRESHOLD, ngram_join.RECALL
+    base = ngram_join.depth_for(t, recall)
+    depths = ngram_join.wanted_depths(list(range(10, 250, 10)), t, recall, base)
+    assert depths == sorted(depths) and 4 <= depths.count(base) < 12
+    assert ngram_join.wanted_depths([2, 3], t, recall, base) == [base, base + 1]
+    assert set(ngram_join.wanted_depths([9] * 24, t, recall, base)) == {base}
 
 
 def test_forest_finds_pairs_at_the_threshold():
