@@ -12,8 +12,9 @@ All but the last return the columns of ``documents``:
 * ``mix`` returns doc_id, source, size, source_size, target and taken for what is left.
 
 The columns that an operator adds never meet those of ``docs``: a column that has such a name is
-put aside before and comes back as it was. Null or empty texts are ``und`` and go in the first stage; rows with a null doc_id are learned from, as
-they have no remainder that holds them out, and are near-duplicates like any others; an empty table stays empty.
+put aside before and comes back as it was. Null or empty texts are ``und`` and go in the first stage; rows with a null
+doc_id are not learned from, and are near-duplicates like any others; of rows that tie on doc_id those of one class
+stay or go together; very long texts are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
