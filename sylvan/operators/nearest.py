@@ -1,0 +1,148 @@
+"""Exact nearest neighbours by cosine, without comparing all blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sylvan.plans.ground import ground
+
+#: Most pivots, and most bytes of all of them: what is sent to every task.
+PIVOTS, PIVOT_BYTES = 4096, 1 << 25
+#: Cosines are rounded to DIGITS; a bound must miss by more than SLACK before a cell is left out.
+DIGITS, SLACK = 6, 2e-6
+
+_KEY = ["length", "cell", "sub"]
+_PAIR = ["length", "q_cell", "q_sub", "cell", "sub"]
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, unit, length): the vectors that have a direction, scaled to length 1. Null and zero vectors, and
+    those with null or non-finite components, have none."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    # divided by the largest component first, so that no square is too large or too small
+    most = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    v = vectors.select("id", x.alias("x")).where(F.col("x").isNotNull() & finite).withColumn("most", most).where("most > 0")
+    v = v.select("id", F.transform("x", lambda c: c / F.col("most")).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))
+    return v.withColumn("norm", norm).select("id", F.transform("x", lambda c: c / F.col("norm")).alias("unit"), F.size("x").alias("length"))
+
+
+def _pivots(vectors: DataFrame, n: int, length: int, block: int) -> dict[int, np.ndarray]:
+    """Matrices of pivots by length of vector: one pivot for each block of rows, at most PIVOTS and PIVOT_BYTES."""
+    count = min(n // block, PIVOTS, PIVOT_BYTES // (8 * max(length, 1)))
+    rows = vectors.orderBy(F.xxhash64("unit"), "id").limit(count).select("unit").collect() if count else []
+    found: dict[int, list] = {}
+    for r in rows:
+        found.setdefault(len(r["unit"]), []).append(r["unit"])
+    return {k: np.array(v) for k, v in found.items()}
+
+
+def _dealt(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Adds the nearest pivot of a vector's own length, numbered from 0, and the cosine with it; -1 and 1 where that length has none."""
+
+    def deal(frames):
+        for f in frames:
+            f["cell"], f["near"] = np.int32(-1), 1.0
+            for length, rows in f.groupby("length").groups.items():
+                if length in pivots:
+                    cos = np.stack(f.loc[rows, "unit"]) @ pivots[length].T
+                    f.loc[rows, "cell"] = cos.argmax(axis=1).astype(np.int32)
+                    f.loc[rows, "near"] = cos.max(axis=1)
+            yield f
+
+    return vectors.mapInPandas(deal, "id long, unit array<double>, length int, cell int, near double")
+
+
+def _best(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cosines), a row each of ``left``: its k nearest of ``right``, which is in the order of its ids; -inf where there are fewer."""
+    cos = np.round(left @ right.T, DIGITS)
+    cos[a[:, None] == b[None, :]] = -np.inf
+    order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    return b[order], np.take_along_axis(cos, order, 1)
+
+
+def _in_own_block(k: int, pivots: dict[int, np.ndarray], least: dict[tuple[int, int], float]) -> Callable:
+    """A task for one block: each vector's k nearest there, and the cells that may hold one as near as the k-th.
+
+    On the sphere angles obey the triangle inequality: no vector of a cell is nearer to x than the angle
+    of x and the pivot less the angle of the pivot and the cell's farthest vector.
+    """
+
+    def search(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", ignore_index=True)
+        ids, unit, length = f["id"].to_numpy(np.int64), np.stack(f["unit"]), int(f["length"].iloc[0])
+        to, cos = _best(ids, unit, ids, unit, k)
+        bound = cos[:, -1] if cos.shape[1] == k else np.full(len(f), -np.inf)
+        if length in pivots:
+            cells = np.array(sorted(c for n, c in least if n == length))
+            width = np.arccos(np.clip([least[length, c] for c in cells], -1, 1))
+            angle = np.arccos(np.clip(unit @ pivots[length][cells].T, -1, 1))
+            may = np.cos(np.maximum(angle - width, 0)) >= bound[:, None] - SLACK
+            visits = [cells[row].tolist() for row in may]
+        else:
+            visits = [[-1]] * len(f)
+        return f.assign(to=list(to), cos=list(cos), visits=visits)[["id", "unit", *_KEY, "to", "cos", "visits"]]
+
+    return search
+
+
+def searched(vectors: DataFrame, k: int, block: int = 1024) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, cells): each vector (id, unit, length, cell, sub) with its nearest of its own block (to, cos) and the
+    cells it has to visit (visits); and the cells (length, cell, subs). None if no vector has a direction."""
+    units = usable(vectors)
+    n, length = units.agg(F.count("*"), F.max("length")).first()
+    if not n:
+        return None
+    pivots = _pivots(units, n, length, block)
+    dealt = ground(_dealt(units, pivots))
+    sizes = dealt.where("cell >= 0").groupBy("length", "cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()  # at most a row for each pivot
+    least = {(r["length"], r["cell"]): r["near"] for r in sizes}
+    rest = n - sum(r["n"] for r in sizes)
+    cells = dealt.sparkSession.createDataFrame([(r["length"], r["cell"], -(-r["n"] // block)) for r in sizes], "length int, cell int, subs int")
+    # lengths without a pivot share one number of blocks, so that they need no row each
+    subs = F.coalesce("subs", F.lit(max(1, -(-rest // block))))
+    blocks = dealt.join(F.broadcast(cells), ["length", "cell"], "left").select("id", "unit", "length", "cell", F.pmod(F.xxhash64("id"), subs).cast("int").alias("sub"))
+    out = "id long, unit array<double>, length int, cell int, sub int, to array<long>, cos array<double>, visits array<int>"
+    rows = ground(blocks.groupBy(*_KEY).applyInPandas(_in_own_block(k, pivots, least), out))
+    others = rows.select("length").where(F.col("cell") == -1).distinct().select("length", F.lit(-1).alias("cell"), F.lit(max(1, -(-rest // block))).alias("subs"))
+    return rows, cells.union(others)
+
+
+def k_nearest(vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(a, b, cos): the k nearest of every vector (id, embedding) by cosine, rounded to 6 digits, ties by id.
+
+    Vectors meet those of their own length only; fewer than k others give fewer rows, and vectors without a direction
+    (see ``usable``) none. Each vector joins the cell of its nearest pivot; cells are cut by hash into
+    blocks of about ``block`` rows. A first pass compares each block with itself, which bounds the
+    cosine that a neighbour elsewhere must have; a second one visits only the cells whose angles
+    allow it, block by block. The result is exact. Where vectors lie in clusters most blocks never
+    meet; where they do not, all may, and no task holds more than two blocks even then.
+    """
+    found = searched(vectors, k, block)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, cos double")
+    rows, cells = found
+    calls = rows.select("id", "unit", "length", F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"), F.explode("visits").alias("cell")).join(cells, ["length", "cell"])
+    calls = calls.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("q_cell <> cell or q_sub <> sub").select("id", "unit", *_PAIR)
+    members = calls.select(*_PAIR).distinct().join(rows.select("id", "unit", *_KEY), _KEY).select("id", "unit", *_PAIR)
+    members = members.toDF("id", "unit", *(f"m_{c}" for c in _PAIR))  # as both sides come from the same rows
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "cos": []})
+        right = right.sort_values("id")
+        a = left["id"].to_numpy(np.int64)
+        b, cos = _best(a, np.stack(left["unit"]), right["id"].to_numpy(np.int64), np.stack(right["unit"]), k)
+        return pd.DataFrame({"a": np.repeat(a, b.shape[1]), "b": b.ravel(), "cos": cos.ravel()})
+
+    away = calls.groupBy(*_PAIR).cogroup(members.groupBy(*members.columns[2:])).applyInPandas(compare, "a long, b long, cos double")
+    own = rows.select(F.col("id").alias("a"), F.explode(F.arrays_zip("to", "cos")).alias("z")).select("a", F.col("z.to").alias("b"), F.col("z.cos").alias("cos"))
+    near = own.union(away).where(F.col("cos") > float("-inf"))
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("c"), "b"))), 1, k).alias("best"))
+    return best.select("a", F.explode("best").alias("z")).select("a", F.col("z.b").alias("b"), (-F.col("z.c")).alias("cos"))

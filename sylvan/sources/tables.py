@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sylvan.operators.nearest import k_nearest
 from sylvan.sources.graph import Graph
 
 #: Added to supplier keys, which would otherwise collide with part keys.
@@ -51,34 +52,9 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def embedding_knn(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 1024) -> Graph:
-    """Each vector with its k nearest by cosine (rounded to 6 digits, ties by id), symmetrised. Vectors are
-    dealt to blocks by hash; a task compares one block with another as a matrix product and gives the
-    k nearest of each row there, and the nearest of these are the nearest of all. The search is
-    exact, so the work is the square of the rows, but a task never holds more than two blocks."""
-    import numpy as np
-    import pandas as pd
-
+    """Each vector with its k nearest by cosine (``nearest.k_nearest``), symmetrised; a vector without a direction is alone."""
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    blocks = max(1, -(-vecs.count() // block))
-    each = vecs.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        right = right.sort_values("id")
-        unit = lambda x: np.array(x.tolist(), float) / np.linalg.norm(np.array(x.tolist(), float), axis=1, keepdims=True)
-        a, b = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        cos = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
-        cos[a[:, None] == b[None, :]] = -np.inf
-        order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"a": np.repeat(a, order.shape[1]), "b": b[order].ravel(), "cos": np.take_along_axis(cos, order, 1).ravel()})
-        return out[np.isfinite(out["cos"])]
-
-    queries = each.select("id", "embedding", F.col("own").alias("x"), F.col("other").cast("long").alias("y"))
-    among = each.select("id", "embedding", F.col("other").cast("long").alias("x"), F.col("own").alias("y"))
-    near = queries.groupBy("x", "y").cogroup(among.groupBy("x", "y")).applyInPandas(nearest, "a long, b long, cos double")
-    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("c"), "b"))), 1, k).alias("best"))
-    near = best.select("a", F.explode("best.b").alias("b"))
+    near = k_nearest(vecs, k, block)
     return Graph.from_edges(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vecs.select("id"))
 
 

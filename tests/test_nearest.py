@@ -1,0 +1,86 @@
+"""Nearest neighbours against all pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sylvan.operators import nearest
+
+SCHEMA = "id long, embedding array<double>"
+
+
+def brute(rows, k):
+    """{id: [(neighbour, cosine)]} by all pairs of the vectors that have a direction."""
+    good = {i: np.array(x, float) for i, x in rows if x and all(v is not None and np.isfinite(v) for v in x) and any(x)}
+    out = {}
+    for i, x in good.items():
+        others = [(j, round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6)) for j, y in good.items() if j != i and len(y) == len(x)]
+        out[i] = sorted(others, key=lambda p: (-p[1], p[0]))[:k]
+    return {i: v for i, v in out.items() if v}
+
+
+def found(spark, rows, k, block):
+    got = {}
+    for r in nearest.k_nearest(spark.createDataFrame(rows, SCHEMA), k, block).collect():
+        got.setdefault(r["a"], []).append((r["b"], r["cos"]))
+    return {i: sorted(v, key=lambda p: (-p[1], p[0])) for i, v in got.items()}
+
+
+def clusters(n, dim=6, groups=8, spread=0.05, seed=1):
+    """Every eighth vector is a copy of another one, and a third are of the first group."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    rows = [(i, (centres[0 if i % 3 == 0 else i % groups] + spread * rng.normal(size=dim)).tolist()) for i in range(n)]
+    return [(i, rows[i - 1][1] if i % 8 == 7 else x) for i, x in rows]
+
+
+def same(got, want):
+    """Equal but for cosines that rounding puts a step apart."""
+    assert got.keys() == want.keys()
+    for i, pairs in want.items():
+        assert [c for _, c in got[i]] == pytest.approx([c for _, c in pairs], abs=2e-6)
+        # neighbours may only change places within a step of rounding
+        last = pairs[-1][1]
+        sure = {j for j, c in pairs if c > last + 3e-6}
+        assert sure <= {j for j, _ in got[i]}
+
+
+@pytest.mark.parametrize("block", [16, 64, 1000])
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_equals_all_pairs(spark, block, spread):
+    rows = clusters(300, spread=spread)
+    same(found(spark, rows, 5, block), brute(rows, 5))
+
+
+def test_clusters_leave_most_blocks_alone(spark):
+    rows = clusters(600, groups=20)
+    out, cells = nearest.searched(spark.createDataFrame(rows, SCHEMA), 3, 16)
+    mean = out.agg(F.avg(F.size("visits"))).first()[0]
+    assert mean < cells.count() / 2
+
+
+def test_copies_are_ties_by_id(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100 + i, [2.0, -1.0]) for i in range(3)]
+    got = found(spark, rows, 3, 8)
+    assert [j for j, _ in got[39]] == [0, 1, 2]
+    assert [j for j, _ in got[0]] == [1, 2, 3]
+    assert [j for j, _ in got[100]] == [101, 102, 0]
+
+
+def test_vectors_without_direction_and_of_other_lengths(spark):
+    rows = clusters(60, dim=3) + [(1000 + i, x) for i, x in enumerate([None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1e200, 1e200, 0.0], [1e-200, 0.0, 0.0], [1.0] * 9, [1.0] * 8 + [2.0], [5.0]])]
+    got = found(spark, rows, 2, 8)
+    want = brute([(i, [v / max(map(abs, x)) for v in x] if x and all(v is not None and np.isfinite(v) for v in x) and any(x) else x) for i, x in rows], 2)
+    same(got, want)
+    assert not {1000, 1001, 1002, 1003, 1004, 1005, 1010} & got.keys()
+    assert got[1008] == [(1009, pytest.approx(0.962250, abs=2e-6))]
+
+
+def test_more_wanted_than_there_are(spark):
+    rows = clusters(5)
+    assert {i: len(v) for i, v in found(spark, rows, 9, 2).items()} == {i: 4 for i in range(5)}
+
+
+def test_empty(spark):
+    assert found(spark, [], 3, 8) == {}
+    assert found(spark, [(1, None)], 3, 8) == {}
