@@ -20,6 +20,11 @@ def sizes(p: DataFrame) -> DataFrame:
     return p.groupBy("rep", "part").agg(F.count("*").alias("size"))
 
 
+def count(p: DataFrame) -> DataFrame:
+    """(rep, nv, nparts): vertices and parts of each partition; labels are 1..nparts."""
+    return p.groupBy("rep").agg(F.count("*").alias("nv"), F.max("part").cast("long").alias("nparts"))
+
+
 def average(p: DataFrame, y) -> DataFrame:
     """(rep, part, k, z): means by part of a signal (id, k, y) in which absent rows are 0, or of a constant."""
     if not isinstance(y, DataFrame):

@@ -293,6 +293,7 @@ SQL = {
     "degree_part_supplier": sql(PARTS, BASE, select="select id, d from deg"),
     "neighbors": sql(PARTS, select="select src as id, count(*) as n_neighbors, string_agg(dst::varchar, ',' order by dst) as neighbors from e group by 1"),
     "laplacian": sql(TRADE, BASE, select="select id as i, id as j, d as v from deg union all select src, dst, -weight from e"),
+    "is_directed": "select 2 * count(*) as n_edges, 0::bigint as n_one_way, false as is_directed from (select distinct l_partkey, l_suppkey from lineitem)",
     "graph_size": sql(PARTS, select="select (select count(*) from v) as nv, (select count(*) from e where src < dst) as ne"),
     "laplacian_times": sql(TRADE, BASE, SIGNAL, "\ns as (select id, y as x from y)", _LX, select="select id, round(lx, 6) as lx from lx"),
     "random_successor_uniform": sql(
@@ -344,6 +345,7 @@ SQL = {
     "spanning_tree_random_root": sql(TRADE, BASE, forest(rate(f"case when id = (select id from v order by {_u('root', str(SEED), 'id')}, id limit 1) then 1e300 else 0 end"), 1, 5), select=_FOREST_COLS),
     "partition": sql(*TREES, PART, select="select rep, id, part from part"),
     "partition_sizes": sql(*TREES, PART, SIZE, select="select rep, part, size from size"),
+    "partition_count": sql(*TREES, PART, select="select rep, count(*) as nv, count(distinct root) as nparts from part group by 1"),
     "partition_average": sql(*TREES, PART, _Z, select="select rep, part, k, round(z, 6) as z from z"),
     "partition_average_constant": sql(*TREES, PART, SIZE, select="select rep, part, 0 as k, 2.5::double as z from size"),
     "partition_sum": sql(*TREES, PART, _Z, select="select rep, part, k, round(s, 6) as z from z"),

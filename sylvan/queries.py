@@ -73,6 +73,15 @@ def degree_part_supplier(spark, sf):
     return tables.part_supplier(spark, sf).degree()
 
 
+@query
+def is_directed(spark, sf):
+    """Edges of parts and suppliers, and how many of them have no equal one back."""
+    g = tables.part_supplier(spark, sf)
+    g = Graph(g.vertices, ground(g.edges))
+    back = g.one_way().agg(F.count("*").alias("n_one_way"))
+    return g.edges.agg(F.count("*").alias("n_edges")).join(F.broadcast(back)).select("n_edges", "n_one_way", (F.col("n_one_way") > 0).alias("is_directed"))
+
+
 @query
 def neighbors(spark, sf):
     n = tables.part_supplier(spark, sf).neighbors()
@@ -274,6 +283,11 @@ def partition_sizes(spark, sf):
     return parts.sizes(parts.partition(forests(spark, sf)[1]))
 
 
+@query
+def partition_count(spark, sf):
+    return parts.count(parts.partition(forests(spark, sf)[1]))
+
+
 @query
 def partition_average(spark, sf):
     return rounded(parts.average(parts.partition(forests(spark, sf)[1]), signal(spark, sf)), "z")

@@ -51,6 +51,11 @@ class Graph:
 
     is_directed = False
 
+    def one_way(self) -> DataFrame:
+        """(src, dst): edges without an equal one back. None in an undirected graph, whatever it was made from."""
+        back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        return self.edges.join(back, ["src", "dst", "weight"], "left_anti").select("src", "dst")
+
     def degree(self) -> DataFrame:
         """(id, d): weighted degree, 0 for isolated vertices."""
         d = self.edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan.operators import nearest
+from sylvan.sources.graph import Graph
 
 SCHEMA = "id long, embedding array<double>"
 
@@ -84,3 +85,10 @@ def test_more_wanted_than_there_are(spark):
 def test_empty(spark):
     assert found(spark, [], 3, 8) == {}
     assert found(spark, [(1, None)], 3, 8) == {}
+
+
+def test_one_way_edges(spark):
+    """An adjacency matrix of one triangle is told from a graph; unequal weights count as one-way too."""
+    cells = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 4, 1.0), (4, 3, 2.0)], "i long, j long, v double")
+    assert {tuple(r) for r in Graph.from_coo(cells).one_way().collect()} == {(2, 3), (3, 4), (4, 3)}
+    assert Graph.from_edges(cells.toDF("a", "b", "weight")).one_way().isEmpty()
