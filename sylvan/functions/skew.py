@@ -1,4 +1,4 @@
-"""Joins that stand one key holding a large part of all rows."""
+"""Joins that stand one key holding a large part of all rows, and partitions that stay small as rows grow."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than 1 / HOT_KEYS of the rows, so fewer than HOT_KEYS keys are hot.
 HOT_KEYS = 1000
 
+#: Rows of a partition that ``spread`` aims at.
+PART_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``by`` to partitions of about PART_ROWS, so that a task's memory does not
+    grow with the table; left as it is where the session's number of partitions is enough for that."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, whose rows are unique in ``on``, however skewed ``left`` is.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
+from sylvan.functions.skew import spread
+from sylvan.plans.ground import ground
 from sylvan.sources.graph import Graph
 
 #: Bull graph and Tutte graph as edge lists (fixed values).
@@ -70,13 +72,34 @@ def erdos_renyi(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
     want, drawn = min(m, total - m), 0
     while True:
         drawn = max(2 * drawn, 2 * want + 64)
-        firsts = spark.range(drawn).select(F.floor(uniform("er", seed, F.col("id")) * total).alias("k"), "id").groupBy("k").agg(F.min("id").alias("first"))
+        drawn_pairs = spread(spark.range(drawn).select(F.floor(uniform("er", seed, F.col("id")) * total).alias("k"), "id"), drawn, "k")
+        firsts = ground(drawn_pairs.groupBy("k").agg(F.min("id").alias("first")))
         if not want or firsts.count() >= want:
             break
-    kept = firsts.orderBy("first").limit(want).select("k")
+    kept = _earliest(firsts, want).select("k") if want else firsts.where("false").select("k")
     if want < m:
         kept = spark.range(total).withColumnRenamed("id", "k").join(kept, "k", "left_anti")
-    return Graph.from_edges(kept.select(*_numbered(F.col("k"))), spark.range(n))
+    return Graph.from_edges(kept.select(*_numbered(F.col("k"))), spark.range(n), m)
+
+
+#: Ranges that a search for a rank counts at once.
+RANGES = 1024
+
+
+def _earliest(firsts: DataFrame, want: int) -> DataFrame:
+    """The ``want`` rows of the smallest ``first``, which differ. The last of them is found by counting ranges, then ranges
+    of the one that holds it, so that rows are neither sorted nor brought together."""
+    low, high = firsts.agg(F.min("first"), F.max("first")).first()
+    left = want
+    while low < high:
+        width = (high - low) // RANGES + 1
+        counts = firsts.where(F.col("first").between(low, high)).groupBy(F.floor((F.col("first") - low) / width).alias("part")).count()
+        for part, n in sorted(counts.collect()):
+            if n >= left:
+                low, high = low + part * width, min(low + (part + 1) * width - 1, high)
+                break
+            left -= n
+    return firsts.where(F.col("first") <= low)
 
 
 def random_weighted(spark: SparkSession, n: int, density: float, seed: int = 0) -> Graph:

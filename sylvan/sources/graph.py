@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sylvan.functions.skew import spread
 from sylvan.plans.ground import ground
 
 #: Neighbours above which a vertex' weights are summed in chunks, and the most chunks of one.
@@ -32,12 +33,13 @@ class Graph:
     edges: DataFrame
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
-        """From (a, b[, weight]) in any direction: parallel edges add up, self-loops go."""
+    def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, rows: int = 0) -> Graph:
+        """From (a, b[, weight]) in any direction: parallel edges add up, self-loops go. Where there are many, say about
+        how many ``rows``, so that sums run in partitions of a bounded size."""
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         e = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), weight.alias("weight"))
         both = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-        both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        both = spread(both, 2 * rows, "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
         if vertices is None:
             vertices = both.select(F.col("src").alias("id")).distinct()
         return cls(vertices.select(F.col("id").cast("long").alias("id")), both)

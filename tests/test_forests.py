@@ -383,3 +383,13 @@ def test_components_of_a_star_and_a_path(spark):
     sizes = connectivity.connected_components(g).groupBy("component").count().collect()
     assert sorted((r["component"], r["count"]) for r in sizes if r["count"] > 1) == [(0, 3001), (1, 200)]
     assert len(sizes) == 2 + 2800
+
+
+def test_drawn_pairs_are_not_brought_together(spark, monkeypatch):
+    """The first different pairs, found by counting ranges of ranges; no limit over all rows is left in the plan."""
+    monkeypatch.setattr(gen, "RANGES", 3)
+    rows = spark.range(200).select((F.col("id") * 37 % 1009).alias("k"), (F.col("id") * F.col("id")).alias("first"))
+    for want in (1, 2, 50, 199, 200):
+        assert sorted(r["first"] for r in gen._earliest(rows, want).collect()) == [i * i for i in range(want)]
+    plan = gen.erdos_renyi(spark, 30, 100, 3).edges._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan
