@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sylvan.functions import skew
 from sylvan.functions.rng import uniform, uniform_py
 from sylvan.operators import connectivity, draws, forest
 from sylvan.operators import partition as parts
@@ -393,3 +394,13 @@ def test_drawn_pairs_are_not_brought_together(spark, monkeypatch):
         assert sorted(r["first"] for r in gen._earliest(rows, want).collect()) == [i * i for i in range(want)]
     plan = gen.erdos_renyi(spark, 30, 100, 3).edges._jdf.queryExecution().executedPlan().toString()
     assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_partitions_of_parts_and_suppliers_grow_with_the_lines(spark, small, monkeypatch):
+    """Sums over pairs and over edges have partitions by the rows, however few the session asks for."""
+    monkeypatch.setattr(skew, "PART_ROWS", 500)
+    g = tables.part_supplier(spark, small)
+    n = tables.table(spark, small, "lineitem").count()
+    assert n > 500 * 4 and g.edges.rdd.getNumPartitions() == -(-2 * n // 500)
+    plan = g.edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and f", {-(-n // 500)})" in plan
