@@ -72,9 +72,15 @@ def embedding_knn(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 102
         unit = lambda x: np.array(x.tolist(), float) / np.linalg.norm(np.array(x.tolist(), float), axis=1, keepdims=True)
         a, b = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
         cos = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
-        cos[a[:, None] == b[None, :]] = -np.inf
-        order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"a": np.repeat(a, order.shape[1]), "b": b[order].ravel(), "cos": np.take_along_axis(cos, order, 1).ravel()})
+        cos[(a[:, None] == b[None, :]) | ~np.isfinite(cos)] = -np.inf
+        # those from the k-th value of a row on, ties included; only these few are sorted
+        least = np.partition(cos, -k, axis=1)[:, -k, None] if len(b) > k else -np.inf
+        row, col = np.nonzero(cos >= least)
+        order = np.lexsort((col, -cos[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        out = pd.DataFrame({"a": a[row], "b": b[col], "cos": cos[row, col]})
         return out[np.isfinite(out["cos"])]
 
     queries = each.select("id", "embedding", F.col("own").alias("x"), F.col("other").cast("long").alias("y"))
