@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylvan.operators import partition as parts
 from sylvan.operators.forest import apply_roots, nroots, random_forest, rates
 from sylvan.plans.ground import Rounds, ground
+from sylvan.plans.tiles import Tiles
 from sylvan.sources.graph import Graph
 
 #: Vertices up to which a system is solved densely in one task; above it, by iterations over tables.
@@ -44,16 +45,8 @@ def smooth(g: Graph, q, y: DataFrame, dense: int = DENSE) -> DataFrame:
     return tagged.groupBy(F.lit(0).alias("all")).applyInPandas(solve, "id long, k int, x double")
 
 
-#: Neighbours of a vertex in one row, steps in one job, and steps above which conjugate gradients take over.
-CHUNK, STEPS, MOST_STEPS = 1000, 6, 120
-
-
-def _lists(off: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, near): neighbours (dst, w) in lists of about CHUNK, and each vertex once by itself with no w."""
-    n = off.groupBy("src").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    part = F.pmod(F.xxhash64("dst"), F.col("parts"))
-    lists = off.join(n, "src").groupBy(F.col("src").alias("id"), part.alias("part")).agg(F.collect_list(F.struct("dst", F.col("weight").alias("w"))).alias("near"))
-    return lists.select("id", "near").union(ids.select("id", F.array(F.struct(F.col("id").alias("dst"), F.lit(None).cast("double").alias("w")))))
+#: Edges in one row of a tile, steps in one job, and steps above which conjugate gradients take over.
+CHUNK, STEPS, MOST_STEPS = 500_000, 2, 120
 
 
 def chebyshev(g: Graph, rate: DataFrame, y: DataFrame, tol: float = 1e-12, powers: int = 4) -> DataFrame:
@@ -61,41 +54,33 @@ def chebyshev(g: Graph, rate: DataFrame, y: DataFrame, tol: float = 1e-12, power
 
     It needs no inner products, only a bound of the size of D^-1 W's eigenvalues: the ``powers``-th root of the
     largest entry of (D^-1 W)^powers 1, one number. From it the number of steps is known beforehand
-    that brings the error below ``tol``, relative to the solution. A step sends each vertex's value to its
-    neighbours and itself, so it is one shuffle, STEPS of them make one job, and lists of neighbours
-    are dealt out once a job. If the bound is so near 1 that it takes more than MOST_STEPS steps, conjugate gradients take over."""
+    that brings the error below ``tol``, relative to the solution. Products run by tiles of edges (``Tiles``), so that
+    blocks of values travel and not rows of vertices or edges, and STEPS steps make one job. If the bound is so near 1
+    that it takes more than MOST_STEPS steps, conjugate gradients take over."""
     base = ground(g.degree().join(rate, "id").select("id", "q", (F.col("d") + F.col("q")).alias("diag")))
-    lists = ground(_lists(g.edges, base))
-    state = base.select("id", F.lit(0).alias("k"), "diag", F.lit(1.0).alias("x"), F.lit(0.0).alias("old"), F.lit(0.0).alias("c"))
-    for _ in range(powers):
-        state = _spread(state, lists, lambda own, wx: (wx, own("x")))
-    most = state.agg(F.max("x")).first()[0]
-    if most is None:
+    kind = y.schema["k"].dataType.simpleString()
+    ks = [r["k"] for r in y.where("k is not null").select("k").distinct().orderBy("k").collect()]
+    if not ks or base.isEmpty():
         return y.select("id", "k", F.col("y").alias("x")).where("false")
-    rho = max(most, 0.0) ** (1 / powers) * (1 + 1e-9)
+    tiles = Tiles(g.edges, base, len(ks), CHUNK)
+    state, keep = tiles.state(), Rounds("powers")
+    for power in range(powers):
+        state = tiles.step(state, 1.0)
+        if (power + 1) % STEPS == 0 or power == powers - 1:
+            state = keep(state)
+    rho = max(state.agg(F.max("most")).first()[0], 0.0) ** (1 / powers) * (1 + 1e-9)
     steps = int(np.ceil(np.arccosh(2 / tol) / np.arccosh(1 / rho))) if 0 < rho < 1 else MOST_STEPS * int(rho > 0) + 1
     if steps > MOST_STEPS:
+        tiles.drop()
         return conjugate_gradients(g, rate, y)
-    full = base.crossJoin(F.broadcast(y.select("k").distinct())).join(y, ["id", "k"], "left")
-    c = F.col("q") * F.coalesce("y", F.lit(0.0)) / F.col("diag")
-    state, keep, omega = full.select("id", "k", "diag", F.lit(0.0).alias("x"), F.lit(0.0).alias("old"), c.alias("c")), Rounds("chebyshev"), 2.0
+    state, keep, omega = tiles.state(y, ks), Rounds("chebyshev"), 2.0
     for step in range(steps):
         omega = 1.0 if step == 0 else 1 / (1 - rho**2 * omega / (2 if step == 1 else 4))
-        state = _spread(state, lists, lambda own, wx, w=omega: (w * (wx + own("c") - own("old")) + own("old"), own("x")))
+        state = tiles.step(state, omega)
         if (step + 1) % STEPS == 0 or step == steps - 1:
             state = keep(state)
-    return state.select("id", "k", "x")
-
-
-def _spread(state: DataFrame, lists: DataFrame, update) -> DataFrame:
-    """One step: ``update`` gives x and old from a vertex' own columns and (D^-1 W x)."""
-    sent = state.join(lists, "id").withColumn("e", F.explode("near"))
-    own = F.col("e.w").isNull()
-    carried = (F.when(own, F.col(c)).otherwise(0.0).alias(c) for c in ("diag", "x", "old", "c"))
-    rows = sent.select(F.col("e.dst").alias("id"), "k", F.when(own, 0.0).otherwise(F.col("e.w") * F.col("x")).alias("m"), *carried)
-    total = rows.groupBy("id", "k").agg(*(F.sum(c).alias(c) for c in ("m", "diag", "x", "old", "c")))
-    x, old = update(F.col, F.col("m") / F.col("diag"))
-    return total.select("id", "k", "diag", x.alias("x"), old.alias("old"), "c")
+    tiles.drop()
+    return tiles.values(state, ks, kind)
 
 
 def conjugate_gradients(g: Graph, rate: DataFrame, y: DataFrame, tol: float = 1e-10, max_rounds: int = 1000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvan.functions.rng import uniform
 from sylvan.operators import draws, events, forest, search
-from sylvan.plans import moments, smoothing
+from sylvan.plans import moments, smoothing, tiles
 from sylvan.plans.ground import Store, ground
 from sylvan.sources import generators as gen
 from sylvan.sources import sink
@@ -265,3 +265,21 @@ def test_one_way_edges(spark):
     cells = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 4, 1.0), (4, 3, 2.0)], "i long, j long, v double")
     assert {tuple(r) for r in Graph.from_coo(cells).one_way().collect()} == {(2, 3), (3, 4), (4, 3)}
     assert Graph.from_edges(cells.toDF("a", "b", "weight")).one_way().isEmpty()
+
+
+def test_tiles_of_a_hub_stay_small_and_take_many_signals(spark, monkeypatch):
+    """A vertex with all edges fills no row of a tile beyond its chunk, and 5 signals in rows of 2 equal dense solutions bit by bit in reruns."""
+    monkeypatch.setattr(tiles, "TOGETHER", 2)
+    star = Graph.from_edges(spark.range(1, 900).select(F.lit(0).alias("a"), F.col("id").alias("b"), (F.col("id") % 3 + 1).alias("weight")), spark.range(901))
+    g = stored(star)
+    base = ground(g.degree().select("id", F.lit(9e3).alias("q"), (F.col("d") + 9e3).alias("diag")))
+    t = tiles.Tiles(g.edges, base, 5, 20)
+    lengths = [r.n for r in spark.table(t.table).where("part >= 0").select((F.length("weight") / 8).alias("n")).collect()]
+    assert sum(lengths) == 2 * 899 and max(lengths) <= 60
+    t.drop()
+    y = ground(g.vertices.crossJoin(spark.range(5).select((F.col("id") * 7).cast("int").alias("k"))).select("id", "k", uniform("y", 2, F.col("id"), F.col("k")).alias("y")))
+    rate = g.vertices.select("id", F.lit(9e3).alias("q"))
+    one, again = ({(r.id, r.k): r.x for r in smoothing.chebyshev(g, rate, y).collect()} for _ in range(2))
+    dense = {(r.id, r.k): r.x for r in smoothing.smooth(g, 9e3, y).collect()}
+    assert one == again and one.keys() == dense.keys()
+    assert max(abs(one[k] - dense[k]) for k in dense) < 1e-9
