@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than 1 / HOT_KEYS of the rows, so fewer than HOT_KEYS keys are hot.
 HOT_KEYS = 1000
 
-#: Rows of a partition that ``spread`` aims at.
+#: Rows of a partition that ``spread`` and ``sized`` aim at.
 PART_ROWS = 1_000_000
 
+#: Shuffled bytes of a partition that ``sized`` allows.
+PART_BYTES = "4m"
+
 
 def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """``df``, of about ``rows`` rows, dealt by ``by`` to partitions of about PART_ROWS, so that a task's memory does not
@@ -19,6 +25,23 @@ def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, joins, sums and windows run in as many partitions as about ``rows`` rows need, if that is more than the
+    session's number, and these are not put together beyond PART_BYTES of shuffled data, which are many rows where they
+    compress well. Only what is written or counted inside counts, as plans are made when they run."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, parts = [spark.conf.get(n) for n in names], -(-rows // PART_ROWS)
+    if parts > int(before[0]):
+        spark.conf.set(names[0], parts)
+        spark.conf.set(names[1], PART_BYTES)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, whose rows are unique in ``on``, however skewed ``left`` is.
 

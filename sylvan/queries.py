@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.functions.skew import sized
 from sylvan.operators import connectivity, draws, events, forest, search
 from sylvan.operators import partition as parts
 from sylvan.plans import labels, moments, multiscale, smoothing
@@ -37,6 +39,18 @@ def stored(g: Graph) -> Graph:
     return Graph(edges.select(F.col("src").alias("id")).distinct(), edges)
 
 
+def by_lines(f):
+    """A query of the graph of parts and suppliers, in partitions by the number of lines: each gives two edges at most, of which a
+    draw index or an alias table makes two rows. The result is written inside, so that its last steps run so too."""
+
+    @wraps(f)
+    def run(spark, sf):
+        with sized(spark, 4 * _count(spark, sf, "lineitem")):
+            return ground(f(spark, sf))
+
+    return run
+
+
 def rated(g: Graph) -> DataFrame:
     return g.vertices.select("id", (F.col("id") * 50.0 + 500).alias("q"))
 
@@ -139,6 +153,7 @@ def alias_draw(spark, sf):
 
 
 @query
+@by_lines
 def alias_levels(spark, sf):
     """What tables of two levels encode, with up to 100 neighbours a chunk: the suppliers are hubs."""
     chunks, slots = draws.alias_levels(stored(tables.part_supplier(spark, sf)), 100)

@@ -283,3 +283,19 @@ def test_tiles_of_a_hub_stay_small_and_take_many_signals(spark, monkeypatch):
     dense = {(r.id, r.k): r.x for r in smoothing.smooth(g, 9e3, y).collect()}
     assert one == again and one.keys() == dense.keys()
     assert max(abs(one[k] - dense[k]) for k in dense) < 1e-9
+
+
+def test_queries_by_lines_run_in_partitions_by_rows(spark, monkeypatch):
+    """Partitions are set while the query runs, and the session's own numbers are back afterwards, after an error too."""
+    from sylvan import queries
+    from sylvan.functions import skew
+
+    monkeypatch.setattr(skew, "PART_ROWS", 1000)
+    name = "spark.sql.shuffle.partitions"
+    own, seen = spark.conf.get(name), []
+    count = queries._count(spark, "/root/testdata/sf0.001", "lineitem")
+    probe = queries.by_lines(lambda s, sf: seen.append(s.conf.get(name)) or s.range(3))
+    assert probe(spark, "/root/testdata/sf0.001").count() == 3 and seen == [str(-(-4 * count // 1000))]
+    with pytest.raises(KeyError), skew.sized(spark, 10**6):
+        raise KeyError
+    assert spark.conf.get(name) == own
