@@ -88,6 +88,7 @@ def degree_part_supplier(spark, sf):
 
 
 @query
+@by_lines
 def is_directed(spark, sf):
     """Edges of parts and suppliers, and how many of them have no equal one back."""
     g = tables.part_supplier(spark, sf)
