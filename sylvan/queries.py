@@ -202,6 +202,7 @@ def forest_bfs(spark, sf):
 
 
 @query
+@by_lines
 def graph_bfs(spark, sf):
     g = stored(tables.part_supplier(spark, sf))
     return search.bfs_graph(g, g.vertices.where("id = 0"))
