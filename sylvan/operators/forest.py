@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sylvan.functions.rng import uniform
 from sylvan.plans.ground import Rounds, Store, ground
@@ -32,6 +33,9 @@ from sylvan.sources.graph import Graph, cell_of, totals
 #: where there are few vertices, up to DEEPEST, so that AT_ONCE are drawn together.
 LOCAL, FIRST, DEEPEST, AT_ONCE = 100_000, 4, 64, 100_000
 
+#: Turns of one job in which parts of a repetition pop their own cycles, fewer where there are many vertices.
+TURNS = 16
+
 
 def rates(g: Graph, q) -> DataFrame:
     """(id, q) from a number or from (id, q) rows; a vertex without a row has rate 0."""
@@ -217,7 +221,8 @@ def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, lo
     rep, level). A round takes the top arrows of the vertices whose root is not known yet, follows them by
     pointer doubling, and pops the vertices on cycles, which are those that some vertex still points at
     after all doublings. Vertices that reached a root are done: no cycle is on their way. They go to one
-    table, which a round joins by the few vertices that it asks for."""
+    table, which a round joins by the few vertices that it asks for. Repetitions of fewer than two times ``local``
+    vertices first pop what they can in parts."""
 
     def topmost(tops: DataFrame) -> DataFrame:
         a = drawn(base, arrows, tops, seed).join(base.select("id", "q"), "id")
@@ -233,6 +238,8 @@ def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, lo
             return settled.read()
         if sizes["most"] <= local:
             return settled.add(_finished(base, arrows, active.select("rep", "id", "level"), seed, settled))
+        if sizes["most"] < 2 * local:
+            active = keep(topmost(_in_turns(base, arrows, active.select("rep", "id", "level"), seed, settled, local, n)))
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
         if settled:
             asked = active.select("rep", "next").where("next is not null").distinct()
@@ -247,6 +254,60 @@ def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, lo
         active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(topmost(popped.select("rep", "id", "level"))))
 
 
+_TURN = "rep int, id long, place long, size long, level long, moved long, goals array<long>, ends array<boolean>"
+
+
+def _turn(turn: int):
+    """The task of a part of a repetition: pops the cycles inside it. Arrows that lead out of it, and vertices without
+    arrows left, end ways. Places are shuffled alike in all parts, so that other vertices are left out together in the next turn."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        ids, many = pdf["id"].to_numpy(), pdf["goals"].map(len).to_numpy()
+        goals, ends = np.concatenate(pdf["goals"].to_list()).astype(np.int64), np.concatenate(pdf["ends"].to_list()).astype(bool)
+        stop = np.cumsum(many)
+        start = stop - many
+        at = start.copy()
+        if len(goals):
+            to = np.minimum(np.searchsorted(ids, goals), len(ids) - 1)
+            pop_arrays(to, (ends | (ids[to] != goals)).__getitem__, start, stop, at)
+        size = int(pdf["size"].iloc[0])
+        place = np.random.default_rng((turn, size)).permutation(size)[pdf["place"]]
+        rest = {"goals": goals, "ends": ends}
+        return pdf.assign(place=place, level=pdf["level"] + at - start, moved=pdf["moved"] + at - start, **{c: [x[a:b] for a, b in zip(at, stop)] for c, x in rest.items()})
+
+    return run
+
+
+def _in_turns(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, settled: Store, local: int, n: int) -> DataFrame:
+    """(rep, id, level) of the ``n`` vertices of ``tops``, repetitions of fewer than two times ``local``, after popping cycles
+    inside parts: ``local`` vertices in one task, the others in another, and other vertices in the next turn. A job
+    takes many turns; jobs go on while vertices move."""
+    mine = Window.partitionBy("rep")
+    places = tops.select("rep", "id", (F.row_number().over(mine.orderBy("id")) - 1).cast("long").alias("place"), F.count("*").over(mine).alias("size"))
+
+    def stacks(tops: DataFrame) -> DataFrame:
+        a = drawn(base, arrows, tops, seed, F.lit(_depth(n)).cast("long")).join(base.select("id", "q"), "id")
+        ends = F.col("next").isNull() | (F.col("u") * (F.col("q") + F.col("d")) < F.col("q"))
+        a = a.select("rep", "id", "level", F.coalesce("next", "id").alias("goal"), ends.alias("ends"))
+        if settled:
+            known = settled.read().select("rep", F.col("id").alias("goal"), F.lit(True).alias("known"))
+            a = a.join(known, ["rep", "goal"], "left").withColumn("ends", F.col("ends") | F.coalesce("known", F.lit(False)))
+        a = a.groupBy("rep", "id").agg(F.array_sort(F.collect_list(F.struct("level", "goal", "ends"))).alias("a"))
+        return a.join(places, ["rep", "id"]).select("rep", "id", "place", "size", F.col("a")[0]["level"].alias("level"), F.lit(0).cast("long").alias("moved"), F.col("a.goal").alias("goals"), F.col("a.ends").alias("ends"))
+
+    places, keep = ground(places), Rounds("turns")
+    state, turn = stacks(tops), 0
+    while True:
+        for turn in range(turn + 1, turn + 1 + max(2, min(TURNS, AT_ONCE // n))):
+            state = state.groupBy("rep", (F.col("place") >= local).alias("part")).applyInPandas(_turn(turn), _TURN)
+        state = keep(state)
+        found = state.agg(F.max(F.size("goals") == 0).alias("dry"), F.sum("moved").alias("moved")).first()
+        if not found["moved"] and not found["dry"]:
+            return state.select("rep", "id", "level")
+        state = stacks(state.select("rep", "id", "level")) if found["dry"] else state.withColumn("moved", F.lit(0).cast("long"))
+
+
 def _finished(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, settled: Store) -> DataFrame:
     """(rep, id, level, next, root) of the vertices left, a repetition a task, beside those whose roots are known."""
     out = Store("finished")

@@ -345,6 +345,18 @@ def test_grids_by_joins_equal_the_local_ones(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
+def test_long_walks_of_few_vertices_take_few_rounds_by_joins(spark, monkeypatch):
+    """With q far below the degrees nearly all cycles are popped in parts of at most ``local`` vertices, and not one a round."""
+    g = gen.random_weighted(spark, 12, 0.6, 3)
+    g, rounds, followed = Graph(ground(g.vertices), ground(g.edges)), [], forest._followed
+    monkeypatch.setattr(forest, "_followed", lambda far, n: rounds.append(n) or followed(far, n))
+    a = forest.random_forest(g, 0.05, 1, 7)
+    b = forest.random_forest_distributed(g, 0.05, 1, 7, local=8)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    pops = a.agg(F.sum("level")).first()[0]
+    assert 5 * len(rounds) < pops, (len(rounds), pops)
+
+
 def test_erdos_renyi_and_preferential_sizes(spark):
     for m in (0, 5, 44, 45):
         assert gen.erdos_renyi(spark, 10, m, 3).ne() == m
