@@ -37,9 +37,20 @@ def bfs_graph(g, sources: DataFrame, deepest: int | None = None) -> DataFrame:
 
 
 def bfs_parents(forest: DataFrame) -> DataFrame:
-    """(rep, id, depth, parent) of the vertices of a forest (rep, id, next) that its roots reach against the arrows."""
-    down = forest.where("next is not null").select("rep", F.col("next").alias("src"), F.col("id").alias("dst"))
-    return bfs(down, forest.where("next is null").select("rep", "id"))
+    """(rep, id, depth, parent) of the vertices of a forest (rep, id, next) that its roots reach against the arrows. As a vertex
+    has one arrow, its depth is the length of its way, found by doubling: rounds are the logarithm of the
+    deepest, and vertices of known depth are read but not joined again. Ways into cycles never end and are left out."""
+    done = F.col("to").isNull()
+    keep, left = Rounds("ways"), None
+    way = keep(forest.select("rep", "id", F.col("next").alias("parent"), F.col("next").alias("to"), F.col("next").isNotNull().cast("long").alias("depth")))
+    while True:
+        open_, most = way.where(~done).agg(F.count("*"), F.max("depth")).first()
+        # no way that ends is longer than all vertices, and ways double until they end
+        if not open_ or (open_ == left and most > forest.count()):
+            return way.where(done).select("rep", "id", "depth", "parent")
+        on = way.select("rep", F.col("id").alias("to"), F.col("to").alias("further"), F.col("depth").alias("more"))
+        step = way.where(~done).join(on, ["rep", "to"]).select("rep", "id", "parent", F.col("further").alias("to"), (F.col("depth") + F.col("more")).alias("depth"))
+        way, left = keep(way.where(done).unionByName(step.select(*way.columns))), open_
 
 
 def euler_tour(forest: DataFrame) -> DataFrame:

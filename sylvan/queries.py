@@ -39,16 +39,23 @@ def stored(g: Graph) -> Graph:
     return Graph(edges.select(F.col("src").alias("id")).distinct(), edges)
 
 
-def by_lines(f):
-    """A query of the graph of parts and suppliers, in partitions by the number of lines: each gives two edges at most, of which a
+def by_rows_of(name: str):
+    """A query of a graph made from a table, in partitions by its number of rows: each gives two edges at most, of which a
     draw index or an alias table makes two rows. The result is written inside, so that its last steps run so too."""
 
-    @wraps(f)
-    def run(spark, sf):
-        with sized(spark, 4 * _count(spark, sf, "lineitem")):
-            return ground(f(spark, sf))
+    def wrap(f):
+        @wraps(f)
+        def run(spark, sf):
+            with sized(spark, 4 * _count(spark, sf, name)):
+                return ground(f(spark, sf))
 
-    return run
+        return run
+
+    return wrap
+
+
+#: For the graph of parts and suppliers.
+by_lines = by_rows_of("lineitem")
 
 
 def rated(g: Graph) -> DataFrame:
@@ -196,8 +203,9 @@ def coupled_events(spark, sf):
 
 
 @query
+@by_rows_of("events")
 def forest_bfs(spark, sf):
-    """Depth and parent of every vertex of two forests of the user flow, level by level from the roots."""
+    """Depth and parent of every vertex of two forests of the user flow."""
     return search.bfs_parents(ground(forest.random_forest(stored(tables.user_flow(spark, sf)), 20.0, 2, SEED)))
 
 

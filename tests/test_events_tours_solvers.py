@@ -88,6 +88,17 @@ def tours(spark, parents):
 PATH_AND_STAR = {0: None, **{k: k - 1 for k in range(1, 70)}, 100: None, **{k: 100 for k in range(101, 140)}, 200: None, 201: 110}
 
 
+def test_depths_of_a_deep_forest_take_few_rounds(spark, monkeypatch):
+    """A path of 40 below a root, a lone root, and a cycle with a tail that no root reaches; one table a doubling, not one a level."""
+    rows = [(0, 0, None), *((0, i, i - 1) for i in range(1, 41)), (0, 50, None), (1, 0, 1), (1, 1, 0), (1, 2, 1)]
+    f = ground(spark.createDataFrame(rows, "rep int, id long, next long"))
+    tables, call = [], search.Rounds.__call__
+    monkeypatch.setattr(search.Rounds, "__call__", lambda self, df: tables.append(1) or call(self, df))
+    got = sorted(tuple(r) for r in search.bfs_parents(f).select("rep", "id", "depth", "parent").collect())
+    assert got == sorted([(0, i, i, i - 1) for i in range(1, 41)] + [(0, 0, 0, None), (0, 50, 0, None)], key=lambda r: r[:2])
+    assert len(tables) <= 9
+
+
 def test_euler_tour_against_a_walk(spark):
     got = {r.id: r for r in tours(spark, PATH_AND_STAR).collect()}
     kids, at, want = {}, 0, {}
