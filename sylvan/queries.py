@@ -177,6 +177,7 @@ def random_forest(spark, sf):
 
 
 @query
+@by_lines
 def random_forest_part_supplier(spark, sf):
     return forest.random_forest(stored(tables.part_supplier(spark, sf)), 20.0, 2, SEED).select("rep", "id", "next", "root")
 

@@ -310,3 +310,15 @@ def test_queries_by_lines_run_in_partitions_by_rows(spark, monkeypatch):
     with pytest.raises(KeyError), skew.sized(spark, 10**6):
         raise KeyError
     assert spark.conf.get(name) == own
+
+
+def test_the_forest_of_parts_and_suppliers_runs_in_partitions_by_lines(spark, monkeypatch):
+    from sylvan import queries
+    from sylvan.functions import skew
+
+    monkeypatch.setattr(skew, "PART_ROWS", 2000)
+    seen, rows = [], spark.createDataFrame([(0, 1, None, 1)], "rep int, id long, next long, root long")
+    monkeypatch.setattr(queries.forest, "random_forest", lambda *a: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or rows)
+    small = "/root/testdata/sf0.001"
+    assert queries.QUERIES["random_forest_part_supplier"](spark, small).count() == 1
+    assert seen == [str(-(-4 * queries._count(spark, small, "lineitem") // 2000))]
