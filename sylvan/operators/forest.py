@@ -36,6 +36,9 @@ LOCAL, FIRST, DEEPEST, AT_ONCE = 100_000, 4, 64, 100_000
 #: Turns of one job in which parts of a repetition pop their own cycles, fewer where there are many vertices.
 TURNS = 16
 
+#: Steps of a walk on average above which repetitions pop cycles in parts.
+LONG = 12
+
 
 def rates(g: Graph, q) -> DataFrame:
     """(id, q) from a number or from (id, q) rows; a vertex without a row has rate 0."""
@@ -64,21 +67,20 @@ def random_forest(g: Graph, q, reps: int = 1, seed: int = 0, grid: list[float] |
     if check:
         _checked(g, q if grid is None else min(grid))
     spark = g.edges.sparkSession
-    index = ground(g.draw_index())
-    base = ground(g.vertices.join(totals(index), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("n", F.lit(0)).alias("n")))
-    arrows = index.select("id", "cell", "dst", "lo", "hi")
     every = [q] if grid is None else [float(x) for x in grid]
     down = [0] if grid is None else sorted(range(len(every)), key=lambda k: -every[k])
     seeds = [f"{seed}.{k}" for k in down] if moment_seeds else [str(seed)]
-    bottom = base.select("id").crossJoin(F.broadcast(spark.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long"))
-    n = base.count()
+    bottom = g.vertices.crossJoin(F.broadcast(spark.range(reps).select(F.col("id").cast("int").alias("rep")))).withColumn("level", F.lit(0).cast("long"))
+    n = g.nv()
+    base, arrows = _indexed(g) if n <= max(local, LOCAL) else (None, None)
     if n <= local:
         walks = [([k], s) for k, s in zip(down, seeds)] if moment_seeds else [(down, seeds[0])]
         return reduce(DataFrame.union, [_descended(base, arrows, bottom, [(k, every[k]) for k in ks], s, g, n * reps) for ks, s in walks])
     out, levels = [], bottom
     for step, k in enumerate(down):
-        rated = ground(base.join(rates(g, every[k]), "id"))
-        forest = _popped(rated, arrows, bottom if moment_seeds else levels, seeds[step if moment_seeds else 0], local)
+        rate = rates(g, every[k])
+        rated = None if base is None else ground(base.join(rate, "id"))
+        forest = _popped(g, rate, rated, arrows, bottom if moment_seeds else levels, seeds[step if moment_seeds else 0], local)
         levels = forest.select("id", "rep", "level")
         out.append(forest.select("rep", F.lit(k).alias("q_index"), "id", "next", "root", "level"))
     return reduce(DataFrame.union, out)
@@ -89,6 +91,27 @@ def random_forest_distributed(g: Graph, q, reps: int = 1, seed: int = 0, grid: l
     return random_forest(g, q, reps, seed, grid, check, moment_seeds, local)
 
 
+def _indexed(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """What draws by joins read: (id, d, n) of all vertices and the drawing index (id, cell, dst, lo, hi)."""
+    index = ground(g.draw_index())
+    base = ground(g.vertices.join(totals(index), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("n", F.lit(0)).alias("n")))
+    return base, index.select("id", "cell", "dst", "lo", "hi")
+
+
+def drawn_by_all(g: Graph, tops: DataFrame, seed) -> DataFrame:
+    """(rep, id, level, next, u, d) as ``drawn`` gives them. Where all vertices draw, each edge takes those of its vertex' draws that
+    fall into its interval, so that no index of all edges is written and read again."""
+    key = (seed, F.col("rep"), F.col("id"), F.col("level"))
+    tops = tops.select("rep", "id", "level", uniform("u", *key).alias("u"), uniform("v", *key).alias("v"))
+    own = tops.groupBy("id").agg(F.collect_list(F.struct("rep", "level", "u", "v")).alias("draws"))
+    met = g.cumulative().withColumnRenamed("src", "id").join(own.hint("merge"), "id")
+    mine = F.filter("draws", lambda x: (x["v"] * F.col("d") >= F.col("lo")) & (x["v"] * F.col("d") < F.col("hi")))
+    met = met.select("id", "dst", "d", F.explode(mine).alias("x"))
+    alone = tops.join(g.edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    lone = alone.select("rep", "id", "level", F.lit(None).cast("long").alias("next"), "u", F.lit(0.0).alias("d"))
+    return met.select("x.rep", "id", "x.level", F.col("dst").alias("next"), "x.u", "d").unionByName(lone)
+
+
 def drawn(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed, many=None) -> DataFrame:
     """(rep, id, level, next, u, d): the arrow of each (rep, id, level), or of ``many`` levels from it on. next is
     where it leads unless the vertex dies by u; null for isolated vertices."""
@@ -216,29 +239,39 @@ def _descended(base: DataFrame, arrows: DataFrame, tops: DataFrame, qs: list[tup
     return reduce(DataFrame.union, out)
 
 
-def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, local: int) -> DataFrame:
-    """(rep, id, level, next, root) from rates and degrees (id, d, n, q), the drawing index and the stacks' levels (id,
+def _popped(g: Graph, rate: DataFrame, base: DataFrame | None, arrows: DataFrame | None, levels: DataFrame, seed: str, local: int) -> DataFrame:
+    """(rep, id, level, next, root) from rates (id, q), rates and degrees (id, d, n, q), the drawing index and the stacks' levels (id,
     rep, level). A round takes the top arrows of the vertices whose root is not known yet, follows them by
     pointer doubling, and pops the vertices on cycles, which are those that some vertex still points at
     after all doublings. Vertices that reached a root are done: no cycle is on their way. They go to one
-    table, which a round joins by the few vertices that it asks for. Repetitions of fewer than two times ``local``
-    vertices first pop what they can in parts."""
+    table, which a round joins by the few vertices that it asks for. Without an index all first draw by their edges, and one is made of
+    the edges of those that the first round leaves. Repetitions of fewer than two times ``local``
+    vertices first pop what they can in parts, if walks are long: where more than one of LONG top arrows ends, rounds are few."""
 
     def topmost(tops: DataFrame) -> DataFrame:
-        a = drawn(base, arrows, tops, seed).join(base.select("id", "q"), "id")
+        a = (drawn_by_all(g, tops, seed) if base is None else drawn(base, arrows, tops, seed)).join(rate, "id")
         dies = F.col("next").isNull() | (F.col("u") * (F.col("q") + F.col("d")) < F.col("q"))
         return a.select("rep", "id", "level", F.when(~dies, F.col("next")).alias("next"))
 
+    def indexed(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ids = ground(left.select("id").distinct())
+        b, a = _indexed(Graph(ids, ground(g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))))
+        return ground(b.join(rate, "id")), a
+
     keep, settled = Rounds(), Store("settled")
     active = keep(topmost(levels))
+    ends = active.agg(F.avg(F.col("next").isNull().cast("double"))).first()[0]
+    long = ends is not None and ends * LONG <= 1
     while True:
         sizes = active.groupBy("rep").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
         n = sizes["n"] or 0
         if not n:
             return settled.read()
+        if base is None and long and sizes["most"] < 2 * local:
+            base, arrows = indexed(active)
         if sizes["most"] <= local:
             return settled.add(_finished(base, arrows, active.select("rep", "id", "level"), seed, settled))
-        if sizes["most"] < 2 * local:
+        if long and sizes["most"] < 2 * local:
             active = keep(topmost(_in_turns(base, arrows, active.select("rep", "id", "level"), seed, settled, local, n)))
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
         if settled:
@@ -250,6 +283,8 @@ def _popped(base: DataFrame, arrows: DataFrame, levels: DataFrame, seed: str, lo
         left = far.where("not done")
         loops = left.select("rep", F.col("to").alias("id")).distinct()
         left = left.select("rep", "id", "level", "next")
+        if base is None:
+            base, arrows = indexed(left)
         popped = left.join(loops, ["rep", "id"], "left_semi").withColumn("level", F.col("level") + 1)
         active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(topmost(popped.select("rep", "id", "level"))))
 
@@ -331,8 +366,10 @@ def _finished(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, se
 
 def _followed(far: DataFrame, n: int) -> DataFrame:
     """``far``, of at most ``n`` rows that are not done, with ``to`` moved on by pointer doubling to the root,
-    where done, or on to a cycle. Only rows that are not done are joined, two doublings a table."""
-    keep, doublings = Rounds(), int(np.ceil(np.log2(n + 1)))
+    where done, or on to a cycle. Only rows that are not done are joined, two doublings a table. A way of many steps
+    has ways of all fewer steps on it, and places that are reached become fewer until they are those on cycles; so when
+    neither open ways nor the places they reach became fewer, none will."""
+    keep, doublings, left = Rounds(), int(np.ceil(np.log2(n + 1))), None
     far = keep(far)
     for k in range(doublings):
         way = far.select("rep", F.col("id").alias("to"), F.col("to").alias("further"), F.col("done").alias("ends"))
@@ -340,6 +377,9 @@ def _followed(far: DataFrame, n: int) -> DataFrame:
         far = far.where("done").unionByName(step.select(*far.columns))
         if k % 2 or k == doublings - 1:
             far = keep(far)
+            before, left = left, far.where("not done").groupBy("rep", "to").count().agg(F.sum("count"), F.count("*")).first()
+            if not left[1] or left == before:
+                break
     return far
 
 

@@ -222,11 +222,13 @@ def _tours(spark, sf) -> DataFrame:
 
 
 @query
+@by_lines
 def forest_tour(spark, sf):
     return _tours(spark, sf)
 
 
 @query
+@by_lines
 def subtree_moves(spark, sf):
     """The largest subtree of each tree moves under the smallest root."""
     tour = _tours(spark, sf)

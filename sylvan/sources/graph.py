@@ -38,8 +38,10 @@ class Graph:
         how many ``rows``, so that sums run in partitions of a bounded size."""
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         e = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), weight.alias("weight"))
+        # both directions are written out after the sum, which so reads each edge once
+        e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
+        e = spread(e, rows, "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
         both = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-        both = spread(both, 2 * rows, "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
         if vertices is None:
             vertices = both.select(F.col("src").alias("id")).distinct()
         return cls(vertices.select(F.col("id").cast("long").alias("id")), both)
@@ -86,11 +88,13 @@ class Graph:
         n = self.edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
         wide = n.where(F.col("n") > HUB).select("src", "n", "least", (F.floor((F.col("most") - F.col("least")) / CHUNKS) + 1).alias("width"))
         hubs = not wide.isEmpty()
-        order, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
         wide = ground(wide) if hubs else wide
         e = self.edges.join(wide.select("src"), "src", "left_anti") if hubs else self.edges
-        e = e.select("src", "dst", F.sum("weight").over(order).alias("upto"), F.lead("dst").over(order).isNull().alias("last"))
-        e = e.select("src", "dst", F.coalesce(F.lag("upto").over(order), F.lit(0.0)).alias("lo"), F.when(F.col("last"), float("inf")).otherwise(F.col("upto")).alias("hi"), F.max("upto").over(whole).alias("d"), F.count("*").over(whole).alias("n"))
+        # frames of one window, so that rows are sorted and held once; they add up in one order, so an end is the next one's begin
+        order, first, end = Window.partitionBy("src").orderBy("dst"), Window.unboundedPreceding, Window.unboundedFollowing
+        upto, before, whole = (order.rowsBetween(first, x) for x in (0, -1, end))
+        hi = F.when(F.lead("dst").over(order).isNull(), float("inf")).otherwise(F.sum("weight").over(upto))
+        e = e.select("src", "dst", F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("lo"), hi.alias("hi"), F.sum("weight").over(whole).alias("d"), F.count("*").over(whole).alias("n"))
         return e.union(self._cumulative_of_hubs(wide)) if hubs else e
 
     def _cumulative_of_hubs(self, wide: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sylvan.functions.skew import spread
 from sylvan.sources.graph import Graph
 
 #: Added to supplier keys, which would otherwise collide with part keys.
@@ -49,8 +48,7 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts and suppliers, joined by their number of line items."""
     lines = table(spark, sf_dir, "lineitem")
     n = lines.count()
-    pairs = spread(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("b")), n, "a", "b")
-    return Graph.from_edges(pairs.groupBy("a", "b").agg(F.count("*").alias("weight")), rows=n)
+    return Graph.from_edges(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("b")), rows=n)
 
 
 def embedding_knn(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 1024) -> Graph:

@@ -322,3 +322,26 @@ def test_the_forest_of_parts_and_suppliers_runs_in_partitions_by_lines(spark, mo
     small = "/root/testdata/sf0.001"
     assert queries.QUERIES["random_forest_part_supplier"](spark, small).count() == 1
     assert seen == [str(-(-4 * queries._count(spark, small, "lineitem") // 2000))]
+
+
+def test_short_ways_of_many_vertices_take_few_doublings(spark, monkeypatch):
+    """A star of 5000 with a cycle that has a tail of 5: doubling ends with the ways and not with the number of vertices."""
+    arrows = [(0, 0, None), *((0, i, 0) for i in range(1, 5000)), (0, 6000, 6001), (0, 6001, 6000), *((0, 6000 + i, 5999 + i) for i in range(2, 7))]
+    far = spark.createDataFrame(arrows, "rep int, id long, next long").selectExpr("rep", "id", "coalesce(next, id) as to", "next is null as done")
+    tables, call = [], forest.Rounds.__call__
+    monkeypatch.setattr(forest.Rounds, "__call__", lambda self, df: tables.append(1) or call(self, df))
+    got = {r.id: (r.to, r.done) for r in forest._followed(far, 5007).collect()}
+    assert all(got[i] == (0, True) for i in range(5000)) and {got[6000 + i][0] for i in range(7)} == {6000, 6001}
+    assert not any(got[6000 + i][1] for i in range(7)) and len(tables) <= 5
+
+
+def test_large_graphs_draw_by_their_edges(spark, monkeypatch):
+    """The same forests by joins without an index of all edges: only those of vertices that the first round leaves are indexed."""
+    g = gen.random_weighted(spark, 40, 0.3, 5)
+    g = Graph(ground(g.vertices.union(spark.range(100, 102).select("id"))), ground(g.edges))
+    want = forest.random_forest(g, None, 2, 3, grid=[2.0, 6.0]).collect()
+    monkeypatch.setattr(forest, "LOCAL", 4)
+    indexed, index = [], Graph.draw_index
+    monkeypatch.setattr(Graph, "draw_index", lambda self: indexed.append(self.nv()) or index(self))
+    got = forest.random_forest(g, None, 2, 3, grid=[2.0, 6.0], local=4).select(*want[0].__fields__).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and indexed and max(indexed) < 42

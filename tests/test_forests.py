@@ -416,3 +416,14 @@ def test_partitions_of_parts_and_suppliers_grow_with_the_lines(spark, small, mon
     assert n > 500 * 4 and g.edges.rdd.getNumPartitions() == -(-2 * n // 500)
     plan = g.edges._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan and f", {-(-n // 500)})" in plan
+
+
+def test_lines_of_parts_and_suppliers_are_shuffled_once(spark, small, monkeypatch):
+    """Both directions of an edge come from one sum of its lines, not from a second one."""
+    monkeypatch.setattr(skew, "PART_ROWS", 500)
+    g = tables.part_supplier(spark, small)
+    plan = g.edges.where("src < 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == plan.count("RepartitionByExpression") == 2 and "Union" in plan
+    weights = {(r.src, r.dst): r.weight for r in g.edges.collect()}
+    assert sum(weights.values()) == 2 * tables.table(spark, small, "lineitem").count()
+    assert all(weights[b, a] == w for (a, b), w in weights.items())
