@@ -20,9 +20,10 @@ PART_BYTES = "4m"
 
 def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """``df``, of about ``rows`` rows, dealt by ``by`` to partitions of about PART_ROWS, so that a task's memory does not
-    grow with the table; left as it is where the session's number of partitions is enough for that."""
-    parts = -(-rows // PART_ROWS)
-    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    grow with the table, nor with the splits it is read in, as sums begin only after that; left as it is where it is one such partition."""
+    parts, spark = -(-rows // PART_ROWS), df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(parts, least), *by) if parts > 1 else df
 
 
 @contextmanager

@@ -427,3 +427,12 @@ def test_lines_of_parts_and_suppliers_are_shuffled_once(spark, small, monkeypatc
     weights = {(r.src, r.dst): r.weight for r in g.edges.collect()}
     assert sum(weights.values()) == 2 * tables.table(spark, small, "lineitem").count()
     assert all(weights[b, a] == w for (a, b), w in weights.items())
+
+
+def test_sums_begin_after_lines_are_dealt(spark, small, monkeypatch):
+    """However many partitions the session has, no sum runs in the tasks that read a split, whose size grows with the table."""
+    monkeypatch.setattr(skew, "PART_ROWS", 2000)
+    g = tables.part_supplier(spark, small)
+    assert 3 < int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
