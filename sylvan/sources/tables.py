@@ -51,38 +51,58 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("b")), rows=n)
 
 
-def embedding_knn(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 1024) -> Graph:
+def embedding_knn(spark: SparkSession, sf_dir: str, k: int = 5, block: int = 16_384, cells: int = 2_000_000) -> Graph:
     """Each vector with its k nearest by cosine (rounded to 6 digits, ties by id), symmetrised. Vectors are
-    dealt to blocks by hash; a task compares one block with another as a matrix product and gives the
+    dealt to blocks by hash; a task compares one block with another, about ``cells`` pairs at a time, and gives the
     k nearest of each row there, and the nearest of these are the nearest of all. The search is
-    exact, so the work is the square of the rows, but a task never holds more than two blocks."""
+    exact, so the work is the square of the rows, but a task never holds more than two blocks, and rows travel as often as there are blocks."""
     import numpy as np
     import pandas as pd
 
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    blocks = max(1, -(-vecs.count() // block))
+    n, some = vecs.count(), int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-n // block), min(some, -(-n // 1024)))
     each = vecs.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    def units(pdf: pd.DataFrame) -> tuple:
+        x = np.array(pdf["embedding"].tolist(), float)
+        with np.errstate(all="ignore"):
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        known = np.isfinite(x).all(axis=1)
+        return pdf["id"].to_numpy(np.int64)[known], x[known]
+
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cos": np.zeros(0)})]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        right = right.sort_values("id")
-        unit = lambda x: np.array(x.tolist(), float) / np.linalg.norm(np.array(x.tolist(), float), axis=1, keepdims=True)
-        a, b = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        cos = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
-        cos[(a[:, None] == b[None, :]) | ~np.isfinite(cos)] = -np.inf
-        # those from the k-th value of a row on, ties included; only these few are sorted
-        least = np.partition(cos, -k, axis=1)[:, -k, None] if len(b) > k else -np.inf
-        row, col = np.nonzero(cos >= least)
-        order = np.lexsort((col, -cos[row, col], row))
-        row, col = row[order], col[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col = row[first], col[first]
-        out = pd.DataFrame({"a": a[row], "b": b[col], "cos": cos[row, col]})
-        return out[np.isfinite(out["cos"])]
-
-    queries = each.select("id", "embedding", F.col("own").alias("x"), F.col("other").cast("long").alias("y"))
-    among = each.select("id", "embedding", F.col("other").cast("long").alias("x"), F.col("own").alias("y"))
+            return found[0]
+        (a, x), (b, y) = units(left), units(right.sort_values("id"))
+        short, among = x.astype(np.float32), y.astype(np.float32).T
+        together, meet = max(1, cells // max(len(b), 1)), np.isin(a, b).any()
+        groups = max(k, min(64, len(b)))
+        # single precision finds all that can be among the k nearest, with room for its errors and for rounding; these few are compared in double
+        room = 2e-6 + 4 * (x.shape[1] + 2) * 2.0**-24
+        for at in range(0, len(a), together):
+            part = slice(at, at + together)
+            cos = short[part] @ among
+            if meet:
+                cos[a[part, None] == b] = -np.inf
+            least = np.full((len(cos), 1), -np.inf, np.float32)
+            if len(b) > groups:
+                # k groups have a value of at least the k-th largest of their maxima
+                most = cos[:, : len(b) // groups * groups].reshape(len(cos), groups, -1).max(axis=2)
+                least = np.partition(most, -k, axis=1)[:, -k, None] - np.float32(room)
+            row, col = np.nonzero((cos >= least) & (cos > -np.inf))
+            exact = (x[part] @ y.T)[row, col] if len(row) > 64 * len(cos) else np.einsum("ij,ij->i", x[part][row], y[col])
+            exact = np.round(exact, 6)
+            order = np.lexsort((col, -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append(pd.DataFrame({"a": a[part][row[first]], "b": b[col[first]], "cos": exact[first]}))
+        return pd.concat(found)
+
+    parts = min(blocks * blocks, 10_000)
+    queries = each.select("id", "embedding", F.col("own").alias("x"), F.col("other").cast("long").alias("y")).repartition(parts, "x", "y")
+    among = each.select("id", "embedding", F.col("other").cast("long").alias("x"), F.col("own").alias("y")).repartition(parts, "x", "y")
     near = queries.groupBy("x", "y").cogroup(among.groupBy("x", "y")).applyInPandas(nearest, "a long, b long, cos double")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("c"), "b"))), 1, k).alias("best"))
     near = best.select("a", F.explode("best.b").alias("b"))

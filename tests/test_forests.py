@@ -436,3 +436,18 @@ def test_sums_begin_after_lines_are_dealt(spark, small, monkeypatch):
     assert 3 < int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2
+
+
+def test_neighbours_of_embeddings_equal_brute_force(spark, tmp_path):
+    """In blocks and a few pairs at a time, with copies, which tie, and a vector of zeros, which is near none."""
+    x = np.random.default_rng(2).integers(-2, 3, (300, 5)).astype(float)
+    x[7], x[40:140] = 0, x[3]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with np.errstate(all="ignore"):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, want = np.round(unit @ unit.T, 6), set()
+    for i in range(300):
+        near = sorted((-cos[i, j], j) for j in range(300) if i != j and np.isfinite(cos[i, j]))[:5]
+        want |= {edge for _, j in near for edge in ((i, j), (j, i))}
+    got = {(r.src, r.dst) for r in tables.embedding_knn(spark, str(tmp_path), block=100, cells=1000).edges.collect()}
+    assert got == want
