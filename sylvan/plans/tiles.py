@@ -56,11 +56,13 @@ class Tiles:
         each = parts.select("i", "j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         to, of = (self.lists.select(F.col("i").alias(at), F.col("ids").alias(name)).hint("shuffle_hash") for at, name in (("i", "to"), ("j", "of")))
         ids = each.join(to, "i").join(of, "j").select(*by, "to", "of")
-        rows = spread(e, m, *by).groupBy(*by).cogroup(ids.groupBy(*by)).applyInPandas(_tile, "i int, j int, part int, n_to int, n_of int, row binary, col binary, weight binary")
+        rows = spread(e, m, *by).groupBy(*by).cogroup(ids.groupBy(*by)).applyInPandas(_tile, "i int, j int, part int, n_to int, n_of int, row binary, col binary, weight binary, light binary")
         none, size = F.lit(b""), (F.length("ids") / 8).cast("int")
-        rows = rows.union(self.lists.select("i", F.col("i").alias("j"), F.lit(-1), size, size, none, none, none)).withColumn("t", F.col("i") * p + F.col("j"))
+        rows = rows.union(self.lists.select("i", F.col("i").alias("j"), F.lit(-1), size, size, none, none, none, none)).withColumn("t", F.col("i") * p + F.col("j"))
         to = f"{shared_dir(self.spark)}/{self.table}"
         rows.repartition(p * p, "t").write.bucketBy(p * p, "t").sortBy("t", "part").option("path", to).saveAsTable(self.table)
+        # a step reads one of the two columns
+        self.weight, self.other = ("light", "weight") if self.spark.table(self.table).where("light is null").isEmpty() else ("weight", "light")
 
     def state(self, c: DataFrame | None = None, ks: list | None = None) -> DataFrame:
         """Rows of blocks with x and old 0 and c = q y / diag for signals y (id, k, y), ``together`` values of k in
@@ -80,7 +82,7 @@ class Tiles:
         own = F.col("j") == F.col("i")
         sent = state.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
         sent = sent.select((F.col("i") * self.blocks + F.col("j")).alias("t"), "g", "x", *(F.when(own, F.col(n)).alias(n) for n in ("diag", "old", "c")))
-        met = sent.hint("shuffle_hash").join(self.spark.table(self.table).drop("j"), "t")
+        met = sent.hint("shuffle_hash").join(self.spark.table(self.table).drop("j", self.other).withColumnRenamed(self.weight, "weight"), "t")
         alone = (F.when(F.col("part") < 0, F.col(n)).alias(n) for n in ("diag", "old", "c"))
         met = met.select("t", "i", "g", "part", "n_to", "n_of", "row", "col", "weight", "x", *alone)
         given = met.mapInPandas(_product, "i int, g int, o int, m binary, x binary, diag binary, old binary, c binary")
@@ -104,7 +106,8 @@ def _listed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tile(edges: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-    """Edges by their places in the lists of two blocks, sorted, so that sums run in the same order each time."""
+    """Edges by their places in the lists of two blocks, sorted, so that sums run in the same order each time. ``row`` has the
+    number of edges of each place, and small whole weights are there as bytes too (``light``), as each step reads all of a tile."""
     edges = edges.sort_values(["dst", "src"])
     out = lists[["i", "j", "part"]].copy()
     for side, ids, size, place in (("dst", "to", "n_to", "row"), ("src", "of", "n_of", "col")):
@@ -112,8 +115,12 @@ def _tile(edges: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
         if (ids[at] != own).any():
             raise ValueError("an edge leads to no vertex")
+        at = np.bincount(at, minlength=len(ids)) if place == "row" else at
         out[size], out[place] = len(ids), [at.astype(np.int32).tobytes()]
-    return out.assign(weight=[edges["weight"].to_numpy(np.float64).tobytes()])[["i", "j", "part", "n_to", "n_of", "row", "col", "weight"]]
+    weight = edges["weight"].to_numpy(np.float64)
+    small = ((weight >= 0) & (weight < 256) & (weight == np.floor(weight))).all()
+    light = weight.astype(np.uint8).tobytes() if small else None
+    return out.assign(weight=[weight.tobytes()], light=[light])[["i", "j", "part", "n_to", "n_of", "row", "col", "weight", "light"]]
 
 
 def _ones(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +153,9 @@ def _product(batches):
         if alone.any():
             yield pdf[alone].assign(o=-1, m=None)[["i", "g", "o", "m", "x", "diag", "old", "c"]]
         for r in pdf[~alone].itertuples():
-            x, w = _floats(r.x).reshape(-1, r.n_of), _floats(r.weight)
-            row, col = np.frombuffer(r.row, np.int32), np.frombuffer(r.col, np.int32)
+            x, col = _floats(r.x).reshape(-1, r.n_of), np.frombuffer(r.col, np.int32)
+            w = np.frombuffer(r.weight, np.uint8 if len(r.weight) == len(col) else np.float64)
+            row = np.repeat(np.arange(r.n_to), np.frombuffer(r.row, np.int32))
             total = sums.setdefault((r.i, r.g), np.zeros((len(x), r.n_to)))
             order.setdefault((r.i, r.g), r.t)
             for k in range(len(x)):

@@ -345,3 +345,17 @@ def test_large_graphs_draw_by_their_edges(spark, monkeypatch):
     monkeypatch.setattr(Graph, "draw_index", lambda self: indexed.append(self.nv()) or index(self))
     got = forest.random_forest(g, None, 2, 3, grid=[2.0, 6.0], local=4).select(*want[0].__fields__).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and indexed and max(indexed) < 42
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.3, 300.0])
+def test_small_whole_weights_take_a_byte_of_a_tile(spark, scale):
+    """A step reads all tiles, so an edge takes 5 bytes and a place 4; other weights are kept as they are, and products are right."""
+    edges = [(i, j, (1 + (i + j) % 3) * scale) for i in range(20) for j in range(20) if i != j]
+    g = Graph(spark.range(20), ground(spark.createDataFrame(edges, "src long, dst long, weight double")))
+    base = ground(spark.range(20).selectExpr("id", "1.0D as q", "2.0D as diag"))
+    made = tiles.Tiles(g.edges, base)
+    size = spark.table(made.table).where("part >= 0").selectExpr(f"sum(length(row) + length(col) + length({made.weight}) - 4 * n_to)").first()[0]
+    assert size == len(edges) * (5 if scale == 1 else 12)
+    got = {r.id: r.x for r in made.values(made.step(made.state(), 1.0), [0], "int").collect()}
+    assert all(abs(got[i] - sum(w for a, b, w in edges if a == i) / 2) < 1e-9 for i in range(20))
+    made.drop()
