@@ -272,7 +272,7 @@ def _popped(g: Graph, rate: DataFrame, base: DataFrame | None, arrows: DataFrame
         if sizes["most"] <= local:
             return settled.add(_finished(base, arrows, active.select("rep", "id", "level"), seed, settled))
         if long and sizes["most"] < 2 * local:
-            active = keep(topmost(_in_turns(base, arrows, active.select("rep", "id", "level"), seed, settled, local, n)))
+            active = keep(topmost(_in_turns(base, arrows, active.select("rep", "id", "level"), seed, local, n)))
         far = active.withColumns({"to": F.coalesce("next", "id"), "done": F.col("next").isNull()})
         if settled:
             asked = active.select("rep", "next").where("next is not null").distinct()
@@ -289,58 +289,96 @@ def _popped(g: Graph, rate: DataFrame, base: DataFrame | None, arrows: DataFrame
         active = keep(left.join(loops, ["rep", "id"], "left_anti").unionByName(topmost(popped.select("rep", "id", "level"))))
 
 
-_TURN = "rep int, id long, place long, size long, level long, moved long, goals array<long>, ends array<boolean>"
+_TURN = "rep int, part boolean, id long, place long, size long, level long, moved long, dry boolean, due long, goals array<long>"
 
 
-def _turn(turn: int):
-    """The task of a part of a repetition: pops the cycles inside it. Arrows that lead out of it, and vertices without
-    arrows left, end ways. Places are shuffled alike in all parts, so that other vertices are left out together in the next turn."""
+def drain(to: np.ndarray, start: np.ndarray, kept: np.ndarray, due: np.ndarray) -> None:
+    """Takes back last arrows of vertices that keep more than lead to them, until none does: ``kept`` and ``due`` are moved down.
+    Vertex i's arrows begin at start[i] and lead to vertices to[a], -1 for others; due[i] of all arrows that are kept lead to i."""
+    low = np.flatnonzero(due < kept)
+    while len(low):
+        many = kept[low] - due[low]
+        back = np.repeat(start[low] + kept[low] - np.cumsum(many), many) + np.arange(many.sum())
+        kept[low] = due[low]
+        near, fewer = np.unique(to[back], return_counts=True)
+        near, fewer = near[near >= 0], fewer[near >= 0]
+        due[near] -= fewer
+        low = near[due[near] < kept[near]]
+
+
+def _turn(turn: int, local: int):
+    """The task of a part of a repetition: adds up what other parts say (rows without goals), drains the part, pops the cycles inside it, and
+    says to others how many arrows at them are gone. Places are shuffled alike in all parts, so that the next turn has other parts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        ids, many = pdf["id"].to_numpy(), pdf["goals"].map(len).to_numpy()
-        goals, ends = np.concatenate(pdf["goals"].to_list()).astype(np.int64), np.concatenate(pdf["ends"].to_list()).astype(bool)
-        stop = np.cumsum(many)
-        start = stop - many
-        at = start.copy()
+        said = pdf["goals"].isna()
+        mine, said = pdf[~said].sort_values("place"), pdf[said]
+        place, due = mine["place"].to_numpy(), mine["due"].to_numpy().copy()
+        np.add.at(due, np.searchsorted(place, said["place"].to_numpy()), said["due"].to_numpy())
+        goals, many = np.concatenate(mine["goals"].to_list()).astype(np.int64), mine["goals"].map(len).to_numpy()
+        start, kept = np.cumsum(many) - many, many.copy()
+        to = np.minimum(np.searchsorted(place, goals), len(place) - 1)
+        to = np.where(place[to] == goals, to, -1)
+        drain(to, start, kept, due)
+        gone = np.arange(len(goals)) - np.repeat(start, many) >= np.repeat(kept, many)
+        others, fewer = np.unique(goals[gone & (to < 0)], return_counts=True)
+        stop, at = start + kept, start.copy()
         if len(goals):
-            to = np.minimum(np.searchsorted(ids, goals), len(ids) - 1)
-            pop_arrays(to, (ends | (ids[to] != goals)).__getitem__, start, stop, at)
-        size = int(pdf["size"].iloc[0])
-        place = np.random.default_rng((turn, size)).permutation(size)[pdf["place"]]
-        rest = {"goals": goals, "ends": ends}
-        return pdf.assign(place=place, level=pdf["level"] + at - start, moved=pdf["moved"] + at - start, **{c: [x[a:b] for a, b in zip(at, stop)] for c, x in rest.items()})
+            pop_arrays(to, (to < 0).__getitem__, start, stop, at)
+        size, moved = int(mine["size"].iloc[0]), at - start
+        part = np.random.default_rng((turn, size)).permutation(size) >= local
+        counts = {"level": mine["level"] + moved, "moved": mine["moved"] + moved, "dry": mine["dry"].to_numpy() & (kept == many), "due": due - moved}
+        mine = mine.assign(part=part[place], **counts, goals=[goals[a:b] for a, b in zip(at, stop)])
+        say = pd.DataFrame({"rep": mine["rep"].iloc[0], "part": part[others], "id": 0, "place": others, "size": size, "level": 0, "moved": 0, "dry": False, "due": -fewer, "goals": None})
+        return pd.concat([mine, say]) if len(say) else mine
 
     return run
 
 
-def _in_turns(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, settled: Store, local: int, n: int) -> DataFrame:
-    """(rep, id, level) of the ``n`` vertices of ``tops``, repetitions of fewer than two times ``local``, after popping cycles
-    inside parts: ``local`` vertices in one task, the others in another, and other vertices in the next turn. A job
-    takes many turns; jobs go on while vertices move."""
+def _in_turns(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, local: int, n: int) -> DataFrame:
+    """(rep, id, level) of the ``n`` vertices of ``tops``, repetitions of fewer than two times ``local``, after popping cycles from below and
+    from above. Popped arrows are cycles, so as many lead to a vertex as from it, and one that ends a way is never popped. Of all
+    levels of which that holds the highest are those where no cycle is left. From above, vertices keep all arrows before their first that
+    ends a way, and whoever keeps more than lead to it takes back the last: where all are near each other, such turns grow with the logarithm
+    of the pops. From below, cycles are popped, which is sooner done where ways are short. Neither needs an order, so parts do both: ``local`` vertices
+    in one task, the others in another, and other vertices in the next turn. A job takes many turns; jobs go on while vertices move, at most until
+    none has to take back any. Where a stack runs out, the repetition goes on from the levels reached."""
     mine = Window.partitionBy("rep")
-    places = tops.select("rep", "id", (F.row_number().over(mine.orderBy("id")) - 1).cast("long").alias("place"), F.count("*").over(mine).alias("size"))
+    places = ground(tops.select("rep", "id", (F.row_number().over(mine.orderBy("id")) - 1).cast("long").alias("place"), F.count("*").over(mine).alias("size")))
+    depth = F.lit(max(FIRST, AT_ONCE // n)).cast("long")
 
     def stacks(tops: DataFrame) -> DataFrame:
-        a = drawn(base, arrows, tops, seed, F.lit(_depth(n)).cast("long")).join(base.select("id", "q"), "id")
-        ends = F.col("next").isNull() | (F.col("u") * (F.col("q") + F.col("d")) < F.col("q"))
-        a = a.select("rep", "id", "level", F.coalesce("next", "id").alias("goal"), ends.alias("ends"))
-        if settled:
-            known = settled.read().select("rep", F.col("id").alias("goal"), F.lit(True).alias("known"))
-            a = a.join(known, ["rep", "goal"], "left").withColumn("ends", F.col("ends") | F.coalesce("known", F.lit(False)))
-        a = a.groupBy("rep", "id").agg(F.array_sort(F.collect_list(F.struct("level", "goal", "ends"))).alias("a"))
-        return a.join(places, ["rep", "id"]).select("rep", "id", "place", "size", F.col("a")[0]["level"].alias("level"), F.lit(0).cast("long").alias("moved"), F.col("a.goal").alias("goals"), F.col("a.ends").alias("ends"))
-
-    places, keep = ground(places), Rounds("turns")
-    state, turn = stacks(tops), 0
+        a = drawn(base, arrows, tops, seed, depth).join(base.select("id", "q"), "id")
+        a = a.join(places.select("rep", F.col("id").alias("next"), F.col("place").alias("goal")), ["rep", "next"], "left")
+        # a vertex without a place has its root already
+        ends = F.col("goal").isNull() | (F.col("u") * (F.col("q") + F.col("d")) < F.col("q"))
+        listed = F.array_sort(F.collect_list(F.struct("level", F.coalesce("goal", F.lit(-1).cast("long")).alias("goal"))))
+        a = a.groupBy("rep", "id").agg(F.min("level").alias("level"), F.min(F.when(ends, F.col("level"))).alias("end"), listed.alias("a"))
+        goals = F.when(F.col("end").isNull(), F.col("a.goal")).otherwise(F.slice("a.goal", F.lit(1), (F.col("end") - F.col("level")).cast("int")))
+        zero, dry = F.lit(0).cast("long"), F.col("end").isNull()
+        a = ground(a.join(places, ["rep", "id"]).select("rep", (F.col("place") >= local).alias("part"), "id", "place", "size", "level", zero.alias("moved"), dry.alias("dry"), goals.alias("goals")))
+        due = a.select("rep", F.explode("goals").alias("place")).groupBy("rep", "place").agg(F.count("*").alias("due"))
+        return a.join(due, ["rep", "place"], "left").withColumn("due", F.coalesce("due", zero))
+
+    out, keep, state, turn = Store("turned"), Rounds("turns"), stacks(tops), 0
     while True:
         for turn in range(turn + 1, turn + 1 + max(2, min(TURNS, AT_ONCE // n))):
-            state = state.groupBy("rep", (F.col("place") >= local).alias("part")).applyInPandas(_turn(turn), _TURN)
+            state = state.groupBy("rep", "part").applyInPandas(_turn(turn, local), _TURN)
         state = keep(state)
-        found = state.agg(F.max(F.size("goals") == 0).alias("dry"), F.sum("moved").alias("moved")).first()
-        if not found["moved"] and not found["dry"]:
-            return state.select("rep", "id", "level")
-        state = stacks(state.select("rep", "id", "level")) if found["dry"] else state.withColumn("moved", F.lit(0).cast("long"))
+        said, used, empty = F.col("goals").isNull(), F.col("dry"), F.size("goals") == 0
+        found = state.agg(F.max(said).alias("said"), F.max(used).alias("dry"), F.max(used & empty).alias("empty"), F.sum("moved").alias("moved")).first()
+        below = state.where(~said).select("rep", "id", "level")
+        above = state.where(~said).select("rep", "id", (F.col("level") + F.size("goals")).alias("level"))
+        if not found["said"] and found["dry"]:
+            again = state.where("dry").select("rep").distinct()
+            out.add(above.join(again, "rep", "left_anti"))
+            state = stacks(ground(above.join(again, "rep", "left_semi")))
+        elif not found["said"] or not (found["moved"] or found["empty"]):
+            return out.add(above if not found["said"] else below)
+        elif found["empty"]:
+            state = stacks(ground(below))
+        else:
+            state = state.withColumn("moved", F.lit(0).cast("long"))
 
 
 def _finished(base: DataFrame, arrows: DataFrame, tops: DataFrame, seed: str, settled: Store) -> DataFrame:

@@ -357,6 +357,21 @@ def test_long_walks_of_few_vertices_take_few_rounds_by_joins(spark, monkeypatch)
     assert 5 * len(rounds) < pops, (len(rounds), pops)
 
 
+def test_levels_from_above_are_those_of_popping():
+    """Vertices that take back what does not lead to them end at the levels where no cycle is left, also where stacks run out."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        n, depth = 2 + seed % 9, 40
+        to, ends = (np.arange(n)[:, None] + rng.integers(1, n, (n, depth))) % n, rng.random((n, depth)) < 0.02
+        start = np.arange(n) * depth
+        at = start.copy()
+        forest.pop_arrays(to.ravel(), ends.ravel().__getitem__, start, start + depth, at)
+        kept = np.where(ends.any(1), ends.argmax(1), depth)
+        due = np.bincount(np.concatenate([to[i, :k] for i, k in enumerate(kept)]), minlength=n)
+        forest.drain(to.ravel(), start, kept, due)
+        assert (kept == at - start).all() and (due == kept).all(), seed
+
+
 def test_erdos_renyi_and_preferential_sizes(spark):
     for m in (0, 5, 44, 45):
         assert gen.erdos_renyi(spark, 10, m, 3).ne() == m
