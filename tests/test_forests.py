@@ -372,6 +372,18 @@ def test_levels_from_above_are_those_of_popping():
         assert (kept == at - start).all() and (due == kept).all(), seed
 
 
+def test_turns_grow_with_the_logarithm_of_the_pops(spark, monkeypatch):
+    """Walks of a thousand steps on 12 vertices: parts of at most ``local`` vertices take far fewer turns than there are pops."""
+    g = gen.random_weighted(spark, 12, 0.6, 3)
+    g, turns, turn = Graph(ground(g.vertices), ground(g.edges)), [], forest._turn
+    monkeypatch.setattr(forest, "_turn", lambda *a: turns.append(a) or turn(*a))
+    a = forest.random_forest(g, 0.002, 1, 7)
+    b = forest.random_forest_distributed(g, 0.002, 1, 7, local=8)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    pops = a.agg(F.sum("level")).first()[0]
+    assert 0 < 10 * len(turns) < pops, (len(turns), pops)
+
+
 def test_erdos_renyi_and_preferential_sizes(spark):
     for m in (0, 5, 44, 45):
         assert gen.erdos_renyi(spark, 10, m, 3).ne() == m
